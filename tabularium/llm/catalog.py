@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tabularium.llm import exact_dedup, mixing
+from tabularium.llm import bpe, exact_dedup, mixing, quality_rules
 
 
 def queries() -> dict:
     return {
+        "op1_quality_rules": quality_rules.op1_quality_rules,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op8_bpe": bpe.op8_bpe,
         "op10_mixing": mixing.op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
+    return {"op1_quality_rules": quality_rules.SQL, "op4_exact_dedup": exact_dedup.SQL, "op10_mixing": mixing.SQL}
