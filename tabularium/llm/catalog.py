@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tabularium.llm import bpe, exact_dedup, mixing, quality_rules
+from tabularium.llm import bpe, exact_dedup, license_scan, mixing, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
+        "op2_license_scan": license_scan.op2_license_scan,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op8_bpe": bpe.op8_bpe,
         "op10_mixing": mixing.op10_mixing,

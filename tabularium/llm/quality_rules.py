@@ -2,7 +2,8 @@
 
 Every line that has a word is judged by three rules. It fails
 
-* *punctuation* if it neither ends in terminal punctuation nor, being eight words or longer, has any inside;
+* *punctuation* if it neither ends in terminal punctuation nor, being eight words or longer, has any inside, or if
+  over a tenth of its visible characters are of ``#*$%&|<>``;
 * *navigation* if it is a menu: three or more separators with at most four words to each, or nothing but a
   link label such as "next page";
 * *boilerplate* if it names a notice that sites repeat (cookies, rights, terms, scripts) or is code or filler.
@@ -26,6 +27,7 @@ MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 MIN_KEPT_PERCENT = 50
 LONG_LINE = 8
+SYMBOL = r"[#*$%&|<>]"
 
 ENDS_SENTENCE = r"""[.!?…。！？:;]["'”’»)\]]*[\x20\x09-\x0D]*$"""
 HAS_SENTENCE = r"[.!?…。！？]"
@@ -46,6 +48,8 @@ def line_fails(line: Column) -> Column:
     n = F.regexp_count(line, F.lit(WORD))
     separators = F.regexp_count(line, F.lit(SEPARATOR))
     punctuation = ~line.rlike(ENDS_SENTENCE) & ((n < LONG_LINE) | ~line.rlike(HAS_SENTENCE))
+    visible = F.length(F.regexp_replace(line, SPACE, ""))
+    punctuation = punctuation | (10 * (F.length(line) - F.length(F.regexp_replace(line, SYMBOL, ""))) > visible)
     navigation = ((separators >= 3) & (n - separators <= 4 * (separators + 1))) | line.rlike(LINK_LABEL)
     return punctuation | navigation | line.rlike(BOILERPLATE)
 
@@ -144,6 +148,7 @@ b AS (
   FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{word}')
 ), j AS (
   SELECT *, (NOT regexp_matches(x, '{q(ENDS_SENTENCE)}') AND (n < {LONG_LINE} OR NOT regexp_matches(x, '{q(HAS_SENTENCE)}')))
+            OR 10 * length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))
             OR (seps >= 3 AND n - seps <= 4 * (seps + 1)) OR regexp_matches(x, '{q(LINK_LABEL)}') OR regexp_matches(x, '{q(BOILERPLATE)}') AS bad
   FROM l
 ), ls AS (
