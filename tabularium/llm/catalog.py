@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabularium.llm import bpe, exact_dedup, license_scan, mixing, quality_rules, toxicity, warc
+from tabularium.llm import bpe, exact_dedup, jaccard_join, license_scan, mixing, quality_rules, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,7 @@ def queries() -> dict:
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_warc": warc.op7_warc,
         "op8_bpe": bpe.op8_bpe,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_mixing": mixing.op10_mixing,
     }
 

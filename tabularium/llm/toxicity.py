@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.llm.common import small_batches, table
+from tabularium.llm.hashing import ALPHANUMERIC, Words, slices
 
 SAMPLE = 12_000
 FOLDS = 5
@@ -49,71 +50,21 @@ def categories() -> dict[str, Column]:
     return {"toxic": toxic, "toxic_prose": toxic & good, "toxic_junk": toxic & ~good}
 
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_WORD = np.zeros(256, bool)
-_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
-_POWERS = np.ones(1, np.uint64)
-_INVERSES = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            _POWERS = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, _BASE, np.uint64))])
-            _INVERSES = np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, inverse, np.uint64))])
-    return _POWERS, _INVERSES
-
-
-def _mix(h: np.ndarray, salt: int) -> np.ndarray:
-    h = (h ^ np.uint64(salt * 0xD6E8FEB86659FD93 & (1 << 64) - 1)) * np.uint64(0xFF51AFD7ED558CCD)
-    h ^= h >> np.uint64(33)
-    h *= np.uint64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> np.uint64(29))
-
-
 def features(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """(document's place, feature) of every word and prefix of the texts, with repeats."""
-    parts = [(t or "").lower().encode() for t in texts]
-    data = b" ".join(parts) + b" "
-    raw = np.frombuffer(data, np.uint8)
-    ends_of = np.cumsum([len(p) + 1 for p in parts])
-    word = np.zeros(len(raw) + 1, bool)
-    word[:-1] = _WORD[raw]
-    edge = np.flatnonzero(word[1:] != word[:-1]) + 1
-    if len(raw) and word[0]:
-        edge = np.concatenate([[0], edge])
-    start, end = edge[::2], edge[1::2]
-    power, inverse = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(raw * power[: len(raw)], out=total[1:])
-    doc = np.searchsorted(ends_of, start, "right")
-    docs, found = [doc], [_mix((total[end] - total[start]) * inverse[start], 1)]
+    words = Words([(t or "").lower() for t in texts], ALPHANUMERIC)
+    docs, found = [words.doc], [words.spans(words.start, words.end, 1)]
     for k in PREFIXES:
-        longer = end - start > k
-        s = start[longer]
-        docs.append(doc[longer])
-        found.append(_mix((total[s + k] - total[s]) * inverse[s], k))
+        longer = words.end - words.start > k
+        docs.append(words.doc[longer])
+        found.append(words.spans(words.start[longer], words.start[longer] + k, k))
     return np.concatenate(docs), (np.concatenate(found) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def _slices(texts: Sequence[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``most`` characters; a longer text is a range of its own."""
-    begin = size = 0
-    for k, text in enumerate(texts):
-        if size and size + len(text or "") > most:
-            yield begin, k
-            begin, size = k, 0
-        size += len(text or "")
-    if begin < len(texts):
-        yield begin, len(texts)
-
-
 def _distinct(texts: Sequence[str]) -> list[np.ndarray]:
     """Distinct features of each text."""
     out = []
-    for a, b in _slices(texts):
+    for a, b in slices(texts):
         doc, feature = features(texts[a:b])
         both = np.unique(doc << BITS | feature)
         at = np.searchsorted(both >> BITS, np.arange(b - a + 1))
@@ -215,7 +166,7 @@ def _probabilities(texts: Sequence[str], models: Sequence[Linear]) -> list[np.nd
         used[m.index] = True
     dense = [m.dense() for m in models]
     sums = np.zeros((len(models), len(texts)))
-    for a, b in _slices(texts):
+    for a, b in slices(texts):
         doc, feature = features(texts[a:b])
         hit = used[feature]
         both = np.unique(doc[hit] << BITS | feature[hit])
