@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabularium.llm import bpe, exact_dedup, jaccard_join, license_scan, mixing, quality_rules, toxicity, warc
+from tabularium.llm import bpe, exact_dedup, jaccard_join, license_scan, mixing, quality_rules, sharding, toxicity, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_license_scan": license_scan.op2_license_scan,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_sharding": sharding.op5_sharding,
         "op6_toxicity": toxicity.op6_toxicity,
         "op7_warc": warc.op7_warc,
         "op8_bpe": bpe.op8_bpe,
