@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tabularium.llm import bpe, exact_dedup, jaccard_join, license_scan, mixing, quality_rules, sharding, toxicity, warc
+from tabularium.llm import bpe, exact_dedup, hpylm, jaccard_join, license_scan, mixing, quality_rules, sharding, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality_rules.op1_quality_rules,
         "op2_license_scan": license_scan.op2_license_scan,
+        "op3_lm_scores": hpylm.op3_lm_scores,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_sharding": sharding.op5_sharding,
         "op6_toxicity": toxicity.op6_toxicity,
