@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from tabularium.llm import bpe, exact_dedup, hpylm, jaccard_join, license_scan, mixing, quality_rules, sharding, toxicity, warc
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_bpe": bpe.op8_bpe,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_mixing": mixing.op10_mixing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
