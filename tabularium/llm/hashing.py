@@ -44,8 +44,8 @@ def mix(h: np.ndarray, salt: int) -> np.ndarray:
 class Words:
     """The words of texts: which text each is in, where it starts and ends, and hashes of spans."""
 
-    def __init__(self, texts: Sequence[str], kind: np.ndarray = NOT_SPACE) -> None:
-        parts = [t.encode() for t in texts]
+    def __init__(self, texts: Sequence[str | bytes], kind: np.ndarray = NOT_SPACE) -> None:
+        parts = [t if isinstance(t, bytes) else t.encode() for t in texts]
         self.data = b" ".join(parts) + b" "
         raw = np.frombuffer(self.data, np.uint8)
         inside = np.zeros(len(raw) + 2, bool)
@@ -61,13 +61,13 @@ class Words:
         return mix((self._total[end] - self._total[start]) * self._inverse[start], salt)
 
 
-def word_hashes(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: Sequence[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(text's place, hash) of every word, in order."""
     words = Words(texts)
     return words.doc, words.spans(words.start, words.end, 1)
 
 
-def slices(texts: Sequence[str], most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: Sequence[str | bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` characters; a longer text is a range of its own."""
     begin = size = 0
     for k, text in enumerate(texts):

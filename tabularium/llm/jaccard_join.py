@@ -150,7 +150,7 @@ def verified(sets: Sequence[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     for a, rows in zip(firsts, np.split(order, at[1:])):
         own = number[begin[a] : begin[a + 1]]
         marked[own] = True
-        for part in np.array_split(rows, max(1, int(lengths[pairs[rows, 1]].sum() >> 22))):
+        for part in np.array_split(rows, max(1, int(lengths[pairs[rows, 1]].sum() >> 19))):
             b = pairs[part, 1]
             at_b = np.concatenate([[0], np.cumsum(lengths[b])])
             taken = np.arange(at_b[-1]) - np.repeat(at_b[:-1] - begin[b], lengths[b])
