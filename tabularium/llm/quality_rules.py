@@ -18,6 +18,8 @@ their row. Texts of any length are judged whole. An empty table gives an empty r
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,29 +31,47 @@ MIN_KEPT_PERCENT = 50
 LONG_LINE = 8
 SYMBOL = r"[#*$%&|<>]"
 
-ENDS_SENTENCE = r"""[.!?…。！？:;]["'”’»)\]]*[\x20\x09-\x0D]*$"""
+TERMINALS = (".", "!", "?", "…", "。", "！", "？", ":", ";")
+#: May follow a terminal.
+CLOSERS = "\"'”’»)] \t\x0b\x0c\r"
 HAS_SENTENCE = r"[.!?…。！？]"
-SEPARATOR = r"[|»›·•→]|[\x20\x09]>[\x20\x09]"
+SEPARATORS = ("|", "»", "›", "·", "•", "→")
 LINK_LABEL = (
     r"(?i)^[^a-z0-9]*(home|menu|next( page)?|previous( page)?|back to top|skip to (main )?content|read more|click here|"
     r"log ?in|sign ?(in|up)|share( this)?|search|contact( us)?|about( us)?|site ?map|subscribe|print|comments?)[^a-z0-9]*$"
 )
+#: Words of a line that can be a link label.
+LABEL_WORDS = 5
+#: Found in any case.
 BOILERPLATE = (
-    r"(?i)all rights reserved|cookie (policy|settings|notice)|(uses?|accept( all)?) cookies|privacy policy|"
-    r"terms (of (use|service)|and conditions)|copyright ©|© ?\d{4}|enable javascript|javascript is (required|disabled)|"
-    r"lorem ipsum|subscribe to our newsletter|follow us on|powered by wordpress|[{}]|</?[a-z]+>|function ?\("
-)
+    "all rights reserved", "cookie policy", "cookie settings", "cookie notice", "uses cookies", "accept cookies", "accept all cookies",
+    "privacy policy", "terms of use", "terms of service", "terms and conditions", "copyright ©", "enable javascript", "javascript is required",
+    "javascript is disabled", "lorem ipsum", "subscribe to our newsletter", "follow us on", "powered by wordpress", "{", "}", "</", "function(",
+)
+
+
+def _any(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(p) for p in parts])
+
+
+def n_words_in(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(WORD))
 
 
-def line_fails(line: Column) -> Column:
-    """Whether a line that has a word fails a rule."""
-    n = F.regexp_count(line, F.lit(WORD))
-    separators = F.regexp_count(line, F.lit(SEPARATOR))
-    punctuation = ~line.rlike(ENDS_SENTENCE) & ((n < LONG_LINE) | ~line.rlike(HAS_SENTENCE))
-    visible = F.length(F.regexp_replace(line, SPACE, ""))
-    punctuation = punctuation | (10 * (F.length(line) - F.length(F.regexp_replace(line, SYMBOL, ""))) > visible)
-    navigation = ((separators >= 3) & (n - separators <= 4 * (separators + 1))) | line.rlike(LINK_LABEL)
-    return punctuation | navigation | line.rlike(BOILERPLATE)
+def line_fails(line: Column, symbols: Column, separators: Column, boilerplate: Column) -> Column:
+    """Whether a line that has a word fails a rule.
+
+    The three flags say whether the whole text has any symbol, separator or boilerplate; where it has none, its lines
+    are not searched.
+    """
+    bare = F.rtrim(line, F.lit(CLOSERS))
+    ends = reduce(lambda a, b: a | b, [bare.endswith(t) for t in TERMINALS])
+    open_end = ~ends & ((n_words_in(line) < LONG_LINE) | ~line.rlike(HAS_SENTENCE))
+    littered = symbols & (10 * F.regexp_count(line, F.lit(SYMBOL)) > F.length(F.regexp_replace(line, SPACE, "")))
+    n_separators = F.regexp_count(line, F.lit("[" + "".join(SEPARATORS) + "]"))
+    menu = separators & (n_separators >= 3) & (n_words_in(line) - n_separators <= 4 * (n_separators + 1))
+    label = (F.length(line) <= 40) & (n_words_in(line) <= LABEL_WORDS) & line.rlike(LINK_LABEL)
+    return open_end | littered | menu | label | (boilerplate & _any(F.lower(line), BOILERPLATE))
 
 
 def repeated_words(words: Column) -> Column:
@@ -79,33 +99,36 @@ def repeated_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) < 4, F.lit(0)).otherwise(let(windows(w), count)))
 
 
+def _flags(text: Column) -> tuple[Column, Column, Column]:
+    return text.rlike(SYMBOL), _any(text, SEPARATORS), _any(F.lower(text), BOILERPLATE)
+
+
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds the base measures, base_failed, n_lines, n_failed_lines, n_kept_words and kept."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
     long = lambda c: c.cast("long")
 
-    def judge(found: Column) -> Column:
-        fails = F.transform(found, line_fails)
-
-        def counts(failed: Column) -> Column:
-            left = F.aggregate(F.zip_with(found, failed, lambda x, bad: F.when(bad, 0).otherwise(F.regexp_count(x, F.lit(WORD)))), F.lit(0), lambda a, n: a + n)
-            return F.struct(long(F.size(found)).alias("n_lines"), long(F.size(F.filter(failed, lambda bad: bad))).alias("n_failed_lines"), long(left).alias("n_kept_words"), long(F.size(found) - F.size(F.array_distinct(found))).alias("n_dup_lines"))
+    def by_lines(found: Column, flags: Column) -> Column:
+        fails = F.filter(found, lambda x: line_fails(x, *(flags.getField(k) for k in ("symbols", "separators", "boilerplate"))))
+        return let(fails, lambda bad: F.struct(long(F.size(found)).alias("n_lines"), long(F.size(bad)).alias("n_failed_lines"), long(n_words_in(F.array_join(bad, "\n"))).alias("n_lost_words"), long(F.size(found) - F.size(F.array_distinct(found))).alias("n_dup_lines")))
 
-        return let(fails, counts)
+    def by_words(w: Column) -> Column:
+        return F.struct(long(F.size(w)).alias("n_words"), long(F.length(F.array_join(w, ""))).alias("word_chars"), long(repeated_words(w)).alias("n_repeat_words"))
 
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    by_words = let(words, lambda w: F.struct(long(F.size(w)).alias("n_words"), long(repeated_words(w)).alias("n_repeat_words")))
-    out = docs.withColumns({"__w": by_words, "__l": let(lines, judge)}).withColumns(
+    symbols, separators, boilerplate = _flags(text)
+    flags = F.struct(symbols.alias("symbols"), separators.alias("separators"), boilerplate.alias("boilerplate"))
+    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD))
+    found = {"__w": let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), by_words), "__l": let(lines, lambda x: let(flags, lambda f: by_lines(x, f)))}
+    out = docs.withColumns(found).withColumns(
         {
             "n_words": F.col("__w.n_words"),
-            "word_chars": long(F.length(F.regexp_replace(text, SPACE, ""))),
-            "n_symbols": long(F.length(F.regexp_replace(text, r"[^#*$%&|<>]", ""))),
+            "word_chars": F.col("__w.word_chars"),
+            "n_symbols": long(F.regexp_count(text, F.lit(SYMBOL))),
             "n_dup_lines": F.col("__l.n_dup_lines"),
             "n_repeat_words": F.col("__w.n_repeat_words"),
             "n_lines": F.col("__l.n_lines"),
             "n_failed_lines": F.col("__l.n_failed_lines"),
-            "n_kept_words": F.col("__l.n_kept_words"),
+            "n_kept_words": F.col("__w.n_words") - F.col("__l.n_lost_words"),
         }
     )
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words"))
@@ -115,7 +138,7 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def clean_text(text: Column) -> Column:
     """The text without the lines that fail a rule; lines without words stay. Null stays null."""
-    good = F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike(WORD) | ~line_fails(x))
+    good = F.filter(F.split(text, "\n", -1), lambda x: ~x.rlike(WORD) | ~line_fails(x, *[F.lit(True)] * 3))
     return F.array_join(good, "\n")
 
 
@@ -135,6 +158,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     word, q = r"[^\x20\x09-\x0D]+", lambda s: s.replace("'", "''")
+    terminals = ", ".join(f"'{t}'" for t in TERMINALS)
+    boilerplate = "(" + " OR ".join(f"contains(lower(x), '{b}')" for b in BOILERPLATE) + ")"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 b AS (
@@ -143,13 +168,13 @@ b AS (
          length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols
   FROM d
 ), l AS (
-  SELECT r, x, len(regexp_extract_all(x, '{word}')) AS n, len(regexp_extract_all(x, '{q(SEPARATOR)}')) AS seps,
+  SELECT r, x, len(regexp_extract_all(x, '{word}')) AS n, len(regexp_extract_all(x, '[{''.join(SEPARATORS)}]')) AS seps,
          row_number() OVER (PARTITION BY r, x) AS copy
   FROM (SELECT r, unnest(string_split(text, chr(10))) AS x FROM d) WHERE regexp_matches(x, '{word}')
 ), j AS (
-  SELECT *, (NOT regexp_matches(x, '{q(ENDS_SENTENCE)}') AND (n < {LONG_LINE} OR NOT regexp_matches(x, '{q(HAS_SENTENCE)}')))
-            OR 10 * length(regexp_replace(x, '[^#*$%&|<>]', '', 'g')) > length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))
-            OR (seps >= 3 AND n - seps <= 4 * (seps + 1)) OR regexp_matches(x, '{q(LINK_LABEL)}') OR regexp_matches(x, '{q(BOILERPLATE)}') AS bad
+  SELECT *, (NOT right(rtrim(x, '{q(CLOSERS)}'), 1) IN ({terminals}) AND (n < {LONG_LINE} OR NOT regexp_matches(x, '{q(HAS_SENTENCE)}')))
+            OR 10 * len(regexp_extract_all(x, '{SYMBOL}')) > length(regexp_replace(x, '[\x20\x09-\x0D]', '', 'g'))
+            OR (seps >= 3 AND n - seps <= 4 * (seps + 1)) OR (length(x) <= 40 AND n <= {LABEL_WORDS} AND regexp_matches(x, '{q(LINK_LABEL)}')) OR {boilerplate} AS bad
   FROM l
 ), ls AS (
   SELECT r, count(*) AS n_lines, count(*) FILTER (bad) AS n_failed_lines, count(*) FILTER (copy > 1) AS n_dup_lines,
