@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from tabularium.llm.common import small_batches, table
 from tabularium.llm.hashing import ALPHANUMERIC, Words, slices
 
-SAMPLE = 12_000
+SAMPLE = 8_000
 FOLDS = 5
 BITS = 20
 PREFIXES = (4, 5, 6)
