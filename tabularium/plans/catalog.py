@@ -1,11 +1,402 @@
-"""Registry of the tabular queries and of the SQL each is compared with."""
+"""Queries over the test tables, one or more for each operator; ``oracles`` has the SQL that they are compared with.
+
+Missing values are put in by key, as the tables have none: a value is null where its key is divisible by 7.
+"""
 
 from __future__ import annotations
 
+from functools import partial
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabularium.functions.expressions import label, kind_of, logistic, text_to_number
+from tabularium.functions.masking import mask
+from tabularium.operators import anonymize, explain, match, metrics, model, prepare, profile, split, target
+from tabularium.plans import oracles
+from tabularium.sources import delimited, identify
+from tabularium.sources.registry import Registry, image_matches
+from tabularium.sources.synthetic import COLUMNS, generate
+
+#: Headers of the synthetic cohort.
+HEADERS = (*COLUMNS, "anxiety")
+SCORE_AT = 2000
+WEIGHTS = {"totalprice": 0.5, "custkey": -0.25, "month": 0.125}
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _gaps(key: str, value: str) -> Column:
+    return F.when(F.col(key) % 7 != 0, F.col(value)).alias(value)
+
+
+def _round(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+# masking
+
+
+def mask_texts(name: str, keys: list[str], text: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, name).select(*keys, F.md5(mask(F.col(text))).alias("masked_md5"), F.length(mask(F.col(text))).alias("masked_length"))
+
+
+def pii_hits_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anonymize.label_counts(_t(spark, sf_dir, "documents"), ["text", "lang", "source"])
+
+
+def pii_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "pages").withColumnRenamed("url", "record_url")
+    return anonymize.report_frame(df).select("column", "reason", F.array_join("labels", ",").alias("labels"))
+
+
+def mask_hint_columns(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anonymize.masked(_t(spark, sf_dir, name))
+
+
+# profiles and types
+
+
+def profile_table(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(profile.profile(_t(spark, sf_dir, name)).select("column", "n_rows", "n_null", "n_unique", "avg_len"), "avg_len")
+
+
+def column_types(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.typed(profile.profile(_t(spark, sf_dir, name))).select("column", "type")
+
+
+def plan_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.planned(profile.typed(profile.profile(_t(spark, sf_dir, "orders")))).select("column", "type", F.array_join("steps", ",").alias("steps"))
+
+
+def project_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile.project(_t(spark, sf_dir, "customer"), ["c_mktsegment", "absent", "c_acctbal"], "c_custkey")
+
+
+# imputation, coercion, encoding
+
+
+def impute_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "orders").select("o_orderkey", _gaps("o_orderkey", "o_totalprice"))
+    plan = prepare.fitted(df, {"o_totalprice": profile.NUMERICAL})
+    return _round(prepare.applied(df, plan, keep=["o_orderkey"]), "o_totalprice")
+
+
+def impute_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "part").select("p_partkey", _gaps("p_partkey", "p_brand"))
+    fill = prepare.modes(df, {"m": F.col("p_brand")})["m"]
+    return df.select("p_partkey", F.coalesce("p_brand", F.lit(fill)).alias("p_brand"))
+
+
+def impute_mode_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "part").select("p_partkey", _gaps("p_partkey", "p_size"))
+    return prepare.applied(df, prepare.fitted(df, {"p_size": profile.BINARY}), keep=["p_partkey"])
+
+
+def binary_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of two texts becomes numbers, which none of its texts is: all 0."""
+    df = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linestatus")
+    return prepare.applied(df, prepare.fitted(df, {"l_linestatus": profile.BINARY}), keep=["l_orderkey"])
+
+
+def _texts(key: str) -> Column:
+    k = F.col(key)
+    text = k.cast("string")
+    return (
+        F.when(k % 8 == 0, F.concat(F.lit(" "), text, F.lit(" ")))
+        .when(k % 8 == 1, F.concat(text, F.lit("e1")))
+        .when(k % 8 == 2, F.concat(text, F.lit("d")))
+        .when(k % 8 == 3, F.lit("M"))
+        .when(k % 8 == 4, F.concat(F.lit("-"), text, F.lit(".5")))
+        .when(k % 8 == 5, F.lit(""))
+        .when(k % 8 == 6, F.concat(F.lit("0x"), text))
+        .otherwise(F.concat(F.lit("."), text))
+    )
+
+
+def coerce_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "part").select("p_partkey", text_to_number(_texts("p_partkey")).alias("number"))
+    return _round(df, "number")
+
+
+def csv_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types decided for columns of texts."""
+    k = F.col("p_partkey")
+    texts = _t(spark, sf_dir, "part").select(
+        k.cast("string").alias("whole"),
+        F.when(k % 7 != 0, k.cast("string")).otherwise("NA").alias("whole_with_gaps"),
+        F.concat(k.cast("string"), F.lit(".25")).alias("fraction"),
+        F.when(k % 2 == 0, "True").otherwise("False").alias("flag"),
+        F.lit("null").alias("empty"),
+        F.lit("-").alias("dash"),
+        F.lit("2020-01-01").alias("day"),
+    )
+    kinds = delimited.inferred(texts).dtypes
+    return spark.createDataFrame(kinds, "column string, type string")
+
+
+def one_hot(name: str, key: str, column: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, name).select(key, _gaps(key, column))
+    return prepare.applied(df, prepare.fitted(df, {column: profile.CATEGORICAL}), keep=[key])
+
+
+def level_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How values are named in encoded columns."""
+    df = _t(spark, sf_dir, "lineitem")
+    kinds = {c: kind_of(df, c) for c in ("l_linenumber", "l_quantity", "l_discount")}
+    rows = [F.struct(F.lit(c).alias("column"), label(F.col(c), k).alias("level")) for c, k in kinds.items()]
+    return df.select(F.explode(F.array(*rows)).alias("x")).groupBy("x.column", "x.level").agg(F.count(F.lit(1)).alias("n"))
+
+
+# targets
+
+
+def target_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "events").select("event_id", _gaps("event_id", "value"))
+    return target.framed(df, "value", "event_id", "binary").select("event_id", "y")
+
+
+def target_binary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min("l_linestatus").alias("status"))
+    return target.framed(df, "status", "l_orderkey", "binary").select("l_orderkey", "y")
+
+
+def target_factorize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "orders").select("o_orderkey", _gaps("o_orderkey", "o_orderpriority"))
+    return target.coded(df, "o_orderpriority", "o_orderkey", "y").select("o_orderkey", "y")
+
+
+def target_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return target.framed(_t(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey", "multiclass").select("o_orderkey", "y")
+
+
+def target_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = target.framed(_t(spark, sf_dir, "orders"), "o_orderstatus", "o_orderkey").select(F.lit("orders").alias("name"), F.col("o_orderkey").alias("key"), "y")
+    number = target.framed(_t(spark, sf_dir, "labels"), "quality", "doc_id").select(F.lit("labels").alias("name"), F.col("doc_id").alias("key"), "y")
+    return text.unionByName(number)
+
+
+def target_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = target_factorize(spark, sf_dir)
+    return df.agg(F.count_distinct("y").alias("n_classes"))
+
+
+# splits
+
+
+def _status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "orders").withColumn("y", F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2))
+
+
+def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.stratified(_status(spark, sf_dir), "y", "o_orderkey").select("o_orderkey", "y", "is_test")
+
+
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stratified_split(spark, sf_dir).groupBy("y", "is_test").agg(F.count(F.lit(1)).alias("n"))
+
+
+def union_of_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = stratified_split(spark, sf_dir)
+    return both.where(~F.col("is_test")).unionByName(both.where("is_test")).select("o_orderkey", "y")
+
+
+def kfold_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.folds(_t(spark, sf_dir, "labels"), "quality", "doc_id").select("doc_id", "quality", "fold")
+
+
+def background_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.background(_t(spark, sf_dir, "orders"), "o_orderkey").select("o_orderkey")
+
+
+def explain_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = split.stratified(_status(spark, sf_dir), "y", "o_orderkey").where("is_test")
+    return rows.orderBy("split_pos", "y").limit(100).select("o_orderkey", "y", "split_pos")
+
+
+# scaling and the whole matrix
+
+
+def standard_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = split.stratified(_status(spark, sf_dir), "y", "o_orderkey").select("o_orderkey", "is_test", F.col("o_totalprice").alias("totalprice"), F.lit(3.0).alias("flat"))
+    plan = prepare.scale_fitted(rows, prepare.Plan({}, scaled=["totalprice", "flat"]), ~F.col("is_test"))
+    return _round(prepare.scaled(rows, plan), "totalprice", "flat").select("o_orderkey", "totalprice", "flat")
+
+
+def prepared_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types, imputation, encoding, split and scaling in one."""
+    df = _status(spark, sf_dir).select("o_orderkey", "y", _gaps("o_orderkey", "o_totalprice"), _gaps("o_orderkey", "o_orderpriority"))
+    types = {r.column: r.type for r in profile.typed(profile.profile(df, ["o_totalprice", "o_orderpriority"])).collect()}
+    rows = split.stratified(df, "y", "o_orderkey")
+    plan = prepare.fitted(rows, types)
+    rows = prepare.applied(rows, plan, keep=["o_orderkey", "y", "is_test"])
+    plan = prepare.scale_fitted(rows, plan, ~F.col("is_test"))
+    return _round(prepare.scaled(rows, plan), "o_totalprice")
+
+
+# headers
+
+
+def _corpus(spark: SparkSession) -> DataFrame:
+    return match.corpus(spark, HEADERS, Registry().tables())
+
+
+def header_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _corpus(spark).select("model", "side", "idx", match.normalised(F.col("header")).alias("header"))
+
+
+def header_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grams = F.explode(match.ngrams(match.normalised(F.col("header")))).alias("gram")
+    return _corpus(spark).select("model", "side", "idx", grams).groupBy("model", "side", "idx", "gram").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def header_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(match.weights(_corpus(spark)).select("model", "side", "idx", "gram", "w"), "w")
+
+
+def header_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(match.similarities(_corpus(spark)), "sim")
+
+
+def header_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.pair_frame(spark, match.match(spark, HEADERS)).select("model", "required", "header", "score")
+
+
+def header_assignment_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tabularium.sources.registry import Model
+
+    wanted = Model("ORDERS", "table", "orders", "classification", oracles.ORDER_HEADERS, "flag")
+    headers = _t(spark, sf_dir, "orders").columns
+    return match.pair_frame(spark, match.match(spark, headers, Registry([wanted]))).select("required", "header", "score")
+
+
+def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.summary_frame(spark, match.match(spark, HEADERS))
+
+
+def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Registry().frame(spark).withColumn("headers", F.array_join("headers", ","))
+
+
+def modality_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Registry().frame(spark).where("kind = 'image'").select("modality").distinct()
+
+
+def image_model_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = spark.createDataFrame([("colon colonoscopy scan",), ("breast histopathology scan",), ("chest x-ray",)], "modality string")
+    return image_matches(Registry().frame(spark), asked)
+
+
+def vector_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _t(spark, sf_dir, "embeddings")
+    query = df.where("vec_id = 0").select("embedding").first()[0]
+    return _round(explain.nearest(df, query).select("vec_id", "sim"), "sim")
+
+
+# evaluation
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels with a fixed scorer: long texts are good."""
+    df = _t(spark, sf_dir, "documents").join(_t(spark, sf_dir, "labels"), "doc_id")
+    return df.select("doc_id", F.col("quality").alias("y"), (F.col("n_chars") > SCORE_AT).cast("int").alias("p"), (F.col("n_chars") / 100.0).alias("score"))
+
+
+def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.confusion(_scored(spark, sf_dir))
+
+
+def classification_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(metrics.binary_metrics(_scored(spark, sf_dir)), "accuracy", "precision", "recall", "f1")
+
+
+def macro_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(metrics.macro_metrics(_scored(spark, sf_dir)), "accuracy", "precision", "recall", "f1")
+
+
+def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(metrics.roc_auc(_scored(spark, sf_dir)), "roc_auc")
+
+
+def cv_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(metrics.fold_accuracy(split.folds(_scored(spark, sf_dir), "y", "doc_id")), "cv_mean", "cv_std")
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_totalprice") / 1e5).alias("totalprice"), (F.col("o_custkey") / 1e3).alias("custkey"), F.month("o_orderdate").cast("double").alias("month"))
+
+
+def linear_shap_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _numbers(spark, sf_dir)
+    found = explain.linear(split.first_rows(rows, "o_orderkey"), split.background(rows, "o_orderkey"), WEIGHTS)
+    return explain.top(found, list(WEIGHTS))
+
+
+def predictions_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _numbers(spark, sf_dir)
+    raw = sum((w * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0))
+    scored = rows.withColumn("score", logistic(raw))
+    return scored.select("o_orderkey", model.decided(F.col("score")).alias("y_pred"), F.round("score", 4).alias("y_score"))
+
+
+# without an oracle
+
+
+def file_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify.routed(identify.file_kinds(spark, [f"{sf_dir}/{n}.parquet" for n in ("region", "nation", "supplier")]))
+
+
+def synth_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generate(spark)
+
+
+def _cohort(spark: SparkSession) -> tuple[DataFrame, list[str]]:
+    df = generate(spark, partitions=2).withColumn("_row_id", F.monotonically_increasing_id())
+    rows = split.stratified(df.withColumn("y", target.binarized(F.col("anxiety"))), "y", "_row_id")
+    return rows, list(COLUMNS)
+
+
+def gbt_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, features = _cohort(spark)
+    booster = model.fit(rows.where(~F.col("is_test")), features, trees=10)
+    return booster.score(rows.where("is_test")).select("_row_id", "y", "p", "score")
+
+
+def shap_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, features = _cohort(spark)
+    train = rows.where(~F.col("is_test"))
+    booster = model.fit(train, features, trees=5)
+    found = explain.sampled(split.first_rows(rows.where("is_test"), "split_pos", 20), split.background(train, "_row_id", 20), features, booster.score, "_row_id", 2)
+    return explain.top(found, features)
+
+
+PROFILED = ("lineitem", "orders", "customer", "part", "supplier", "events", "documents", "labels")
+
 
 def queries() -> dict:
-    return {}
+    found = {
+        "mask_documents": partial(mask_texts, "documents", ["doc_id"], "text"),
+        "mask_pages": partial(mask_texts, "pages", ["page_id"], "html"),
+        "mask_conversations": partial(mask_texts, "conversations", ["conv_id", "turn"], "text"),
+        "mask_hint_columns": partial(mask_hint_columns, "customer"),
+        "mask_hint_supplier": partial(mask_hint_columns, "supplier"),
+        "one_hot_priority": partial(one_hot, "orders", "o_orderkey", "o_orderpriority"),
+        "one_hot_segment": partial(one_hot, "customer", "c_custkey", "c_mktsegment"),
+    }
+    found |= {f"profile_{t}": partial(profile_table, t) for t in PROFILED}
+    found |= {f"column_types_{t}": partial(column_types, t) for t in PROFILED}
+    plain = (
+        pii_hits_by_label, pii_report, plan_steps, project_headers, impute_median, impute_mode, impute_mode_numeric, binary_strings, coerce_numeric,
+        csv_types, level_names, target_binary, target_binary_text, target_factorize, target_multiclass, target_auto, target_classes, stratified_split,
+        split_counts, union_of_split, kfold_assign, background_sample, explain_rows, standard_scale, prepared_matrix, header_normalize, header_ngrams,
+        header_tfidf, header_similarity, header_assignment, header_assignment_orders, model_selection, registry_scan, modality_catalogue,
+        image_model_match, vector_cosine_topk, confusion_matrix, classification_metrics, macro_metrics, roc_auc, cv_accuracy, linear_shap_top10,
+        predictions_output, file_kind, synth_generate, gbt_predictions, shap_sampled,
+    )
+    return found | {f.__name__: f for f in plain}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.sql()
