@@ -12,6 +12,7 @@ similarity of 0.8 or more. A text of one to four words is one shingle.
    uniform prior, that its similarity reaches the threshold falls below 1e-6.
 4. The pairs that are left are verified exactly, on the shingles of the whole texts. A block pair leaves as one row
    with its list of pairs; links between thousands of near copies are never rows of their own.
+   Joins are merge joins at every size, so that a small input runs as a large one does.
 5. Verified pairs are summed to numbers of links, with each class counted in full, and a spanning forest of every
    block pair gives the connected components.
 
@@ -279,19 +280,19 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
     sketches = materialise(rows.mapInArrow(_sketch, "row long, id long, n long, set_1 long, set_2 long, signature binary"), "sketches")
     classes = sketches.groupBy("set_1", "set_2").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("size"))
     classes = materialise(classes, "classes")
-    reps = sketches.where("n > 0").join(classes.select(F.col("rep").alias("row"), "size"), "row").select(F.col("row").alias("rep"), "size", "signature")
+    reps = sketches.where("n > 0").join(classes.select(F.col("rep").alias("row"), "size").hint("merge"), "row").select(F.col("row").alias("rep"), "size", "signature")
     banded = reps.mapInArrow(_bands, "rep long, keys array<long>").select("rep", F.posexplode("keys").alias("band", "key"))
     banded = materialise(banded, "bands")
     buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     blocks = F.ceil(F.col("m") / block).cast("int")
-    placed = banded.join(buckets, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = banded.join(buckets.hint("merge"), "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("rep", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    met = dealt.join(reps, "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+    met = dealt.join(reps.hint("merge"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
     paired = materialise(met.mapInArrow(_prune, "key long, i int, j int, reps array<long>, sizes array<long>, pairs binary"), "pairs")
     active = paired.select("key", "i", "j", F.posexplode(F.arrays_zip("reps", "sizes")).alias("pos", "x"))
     texts = rows.select("row", F.col("text").cast("binary").alias("data"))
-    members = active.select("key", "i", "j", "pos", F.col("x.reps").alias("row"), F.col("x.sizes").alias("size")).join(texts, "row")
+    members = active.select("key", "i", "j", "pos", F.col("x.reps").alias("row"), F.col("x.sizes").alias("size")).join(texts.hint("merge"), "row")
     lists = paired.select("key", "i", "j", F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("size"), F.col("pairs").alias("data"))
     together = lists.unionByName(members.withColumnRenamed("row", "rep")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "pos")
     found = materialise(together.mapInArrow(_verify, "a long, b long, links long"), "links")
@@ -299,7 +300,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
     stars = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     reps = classes.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("top")), "rep", "left").join(links, "rep", "left")
     reps = reps.select("set_1", "set_2", F.coalesce("top", "rep").alias("top"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    labelled = sketches.select("row", "id", "set_1", "set_2").join(reps, ["set_1", "set_2"])
+    labelled = sketches.select("row", "id", "set_1", "set_2").join(reps.hint("merge"), ["set_1", "set_2"])
     labelled = materialise(labelled.select("row", "id", "top", "n_links"), "labelled")
     first = labelled.groupBy("top").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
     return labelled.join(first, "top").select("row", "id", F.col("first.id").alias("class_id"), F.col("first.row").alias("class_row"), "n_links")
