@@ -25,10 +25,12 @@ from tabularium.llm.common import materialise, table
 
 SHARDS = 8
 ROUNDS = 10
-#: Room above the mean while documents move.
-SLACK = 0.05
+#: Room above the mean while documents move; what is too many is handed over at the end, unlinked documents first.
+SLACK = 0.25
 #: Ranges of a hash that a rank is summed over, for each group and level.
 RANGES = 1024
+#: Members in a shard up to which a hub is ranked as a whole; larger ones are spread over the ranges.
+WHOLE = 64
 
 
 def _range(*of: Column) -> Column:
@@ -100,7 +102,9 @@ def _level(now: DataFrame, loads: list[int], shards: int) -> DataFrame:
     members = now.where("hub is not null").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     sized = now.join(materialise(members, "members"), ["hub", "shard"], "left")
     level = F.coalesce(F.floor(F.log2("n")), F.lit(0)).cast("int")
-    order = ranked(sized, F.col("shard"), level, [F.col("hub").asc_nulls_first(), F.col("row")], _range(F.coalesce(F.col("hub"), F.col("row").cast("string"))))
+    by_hub = F.col("hub").isNotNull() & (F.coalesce(F.col("n"), F.lit(1)) <= WHOLE)
+    spread = _range(F.when(by_hub, F.xxhash64("hub")).otherwise(F.xxhash64("row")))
+    order = ranked(sized, F.col("shard"), level, [F.col("hub").asc_nulls_first(), F.col("row")], spread)
     first = [sum(above[:s]) for s in range(shards)]
     place = F.col("rank") + _lookup(F.col("shard"), first)
     target, upto = F.lit(None).cast("int"), 0
