@@ -63,7 +63,10 @@ PASSAGES = (
 RARE_WORDS = 8
 MIN_SHARE = 0.6
 
-_NO_TEMPLATE = r"(?i)licen[sc]e|(?<![a-z0-9])(cc|gnu|apache|mozilla|unencumbered|redistribut(e|ion)|permission|compliance|foundation)(?![a-z0-9])"
+#: No template is in a text that has none of these: a part of a word, or whole words.
+_NEEDED = r"licen[sc]e"
+_NEEDED_WORDS = r"cc|gnu|apache|mozilla|unencumbered|redistribut(e|ion)|permission|compliance|foundation|attribution"
+_CANDIDATE = rf"(?i){_NEEDED}|(?<![a-z0-9])({_NEEDED_WORDS})(?![a-z0-9])"
 
 
 def _index() -> tuple[dict[str, list[tuple[int, int]]], dict[str, float], list[list[tuple[int, str]]]]:
@@ -176,21 +179,25 @@ def _judge(words: Column, meetings: Column) -> Column:
             F.array_max(starts).cast("long").alias("last_word"),
             F.array_join(base_labels, ",").alias("base_labels"),
             F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.concat(base_labels, F.array(*labels))))), ",").alias("labels"),
-            F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.greatest(*shares)).alias("score"),
+            F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.round(F.greatest(*shares), 9)).alias("score"),
         )
 
     return let(base, result)
 
 
+RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds n_words, n_base, first_word, last_word, base_labels, labels and score."""
+    """Adds the columns of ``RESULTS``, in place of any of these names."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     folded = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
     none = F.struct(F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"))
-    found = F.when(text.rlike(_NO_TEMPLATE), let(words, lambda w: let(_meetings(_diagonals(w)), lambda m: _judge(w, m)))).otherwise(none)
+    found = F.when(text.rlike(_CANDIDATE), let(words, lambda w: let(_meetings(_diagonals(w)), lambda m: _judge(w, m)))).otherwise(none)
     n_words = F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("long")
-    return docs.withColumns({"n_words": n_words, "__found": found}).select(*[F.col(f"`{c}`") for c in docs.columns], "n_words", "__found.*")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]
+    return docs.withColumns({"n_words": n_words, "__found": found}).select(*others, "n_words", "__found.*")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -203,3 +210,41 @@ def brute_force(text: str | None) -> tuple:
     places = [(i, label) for phrase, label in PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
     starts = [i for i, _ in places]
     return len(words), len(places), min(starts, default=None), max(starts, default=None), ",".join(sorted({x for _, x in places}))
+
+
+def _sql() -> str:
+    """The same index as a table: postings meet by (template, difference of positions)."""
+    postings = ", ".join(f"('{w}', {k}, {i}, {WEIGHTS[w]!r}::DOUBLE)" for w, places in POSTINGS.items() for k, i in places)
+    phrases = ", ".join(f"({k}, '{label}', {len(p.split())})" for k, (p, label) in enumerate(PHRASES.items()))
+    passages, keys = [], []
+    for k, (label, passage, phrases_of) in enumerate(PASSAGES, len(PHRASES)):
+        total = sum(WEIGHTS[w] for _, w in LOOKED_UP[k])
+        whole = passage.split()
+        need = 0
+        for key in map(str.split, phrases_of):
+            at = next(i for i in range(len(whole)) if whole[i : i + len(key)] == key)
+            keys += [f"({k}, {at + j}, '{w}')" for j, w in enumerate(key)]
+        need = len({x for x in keys if x.startswith(f"({k}, ")})
+        passages.append(f"({k}, '{label}', {total!r}::DOUBLE, {need})")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w,
+      regexp_matches(coalesce(text, ''), '(?i){_NEEDED}|(^|[^a-z0-9])({_NEEDED_WORDS})([^a-z0-9]|$)') AS candidate FROM documents),
+x AS (SELECT r, unnest(w) AS w, unnest(range(0, len(w))) AS i FROM d WHERE candidate),
+p(w, t, pos, weight) AS (VALUES {postings}),
+h(t, label, n) AS (VALUES {phrases}),
+q(t, label, total, need) AS (VALUES {", ".join(passages)}),
+k(t, pos, w) AS (SELECT DISTINCT * FROM (VALUES {", ".join(keys)})),
+m AS (SELECT r, t, i - pos AS d, count(*) AS n, sum(weight) AS weight FROM x JOIN p USING (w) GROUP BY ALL HAVING count(*) >= 2),
+b AS (SELECT m.r, m.d, h.label FROM m JOIN h ON h.t = m.t AND h.n = m.n),
+f AS (SELECT DISTINCT m.r, q.label FROM m JOIN q USING (t) WHERE m.weight >= {MIN_SHARE} * q.total - 1e-9
+      AND q.need = (SELECT count(*) FROM k JOIN x ON x.w = k.w AND x.i = m.d + k.pos WHERE k.t = m.t AND x.r = m.r)),
+s AS (SELECT m.r, max(least(1.0::DOUBLE, m.weight / q.total)) AS share FROM m JOIN q USING (t) GROUP BY m.r),
+bb AS (SELECT r, count(*) AS n_base, min(d) AS first_word, max(d) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY r),
+a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM b UNION ALL SELECT r, label FROM f) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
+       coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE round(coalesce(share, 0), 9) END AS score
+FROM d LEFT JOIN bb USING (r) LEFT JOIN a USING (r) LEFT JOIN s USING (r)
+"""
+
+
+SQL = _sql()

@@ -248,3 +248,22 @@ def read(files: DataFrame, split: int = SPLIT, with_payload: bool = True) -> Dat
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
     return read(files, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+SQL = """
+WITH p AS (SELECT page_id, row_number() OVER () AS r, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, r, octet_length(payload) AS payload_bytes, sha1(payload) AS hex FROM p),
+b AS (SELECT *, CAST(CAST(unhex(hex) AS BIT) AS VARCHAR) AS bits FROM d),
+f AS (
+  SELECT page_id, r, CAST(payload_bytes AS BIGINT) AS payload_bytes, hex,
+         list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1
+           + 16 * CAST(substr(bits, 5 * i + 1, 1) AS INTEGER) + 8 * CAST(substr(bits, 5 * i + 2, 1) AS INTEGER) + 4 * CAST(substr(bits, 5 * i + 3, 1) AS INTEGER)
+           + 2 * CAST(substr(bits, 5 * i + 4, 1) AS INTEGER) + CAST(substr(bits, 5 * i + 5, 1) AS INTEGER) AS INTEGER), 1)), lambda a, b: a || b) AS payload_digest
+  FROM b
+), g AS (
+  SELECT *, first_value(r) OVER w AS first_r, first_value(page_id) OVER w AS first_id FROM f
+  WINDOW w AS (PARTITION BY hex, payload_bytes ORDER BY page_id DESC NULLS LAST, r ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN r = first_r THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN r <> first_r THEN first_id END AS refers_to FROM g
+"""
