@@ -34,9 +34,13 @@ def kind_of(df: DataFrame, name: str) -> T.DataType:
 
 
 def no_nan(df: DataFrame) -> DataFrame:
-    """NaN is a missing value: null in every float and double column."""
-    floats = [f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
-    return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in floats}) if floats else df
+    """NaN is a missing value: null in every float and double column. Notes in the schema stay."""
+    floats = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
+    columns = []
+    for f in df.schema:
+        column = F.col(f"`{f.name}`")
+        columns.append(F.when(~F.isnan(column), column).alias(f.name, metadata=f.metadata) if f.name in floats else column)
+    return df.select(*columns) if floats else df
 
 
 def text_to_number(text: Column) -> Column:

@@ -27,12 +27,15 @@ class Booster:
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds score, the probability of class 1 (with more classes, of the predicted one), and p, the class."""
-        rows = _assembled(df, self.features)
+        plain = {c: f"__c{k}" for k, c in enumerate(df.columns)}  # as some models cannot take every name
+        rows = _assembled(df.toDF(*plain.values()), [plain[c] for c in self.features])
+        found = self.model.transform(rows)
         if self.n_classes > 2:
-            found = self.model.transform(rows)
-            return found.withColumn("p", F.col("prediction").cast("int")).withColumn("score", F.lit(None).cast("double")).drop("__x", "rawPrediction", "prediction", "probability")
-        found = self.model.transform(rows).withColumn("score", vector_to_array("probability")[1])
-        return found.withColumn("p", decided(F.col("score"))).drop("__x", "rawPrediction", "prediction", "probability")
+            p, score = F.col("prediction").cast("int"), F.lit(None).cast("double")
+        else:
+            score = vector_to_array("probability")[1]
+            p = decided(score)
+        return found.select(*[F.col(n).alias(c) for c, n in plain.items()], p.alias("p"), score.alias("score"))
 
 
 def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
