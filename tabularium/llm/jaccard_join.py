@@ -302,7 +302,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
     reps = reps.select("set_1", "set_2", F.coalesce("top", "rep").alias("top"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     labelled = sketches.select("row", "id", "set_1", "set_2").join(reps.hint("merge"), ["set_1", "set_2"])
     labelled = materialise(labelled.select("row", "id", "top", "n_links"), "labelled")
-    first = labelled.groupBy("top").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first"))
+    first = materialise(labelled.groupBy("top").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")), "firsts")
     return labelled.join(first, "top").select("row", "id", F.col("first.id").alias("class_id"), F.col("first.row").alias("class_row"), "n_links")
 
 
@@ -314,3 +314,20 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)
+  UNION ALL SELECT r, array_to_string(w, ' ') FROM d WHERE len(w) BETWEEN 1 AND 4
+), n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+b AS (SELECT x.r AS a, y.r AS b, count(*) AS shared FROM s x JOIN s y ON x.x = y.x AND x.r <> y.r GROUP BY ALL),
+e AS (SELECT a, b FROM b JOIN n na ON na.r = a JOIN n nb ON nb.r = b WHERE 5 * shared >= 4 * (na.n + nb.n - shared)),
+c(r, top) AS (SELECT r, r FROM d UNION SELECT e.b, c.top FROM c JOIN e ON e.a = c.r),
+t AS (SELECT r, min(top) AS top FROM c GROUP BY r),
+k AS (SELECT t.r, d.doc_id, t.top FROM t JOIN d USING (r)),
+m AS (SELECT top, min(doc_id) AS class_id FROM k GROUP BY top),
+l AS (SELECT a, count(*) AS n_links FROM e GROUP BY a)
+SELECT doc_id, class_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links FROM k JOIN m USING (top) LEFT JOIN l ON l.a = k.r
+"""
