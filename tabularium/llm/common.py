@@ -39,7 +39,21 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+_MADE: list[str] = []
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Deletes what this session has written to the shared folder, once results that read it are stored. The number of paths."""
+    count = 0
+    while _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        count += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
+    return count
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
