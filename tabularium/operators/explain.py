@@ -27,14 +27,13 @@ def sampled(rows: DataFrame, background: DataFrame, features: Sequence[str], pre
     """
     rng = random.Random(seed)
     orders = [rng.sample(range(len(features)), len(features)) for _ in range(permutations)]
-    spark = rows.sparkSession
-    turn = spark.createDataFrame([(k, [o.index(f) for f in range(len(features))]) for k, o in enumerate(orders)], "perm int, turn array<int>")
+    turns = F.array(*[F.struct(F.lit(k).alias("perm"), F.array(*[F.lit(o.index(f)) for f in range(len(features))]).alias("turn")) for k, o in enumerate(orders)])
     vector = lambda df, out: df.select(row_id, F.array(*[F.col(f"`{c}`").cast("double") for c in features]).alias(out))
     pool = vector(background, "other").withColumn("slot", F.row_number().over(Window.orderBy(row_id)) - 1).drop(row_id)
     size = pool.count()
     if not size:
-        return spark.createDataFrame([], "feature string, importance double")
-    drawn = vector(rows, "own").join(turn, F.lit(True)).withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), F.col(row_id), F.col("perm")), F.lit(size)).cast("int"))
+        return rows.sparkSession.createDataFrame([], "feature string, importance double")
+    drawn = vector(rows, "own").withColumn("x", F.explode(turns)).select(row_id, "own", "x.perm", "x.turn").withColumn("slot", F.pmod(F.xxhash64(F.lit(seed), F.col(row_id), F.col("perm")), F.lit(size)).cast("int"))
     coalitions = drawn.join(pool, "slot").withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(len(features)))))
     mixed = [F.when(F.col("turn")[k] < F.col("step"), F.col("own")[k]).otherwise(F.col("other")[k]).alias(c) for k, c in enumerate(features)]
     scored = predict(coalitions.select(F.col(row_id).alias("__row"), "perm", "step", "turn", *mixed)).select("__row", "perm", "step", "turn", "score")

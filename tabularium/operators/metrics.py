@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 def confusion(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """(y, p, n) for every pair of labels in y or p, 0 where there are no rows."""
     counts = df.groupBy(F.col(y).alias("y"), F.col(p).alias("p")).agg(F.count(F.lit(1)).alias("n"))
-    labels = counts.select(F.col("y").alias("label")).unionByName(counts.select(F.col("p").alias("label"))).distinct()
-    grid = labels.select(F.col("label").alias("y")).join(labels.select(F.col("label").alias("p")), F.lit(True))  # labels are few
+    labels = counts.agg(F.array_union(F.collect_set("y"), F.collect_set("p")).alias("labels"))  # labels are few
+    grid = labels.select("labels", F.explode("labels").alias("y")).select("y", F.explode("labels").alias("p"))
     return grid.join(counts, ["y", "p"], "left").select("y", "p", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -43,19 +43,30 @@ def binary_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
 def macro_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """One row: accuracy, and the means of the labels' precision, recall and f1."""
     cells = confusion(df, y, p)
-    accuracy = cells.agg(_ratio(F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
-    means = per_label(cells).agg(*[F.avg(m).alias(m) for m in ("precision", "recall", "f1")])
-    return accuracy.join(means, F.lit(True))  # one row each
+    same = F.sum(F.when(F.col("y") == F.col("p"), F.col("n")).otherwise(0))
+    parts = per_label(cells).unionByName(cells.agg(same.alias("same"), F.sum("n").alias("n_all")), allowMissingColumns=True)
+    return parts.agg(_ratio(F.max("same"), F.max("n_all")).alias("accuracy"), *[F.avg(m).alias(m) for m in ("precision", "recall", "f1")])
+
+
+#: Ranges of scores that ranks are summed over.
+RANGES = 256
 
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score") -> DataFrame:
     """One row: the area under the curve by rank sums, ties counted half, null unless both classes are there.
 
-    Rows are first counted by score, so ranks are running sums over distinct scores.
+    Rows are counted by score first. Ranks are running sums inside ranges of scores, between approximate quantiles, plus the
+    counts of the ranges below: exact, and no task holds all scores.
     """
-    by_score = df.groupBy(F.col(score).alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"))
-    below = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = by_score.withColumn("rank", F.coalesce(F.sum("n").over(below), F.lit(0)) + (F.col("n") + 1) / 2.0)
+    by_score = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"))
+    splits = sorted(set(by_score.approxQuantile("s", [k / RANGES for k in range(1, RANGES)], 0.001)))
+    place = F.size(F.filter(F.array(*map(F.lit, splits)), lambda x: x < F.col("s"))) if splits else F.lit(0)
+    ranged = by_score.withColumn("range", place)
+    sizes = ranged.groupBy("range").agg(F.sum("n").alias("size"))
+    below = sizes.select("range", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
+    inside = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = ranged.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(below, "range")
+    ranked = ranked.withColumn("rank", F.col("below") + F.col("inside") + (F.col("n") + 1) / 2.0)
     sums = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("p"), F.sum("n").cast("double").alias("n"))
     area = (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))
     return sums.select(F.when((F.col("p") > 0) & (F.col("p") < F.col("n")), area).alias("roc_auc"))

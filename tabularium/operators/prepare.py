@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.functions.expressions import is_numeric, kind_of, label, to_number
+from tabularium.functions.expressions import is_numeric, is_text, kind_of, label, to_number
 from tabularium.operators.profile import BINARY, CATEGORICAL, NUMERICAL, TEXTUAL
 
 #: Levels of a column up to which each becomes a column; beyond, a sparse vector is made.
@@ -32,6 +32,7 @@ class Plan:
     source: dict[str, str] = field(default_factory=dict)
     means: dict[str, float] = field(default_factory=dict)
     deviations: dict[str, float] = field(default_factory=dict)
+    indexed: dict[str, list[str]] = field(default_factory=dict)
 
 
 def modes(df: DataFrame, columns: dict[str, Column]) -> dict[str, object]:
@@ -48,20 +49,28 @@ def medians(df: DataFrame, columns: dict[str, Column]) -> dict[str, float | None
     return df.agg(*[F.median(c).alias(n) for n, c in columns.items()]).first().asDict()
 
 
-def _number(df: DataFrame, name: str) -> Column:
+def _number(df: DataFrame, name: str, values: Sequence[str] = ()) -> Column:
+    """The column as a number; with ``values`` each text is its place among them."""
+    if values:
+        place = F.array_position(F.array(*map(F.lit, values)), F.col(f"`{name}`"))
+        return F.when(place > 0, (place - 1).cast("double"))
     value = to_number(F.col(f"`{name}`"), kind_of(df, name))
     return F.when(~F.isnan(value), value)
 
 
-def fitted(df: DataFrame, types: dict[str, str], scope: Column | None = None, most_levels: int = MOST_LEVELS) -> Plan:
+def fitted(df: DataFrame, types: dict[str, str], scope: Column | None = None, most_levels: int = MOST_LEVELS, binary_strings: str = "number") -> Plan:
     """Fills and levels from the rows in ``scope``, all rows by default.
 
-    A Binary column of texts becomes numbers like any other, so texts that are none fill with 0.
+    A Binary column of texts becomes numbers like any other, so texts that are none fill with 0; with
+    ``binary_strings="index"`` its two values become 0 and 1 in text order.
     """
     rows = df if scope is None else df.where(scope)
     plan = Plan(dict(types))
     of = lambda *kinds: [c for c, t in types.items() if t in kinds]
-    wanted = {c: F.col(f"`{c}`") for c in of(CATEGORICAL)} | {c: _number(df, c) for c in of(BINARY)}
+    texts = [c for c in of(BINARY) if binary_strings == "index" and is_text(kind_of(df, c))]
+    if texts:
+        plan.indexed = {c: sorted(v) for c, v in rows.agg(*[F.collect_set(f"`{c}`").alias(c) for c in texts]).first().asDict().items()}
+    wanted = {c: F.col(f"`{c}`") for c in of(CATEGORICAL)} | {c: _number(df, c, plan.indexed.get(c, ())) for c in of(BINARY)}
     found = modes(rows, wanted) | medians(rows, {c: _number(df, c) for c in of(NUMERICAL)})
     plan.fill = {c: found[c] if found[c] is not None or types[c] == CATEGORICAL else 0.0 for c in found}
     if of(CATEGORICAL):
@@ -102,7 +111,7 @@ def applied(df: DataFrame, plan: Plan, keep: Sequence[str] = ()) -> DataFrame:
             level = _level(df, c, plan)
             out += [F.when(level == v, 1.0).otherwise(0.0).alias(f"{c}_{v}") for v in plan.levels[c]]
         elif t in (BINARY, NUMERICAL):
-            out.append(F.coalesce(_number(df, c), F.lit(float(plan.fill[c]))).alias(c))
+            out.append(F.coalesce(_number(df, c, plan.indexed.get(c, ())), F.lit(float(plan.fill[c]))).alias(c))
     if not plan.features:
         out += [_number(df, c).alias(c) for c in plan.types if is_numeric(kind_of(df, c))]
     return df.select(*out)

@@ -45,6 +45,26 @@ def test_imputation_and_encoding(spark):
     assert prepare.sparse_levels(df, ["c", "s"]).select("levels").first()[0].size == 4 + 2
 
 
+def test_binary_texts_by_index(spark):
+    df = spark.createDataFrame([(1, "M"), (2, "F"), (3, "M"), (4, None)], "id int, s string")
+    plan = prepare.fitted(df, {"s": "Binary"}, binary_strings="index")
+    assert [r.s for r in prepare.applied(df, plan, keep=["id"]).orderBy("id").collect()] == [1.0, 0.0, 1.0, 1.0]
+
+
+def test_approximate_profile(spark):
+    df = spark.range(5000).select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 10).alias("x"))
+    rows = {r.column: r for r in profile.approximate(df).collect()}
+    assert abs(rows["id"].n_unique - 5000) < 300 and (rows["x"].n_unique, rows["x"].n_null, rows["x"].n_rows) == (5, 2500, 5000)
+
+
+def test_area_over_many_ranges(spark):
+    df = spark.range(3000).select((F.col("id") % 3 == 0).cast("int").alias("y"), F.pmod(F.xxhash64("id"), F.lit(700)).cast("double").alias("score"))
+    rows = df.collect()
+    pos, neg = [r.score for r in rows if r.y], [r.score for r in rows if not r.y]
+    want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    assert metrics.roc_auc(df).first()[0] == pytest.approx(want, abs=1e-12)
+
+
 def test_impute_scope(spark):
     df = spark.createDataFrame([(1.0, True), (None, True), (9.0, False), (9.0, False)], "x double, train boolean")
     assert prepare.fitted(df, {"x": "Numerical"}).fill == {"x": 9.0}
