@@ -45,7 +45,7 @@ HASHES, STEP = 128, 16
 BANDS, BAND = 16, 4
 TOLERANCE = 1e-6
 #: Representatives of a bucket that make a block.
-BLOCK = 512
+BLOCK = 256
 
 _SALTS = np.frombuffer(hashlib.shake_128(b"minhash").digest(8 * HASHES), np.uint32).reshape(2, HASHES)
 _MULTIPLY, _ADD = _SALTS[0] | np.uint32(1), _SALTS[1]
