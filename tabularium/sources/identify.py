@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabularium.functions.ship import ship
+
 #: Fixed values.
 TABLES = {"csv", "tsv", "xls", "xlsx", "json", "jsonl", "txt", "parquet", "sav", "dta", "sas7bdat"}
 IMAGES = {"jpeg", "jpg", "png", "bmp", "tiff", "gif", "webp"}
@@ -107,6 +109,7 @@ def file_kinds(spark: SparkSession, path: str | list[str], label: Classifier = c
                 found = dict(expand(os.path.basename(file), data, label))
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(found), pa.string()), pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.string())], names=["path", "name", "label"])
 
+    ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, "path string, name string, label string")
 

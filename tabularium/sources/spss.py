@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabularium.functions.ship import ship
+
 
 @dataclass
 class Variable:
@@ -223,6 +225,7 @@ def _labels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     """The table, and column_labels and value_labels by column."""
+    ship(spark)
     content = spark.read.format("binaryFile").load(path).select("content")
     described = content.mapInArrow(_labels, "pos long, name string, width long, label string, codes array<string>, texts array<string>").orderBy("pos").collect()  # a row for each variable
     kinds = ", ".join(f"`{r.name}` {'string' if r.width else 'double'}" for r in described)

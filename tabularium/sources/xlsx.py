@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabularium.functions.ship import ship
 from tabularium.sources.delimited import inferred
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -100,6 +101,7 @@ def _packed(first: int, held: list[list[str | None]]) -> pa.RecordBatch:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
+    ship(spark)
     cells = spark.read.format("binaryFile").load(path).select("content").mapInArrow(_cells, "pos long, cells array<string>")
     head = cells.where("pos = 0").select("cells").first()
     if head is None:
