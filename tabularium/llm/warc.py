@@ -238,6 +238,7 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
 
 def read(files: DataFrame, split: int = SPLIT, with_payload: bool = True) -> DataFrame:
     """The response and revisit records of ``files``, which has path and bytes."""
+    small_batches(files.sparkSession)
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long")))
     splits = files.select("path", starts.alias("start")).withColumn("end", F.col("start") + split)
     count = files.select(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
