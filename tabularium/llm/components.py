@@ -13,6 +13,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     sides = both if large else both.where("v < u")
     least = sides.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
+    least = materialise(least, "least")  # a join to an aggregate could not be split
     joined = sides.join(least, "u")
     out = joined.where("v > u" if large else "v != least").select(F.col("v").alias("u"), F.col("least").alias("v"))
     if not large:
