@@ -68,7 +68,8 @@ def _distinct(texts: Sequence[str]) -> list[np.ndarray]:
         doc, feature = features(texts[a:b])
         both = np.unique(doc << BITS | feature)
         at = np.searchsorted(both >> BITS, np.arange(b - a + 1))
-        out += [both[i:j] & (1 << BITS) - 1 for i, j in zip(at, at[1:])]
+        own = (both & (1 << BITS) - 1).astype(np.int32)
+        out += [own[i:j] for i, j in zip(at, at[1:])]
     return out
 
 
@@ -126,8 +127,10 @@ def _predict(model: Linear, rows: Sequence[np.ndarray], earlier: np.ndarray) ->
 def fit_chain(texts: Sequence[str], labels: Sequence[np.ndarray], folds: int = FOLDS) -> list[Linear]:
     """A model for each category's labels, in order."""
     rows = _distinct(texts)
-    seen = np.bincount(np.concatenate([np.zeros(0, np.int64), *rows]), minlength=1 << BITS) >= LEAST_DOCS
-    rows = [r[seen[r]] for r in rows]
+    seen = np.zeros(1 << BITS, np.int32)
+    for r in rows:
+        seen[r] += 1
+    rows = [r[seen[r] >= LEAST_DOCS] for r in rows]
     fold = np.array([zlib.crc32((t or "").encode()) % folds for t in texts], np.int64)
     earlier, chain = np.zeros((len(rows), 0)), []
     for k, y in enumerate(labels):
