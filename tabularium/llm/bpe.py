@@ -41,8 +41,9 @@ from tabularium.llm.common import small_batches, table
 #: A cut where these bits of the rolling hash are zero: chunks of 1024 bytes on average.
 CUT_BITS = 10
 WINDOW = 16
-#: Bytes of chunks and tokens that a task keeps.
+#: Bytes of chunks and tokens that a task keeps, and what a byte of a chunk takes with its tokens.
 TABLE = 64 << 20
+HELD = 16
 
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\u017f\\u2010-\\u2027\\u20ac]*")
 _VISIBLE = re.compile("[\\x21-\\x7e\\xa1-\\xac\\xae-\\u017f]")
@@ -108,10 +109,10 @@ class Encoder:
         else:
             value = (text, None, 0, 0, 0, 0, (), ())
         self.chunks[data] = value
-        self.used += 8 * len(data) + 300
+        self.used += HELD * len(data) + 300
         while self.used > self.room and len(self.chunks) > 1:
             old, _ = self.chunks.popitem(last=False)
-            self.used -= 8 * len(old) + 300
+            self.used -= HELD * len(old) + 300
         return value
 
     def _piece(self, text: str) -> Iterator[list[int]]:
