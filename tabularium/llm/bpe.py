@@ -36,13 +36,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import small_batches, table
+from tabularium.llm.common import small_batches, table, trimmed
 
 #: A cut where these bits of the rolling hash are zero: chunks of 1024 bytes on average.
 CUT_BITS = 10
 WINDOW = 16
 #: Bytes of chunks and tokens that a task keeps, and what a byte of a chunk takes with its tokens.
-TABLE = 64 << 20
+TABLE = 32 << 20
 HELD = 16
 
 _PLAIN = re.compile("[\\t\\n\\r\\x20-\\x7e\\xa1-\\u017f\\u2010-\\u2027\\u20ac]*")
@@ -85,6 +85,11 @@ class Encoder:
         self.chunks: OrderedDict[bytes, tuple] = OrderedDict()
         self.encoded = self.reused = self.grown = 0
 
+    def forget(self) -> None:
+        """Empties the table."""
+        self.chunks.clear()
+        self.used = 0
+
     def ids(self, text: str) -> list[int]:
         """Tokens of a text without special tokens."""
         if _PLAIN.fullmatch(text):
@@ -192,7 +197,7 @@ _ENCODERS: dict[tuple, Encoder] = {}
 
 
 def encoder(path: str, room: int = TABLE) -> Encoder:
-    """A worker's encoder; later tasks of the same worker keep its table."""
+    """A worker's encoder, whose vocabulary later tasks of the worker find loaded."""
     if (path, room) not in _ENCODERS:
         _ENCODERS[path, room] = Encoder(path, room)
     return _ENCODERS[path, room]
@@ -230,9 +235,10 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voca
                 for column, field in zip(columns[1:], list(schema)[1:]):
                     column.append(row[field.name])
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, f.type) for c, f in zip(columns[1:], list(schema)[1:]))], schema=schema)
+        own.forget()
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n_tokens long" + "".join(f", {k} {kinds[k][0]}" for k in outputs))
+    return rows.mapInArrow(lambda it: trimmed(run(it)), "id long, n_tokens long" + "".join(f", {k} {kinds[k][0]}" for k in outputs))
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

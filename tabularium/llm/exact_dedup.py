@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import SPACE_BYTES, small_batches, table
+from tabularium.llm.common import SPACE_BYTES, small_batches, table, trimmed
 
 #: Bytes of distinct contents that one table holds.
-MEMORY = 96 << 20
+MEMORY = 48 << 20
 #: What an entry takes besides its content.
 ENTRY = 400
 FAN_BITS = 4
@@ -198,14 +198,14 @@ def verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", me
     second scan numbers its rows alike.
     """
     small_batches(docs.sparkSession)
-    folded = _numbered(docs, id_col, text_col).mapInArrow(lambda it: _fold(it, memory // 2), _CONTENT)
-    return folded.repartition("h").mapInArrow(lambda it: _judge(it, memory), _VERDICT)
+    folded = _numbered(docs, id_col, text_col).mapInArrow(lambda it: trimmed(_fold(it, memory // 2)), _CONTENT)
+    return folded.repartition("h").mapInArrow(lambda it: trimmed(_judge(it, memory)), _VERDICT)
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
     """Every row's id, its group's verdict and whether the row stays."""
     small_batches(docs.sparkSession)
-    members = _numbered(docs, id_col, text_col).mapInArrow(_digests, "row long, id long, digest binary")
+    members = _numbered(docs, id_col, text_col).mapInArrow(lambda it: trimmed(_digests(it)), "row long, id long, digest binary")
     joined = members.join(verdicts(docs, id_col, text_col, memory), "digest")
     return joined.select("id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -67,7 +67,7 @@ def word_hashes(texts: Sequence[str | bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words.doc, words.spans(words.start, words.end, 1)
 
 
-def slices(texts: Sequence[str | bytes], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: Sequence[str | bytes], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about ``most`` characters; a longer text is a range of its own."""
     begin = size = 0
     for k, text in enumerate(texts):

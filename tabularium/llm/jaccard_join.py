@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import materialise, small_batches, table
+from tabularium.llm.common import materialise, small_batches, table, trimmed
 from tabularium.llm.components import components
 from tabularium.llm.hashing import mix, slices, word_hashes
 
@@ -277,7 +277,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sketches = materialise(rows.mapInArrow(_sketch, "row long, id long, n long, set_1 long, set_2 long, signature binary"), "sketches")
+    sketches = materialise(rows.mapInArrow(lambda it: trimmed(_sketch(it)), "row long, id long, n long, set_1 long, set_2 long, signature binary"), "sketches")
     classes = sketches.groupBy("set_1", "set_2").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("size"))
     classes = materialise(classes, "classes")
     reps = sketches.where("n > 0").join(classes.select(F.col("rep").alias("row"), "size").hint("merge"), "row").select(F.col("row").alias("rep"), "size", "signature")
@@ -289,13 +289,13 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("rep", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     met = dealt.join(reps.hint("merge"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    paired = materialise(met.mapInArrow(_prune, "key long, i int, j int, reps array<long>, sizes array<long>, pairs binary"), "pairs")
+    paired = materialise(met.mapInArrow(lambda it: trimmed(_prune(it)), "key long, i int, j int, reps array<long>, sizes array<long>, pairs binary"), "pairs")
     active = paired.select("key", "i", "j", F.posexplode(F.arrays_zip("reps", "sizes")).alias("pos", "x"))
     texts = rows.select("row", F.col("text").cast("binary").alias("data"))
     members = active.select("key", "i", "j", "pos", F.col("x.reps").alias("row"), F.col("x.sizes").alias("size")).join(texts.hint("merge"), "row")
     lists = paired.select("key", "i", "j", F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("size"), F.col("pairs").alias("data"))
     together = lists.unionByName(members.withColumnRenamed("row", "rep")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "pos")
-    found = materialise(together.mapInArrow(_verify, "a long, b long, links long"), "links")
+    found = materialise(together.mapInArrow(lambda it: trimmed(_verify(it)), "a long, b long, links long"), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     stars = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     reps = classes.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("top")), "rep", "left").join(links, "rep", "left")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import small_batches, table
+from tabularium.llm.common import small_batches, table, trimmed
 from tabularium.llm.hashing import ALPHANUMERIC, Words, slices
 
 SAMPLE = 8_000
@@ -194,7 +194,7 @@ def score(docs: DataFrame, models: dict[str, Linear], text_col: str = "text", ke
             found = _probabilities(batch.column("text").to_pylist(), chain)
             yield pa.RecordBatch.from_arrays([batch.column("row"), *map(pa.array, found)], names=["row", *names])
 
-    scored = rows.mapInArrow(run, f"row {kind}, " + ", ".join(f"{n} double" for n in names))
+    scored = rows.mapInArrow(lambda it: trimmed(run(it)), f"row {kind}, " + ", ".join(f"{n} double" for n in names))
     return scored.select("row.*", *names)
 
 
