@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,14 +32,15 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     without an aggregate per column. ``avg_len`` is the mean length of a text column's values, else null.
     """
     names = list(columns if columns is not None else df.columns)
-    cells = [F.struct(F.lit(k).alias("pos"), _key(df, c).alias("value")) for k, c in enumerate(names)]
-    counted = df.select(F.explode(F.array(*cells)).alias("x")).groupBy("x.pos", "x.value").agg(F.count(F.lit(1)).alias("n"))
-    length = F.sum(F.length("value") * F.col("n"))
+    cells = [F.struct(F.lit(k).alias("pos"), *[v.alias(n) for n, v in zip(_PARTS, _typed_key(df, c))]) for k, c in enumerate(names)]
+    counted = df.select(F.explode(F.array(*cells)).alias("x")).groupBy("x.pos", *[f"x.{n}" for n in _PARTS]).agg(F.count(F.lit(1)).alias("n"))
+    known = reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in _PARTS])
+    length = F.sum(F.length("text") * F.col("n"))
     found = counted.groupBy("pos").agg(
         F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
-        F.count("value").alias("n_unique"),
-        (length / F.sum(F.when(F.col("value").isNotNull(), F.col("n")))).alias("mean"),
+        F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("n_null"),
+        F.count(F.when(known, 1)).alias("n_unique"),
+        (length / F.sum(F.when(known, F.col("n")))).alias("mean"),
     )
     schema = "pos int, column string, dtype string, kind string"
     rows = [(k, c, kind_of(df, c).simpleString(), "text" if is_text(kind_of(df, c)) else "number" if is_numeric(kind_of(df, c)) else "other") for k, c in enumerate(names)]
@@ -55,6 +57,20 @@ def approximate(df: DataFrame, columns: Sequence[str] | None = None, error: floa
     return df.agg(F.array(*stats).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
+#: A cell's value is in one of these, by its type, so that numbers need not become texts.
+_PARTS = ("whole", "real", "text")
+
+
+def _typed_key(df: DataFrame, name: str) -> tuple[Column, Column, Column]:
+    kind, column = kind_of(df, name).simpleString(), F.col(f"`{name}`")
+    none = [F.lit(None).cast(t) for t in ("long", "double", "string")]
+    if kind in ("tinyint", "smallint", "int", "bigint", "boolean"):
+        return column.cast("long"), none[1], none[2]
+    if kind in ("float", "double"):
+        return none[0], F.when(~F.isnan(column), column.cast("double") + 0.0), none[2]
+    return none[0], none[1], _key(df, name)
+
+
 def _key(df: DataFrame, name: str) -> Column:
     """A text that is equal for equal values; NaN is null."""
     kind = kind_of(df, name).simpleString()
