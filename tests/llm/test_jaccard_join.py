@@ -105,6 +105,24 @@ def test_pruning_keeps_what_is_similar():
     assert checked == exact
 
 
+def test_bands_take_all_values():
+    signature = np.random.default_rng(1).integers(0, 1 << 32, (1, jj.HASHES)).astype(np.uint32)
+    keys = jj.band_keys(signature)
+    for k in range(jj.HASHES):
+        changed = signature.copy()
+        changed[0, k] ^= 1
+        assert (jj.band_keys(changed) != keys).sum() == 1
+    assert (1 - 0.8**jj.BAND) ** keys.shape[1] < 1e-7
+
+
+def test_pairs_at_the_threshold_are_not_missed():
+    rng = np.random.default_rng(2)
+    equal = rng.random((200_000, jj.HASHES)) < 0.8
+    left = rng.integers(0, 1 << 31, equal.shape).astype(np.uint32)
+    right = np.where(equal, left, left + np.uint32(1 << 31))
+    assert (jj.band_keys(left) == jj.band_keys(right)).any(axis=1).all()
+
+
 def test_bounds_grow_with_the_values_compared():
     least = jj.least_matches()
     assert sorted(least) == list(range(16, 129, 16)) and all(0 < m < n for n, m in least.items())
