@@ -1,8 +1,9 @@
 """BPE encoding and decoding with reuse of content-defined chunks.
 
 A text is cut into chunks where a rolling hash of its last bytes meets a mask, so documents that share a
-passage share chunks, wherever the passage stands. A task encodes every distinct chunk once and keeps its
-tokens in a table of bounded size, least recently used first out. Cutting changes the tokens near a cut, so
+passage share chunks, wherever the passage stands. A task keeps chunks and their tokens in a table of bounded
+size, least recently used first out: about the last 2 MB of distinct text, as a byte of it is charged with 16.
+A chunk that has left the table is encoded again. Cutting changes the tokens near a cut, so
 each join is repaired: the text from the last safe place of the chunks before it to the first safe place of
 the chunks after it is encoded anew, with a guard on either side. If the guards' tokens agree with the
 chunks', the join is exact; else, or if a chunk has no safe place, the window grows.
@@ -14,8 +15,8 @@ Tokens are those of the ``tokenizers`` library, with special tokens found in the
 Latin characters, whose classes no Unicode version disputes, are encoded by ``tiktoken`` with the ranks of
 the same file, which gives the same tokens; other spans go to ``tokenizers`` itself.
 
-Reuse is within a task: sharing over the whole corpus would send every chunk's text and tokens through two
-shuffles, more than the texts themselves, to save encodings that are cheap. Tasks need no shuffle at all and
+Reuse is within a task: sharing over the whole corpus would, by estimate, send every chunk's text and tokens
+through two shuffles, more than the texts themselves, to save encodings that are cheap; no run measured it. Tasks need no shuffle at all and
 no group of copies is gathered anywhere.
 
 Defined results: a null text is the empty text, with no tokens. Texts of any length are encoded whole.
