@@ -7,8 +7,9 @@ on one diagonal stand to each other as in the template. Short phrases count wher
 passages are looked up by their highest-weighted words only, and found where enough of that weight meets and
 the passage's mandatory key phrases stand at their places, word for word.
 
-A regular expression passes over files that have none of the words without which no template can be found;
-the others are split into words. All is done inside the row: nothing is shuffled or broadcast, no Python
+A regular expression passes over files that have none of some words that most templates need; the others are
+split into words. It is not exact: bsd, isc, gpl-2 and gpl-3 can be found without these words, and such a notice in a file that
+has none of them is lost, here and in the SQL. All is done inside the row: nothing is shuffled or broadcast, no Python
 runs, and the index is a literal of fixed size.
 
 Defined results: a null text is empty, with no words, null places, empty labels and score 0. Only ASCII
@@ -63,7 +64,7 @@ PASSAGES = (
 RARE_WORDS = 8
 MIN_SHARE = 0.6
 
-#: No template is in a text that has none of these: a part of a word, or whole words.
+#: Texts that have none of these are passed over: a part of a word, or whole words. Of bsd, isc, gpl-2 and gpl-3 a part that is enough can do without.
 _NEEDED = r"licen[sc]e"
 _NEEDED_WORDS = r"cc|gnu|apache|mozilla|unencumbered|redistribut(e|ion)|permission|compliance|foundation|attribution"
 _CANDIDATE = rf"(?i){_NEEDED}|(?<![a-z0-9])({_NEEDED_WORDS})(?![a-z0-9])"
