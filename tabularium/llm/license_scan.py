@@ -1,17 +1,18 @@
 """Licence scan over a positional index of rare words, as expressions within a row.
 
 The index holds the words of licence templates with their positions; a word's weight is its inverse document
-frequency among the templates. A file's words are looked up in it. Every posting (template, position in
-template) of a word at a position of the file names a diagonal, their difference; words whose postings meet
-on one diagonal stand to each other as in the template. Short phrases count where all their words meet; long
-passages are looked up by their highest-weighted words only, and found where enough of that weight meets and
-the passage's mandatory key phrases stand at their places, word for word.
-
-A regular expression passes over files that have none of some words that most templates need; the others are
-split into words. It is not exact: bsd, isc, gpl-2 and gpl-3 can be found without these words, and such a notice in a file that
-has none of them is lost, here and in the SQL. All is done inside the row: nothing is shuffled or broadcast, no Python
+frequency among the templates. A file is looked up template by template, through the template's anchors: those words of its mandatory key
+phrases that weigh most. Of these the one that occurs least often in the file is taken, and a template of which one does not occur is
+passed over. Every place of that word names a diagonal, the difference of its positions in file and template. On each diagonal the template's
+other rare words are intersected: those that stand where the template has them add their weights. A template is found where the
+mandatory key phrases stand word for word and, in long passages, enough of the weight of its rarest words meets.
+
+A regular expression first passes over files that lack, for every template, one word of its key phrases. It is derived from the templates: as
+key phrases are mandatory, no template can be found in such a file. All is done inside the row: nothing is shuffled or broadcast, no Python
 runs, and the index is a literal of fixed size.
 
+The score is 1 where a base phrase is found, else the largest share of weight among the passages that are found, else 0.
+
 Defined results: a null text is empty, with no words, null places, empty labels and score 0. Only ASCII
 capitals are folded. Repeated rows each get their row. Texts are scanned whole. An empty table gives an empty
 result. Other columns are not read.
@@ -22,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable
+from dataclasses import dataclass
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -64,126 +65,136 @@ PASSAGES = (
 RARE_WORDS = 8
 MIN_SHARE = 0.6
 
-#: Texts that have none of these are passed over: a part of a word, or whole words. Of bsd, isc, gpl-2 and gpl-3 a part that is enough can do without.
-_NEEDED = r"licen[sc]e"
-_NEEDED_WORDS = r"cc|gnu|apache|mozilla|unencumbered|redistribut(e|ion)|permission|compliance|foundation|attribution"
-_CANDIDATE = rf"(?i){_NEEDED}|(?<![a-z0-9])({_NEEDED_WORDS})(?![a-z0-9])"
 
+@dataclass(frozen=True)
+class Template:
+    """A phrase or passage: its words, the places (position, word) of its rarest and of its mandatory words, and its anchors."""
 
-def _index() -> tuple[dict[str, list[tuple[int, int]]], dict[str, float], list[list[tuple[int, str]]]]:
-    """Postings of each word, weights, and the words (position, word) that each template is looked up by.
+    label: str
+    base: bool
+    words: tuple[str, ...]
+    rare: tuple[tuple[int, str], ...]
+    keys: tuple[tuple[int, str], ...]
+    anchors: tuple[tuple[int, str], ...]
 
-    Templates are numbered phrases first, passages after them.
-    """
-    texts = [p.split() for p in PHRASES] + [p.split() for _, p, _ in PASSAGES]
-    seen = Counter(chain.from_iterable(map(set, texts)))
-    weight = {w: math.log((1 + len(texts)) / (1 + n)) + 1 for w, n in seen.items()}
-    looked_up = []
-    for k, words in enumerate(texts):
-        places = list(enumerate(words))
-        if k >= len(PHRASES):
-            rare = sorted(set(words), key=lambda w: (-weight[w], w))[:RARE_WORDS]
-            places = [(i, w) for i, w in places if w in rare]
-        looked_up.append(places)
-    postings: dict[str, list[tuple[int, int]]] = {}
-    for k, places in enumerate(looked_up):
-        for i, w in places:
-            postings.setdefault(w, []).append((k, i))
-    return postings, weight, looked_up
-
-
-POSTINGS, WEIGHTS, LOOKED_UP = _index()
-
-
-def _posting_map() -> Column:
-    entries = []
-    for word, places in POSTINGS.items():
-        found = [F.struct(F.lit(k).alias("t"), F.lit(i).alias("at"), F.lit(WEIGHTS[word]).alias("weight")) for k, i in places]
-        entries += [F.lit(word), F.array(*found)]
-    return F.create_map(*entries)
-
-
-def _diagonals(words: Column) -> Column:
-    """Sorted (t, diagonal, weight) of every posting of every word."""
-    known = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x.getField("w").isin(list(POSTINGS)))
-    index = _posting_map()
-    found = F.transform(known, lambda x: F.transform(F.element_at(index, x.getField("w")), lambda p: F.struct(p.getField("t").alias("t"), (x.getField("i") - p.getField("at")).alias("d"), p.getField("weight").alias("weight"))))
-    return F.array_sort(F.flatten(found))
-
-
-def _meetings(postings: Column) -> Column:
-    """(t, d, n, weight) of every diagonal on which two or more of the sorted postings meet.
-
-    A template has one posting at most for each of its places on a diagonal, so runs are no longer than the
-    longest template.
+    @property
+    def total(self) -> float:
+        return sum(WEIGHTS[w] for _, w in self.rare)
+
+
+def _weights() -> dict[str, float]:
+    texts = [set(p.split()) for p in (*PHRASES, *(p for _, p, _ in PASSAGES))]
+    seen = Counter(chain.from_iterable(texts))
+    return {w: math.log((1 + len(texts)) / (1 + n)) + 1 for w, n in seen.items()}
+
+
+WEIGHTS = _weights()
+
+
+def _template(label: str, base: bool, text: str, phrases: tuple[str, ...]) -> Template:
+    words = tuple(text.split())
+    places = list(enumerate(words))
+    rarest = set(words if base else sorted(set(words), key=lambda w: (-WEIGHTS[w], w))[:RARE_WORDS])
+    keys: set[tuple[int, str]] = set()
+    for phrase in map(str.split, phrases):
+        at = next(i for i in range(len(words)) if list(words[i : i + len(phrase)]) == phrase)
+        keys |= set(places[at : at + len(phrase)])
+    named = {w for _, w in keys if len(w) > 1} or {w for _, w in keys}
+    most = max(WEIGHTS[w] for w in named)
+    anchors = {w: i for i, w in sorted(keys, reverse=True) if w in named and WEIGHTS[w] == most}
+    return Template(label, base, words, tuple(x for x in places if x[1] in rarest), tuple(sorted(keys)), tuple(sorted((i, w) for w, i in anchors.items())))
+
+
+TEMPLATES = [_template(label, True, p, (p,)) for p, label in PHRASES.items()] + [_template(label, False, p, keys) for label, p, keys in PASSAGES]
+
+
+def _gate() -> str:
+    """Words of which every template has one among its mandatory ones, few of them: a file without any has no template.
+
+    The word that is mandatory in most of the templates left, of equals the longest, is taken first.
     """
-    longest = max(map(len, LOOKED_UP))
+    left, words = [{w for _, w in t.keys if len(w) > 1} for t in TEMPLATES], []
+    while left:
+        words.append(max(set().union(*left), key=lambda w: (sum(w in keys for keys in left), len(w), w)))
+        left = [keys for keys in left if words[-1] not in keys]
+    return rf"(?i)(?<![a-z0-9])({'|'.join(words)})(?![a-z0-9])"
 
-    def runs(s: Column) -> Column:
-        def same(x: Column, y: Column) -> Column:
-            return F.coalesce((x.getField("t") == y.getField("t")) & (x.getField("d") == y.getField("d")), F.lit(False))
 
-        numbered = F.transform(s, lambda x, j: F.struct(x.getField("t").alias("t"), x.getField("d").alias("d"), j.alias("j")))
-        first = F.filter(numbered, lambda x: ~same(F.get(s, x.getField("j") - 1), x) & same(F.get(s, x.getField("j") + 1), x))
+GATE = _gate()
 
-        def run(x: Column) -> Column:
-            own = F.filter(F.slice(s, x.getField("j") + 1, longest), lambda y: same(x, y))
-            total = lambda r: F.aggregate(r, F.lit(0.0), lambda sum_, y: sum_ + y.getField("weight"))
-            return let(own, lambda r: F.struct(x.getField("t").alias("t"), x.getField("d").alias("d"), F.size(r).alias("n"), total(r).alias("weight")))
 
-        return F.transform(first, run)
+def _known(words: Column) -> Column:
+    """(word, place) of every anchor in the file."""
+    anchors = sorted({w for t in TEMPLATES for _, w in t.anchors})
+    return F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda x: x.getField("w").isin(anchors))
 
-    return let(postings, runs)
 
+def _starts(known: Column, word: str, at: int) -> Column:
+    return F.transform(F.filter(known, lambda x: x.getField("w") == word), lambda x: x.getField("i") - at)
 
-def _stands(words: Column, start: Column, phrase: list[str]) -> Column:
-    test = F.lit(True)
-    for k, word in enumerate(phrase):
-        test = test & F.coalesce(F.get(words, start + k) == word, F.lit(False))
-    return test
 
+def _diagonals(known: Column, template: Template) -> Column:
+    """Where the template would start, for every place of that anchor which the file has least often."""
+    places = [_starts(known, word, at) for at, word in template.anchors]
+    if len(places) == 1:
+        return places[0]
+    counted = F.array(*[F.struct(F.size(p).alias("n"), F.lit(k).alias("k"), p.alias("d")) for k, p in enumerate(places)])
+    return F.array_min(counted).getField("d")
 
-def _of_template(k: int) -> Callable[[Column], Column]:
-    return lambda m: m.getField("t") == k
 
+def _at(words: Column, start: Column, place: tuple[int, str]) -> Column:
+    return F.coalesce(F.get(words, start + place[0]) == place[1], F.lit(False))
 
-def _passage(words: Column, k: int, whole: list[str], keys: list[list[str]]) -> tuple[Callable[[Column], Column], Callable[[Column], Column]]:
-    """The share of template ``k``'s weight on a diagonal, and whether the passage is found there."""
-    total = sum(WEIGHTS[w] for _, w in LOOKED_UP[k])
-    starts = [(next(i for i in range(len(whole)) if whole[i : i + len(key)] == key), key) for key in keys]
 
-    def passes(m: Column) -> Column:
-        test = m.getField("weight") >= MIN_SHARE * total - 1e-9
-        for at, key in starts:
-            test = test & _stands(words, m.getField("d") + at, key)
+def _found(words: Column, known: Column, template: Template) -> Column:
+    """(d, share) of every diagonal on which the template is found."""
+
+    def stands(d: Column) -> Column:
+        test = F.lit(True)
+        for place in template.keys:
+            test = test & _at(words, d, place)
         return test
 
-    return lambda m: F.least(F.lit(1.0), m.getField("weight") / total), passes
+    def share(d: Column) -> Column:
+        if template.base:
+            return F.lit(1.0)
+        met = sum((F.when(_at(words, d, p), WEIGHTS[p[1]]).otherwise(0.0) for p in template.rare), F.lit(0.0))
+        return F.least(F.lit(1.0), met / template.total)
+
+    passed = F.transform(F.filter(_diagonals(known, template), stands), lambda d: F.struct(d.alias("d"), share(d).alias("share")))
+    return passed if template.base else F.filter(passed, lambda m: m.getField("share") >= MIN_SHARE - 1e-9)
+
+
+def _labelled(found: Column, label: str) -> Column:
+    return F.transform(found, lambda m: F.struct(m.getField("d").alias("d"), F.lit(label).alias("label")))
 
 
-def _judge(words: Column, meetings: Column) -> Column:
-    base = F.filter(meetings, lambda m: F.coalesce(F.element_at(F.create_map(*chain.from_iterable((F.lit(k), F.lit(len(p.split()))) for k, p in enumerate(PHRASES))), m.getField("t")) == m.getField("n"), F.lit(False)))
-    base_label = F.create_map(*chain.from_iterable((F.lit(k), F.lit(label)) for k, label in enumerate(PHRASES.values())))
-    shares, labels = [], []
-    for k, (label, passage, keys) in enumerate(PASSAGES, len(PHRASES)):
-        share, passes = _passage(words, k, passage.split(), [key.split() for key in keys])
-        own = F.filter(meetings, _of_template(k))
-        shares.append(F.coalesce(F.array_max(F.transform(own, share)), F.lit(0.0)))
-        labels.append(F.when(F.exists(own, passes), F.lit(label)))
+def _judge(words: Column, known: Column) -> Column:
+    base, labels = [], []
+    for t in TEMPLATES:
+        found = _found(words, known, t)
+        if t.base:
+            base.append(_labelled(found, t.label))
+        else:
+            best = F.array_max(F.transform(found, lambda m: m.getField("share")))
+            labels.append(F.struct(best.alias("share"), F.lit(t.label).alias("label")))
 
-    def result(places: Column) -> Column:
-        base_labels = F.array_sort(F.array_distinct(F.transform(places, lambda m: F.element_at(base_label, m.getField("t")))))
+    def result(places: Column, passages: Column) -> Column:
+        base_labels = F.array_sort(F.array_distinct(F.transform(places, lambda m: m.getField("label"))))
         starts = F.transform(places, lambda m: m.getField("d"))
+        found = F.filter(passages, lambda m: m.getField("share").isNotNull())
+        all_labels = F.array_sort(F.array_distinct(F.concat(base_labels, F.transform(found, lambda m: m.getField("label")))))
+        best = F.coalesce(F.array_max(F.transform(found, lambda m: m.getField("share"))), F.lit(0.0))
         return F.struct(
             F.size(places).cast("long").alias("n_base"),
             F.array_min(starts).cast("long").alias("first_word"),
             F.array_max(starts).cast("long").alias("last_word"),
             F.array_join(base_labels, ",").alias("base_labels"),
-            F.array_join(F.array_sort(F.array_distinct(F.array_compact(F.concat(base_labels, F.array(*labels))))), ",").alias("labels"),
-            F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.round(F.greatest(*shares), 9)).alias("score"),
+            F.array_join(all_labels, ",").alias("labels"),
+            F.when(F.size(places) > 0, F.lit(1.0)).otherwise(F.round(best, 9)).alias("score"),
         )
 
-    return let(base, result)
+    return let(F.concat(*base), lambda places: let(F.array(*labels), lambda passages: result(places, passages)))
 
 
 RESULTS = ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -195,7 +206,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     folded = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     words = F.regexp_extract_all(folded, F.lit(WORD), F.lit(0))
     none = F.struct(F.lit(0).cast("long").alias("n_base"), F.lit(None).cast("long").alias("first_word"), F.lit(None).cast("long").alias("last_word"), F.lit("").alias("base_labels"), F.lit("").alias("labels"), F.lit(0.0).alias("score"))
-    found = F.when(text.rlike(_CANDIDATE), let(words, lambda w: let(_meetings(_diagonals(w)), lambda m: _judge(w, m)))).otherwise(none)
+    found = F.when(text.rlike(GATE), let(words, lambda w: let(_known(w), lambda known: _judge(w, known)))).otherwise(none)
     n_words = F.regexp_count(text, F.lit(ANY_CASE_WORD)).cast("long")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in RESULTS]
     return docs.withColumns({"n_words": n_words, "__found": found}).select(*others, "n_words", "__found.*")
@@ -214,37 +225,25 @@ def brute_force(text: str | None) -> tuple:
 
 
 def _sql() -> str:
-    """The same index as a table: postings meet by (template, difference of positions)."""
-    postings = ", ".join(f"('{w}', {k}, {i}, {WEIGHTS[w]!r}::DOUBLE)" for w, places in POSTINGS.items() for k, i in places)
-    phrases = ", ".join(f"({k}, '{label}', {len(p.split())})" for k, (p, label) in enumerate(PHRASES.items()))
-    passages, keys = [], []
-    for k, (label, passage, phrases_of) in enumerate(PASSAGES, len(PHRASES)):
-        total = sum(WEIGHTS[w] for _, w in LOOKED_UP[k])
-        whole = passage.split()
-        need = 0
-        for key in map(str.split, phrases_of):
-            at = next(i for i in range(len(whole)) if whole[i : i + len(key)] == key)
-            keys += [f"({k}, {at + j}, '{w}')" for j, w in enumerate(key)]
-        need = len({x for x in keys if x.startswith(f"({k}, ")})
-        passages.append(f"({k}, '{label}', {total!r}::DOUBLE, {need})")
+    """The whole index as a table, without a gate or anchors: every place of every template's words meets by (template, difference of positions)."""
+    rare, keys, heads = [], [], []
+    for k, t in enumerate(TEMPLATES):
+        rare += [f"('{w}', {k}, {i}, {WEIGHTS[w]!r}::DOUBLE, 0)" for i, w in t.rare]
+        keys += [f"('{w}', {k}, {i}, 0::DOUBLE, 1)" for i, w in t.keys]
+        heads.append(f"({k}, '{t.label}', {t.base}, {t.total!r}::DOUBLE, {len(t.keys)})")
     return f"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w,
-      regexp_matches(coalesce(text, ''), '(?i){_NEEDED}|(^|[^a-z0-9])({_NEEDED_WORDS})([^a-z0-9]|$)') AS candidate FROM documents),
-x AS (SELECT r, unnest(w) AS w, unnest(range(0, len(w))) AS i FROM d WHERE candidate),
-p(w, t, pos, weight) AS (VALUES {postings}),
-h(t, label, n) AS (VALUES {phrases}),
-q(t, label, total, need) AS (VALUES {", ".join(passages)}),
-k(t, pos, w) AS (SELECT DISTINCT * FROM (VALUES {", ".join(keys)})),
-m AS (SELECT r, t, i - pos AS d, count(*) AS n, sum(weight) AS weight FROM x JOIN p USING (w) GROUP BY ALL HAVING count(*) >= 2),
-b AS (SELECT m.r, m.d, h.label FROM m JOIN h ON h.t = m.t AND h.n = m.n),
-f AS (SELECT DISTINCT m.r, q.label FROM m JOIN q USING (t) WHERE m.weight >= {MIN_SHARE} * q.total - 1e-9
-      AND q.need = (SELECT count(*) FROM k JOIN x ON x.w = k.w AND x.i = m.d + k.pos WHERE k.t = m.t AND x.r = m.r)),
-s AS (SELECT m.r, max(least(1.0::DOUBLE, m.weight / q.total)) AS share FROM m JOIN q USING (t) GROUP BY m.r),
-bb AS (SELECT r, count(*) AS n_base, min(d) AS first_word, max(d) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM b GROUP BY r),
-a AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM b UNION ALL SELECT r, label FROM f) GROUP BY r)
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{WORD}') AS w FROM documents),
+x AS (SELECT r, unnest(w) AS w, unnest(range(0, len(w))) AS i FROM d),
+p(w, t, pos, weight, is_key) AS (VALUES {", ".join(rare + keys)}),
+h(t, label, base, total, n_keys) AS (VALUES {", ".join(heads)}),
+m AS (SELECT r, t, i - pos AS d, sum(weight) AS weight, sum(is_key) AS n_keys FROM x JOIN p USING (w) GROUP BY ALL),
+f AS (SELECT m.r, m.d, h.label, h.base, least(1.0::DOUBLE, m.weight / h.total) AS share FROM m JOIN h USING (t)
+      WHERE m.n_keys = h.n_keys AND (h.base OR m.weight / h.total >= {MIN_SHARE} - 1e-9)),
+g AS (SELECT r, count(*) FILTER (base) AS n_base, min(d) FILTER (base) AS first_word, max(d) FILTER (base) AS last_word,
+             string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) FILTER (NOT base) AS share FROM f GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels,
        coalesce(labels, '') AS labels, CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE round(coalesce(share, 0), 9) END AS score
-FROM d LEFT JOIN bb USING (r) LEFT JOIN a USING (r) LEFT JOIN s USING (r)
+FROM d LEFT JOIN g USING (r)
 """
 
 

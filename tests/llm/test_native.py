@@ -87,6 +87,53 @@ def test_passages_need_their_key_phrases(spark):
     assert found == {1: ("bsd", 0), 2: ("", 0), 3: ("", 0)}
 
 
+def places_of(text):
+    """Labels and score by trying every place of every template, without gate, anchors or SQL."""
+    words = re.findall(license_scan.WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, best = set(), 0.0
+    for t in license_scan.TEMPLATES:
+        for d in range(-len(t.words), len(words)):
+            stands = lambda x, d=d: 0 <= d + x[0] < len(words) and words[d + x[0]] == x[1]
+            share = 1.0 if t.base else sum(license_scan.WEIGHTS[x[1]] for x in t.rare if stands(x)) / t.total
+            if all(map(stands, t.keys)) and (t.base or share >= license_scan.MIN_SHARE - 1e-9):
+                labels.add(t.label)
+                best = max(best, share)
+    return ",".join(sorted(labels)), round(best, 9)
+
+
+PASSAGES = [
+    "Use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+    *[p for _, p, _ in license_scan.PASSAGES],
+    *[p.split(" ", 1)[1] for _, p, _ in license_scan.PASSAGES],
+    *[p.replace(" ", " x ", 1) for _, p, _ in license_scan.PASSAGES],
+    *[" ".join(k) for _, _, k in license_scan.PASSAGES],
+    " and ".join(p for _, p, _ in license_scan.PASSAGES),
+    "version 2 of the text and version 3 of the fee " * 40,
+]
+
+
+def test_passages_as_by_trying_every_place(spark):
+    docs = spark.createDataFrame(list(enumerate([*LICENCES, *PASSAGES])), "doc_id long, text string")
+    for r in license_scan.scan(docs).collect():
+        assert (r.labels, r.score) == places_of(r.text), r.text
+    found = {r.doc_id: r.labels for r in license_scan.scan(docs).collect()}
+    assert found[len(LICENCES)] == "bsd" and found[len(LICENCES) + 1] == "isc"
+
+
+def test_scan_as_sql(spark):
+    frame = spark.createDataFrame(list(enumerate([*LICENCES, *PASSAGES])), "doc_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", frame.toPandas())
+    want = con.execute(f"SELECT doc_id, {', '.join(license_scan.RESULTS)} FROM ({license_scan.SQL}) ORDER BY doc_id").fetchall()
+    assert want == [tuple(r) for r in license_scan.scan(frame).select("doc_id", *license_scan.RESULTS).orderBy("doc_id").collect()]
+
+
+def test_gate_has_a_mandatory_word_of_every_template():
+    for t in license_scan.TEMPLATES:
+        assert re.search(license_scan.GATE, " ".join(w for _, w in t.keys))
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert quality_rules.measure(none).count() == 0
