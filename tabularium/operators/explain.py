@@ -66,6 +66,18 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.when(size == 0, F.lit(1e-9)).otherwise(size)
 
 
-def nearest(vectors: DataFrame, query: Sequence[float], n: int = TOP, vector: str = "embedding") -> DataFrame:
-    """The ``n`` rows whose vectors are most similar to ``query``."""
-    return vectors.withColumn("sim", cosine(F.col(vector), F.array(*[F.lit(float(x)) for x in query]))).orderBy(F.desc("sim")).limit(n)
+def nearest(vectors: DataFrame, queries: DataFrame, n: int = TOP, id_col: str = "vec_id", vector: str = "embedding", block: int = 256) -> DataFrame:
+    """(query, id, sim, rank): of every row of ``queries`` the ``n`` rows of ``vectors`` that are most similar to it, itself included, of equals the least id.
+
+    Queries are taken in blocks: the rows are read once for each, and keep ``n`` per query and task before they are dealt. Vectors of a block
+    are a literal of at most ``block`` rows.
+    """
+    rows = [(r[0], [float(x) for x in r[1]]) for r in queries.select(id_col, vector).orderBy(id_col).toLocalIterator()]
+    found = None
+    for at in range(0, max(1, len(rows)), block):
+        asked = F.array(*[F.struct(F.lit(k).cast("long").alias("query"), F.array(*map(F.lit, v)).alias("q")) for k, v in rows[at : at + block]] or [F.struct(F.lit(None).cast("long").alias("query"), F.array().cast("array<double>").alias("q"))])
+        pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).withColumn("x", F.explode(asked)).where("x.query is not null")
+        scored = pairs.select(F.col("x.query").alias("query"), "id", cosine(F.col("v"), F.col("x.q")).alias("sim"))
+        best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))).where(F.col("rank") <= n)
+        found = best if found is None else found.unionByName(best)
+    return found

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.ml.base import Model as SparkModel
 from pyspark.ml.feature import VectorAssembler
@@ -24,11 +24,12 @@ class Booster:
     model: SparkModel
     features: list[str]
     n_classes: int
+    wide: dict[str, int] = field(default_factory=dict)
 
     def score(self, df: DataFrame) -> DataFrame:
         """Adds score, the probability of class 1 (with more classes, of the predicted one), and p, the class."""
         plain = {c: f"__c{k}" for k, c in enumerate(df.columns)}  # as some models cannot take every name
-        rows = _assembled(df.toDF(*plain.values()), [plain[c] for c in self.features])
+        rows = _assembled(df.toDF(*plain.values()), [plain[c] for c in self.features], {plain[c]: n for c, n in self.wide.items()})
         found = self.model.transform(rows)
         if self.n_classes > 2:
             p, score = F.col("prediction").cast("int"), F.lit(None).cast("double")
@@ -38,10 +39,19 @@ class Booster:
         return found.select(*[F.col(n).alias(c) for c, n in plain.items()], p.alias("p"), score.alias("score"))
 
 
-def _assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def _assembled(df: DataFrame, features: Sequence[str], wide: dict[str, int] | None = None) -> DataFrame:
+    """Adds the vector of ``features``. Those in ``wide`` hold numbers of levels and become sparse vectors of that size; null has no level."""
+    from pyspark.ml.feature import OneHotEncoder
+
     names = [f"__f{k}" for k in range(len(features))]
-    named = df.withColumns({n: F.col(f"`{c}`").cast("double") for n, c in zip(names, features)})
-    return VectorAssembler(inputCols=names, outputCol="__x", handleInvalid="keep").transform(named).drop(*names)
+    wide = wide or {}
+    named = df.withColumns({n: F.coalesce(F.col(f"`{c}`"), F.lit(wide[c])).cast("double") if c in wide else F.col(f"`{c}`").cast("double") for n, c in zip(names, features)})
+    hot = {n: f"{n}h" for n, c in zip(names, features) if c in wide}
+    if hot:
+        sizes = df.sparkSession.createDataFrame([tuple(float(wide[c]) - 1 for c in features if c in wide)], ", ".join(f"{n} double" for n in hot))
+        encoder = OneHotEncoder(inputCols=list(hot), outputCols=list(hot.values()), dropLast=True, handleInvalid="keep").fit(sizes)
+        named = encoder.transform(named)
+    return VectorAssembler(inputCols=[hot.get(n, n) for n in names], outputCol="__x", handleInvalid="keep").transform(named).drop(*names, *hot.values())
 
 
 def decided(score: Column) -> Column:
@@ -53,15 +63,15 @@ def raw_to_score(raw: Column, all_binary: bool) -> Column:
     return raw if all_binary else logistic(raw)
 
 
-def fit(train: DataFrame, features: Sequence[str], y: str = "y", n_classes: int = 2, trees: int = 20, depth: int = 4, seed: int = 0) -> Booster:
+def fit(train: DataFrame, features: Sequence[str], y: str = "y", n_classes: int = 2, trees: int = 20, depth: int = 4, seed: int = 0, wide: dict[str, int] | None = None) -> Booster:
     """Boosted trees for two classes, one against the rest for more."""
     from pyspark.ml.classification import GBTClassifier, OneVsRest
 
     booster = GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=trees, maxDepth=depth, stepSize=0.1, seed=seed)
-    rows = _assembled(train, features).withColumn("__y", F.col(y).cast("double"))
+    rows = _assembled(train, features, wide).withColumn("__y", F.col(y).cast("double"))
     if n_classes > 2:
         booster = OneVsRest(classifier=booster, featuresCol="__x", labelCol="__y")
-    return Booster(booster.fit(rows.select("__x", "__y")), list(features), n_classes)
+    return Booster(booster.fit(rows.select("__x", "__y")), list(features), n_classes, dict(wide or {}))
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], fold: str = "fold", y: str = "y", n_classes: int = 2, parallel: int = 2, **options) -> dict:

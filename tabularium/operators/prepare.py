@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tabularium.functions.expressions import is_numeric, is_text, kind_of, label, to_number
 from tabularium.operators.profile import BINARY, CATEGORICAL, NUMERICAL, TEXTUAL
 
-#: Levels of a column up to which each becomes a column; beyond, a sparse vector is made.
+#: Levels of a column up to which each becomes a column; beyond, the column holds the level's number, and the model takes it as a sparse vector.
 MOST_LEVELS = 1000
 NONE = "NA"
 
@@ -33,20 +33,114 @@ class Plan:
     means: dict[str, float] = field(default_factory=dict)
     deviations: dict[str, float] = field(default_factory=dict)
     indexed: dict[str, list[str]] = field(default_factory=dict)
+    wide: dict[str, int] = field(default_factory=dict)
+
+    @property
+    def columns(self) -> list[str]:
+        """The columns of the matrix: the features, but one column of level numbers for each in ``wide``."""
+        return list(dict.fromkeys(self.source[f] if self.source.get(f) in self.wide else f for f in self.features))
+
+
+_PARTS = ("whole", "real", "text")
+
+
+def _counted(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(pos, whole, real, text, n): the count of each expression's values, the value in the part of its type; null is no value."""
+    kinds = {n: df.select(c.alias(n)).schema[0].dataType for n, c in columns.items()}
+    cells = []
+    for k, (n, c) in enumerate(columns.items()):
+        kind = kinds[n].simpleString()
+        part = "whole" if kind in ("tinyint", "smallint", "int", "bigint", "boolean") else "real" if kind in ("float", "double") else "text"
+        cast = {"whole": "long", "real": "double", "text": "string"}
+        cells.append(F.struct(F.lit(k).alias("pos"), *[(c if p == part else F.lit(None)).cast(cast[p]).alias(p) for p in _PARTS]))
+    known = F.coalesce(*[F.col(f"x.{p}").cast("string") for p in _PARTS]).isNotNull()
+    return df.select(F.explode(F.array(*cells)).alias("x")).where(known).groupBy("x.pos", *[f"x.{p}" for p in _PARTS]).agg(F.count(F.lit(1)).alias("n"))
 
 
 def modes(df: DataFrame, columns: dict[str, Column]) -> dict[str, object]:
-    """The most frequent value of each expression, the least of equals, null if all are null."""
+    """The most frequent value of each expression, the least of equals, null if all are null.
+
+    Values are counted by (column, value), and each column's best is a minimum over these counts: no task holds a column's values.
+    """
     if not columns:
         return {}
-    return df.agg(*[F.mode(c, True).alias(n) for n, c in columns.items()]).first().asDict()
+    best = _counted(df, columns).groupBy("pos").agg(F.min(F.struct(-F.col("n"), *_PARTS)).alias("best"))
+    names, found = list(columns), dict.fromkeys(columns)
+    for pos, row in best.collect():  # a row for each column
+        found[names[pos]] = next(row[p] for p in _PARTS if row[p] is not None)
+    return found
+
+
+#: Values between two bounds that are sorted by the driver when a median lies among them.
+FEW = 20_000
 
 
 def medians(df: DataFrame, columns: dict[str, Column]) -> dict[str, float | None]:
-    """The exact median of each expression."""
+    """The exact median of each expression, for all columns in a few passes that hold counts only.
+
+    The median lies between two values. Each pass counts what is below, on and between them and draws them together by
+    approximate quantiles, whose error is bounded, until few values are left between; these are counted and sorted.
+    """
     if not columns:
         return {}
-    return df.agg(*[F.median(c).alias(n) for n, c in columns.items()]).first().asDict()
+    names = {n: f"m{k}" for k, n in enumerate(columns)}
+    rows = df.select(*[c.cast("double").alias(names[n]) for n, c in columns.items()])
+    first = rows.agg(*[f(m).alias(f"{m}{p}") for m in names.values() for p, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
+    found = {n: None for n in names}
+    wanted = {n: ((first[f"{m}n"] - 1) // 2, first[f"{m}n"] // 2) for n, m in names.items() if first[f"{m}n"]}
+    bounds = {n: (first[f"{names[n]}lo"], first[f"{names[n]}hi"]) for n in wanted}
+    known: dict[str, dict[int, float]] = {n: {} for n in wanted}
+    while bounds:
+        counts = _between(rows, {names[n]: b for n, b in bounds.items()})
+        left: dict[str, int] = {}
+        for n, (lo, hi) in bounds.items():
+            below, on_lo, inside = counts[names[n]]
+            for r in wanted[n]:
+                if r not in known[n] and r < below + on_lo:
+                    known[n][r] = lo
+                elif r not in known[n] and r >= below + on_lo + inside:
+                    known[n][r] = hi
+            if any(r not in known[n] for r in wanted[n]):
+                left[n] = inside
+        for n in [n for n, k in left.items() if k <= FEW]:
+            below, on_lo, _ = counts[names[n]]
+            lo, hi = bounds[n]
+            x = F.col(names[n])
+            few = sorted(map(tuple, rows.where((x > lo) & (x < hi)).groupBy(x.alias("v")).count().collect()))  # at most FEW
+            at = below + on_lo
+            for v, k in few:
+                known[n].update({r: v for r in wanted[n] if at <= r < at + k})
+                at += k
+        bounds = {n: b for n, b in bounds.items() if left.get(n, 0) > FEW}
+        if bounds:
+            bounds = _closer(rows, names, bounds, wanted, counts)
+    return found | {n: (known[n][a] + known[n][b]) / 2 if a != b else known[n][a] for n, (a, b) in wanted.items()}
+
+
+def _between(rows: DataFrame, bounds: dict[str, tuple[float, float]]) -> dict[str, tuple[int, int, int]]:
+    """Of each column: how many values are below the lower bound, on it, and between the two."""
+    count = lambda test: F.coalesce(F.sum(test.cast("long")), F.lit(0))
+    stats = []
+    for m, (lo, hi) in bounds.items():
+        x = F.col(m)
+        stats += [count(x < lo).alias(f"{m}b"), count(x == lo).alias(f"{m}l"), count((x > lo) & (x < hi)).alias(f"{m}i")]
+    row = rows.agg(*stats).first()
+    return {m: (row[f"{m}b"], row[f"{m}l"], row[f"{m}i"]) for m in bounds}
+
+
+def _closer(rows: DataFrame, names: dict[str, str], bounds: dict[str, tuple[float, float]], wanted: dict[str, tuple[int, int]], counts: dict[str, tuple[int, int, int]], error: float = 0.001) -> dict[str, tuple[float, float]]:
+    """Bounds of which the wanted places are still between or on them, with a hundredth of the values between at most, where values differ."""
+    inside = rows.select(*[F.when((F.col(names[n]) > lo) & (F.col(names[n]) < hi), F.col(names[n])).alias(names[n]) for n, (lo, hi) in bounds.items()])
+    out = {}
+    shares = {n: [(r - counts[names[n]][0] - counts[names[n]][1]) / max(1, counts[names[n]][2]) for r in wanted[n]] for n in bounds}
+    asked = {n: (max(0.0, min(s) - 4 * error), min(1.0, max(s) + 4 * error)) for n, s in shares.items()}
+    points = sorted({p for pair in asked.values() for p in pair})
+    quantiles = dict(zip(bounds, inside.approxQuantile([names[n] for n in bounds], points, error)))
+    for n, (lo, hi) in bounds.items():
+        low, high = asked[n]
+        a, b = quantiles[n][points.index(low)], quantiles[n][points.index(high)]
+        out[n] = (lo if low == 0.0 else a, hi if high == 1.0 else b)
+    return out
 
 
 def _number(df: DataFrame, name: str, values: Sequence[str] = ()) -> Column:
@@ -74,8 +168,8 @@ def fitted(df: DataFrame, types: dict[str, str], scope: Column | None = None, mo
     found = modes(rows, wanted) | medians(rows, {c: _number(df, c) for c in of(NUMERICAL)})
     plan.fill = {c: found[c] if found[c] is not None or types[c] == CATEGORICAL else 0.0 for c in found}
     if of(CATEGORICAL):
-        sets = rows.agg(*[F.collect_set(_level(df, c, plan)).alias(c) for c in of(CATEGORICAL)]).first().asDict()
-        plan.levels = {c: sorted(sets[c]) for c in sets}
+        plan.levels = _levels(rows, {c: _level(df, c, plan) for c in of(CATEGORICAL)})
+        plan.wide = {c: len(v) for c, v in plan.levels.items() if len(v) > most_levels}
     for c, t in types.items():
         if t == TEXTUAL:
             continue
@@ -83,12 +177,19 @@ def fitted(df: DataFrame, types: dict[str, str], scope: Column | None = None, mo
         plan.features += names
         plan.source.update({n: c for n in names})
         plan.scaled += [] if t == CATEGORICAL else [c]
-    wide = [c for c, v in plan.levels.items() if len(v) > most_levels]
-    if wide:
-        raise ValueError(f"columns with more than {most_levels} levels need sparse_levels(): {', '.join(wide)}")
     return plan
 
 
+def _levels(rows: DataFrame, columns: dict[str, Column]) -> dict[str, list[str]]:
+    """The distinct texts of each expression, in text order. They are rows until the driver names the features by them, so no task holds a column's."""
+    names = list(columns)
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("pos"), c.alias("level")) for k, c in enumerate(columns.values())])).alias("x")
+    out: dict[str, list[str]] = {c: [] for c in names}
+    for pos, level in rows.select(cells).select("x.*").distinct().toLocalIterator():
+        out[names[pos]].append(level)
+    return {c: sorted(v) for c, v in out.items()}
+
+
 def _level(df: DataFrame, name: str, plan: Plan) -> Column:
     """The text of a categorical cell, filled. Integers with missing values are named as doubles, as a table of them would hold."""
     kind = kind_of(df, name)
@@ -104,17 +205,37 @@ def marked(df: DataFrame, nulls: dict[str, int]) -> DataFrame:
 
 
 def applied(df: DataFrame, plan: Plan, keep: Sequence[str] = ()) -> DataFrame:
-    """The columns in ``keep`` and the features, in the table's order, unscaled."""
+    """The columns in ``keep`` and the features, in the table's order, unscaled.
+
+    A wide column becomes the number of its level in text order, from 0; a level that the fitted rows lack is null.
+    """
     out: list[Column] = [F.col(f"`{c}`") for c in keep]
+    rows = df
+    for k, c in enumerate(plan.wide):
+        rows = rows.withColumn(f"__level{k}", _level(df, c, plan))
+    for k, c in enumerate(plan.wide):
+        rows = _numbered(rows, f"__level{k}", f"__number{k}", plan.levels[c])
+    place = {c: k for k, c in enumerate(plan.wide)}
     for c, t in plan.types.items():
-        if t == CATEGORICAL:
+        if c in plan.wide:
+            out.append(F.col(f"__number{place[c]}").alias(c))
+        elif t == CATEGORICAL:
             level = _level(df, c, plan)
             out += [F.when(level == v, 1.0).otherwise(0.0).alias(f"{c}_{v}") for v in plan.levels[c]]
         elif t in (BINARY, NUMERICAL):
             out.append(F.coalesce(_number(df, c, plan.indexed.get(c, ())), F.lit(float(plan.fill[c]))).alias(c))
     if not plan.features:
         out += [_number(df, c).alias(c) for c in plan.types if is_numeric(kind_of(df, c))]
-    return df.select(*out)
+    return rows.select(*out)
+
+
+def _numbered(rows: DataFrame, level: str, out: str, levels: Sequence[str]) -> DataFrame:
+    """Adds a double, the place of the text among ``levels``; no shuffle."""
+    from pyspark.ml.feature import StringIndexerModel
+
+    indexer = StringIndexerModel.from_labels(list(levels), inputCol=level, outputCol=out, handleInvalid="keep")
+    found = indexer.transform(rows)
+    return found.withColumn(out, F.when(F.col(out) < len(levels), F.col(out)))
 
 
 def scale_fitted(df: DataFrame, plan: Plan, train: Column) -> Plan:
@@ -129,19 +250,3 @@ def scale_fitted(df: DataFrame, plan: Plan, train: Column) -> Plan:
 
 def scaled(df: DataFrame, plan: Plan) -> DataFrame:
     return df.withColumns({c: (F.col(f"`{c}`") - F.lit(plan.means[c])) / F.lit(plan.deviations[c]) for c in plan.scaled}) if plan.scaled else df
-
-
-def sparse_levels(df: DataFrame, columns: Sequence[str], out: str = "levels") -> DataFrame:
-    """For columns of very many levels: one sparse vector, levels in text order, in place of a column each."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-
-    index = [f"__{k}" for k in range(len(columns))]
-    hot = [f"{n}v" for n in index]
-    texts = df.withColumns({f"{n}s": label(F.col(f"`{c}`"), kind_of(df, c)) for n, c in zip(index, columns)})
-    stages = [
-        StringIndexer(inputCols=[f"{n}s" for n in index], outputCols=index, stringOrderType="alphabetAsc", handleInvalid="keep"),
-        OneHotEncoder(inputCols=index, outputCols=hot, dropLast=False),
-        VectorAssembler(inputCols=hot, outputCol=out),
-    ]
-    return Pipeline(stages=stages).fit(texts).transform(texts).drop(*index, *hot, *[f"{n}s" for n in index])

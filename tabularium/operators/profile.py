@@ -28,14 +28,15 @@ NUMERIC_LEVELS = 20
 def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """(pos, column, dtype, kind, n_rows, n_null, n_unique, avg_len) of each column.
 
-    Cells are dealt by (column, value) after partial aggregation, so a column's distinct values are counted exactly
-    without an aggregate per column. ``avg_len`` is the mean length of a text column's values, else null.
+    Cells are dealt by (column, value) after partial aggregation, so a column's distinct values are counted
+    without an aggregate per column. A text's key is its length and, beyond ``WHOLE`` bytes, a 128-bit digest, so no long text is
+    shuffled; texts of equal length and digest count as one. ``avg_len`` is the mean length of a text column's values, else null.
     """
     names = list(columns if columns is not None else df.columns)
     cells = [F.struct(F.lit(k).alias("pos"), *[v.alias(n) for n, v in zip(_PARTS, _typed_key(df, c))]) for k, c in enumerate(names)]
     counted = df.select(F.explode(F.array(*cells)).alias("x")).groupBy("x.pos", *[f"x.{n}" for n in _PARTS]).agg(F.count(F.lit(1)).alias("n"))
     known = reduce(lambda a, b: a | b, [F.col(n).isNotNull() for n in _PARTS])
-    length = F.sum(F.length("text") * F.col("n"))
+    length = F.sum(F.col("size") * F.col("n"))
     found = counted.groupBy("pos").agg(
         F.sum("n").alias("n_rows"),
         F.coalesce(F.sum(F.when(~known, F.col("n"))), F.lit(0)).alias("n_null"),
@@ -57,18 +58,22 @@ def approximate(df: DataFrame, columns: Sequence[str] | None = None, error: floa
     return df.agg(F.array(*stats).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
-#: A cell's value is in one of these, by its type, so that numbers need not become texts.
-_PARTS = ("whole", "real", "text")
+#: A cell's value is in one of these, by its type, so that numbers need not become texts; of a text they are its length and key.
+_PARTS = ("whole", "real", "size", "text")
+#: Bytes of a text up to which it is its own key.
+WHOLE = 16
 
 
-def _typed_key(df: DataFrame, name: str) -> tuple[Column, Column, Column]:
+def _typed_key(df: DataFrame, name: str) -> tuple[Column, Column, Column, Column]:
     kind, column = kind_of(df, name).simpleString(), F.col(f"`{name}`")
-    none = [F.lit(None).cast(t) for t in ("long", "double", "string")]
+    none = [F.lit(None).cast(t) for t in ("long", "double", "int", "binary")]
     if kind in ("tinyint", "smallint", "int", "bigint", "boolean"):
-        return column.cast("long"), none[1], none[2]
+        return column.cast("long"), *none[1:]
     if kind in ("float", "double"):
-        return none[0], F.when(~F.isnan(column), column.cast("double") + 0.0), none[2]
-    return none[0], none[1], _key(df, name)
+        return none[0], F.when(~F.isnan(column), column.cast("double") + 0.0), *none[2:]
+    text = _key(df, name)
+    raw = text.cast("binary")
+    return none[0], none[1], F.length(text), F.when(F.octet_length(raw) <= WHOLE, raw).otherwise(F.unhex(F.md5(raw)))
 
 
 def _key(df: DataFrame, name: str) -> Column:

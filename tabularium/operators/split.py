@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FOLDS = 5
-#: Leading hex digits of the hash that make a range.
+#: Rows that a range of the hash holds on average, at most, and the least number of leading hex digits that make a range.
+RANGE_ROWS = 1 << 18
 RANGE_DIGITS = 2
 
 
@@ -19,9 +20,18 @@ def order_key(seed: int, row_id: Column) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), row_id.cast("string")))
 
 
-def placed(df: DataFrame, y: str, row_id: str, seed: int, out: str = "place") -> DataFrame:
-    """Adds the row's place, from 1, in its class's random order."""
-    keyed = df.withColumn("__key", order_key(seed, F.col(row_id))).withColumn("__range", F.substring("__key", 1, RANGE_DIGITS))
+def range_digits(n: int) -> int:
+    """Hex digits that make enough ranges for ``n`` rows."""
+    digits = RANGE_DIGITS
+    while n > RANGE_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def placed(df: DataFrame, y: str, row_id: str, seed: int, out: str = "place", n: int | None = None) -> DataFrame:
+    """Adds the row's place, from 1, in its class's random order. ``n``, the number of rows, decides the ranges' number and no place."""
+    digits = range_digits(df.count() if n is None else n)
+    keyed = df.withColumn("__key", order_key(seed, F.col(row_id))).withColumn("__range", F.substring("__key", 1, digits))
     counts = keyed.groupBy(y, "__range").agg(F.count(F.lit(1)).alias("__n"))
     earlier = Window.partitionBy(y).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col(y).alias("__y"), F.col("__range").alias("__r"), F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__before"))
@@ -58,7 +68,7 @@ def stratified(df: DataFrame, y: str, row_id: str, test_size: float = 0.2, seed:
             raise ValueError("a side of the split would have fewer rows than there are classes")
     keep = train_counts(sizes, test_size) if n else {}
     limit = F.create_map(*[F.lit(x) for c, k in keep.items() for x in (c, k)]) if keep else F.create_map(F.lit(0), F.lit(0))
-    return placed(df, y, row_id, seed, "split_pos").withColumn("is_test", F.col("split_pos") > F.element_at(limit, F.col(y)))
+    return placed(df, y, row_id, seed, "split_pos", n).withColumn("is_test", F.col("split_pos") > F.element_at(limit, F.col(y)))
 
 
 def folds(df: DataFrame, y: str, row_id: str, k: int = FOLDS, seed: int = 0, out: str = "fold") -> DataFrame:

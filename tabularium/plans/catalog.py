@@ -12,15 +12,18 @@ from pyspark.sql import functions as F
 
 from tabularium.functions.expressions import label, kind_of, logistic, text_to_number
 from tabularium.functions.masking import mask
+from tabularium.functions.storage import shared_dir
 from tabularium.operators import anonymize, explain, match, metrics, model, prepare, profile, split, target
-from tabularium.plans import oracles
-from tabularium.sources import delimited, identify
+from tabularium.plans import oracles, report
+from tabularium.sources import delimited, identify, load, xlsx
 from tabularium.sources.registry import Registry, image_matches
 from tabularium.sources.synthetic import COLUMNS, generate
 
 #: Headers of the synthetic cohort.
 HEADERS = (*COLUMNS, "anxiety")
 SCORE_AT = 2000
+#: Levels from which ``one_hot_wide`` takes a column as wide, so that the smallest tables have one.
+WIDE = 150
 WEIGHTS = {"totalprice": 0.5, "custkey": -0.25, "month": 0.125}
 
 
@@ -142,6 +145,15 @@ def one_hot(name: str, key: str, column: str, spark: SparkSession, sf_dir: str)
     return prepare.applied(df, prepare.fitted(df, {column: profile.CATEGORICAL}), keep=[key])
 
 
+def one_hot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A column of very many levels: the number of the one that is hot, its name, and the width of the sparse vector."""
+    df = _t(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 != 0, F.concat(F.lit("k"), F.col("p_partkey") % 1500)).alias("level"))
+    plan = prepare.fitted(df, {"level": profile.CATEGORICAL}, most_levels=WIDE)
+    out = prepare.applied(df, plan, keep=["p_partkey"]).select("p_partkey", F.col("level").cast("long").alias("place"))
+    named = spark.createDataFrame(list(enumerate(plan.levels["level"])), "place long, level string")
+    return out.join(named, "place").select("p_partkey", "place", "level", F.lit(plan.wide["level"]).alias("width"))
+
+
 def level_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How values are named in encoded columns."""
     df = _t(spark, sf_dir, "lineitem")
@@ -290,9 +302,9 @@ def image_model_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every vector whose id is divisible by 50 the ten most similar ones."""
     df = _t(spark, sf_dir, "embeddings")
-    query = df.where("vec_id = 0").select("embedding").first()[0]
-    return _round(explain.nearest(df, query).select("vec_id", "sim"), "sim")
+    return _round(explain.nearest(df, df.where("vec_id % 50 = 0")).select(F.col("query").alias("query_id"), F.col("id").alias("vec_id"), "sim"), "sim")
 
 
 # evaluation
@@ -341,11 +353,47 @@ def predictions_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("o_orderkey", model.decided(F.col("score")).alias("y_pred"), F.round("score", 4).alias("y_score"))
 
 
-# without an oracle
+# files
 
 
 def file_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return identify.routed(identify.file_kinds(spark, [f"{sf_dir}/{n}.parquet" for n in ("region", "nation", "supplier")]))
+    """What three files hold by their bytes, and where a run takes them."""
+    found = identify.routed(identify.file_kinds(spark, [f"{sf_dir}/{n}.parquet" for n in ("region", "nation", "supplier")]))
+    return found.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.array_join("labels", ",").alias("labels"), "data_kind")
+
+
+def load_delimited(extension: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders`` written as delimited text, in parts, and loaded by its extension."""
+    path = f"{shared_dir(spark, 'orders')}{extension}"
+    table = _t(spark, sf_dir, "orders").withColumn("o_note", F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit('say "'), F.col("o_orderstatus"), F.lit('", then'))))
+    table.write.option("header", True).option("sep", "\t" if extension == ".tsv" else ",").option("escape", '"').csv(path)
+    df, _ = load.load_any(spark, path)
+    return df.select("o_orderkey", "o_custkey", "o_orderstatus", F.round("o_totalprice", 6).alias("o_totalprice"), "o_orderpriority", "o_note")
+
+
+def load_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df, _ = load.load_any(spark, f"{sf_dir}/events.parquet")
+    return df.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
+
+
+def load_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nation`` as a workbook, written and loaded."""
+    rows = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey", (F.col("n_nationkey") / 4).alias("n_quarter"), (F.col("n_nationkey") % 2 == 0).alias("n_even"))
+    df, _ = load.load_any(spark, xlsx.write(rows, f"{shared_dir(spark, 'nation')}.xlsx"))
+    return df
+
+
+def predictions_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A predictions file, written in parts and read again: features, y_true, y_pred, y_score."""
+    rows = _numbers(spark, sf_dir)
+    raw = sum((w * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0))
+    scored = rows.withColumns({"score": logistic(raw), "y": (F.col("o_orderkey") % 2).cast("int"), "split_pos": F.col("o_orderkey")}).withColumn("p", model.decided(F.col("score")))
+    path = report.write_csv(report.predictions(scored, list(WEIGHTS)), f"{shared_dir(spark, 'predictions')}.csv", single=False)
+    df, _ = load.load_any(spark, path)
+    return _round(df, *WEIGHTS, "y_score", digits=8)
+
+
+# without an oracle
 
 
 def synth_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,15 +408,15 @@ def _cohort(spark: SparkSession) -> tuple[DataFrame, list[str]]:
 
 def gbt_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, features = _cohort(spark)
-    booster = model.fit(rows.where(~F.col("is_test")), features, trees=10)
+    booster = model.fit(rows.where(~F.col("is_test")), features)
     return booster.score(rows.where("is_test")).select("_row_id", "y", "p", "score")
 
 
 def shap_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, features = _cohort(spark)
     train = rows.where(~F.col("is_test"))
-    booster = model.fit(train, features, trees=5)
-    found = explain.sampled(split.first_rows(rows.where("is_test"), "split_pos", 20), split.background(train, "_row_id", 20), features, booster.score, "_row_id", 2)
+    booster = model.fit(train, features)
+    found = explain.sampled(split.first_rows(rows.where("is_test"), "split_pos"), split.background(train, "_row_id"), features, booster.score, "_row_id")
     return explain.top(found, features)
 
 
@@ -384,12 +432,14 @@ def queries() -> dict:
         "mask_hint_supplier": partial(mask_hint_columns, "supplier"),
         "one_hot_priority": partial(one_hot, "orders", "o_orderkey", "o_orderpriority"),
         "one_hot_segment": partial(one_hot, "customer", "c_custkey", "c_mktsegment"),
+        "load_csv": partial(load_delimited, ".csv"),
+        "load_tsv": partial(load_delimited, ".tsv"),
     }
     found |= {f"profile_{t}": partial(profile_table, t) for t in PROFILED}
     found |= {f"column_types_{t}": partial(column_types, t) for t in PROFILED}
     plain = (
         pii_hits_by_label, pii_report, plan_steps, project_headers, impute_median, impute_mode, impute_mode_numeric, binary_strings, coerce_numeric,
-        csv_types, level_names, target_binary, target_binary_text, target_factorize, target_multiclass, target_auto, target_classes, stratified_split,
+        csv_types, one_hot_wide, level_names, load_parquet, load_xlsx, predictions_csv, target_binary, target_binary_text, target_factorize, target_multiclass, target_auto, target_classes, stratified_split,
         split_counts, union_of_split, kfold_assign, background_sample, explain_rows, standard_scale, prepared_matrix, header_normalize, header_ngrams,
         header_tfidf, header_similarity, header_assignment, header_assignment_orders, model_selection, registry_scan, modality_catalogue,
         image_model_match, vector_cosine_topk, confusion_matrix, classification_metrics, macro_metrics, roc_auc, cv_accuracy, linear_shap_top10,

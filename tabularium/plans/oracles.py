@@ -168,6 +168,9 @@ SELECT a.v AS y, b.v AS p, count(s.doc_id) AS n FROM lb a CROSS JOIN lb b LEFT J
 _NUMBERS = "SELECT o_orderkey, o_totalprice / 1e5 AS totalprice, o_custkey / 1e3 AS custkey, CAST(month(o_orderdate) AS DOUBLE) AS month FROM orders"
 
 
+_ORDERS = """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, o_orderpriority, CASE WHEN o_orderkey % 5 = 0 THEN 'say "' || o_orderstatus || '", then' END AS o_note FROM orders"""
+
+
 def _quoted(x: str | None) -> str:
     return "CAST(NULL AS VARCHAR)" if x is None else "'" + x.replace("'", "''") + "'"
 
@@ -194,6 +197,15 @@ def sql() -> dict[str, str]:
         "binary_strings": "SELECT l_orderkey, 0.0::DOUBLE AS l_linestatus FROM lineitem",
         "coerce_numeric": f"WITH t AS (SELECT p_partkey, trim({_TEXTS}) AS x FROM part) SELECT p_partkey, round(CASE WHEN regexp_matches(x, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') THEN try_cast(x AS DOUBLE) END, 6) AS number FROM t",
         "csv_types": "SELECT * FROM (VALUES ('whole', 'bigint'), ('whole_with_gaps', 'double'), ('fraction', 'double'), ('flag', 'boolean'), ('empty', 'double'), ('dash', 'string'), ('day', 'string')) AS t(\"column\", type)",
+        "one_hot_wide": f"""WITH g AS (SELECT p_partkey, {_gaps('p_partkey', "'k' || (p_partkey % 1500)")} AS x FROM part), f AS (SELECT p_partkey, coalesce(x, {_mode('x', 'g')}) AS level FROM g),
+l AS (SELECT level, row_number() OVER (ORDER BY level) - 1 AS place, count(*) OVER () AS width FROM (SELECT DISTINCT level FROM f))
+SELECT p_partkey, place, level, CAST(width AS INTEGER) AS width FROM f JOIN l USING (level)""",
+        "load_csv": _ORDERS,
+        "load_tsv": _ORDERS,
+        "load_parquet": "SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events",
+        "load_xlsx": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey, n_nationkey / 4e0 AS n_quarter, n_nationkey % 2 = 0 AS n_even FROM nation",
+        "predictions_csv": f"WITH x AS ({_NUMBERS}), s AS (SELECT *, 1 / (1 + exp(-(0.5 * totalprice + -0.25 * custkey + 0.125 * month))) AS score FROM x) SELECT round(totalprice, 8) AS totalprice, round(custkey, 8) AS custkey, month, o_orderkey % 2 AS y_true, CAST(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS y_pred, round(score, 4) AS y_score FROM s",
+        "file_kind": "SELECT * FROM (VALUES ('region.parquet', 'parquet', 'tabular'), ('nation.parquet', 'parquet', 'tabular'), ('supplier.parquet', 'parquet', 'tabular')) AS t(name, labels, data_kind)",
         "level_names": "SELECT \"column\", level, count(*) AS n FROM (SELECT 'l_linenumber' AS \"column\", CAST(l_linenumber AS VARCHAR) AS level FROM lineitem UNION ALL SELECT 'l_quantity', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.0' FROM lineitem UNION ALL SELECT 'l_discount', CAST(l_discount AS VARCHAR) FROM lineitem) GROUP BY ALL",
         "one_hot_priority": _one_hot("orders", "o_orderkey", "o_orderpriority"),
         "one_hot_segment": _one_hot("customer", "c_custkey", "c_mktsegment"),
@@ -229,7 +241,8 @@ model = (SELECT model FROM e WHERE n_matched = n_required ORDER BY n_matched DES
         "registry_scan": _registry(),
         "modality_catalogue": f"SELECT DISTINCT modality FROM ({_registry()}) WHERE kind = 'image'",
         "image_model_match": f"SELECT q.modality, min(r.model) AS model FROM (VALUES ('colon colonoscopy scan'), ('breast histopathology scan'), ('chest x-ray')) AS q(modality) LEFT JOIN ({_registry()}) r ON r.modality = q.modality AND r.kind = 'image' GROUP BY 1",
-        "vector_cosine_topk": "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), e), 6) AS sim FROM embeddings, q ORDER BY list_cosine_similarity(CAST(embedding AS DOUBLE[]), e) DESC LIMIT 10",
+        "vector_cosine_topk": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), s AS (SELECT q.vec_id AS query_id, v.vec_id, list_cosine_similarity(v.e, q.e) AS sim FROM v q JOIN v ON q.vec_id % 50 = 0)
+SELECT query_id, vec_id, round(sim, 6) AS sim FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, vec_id) <= 10""",
         "confusion_matrix": _CONFUSION,
         "classification_metrics": f"""WITH s AS ({_SCORED}), c AS (SELECT avg(CASE WHEN y = p THEN 1.0::DOUBLE ELSE 0 END) AS accuracy, sum(CASE WHEN y = 1 AND p = 1 THEN 1 ELSE 0 END) AS tp, sum(p) AS pp, sum(y) AS py FROM s),
 r AS (SELECT accuracy, coalesce(tp / nullif(pp, 0), 0) AS precision, coalesce(tp / nullif(py, 0), 0) AS recall FROM c)

@@ -1,7 +1,7 @@
 """The run from a file or a table to metrics, predictions and importances.
 
 A run is a fixed list of stages. A stage takes the run's state and returns what it adds; the state holds lazy tables and
-small results, and each table is a new plan. The stages' times, outcomes and failures make the trace.
+small results, and each table is a new plan. Tables that are read again are written to the shared folder, so that a lost executor costs no stage. The stages' times, outcomes and failures make the trace.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabularium.functions import storage
 from tabularium.operators import anonymize, explain, match, metrics, model, prepare, profile, split, target
 from tabularium.sources import identify, load
 from tabularium.sources.load import ROW_ID
@@ -112,8 +113,6 @@ class Pipeline:
             if name == "match" and out.selected_model is None and out.data_kind == "tabular":
                 out.trace.append({"agent": "pipeline", "status": "halted", "detail": "no model is matched in full"})
                 break
-        if out.matrix is not None:
-            out.matrix.unpersist()
         return out
 
     def _identify(self, run: Run) -> str:
@@ -170,7 +169,7 @@ class Pipeline:
             return "left to the image model"
         meta = run.preprocessing_plan["metadata"]
         table = prepare.marked(run.table, {c: m["n_null"] for c, m in meta.items()})
-        table = target.framed(table, run.target, ROW_ID, run.target_mode).persist()
+        table = storage.materialise(target.framed(table, run.target, ROW_ID, run.target_mode), "framed")
         run.n_classes = target.n_classes(table)
         rows = split.stratified(table, "y", ROW_ID, self.test_size, self.seed)
         scope = ~F.col("is_test") if self.impute_scope == "train" else None
@@ -179,9 +178,9 @@ class Pipeline:
         if not run.plan.features:
             run.plan.features = [c for c in rows.columns if c not in (ROW_ID, "y", "is_test", "split_pos")]
         run.plan = prepare.scale_fitted(rows, run.plan, ~F.col("is_test"))
-        run.matrix = split.folds(prepare.scaled(rows, run.plan), "y", ROW_ID).persist()
+        run.matrix = storage.materialise(split.folds(prepare.scaled(rows, run.plan), "y", ROW_ID), "matrix")
         run.metrics = {r[0]: r[1] for r in run.matrix.groupBy(F.when(F.col("is_test"), "n_test").otherwise("n_train")).count().collect()}
-        table.unpersist()
+        storage.drop(table)
         return f"{run.metrics.get('n_train', 0)} rows to train, {run.metrics.get('n_test', 0)} to test, {len(run.plan.features)} features, {run.n_classes} classes"
 
     def _infer(self, run: Run) -> str:
@@ -190,15 +189,15 @@ class Pipeline:
             return "left to the image model"
         from tabularium.plans.report import save_predictions
 
-        train, test, features = run.matrix.where(~F.col("is_test")), run.matrix.where("is_test"), run.plan.features
-        booster = model.fit(train, features, "y", run.n_classes, self.trees)
-        scored = booster.score(test).persist()
-        run.metrics = {"n_train": run.metrics.get("n_train", 0), "n_test": run.metrics.get("n_test", 0), "n_features": len(features), "learner": model.LEARNER}
+        train, test, features = run.matrix.where(~F.col("is_test")), run.matrix.where("is_test"), run.plan.columns
+        booster = model.fit(train, features, "y", run.n_classes, self.trees, wide=run.plan.wide)
+        scored = storage.materialise(booster.score(test), "scored")
+        run.metrics = {"n_train": run.metrics.get("n_train", 0), "n_test": run.metrics.get("n_test", 0), "n_features": len(run.plan.features), "learner": model.LEARNER}
         run.metrics |= metrics.evaluate(scored, run.n_classes)
-        run.metrics |= model.cross_validate(run.matrix, features, "fold", "y", run.n_classes, trees=self.trees)
+        run.metrics |= model.cross_validate(run.matrix, features, "fold", "y", run.n_classes, trees=self.trees, wide=run.plan.wide)
         run.predictions_path = save_predictions(scored, features, self.output_dir)
         run.explanations = self._explained(run, booster) if self.explain else {"method": "Shapley", "note": "skipped"}
-        scored.unpersist()
+        storage.drop(scored)
         return f"accuracy {run.metrics['accuracy']}, f1 {run.metrics['f1']}, auc {run.metrics['roc_auc']}"
 
     def _explained(self, run: Run, booster: model.Booster) -> dict:
@@ -206,9 +205,9 @@ class Pipeline:
             train, test = run.matrix.where(~F.col("is_test")), run.matrix.where("is_test")
             rows, pool = split.first_rows(test, "split_pos"), split.background(train, ROW_ID)
             score = booster.score if run.n_classes == 2 else lambda df: booster.score(df).withColumn("score", F.col("p").cast("double"))
-            found = explain.sampled(rows, pool, run.plan.features, score, ROW_ID).persist()
-            best = explain.top(found, run.plan.features).orderBy("rank").collect()
-            names = list(dict.fromkeys(run.plan.source.get(f, f) for f in run.plan.features))
+            found = storage.materialise(explain.sampled(rows, pool, run.plan.columns, score, ROW_ID), "importances")
+            best = explain.top(found, run.plan.columns).orderBy("rank").collect()
+            names = list(dict.fromkeys(run.plan.source.get(f, f) for f in run.plan.columns))
             summed = explain.top(explain.by_source(found, run.plan.source), names).orderBy("rank").collect()
             return {"method": "Shapley", "top10": [(r.feature, r.importance) for r in best], "top10_columns": [(r.feature, r.importance) for r in summed]}
         except Exception as error:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import json
 import os
 import shutil
@@ -11,6 +13,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabularium.functions.storage import is_local
+
 if TYPE_CHECKING:
     from tabularium.plans.pipeline import Run
 
@@ -21,16 +25,31 @@ def predictions(scored: DataFrame, features: Sequence[str]) -> DataFrame:
     return scored.orderBy("split_pos", "y").select(*columns, F.col("y").alias("y_true"), F.col("p").alias("y_pred"), F.round("score", 4).alias("y_score"))
 
 
-def write_csv(df: DataFrame, path: str) -> str:
-    """One CSV file with a header. A path on the driver's disk gets a plain file, any other a folder of parts."""
-    if "://" in path:
-        df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def write_csv(df: DataFrame, path: str, single: bool | None = None) -> str:
+    """CSV with a header: ``single`` makes one file on the driver's disk, else a folder of parts is written to whatever store ``path`` is in.
+
+    By default it is one file where driver and executors are one process and ``path`` names no store. Parts are written side by side and
+    keep the table's order; one file is their concatenation.
+    """
+    spark = df.sparkSession
+    if single is None:
+        single = "://" not in path and is_local(spark)
+    if not single:
+        df.write.mode("overwrite").option("header", True).csv(path)
         return path
-    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    if not is_local(spark):
+        raise ValueError("one file on the driver's disk needs a session in one process; write parts")
+    path = os.path.abspath(path)
+    os.makedirs(os.path.dirname(path), exist_ok=True)
     parts = f"{path}.parts"
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(f"file://{os.path.abspath(parts)}")
-    part = next(n for n in sorted(os.listdir(parts)) if n.startswith("part-"))
-    os.replace(os.path.join(parts, part), path)
+    df.write.mode("overwrite").option("header", False).csv(f"file://{parts}")
+    with open(path, "wb") as out:
+        head = io.StringIO()
+        csv.writer(head, lineterminator="\n").writerow(df.columns)
+        out.write(head.getvalue().encode())
+        for name in sorted(n for n in os.listdir(parts) if n.startswith("part-")):
+            with open(os.path.join(parts, name), "rb") as part:
+                shutil.copyfileobj(part, out)
     shutil.rmtree(parts)
     return path
 

@@ -11,9 +11,16 @@ _INTEGER = r"^[+-]?\d+$"
 _TRUE, _FALSE = ("True", "TRUE", "true"), ("False", "FALSE", "false")
 
 
-def read(spark: SparkSession, path: str, separator: str = ",", multi_line: bool = True) -> DataFrame:
-    """``multi_line`` allows line feeds inside quotes; without it Spark can split a file."""
-    options = {"header": True, "sep": separator, "quote": '"', "escape": '"', "multiLine": multi_line, "inferSchema": False, "encoding": "UTF-8"}
+def has_line_feeds(spark: SparkSession, path: str) -> bool:
+    """Whether a cell in quotes holds a line feed: then some line has an odd number of quotes, as quotes inside cells are doubled."""
+    lines = spark.read.text(path)
+    return bool(lines.where(F.regexp_count("value", F.lit('"')) % 2 == 1).limit(1).count())
+
+
+def read(spark: SparkSession, path: str, separator: str = ",", multi_line: bool | None = None) -> DataFrame:
+    """``multi_line`` allows line feeds inside quotes, and Spark cannot split such a file; by default a pass over the lines decides."""
+    whole = has_line_feeds(spark, path) if multi_line is None else multi_line
+    options = {"header": True, "sep": separator, "quote": '"', "escape": '"', "multiLine": whole, "inferSchema": False, "encoding": "UTF-8"}
     return inferred(spark.read.options(**options).csv(path))
 
 

@@ -10,14 +10,16 @@ import datetime
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.functions.ship import ship
+from tabularium.functions.storage import put
 from tabularium.sources.delimited import inferred
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -108,3 +110,47 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         raise ValueError(f"{path}: the first sheet is empty")
     names = [h if h not in (None, "") else f"Unnamed: {k}" for k, h in enumerate(head[0])]
     return inferred(cells.where("pos > 0").select(*[F.get("cells", k).alias(n) for k, n in enumerate(names)]))
+
+
+#: Rows of a sheet, the header among them.
+MOST_ROWS = 1 << 20
+
+
+def write(df: DataFrame, path: str) -> str:
+    """Writes a table as the one sheet of a workbook: numbers, booleans, all else as text. More rows than a sheet can have are an error."""
+    rows = df.limit(MOST_ROWS).collect()
+    if len(rows) >= MOST_ROWS:
+        raise ValueError(f"a sheet has {MOST_ROWS} rows at most")
+    lines = [_line(1, df.columns), *(_line(k, row) for k, row in enumerate(rows, 2))]
+    main = f'xmlns="{_MAIN[1:-1]}"'
+    relation = _RELATION[1:].partition("}")[0]
+    package = relation.replace("officeDocument", "package")
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("[Content_Types].xml", '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/><Override PartName="/xl/worksheets/sheet1.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/></Types>')
+        book.writestr("_rels/.rels", f'<Relationships xmlns="{package}"><Relationship Id="rId1" Type="{relation}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        book.writestr("xl/workbook.xml", f'<workbook {main} xmlns:r="{relation}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        book.writestr("xl/_rels/workbook.xml.rels", f'<Relationships xmlns="{package}"><Relationship Id="rId1" Type="{relation}/worksheet" Target="worksheets/sheet1.xml"/></Relationships>')
+        book.writestr("xl/worksheets/sheet1.xml", f"<worksheet {main}><sheetData>{''.join(lines)}</sheetData></worksheet>")
+    return put(df.sparkSession, path, out.getvalue())
+
+
+def _line(number: int, values: Sequence[object]) -> str:
+    cells = []
+    for k, value in enumerate(values):
+        at = f'r="{_letters(k)}{number}"'
+        if isinstance(value, bool):
+            cells.append(f'<c {at} t="b"><v>{int(value)}</v></c>')
+        elif isinstance(value, (int, float)):
+            cells.append(f"<c {at}><v>{value!r}</v></c>")
+        elif value is not None:
+            cells.append(f'<c {at} t="inlineStr"><is><t xml:space="preserve">{escape(str(value))}</t></is></c>')
+    return f'<row r="{number}">{"".join(cells)}</row>'
+
+
+def _letters(k: int) -> str:
+    out = ""
+    while k >= 0:
+        out = chr(65 + k % 26) + out
+        k = k // 26 - 1
+    return out

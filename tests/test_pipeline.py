@@ -79,7 +79,7 @@ def test_images(spark, tmp_path):
 def test_command_line(spark, tmp_path, capsys):
     path = report.write_csv(spark.createDataFrame([(1, "x"), (2, None)], "a int, b string"), str(tmp_path / "t.csv"))
     assert cli.main(["info", path]) == 0
-    assert "2 rows x 2 columns" in capsys.readouterr().out
+    assert "2 rows, 2 columns" in capsys.readouterr().out
     assert cli.main(["run", path, "--target", "zzz"]) == 2
     assert "zzz" in capsys.readouterr().err
     assert cli.main(["run", path, "--output-dir", str(tmp_path / "out")]) == 0

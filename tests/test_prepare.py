@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabularium.functions.expressions import text_to_number
-from tabularium.operators import metrics, prepare, profile, split, target
+from tabularium.operators import metrics, model, prepare, profile, split, target
 
 
 def types(df, **kinds):
@@ -40,9 +40,46 @@ def test_imputation_and_encoding(spark):
     assert prepare.modes(df, {"x": F.col("m")}) == {"x": 1.0}
     gaps = prepare.marked(df.withColumn("c", F.when(F.col("id") != 1, F.col("c"))), {"c": 1})
     assert prepare.fitted(gaps, {"c": "Categorical"}).features == ["c_10.0", "c_2.0"]
-    with pytest.raises(ValueError):
-        prepare.fitted(df, {"c": "Categorical"}, most_levels=1)
-    assert prepare.sparse_levels(df, ["c", "s"]).select("levels").first()[0].size == 4 + 2
+    wide = prepare.fitted(df, {"c": "Categorical", "s": "Categorical"}, most_levels=1)
+    assert wide.wide == {"c": 2, "s": 2} and wide.columns == ["c", "s"] and wide.features == ["c_10", "c_2", "s_F", "s_M"]
+    assert [tuple(r) for r in prepare.applied(df, wide, keep=["id"]).orderBy("id").collect()] == [(1, 0, 1), (2, 1, 0), (3, 0, 1), (4, 0, 0), (5, 1, 0)]
+
+
+def test_wide_columns_are_fitted_as_sparse_vectors(spark):
+    df = spark.range(4000).select("id", F.concat(F.lit("k"), F.col("id") % 1300).alias("c"), (F.col("id") % 1300 < 650).cast("int").alias("y"))
+    plan = prepare.fitted(df, {"c": "Categorical"})
+    assert plan.wide == {"c": 1300} and len(plan.features) == 1300 and plan.columns == ["c"]
+    rows = prepare.applied(df, plan, keep=["id", "y"])
+    unseen = prepare.applied(df.withColumn("c", F.lit("new")), plan, keep=["id", "y"])
+    assert unseen.where("c is not null").count() == 0
+    vector = model._assembled(rows, plan.columns, plan.wide).orderBy("id").select("__x").first()[0]
+    assert vector.size == 1300 and vector[plan.levels["c"].index("k0")] == 1.0
+    booster = model.fit(rows, plan.columns, trees=2, wide=plan.wide)
+    assert booster.score(unseen).count() == 4000
+
+
+def test_medians_and_modes_of_many_values(spark, monkeypatch):
+    monkeypatch.setattr(prepare, "FEW", 50)
+    for n in (1, 2, 999, 1000, 6001):
+        df = spark.range(n).select((F.pow(F.col("id") * 7919 % n, 3) - n).alias("a"), (F.col("id") % 7).cast("double").alias("b"), F.when(F.col("id") % 3 == 0, F.col("id") * 1.5).alias("c"), F.lit(None).cast("double").alias("d"), F.lit(5.0).alias("e"))
+        want = df.agg(*[F.median(c).alias(c) for c in df.columns]).first().asDict()
+        assert prepare.medians(df, {c: F.col(c) for c in df.columns}) == want
+        want = df.agg(*[F.mode(c, True).alias(c) for c in df.columns]).first().asDict()
+        assert prepare.modes(df, {c: F.col(c) for c in df.columns}) == want
+
+
+def test_places_do_not_depend_on_ranges(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 3).alias("y"))
+    few, many = (dict(split.placed(df, "y", "id", 1, "p", n=n).select("id", "p").collect()) for n in (1, 1 << 30))
+    assert few == many and split.range_digits(1 << 30) > split.RANGE_DIGITS
+
+
+def test_area_does_not_depend_on_ranges(spark):
+    df = spark.range(4000).select((F.col("id") % 2).alias("y"), ((F.col("id") * 7919) % 3001).cast("double").alias("score"))
+    assert metrics.roc_auc(df).first()[0] == pytest.approx(metrics.roc_auc(df, range_scores=3).first()[0], abs=1e-12)
+    splits = [float(k) for k in range(0, 300, 3)]
+    found = spark.range(310).select("id", metrics._range_of(F.col("id").cast("double"), splits).alias("r")).collect()
+    assert all(r.r == sum(s < r.id for s in splits) for r in found)
 
 
 def test_binary_texts_by_index(spark):
