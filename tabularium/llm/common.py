@@ -8,20 +8,21 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.functions.ship import ship
+from tabularium.functions.storage import clean_up, delete, drop, materialise, shared_dir, write
+
+__all__ = ["SPACE", "SPACE_BYTES", "WORD", "clean_up", "delete", "drop", "let", "materialise", "reserved", "shared_dir", "small_batches", "table", "trimmed", "write"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_BYTES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
-#: Rows of an Arrow batch sent to a Python worker; with texts of some hundred KB at most a batch stays near 50 MB.
+#: Rows of an Arrow batch sent to a Python worker; with texts of some hundred KB at most a batch stays near 50 MB, and Spark's own limit is 64 MB.
 ARROW_ROWS = 500
 
 
@@ -36,6 +37,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 
+def reserved(docs: DataFrame, names: Sequence[str]) -> None:
+    """Raises if the table has a column of a name that the operator needs for itself."""
+    taken = sorted(set(names) & set(docs.columns))
+    if taken:
+        raise ValueError(f"columns named {', '.join(taken)} are reserved; rename them")
+
+
 def trimmed(batches: Iterator) -> Iterator:
     """The batches; when a task has made its last one, memory it has freed goes back to the system, as workers live on."""
     try:
@@ -46,39 +54,6 @@ def trimmed(batches: Iterator) -> Iterator:
             ctypes.CDLL(None).malloc_trim(0)
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share (spark.checkpoint.dir).
-
-    Where the setting is absent, as in tests on one machine, a temporary folder is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
-    return path
-
-
-_MADE: list[str] = []
-
-
-def clean_up(spark: SparkSession) -> int:
-    """Deletes what this session has written to the shared folder, once results that read it are stored. The number of paths."""
-    count = 0
-    while _MADE:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
-        count += bool(path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True))
-    return count
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives a lost executor."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is computed once however often ``body`` names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -1,25 +1,30 @@
-"""Language-model scores from a hierarchical Pitman-Yor model.
-
-A token is seated in the restaurant of its context and, where it opens a table there, in the restaurant above. The context
-is the nearest of the ``CONTEXTS`` most frequent words among the ``REACH`` tokens before. Tokens right after such a word have a
-restaurant whose parent is the one of tokens further on; these, that of starts of texts and the one of tokens without a context share
-the parent of all, whose own parent is uniform over the training vocabulary and one unknown word.
-
-The corpus is dealt by dish, not by restaurant: seating one word in all restaurants needs that word's counts, and of the others
-only each restaurant's totals of customers and tables, a few hundred numbers. So tasks sample their words independently
-and exchange totals between rounds. Of a word with 2 to 16 customers in a restaurant the tables are kept, and Gibbs moves take
-a random customer away and seat it again; larger crowds, and restaurants that have others below them, are seated anew in every sweep, one by one
-at first and from 64 customers on in groups, from the predictive rule given all other restaurants. Discounts come from the counts of
-counts over the whole corpus. Scores use predictive probabilities averaged over the samples.
-
-1. Documents are taken in blocks of some MB within a task's rows. A block's distinct (word, context) pairs and counts
-   are dealt by ranges of the words' 64-bit hashes, so frequent words leave a block once.
-2. Each range's counts are merged and sampled.
-3. Probabilities and counts return to the blocks, in the order in which the block sent its pairs, through the shared folder; a second
-   scan sums them up by document. It must find the same rows in the same tasks, so ``docs`` must be read from storage; a
-   mismatch raises an error.
-
-What is gathered grows with the corpus; nothing but totals reaches the driver.
+"""Language-model scores from a hierarchical Pitman-Yor model of word pairs.
+
+Every word has a restaurant for the tokens that follow it; a text starts after the end of another. All these restaurants share a
+parent, the restaurant of words without context, whose own parent is uniform over the training vocabulary and one unknown word. A
+customer of a restaurant who opens a table sends a customer to the parent. So the statistics are those of all pairs of neighbouring words of the
+whole corpus, and grow with it.
+
+Seating is sampled by Gibbs moves. What the predictive rule needs of a crowd, the ``c`` customers of one word in one restaurant, is the
+number ``t`` of its tables; the sizes of the tables are integrated out. A move takes a random customer of the crowd away, who was alone with the
+probability S(c-1, t-1) / S(c, t) of generalised Stirling numbers, and seats the customer again by the predictive rule, given all other seats. A crowd of one
+has one table always. Crowds start as the predictive rule seats them one by one, from 64 customers on in growing groups. Beyond ``EXACT``
+customers the share of those alone is taken at its limit for large crowds, d (t - 1) / (c - 1).
+
+Random numbers are hashes of (pair, move), and all statistics are counted over the corpus, so scores do not depend on how rows are dealt to
+files, tasks or blocks.
+
+1. Texts become blocks of word numbers, written once.
+2. A block's distinct pairs and counts are dealt by the pairs' 64-bit hashes into buckets: a frequent word's pairs are spread over all. A bucket
+   merges its counts, and tells the restaurants' and words' first totals, of one table for each pair.
+3. In each of ``ROUNDS`` rounds, totals by word are summed in ranges of words' hashes and sent to the buckets that ask for them; a bucket
+   moves its crowds and tells how the totals change. Only crowds of two and more take part. The last round averages over ``KEEP`` samples.
+4. Each block is sent its pairs' and its words' averages, which make the predictive probabilities: (c - d t + (s + d T) p) / (s + C) with
+   the restaurant's customers C and tables T and the parent's probability p. As t and T are averages of the same samples and so are p's, a restaurant's
+   probabilities sum to one. Of the product of T and p the product of the averages is taken.
+
+Discounts come from the counts of counts of pairs, and of words by the restaurants that they are in; the strength is a parameter.
+Nothing but some totals reaches the driver.
 
 Defined results: a null text is empty and has one token, the end. A null id counts as training. Repeated rows count
 and are scored one by one. With an empty table, or without training rows, the vocabulary is empty and each token has probability 1. Other columns
@@ -28,8 +33,9 @@ are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,73 +43,130 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import materialise, shared_dir, small_batches, table, trimmed
-from tabularium.llm.hashing import slices, word_hashes
-
-CONTEXTS = 250
-#: A word can become a context if it makes this share of a block's training tokens.
-FREQUENT = 1 / 20_000
-BLOCK_BYTES = 12 << 20
-#: How far back a context word may stand.
-REACH = 8
-#: Restaurants: 0 for none of them, then the contexts as preceding words, the start of a text, the contexts further back.
-START = CONTEXTS + 1
-BITS = 9
-SMALL = 16
-MOVES = 4
-BURN, KEEP = 2, 3
+from tabularium.llm.common import delete, materialise, shared_dir, small_batches, table, trimmed, write
+from tabularium.llm.hashing import mix, slices, word_hashes
+
+BLOCK_BYTES = 8 << 20
+#: Tokens of the corpus for each bucket of pairs, and buckets for each range of words, as powers of two.
+BUCKET_BITS, RANGE_BITS = 20, 3
+ROUNDS = 2
+#: Moves of each crowd before samples are kept, samples, and moves between these.
+BURN, KEEP, BETWEEN = 12, 4, 3
 STRENGTH = 1.0
-#: The restaurants of tokens right after a context word, and the restaurant above each restaurant (0 for the parent of all).
-RIGHT_BEFORE = np.arange(1, CONTEXTS + 1)
-ABOVE = np.zeros(1 << BITS, np.int64)
-ABOVE[RIGHT_BEFORE] = START + RIGHT_BEFORE
+#: Customers up to which Stirling numbers are computed.
+EXACT = 256
 END = np.uint64(0x5851F42D4C957F2D)
+_FACTOR = 0x9E3779B97F4A7C15
+
+
+def pair_keys(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(mix(u, 31) * np.uint64(_FACTOR) + w, 32)
+
+
+def uniform(key: np.ndarray, number: int) -> np.ndarray:
+    """The key's random number of this number, in [0, 1)."""
+    return (mix(key + np.uint64(number * _FACTOR & (1 << 64) - 1), 33) >> np.uint64(11)) * 2.0**-53
+
+
+# blocks
 
 
 @dataclass
 class Block:
-    number: int
-    ids: list
+    """Distinct word hashes, sorted; the place of each token's word among them; whether each token is held out."""
+
+    words: np.ndarray
+    index: np.ndarray
     held: np.ndarray
-    doc: np.ndarray  # of each token
-    words: np.ndarray  # distinct hashes, sorted
-    word: np.ndarray  # place in words of each token
-
-    def pairs(self, contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct word << BITS | context in order, and each token's place in them."""
-        place = np.minimum(np.searchsorted(contexts, self.words), max(0, len(contexts) - 1))
-        kind = np.where(contexts[place] == self.words, place + 1, 0) if len(contexts) else np.zeros(len(self.words), np.int64)
-        kind[self.words == END] = START
-        kinds = np.concatenate([np.full(REACH, START), kind[self.word]])
-        before = kinds[REACH - 1 : -1].copy()
-        searching = before == 0
-        for back in range(2, REACH + 1):
-            found = kinds[REACH - back : -back]
-            near = searching & (found > 0)
-            before[near & (found < START)] = START + found[near & (found < START)]
-            searching &= ~near
-        return np.unique(self.word << BITS | before, return_inverse=True)
-
-
-def _block(number: int, ids: list, held: list, texts: list[bytes]) -> Block:
-    docs, hashes = [], []
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct pairs as places of context and word, in the order of their keys; these keys; each token's place in them."""
+        before = np.concatenate([[np.searchsorted(self.words, END)], self.index[:-1]])
+        keys, place = np.unique(pair_keys(self.words[before], self.words[self.index]), return_inverse=True)
+        some = np.empty(len(keys), np.int64)
+        some[place] = np.arange(len(place))
+        return before[some], self.index[some], keys, place
+
+
+def _tokens(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words, each token's place in them, and the number of tokens of each text; every text ends with END."""
+    hashes, sizes = [], []
     for a, b in slices(texts):
         doc, words = word_hashes([t.lower() for t in texts[a:b]])
-        tokens = np.empty(len(words) + b - a, np.uint64)
-        of = np.empty(len(tokens), np.int64)
-        at = np.arange(len(words)) + doc
-        ends = np.cumsum(np.bincount(doc, minlength=b - a)) + np.arange(b - a)
-        tokens[at], tokens[ends] = words, END
-        of[at], of[ends] = doc + a, np.arange(a, b)
-        docs.append(of)
+        size = np.bincount(doc, minlength=b - a) + 1
+        tokens = np.full(len(words) + b - a, END)
+        tokens[np.arange(len(words)) + doc] = words
         hashes.append(tokens)
-    words, word = np.unique(np.concatenate(hashes), return_inverse=True)
-    return Block(number, ids, np.array(held, bool), np.concatenate(docs), words, word)
+        sizes.append(size)
+    words, index = np.unique(np.concatenate(hashes), return_inverse=True)
+    return words, index.astype(np.uint32), np.concatenate(sizes).astype(np.uint32)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Block]:
-    """A task's rows in blocks that close with the row that fills them, wherever batches end."""
-    first, n, filled = TaskContext.get().partitionId() * 1_000_000, 0, 0
+def _u64(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint64)
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
+# what is sent: a kind, where to (bucket, range or block), where from, and arrays
+
+_SENT = pa.schema([("kind", pa.int32()), ("to", pa.int64()), ("of", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("stats", pa.list_(pa.float64()))])
+_SENT_SQL = "kind int, to long, of long, a binary, b binary, c binary, d binary, stats array<double>"
+#: In a bucket: its crowds, then pairs of blocks. In a range: totals and their changes, then questions; an answer goes where its question came from. For
+#: the driver: numbers. In a block: its texts, answers, values of its pairs.
+CROWDS, PAIRS, TOTALS, ANSWERS, NUMBERS, TEXTS, VALUES = range(7)
+
+
+def _message(kind: int, to: int, of: int = 0, *arrays: np.ndarray, stats: Sequence[float] | None = None) -> tuple:
+    data = [x.tobytes() for x in arrays]
+    return (kind, to, of, *data, *[None] * (4 - len(data)), list(map(float, stats)) if stats is not None else None)
+
+
+def _packed(messages: Iterator[tuple], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    size = 0
+    for m in messages:
+        held.append(m)
+        size += sum(len(x) for x in m[3:7] if x) + 64
+        if size > most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _SENT)], schema=_SENT)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _SENT)], schema=_SENT)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dict]]]:
+    """Rows by ``to``, by which they are sorted; each run must be used up before the next."""
+    rows, held = _each(batches), []
+
+    def run(to: int) -> Iterator[dict]:
+        while held and held[0]["to"] == to:
+            yield held.pop()
+            held.extend(x for x in [next(rows, None)] if x is not None)
+
+    held.extend(x for x in [next(rows, None)] if x is not None)
+    while held:
+        to = held[0]["to"]
+        yield to, run(to)
+
+
+# texts to blocks
+
+
+def _block_message(number: int, ids: list, held: list, texts: list[bytes]) -> tuple:
+    words, index, sizes = _tokens(texts)
+    flags = np.array(held, np.uint8) + 2 * np.array([x is not None for x in ids], np.uint8)
+    numbers = np.array([x or 0 for x in ids], np.int64)
+    return _message(TEXTS, number, len(index), index, words, sizes, np.concatenate([numbers.view(np.uint8), flags]))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
+    """A task's rows in blocks that close with the row that fills them."""
+    number, filled = TaskContext.get().partitionId() << 32, 0
     ids, held, texts = [], [], []
     for batch in batches:
         for key, out, text in zip(*(batch.column(c).to_pylist() for c in ("id", "held_out", "text"))):
@@ -112,277 +175,399 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[Block]:
             texts.append(text)
             filled += len(text)
             if filled >= size:
-                yield _block(first + n, ids, held, texts)
-                n, filled, ids, held, texts = n + 1, 0, [], [], []
+                yield _block_message(number, ids, held, texts)
+                number, filled, ids, held, texts = number + 1, 0, [], [], []
     if ids:
-        yield _block(first + n, ids, held, texts)
-
+        yield _block_message(number, ids, held, texts)
 
-def _frequent(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, size):
-        counts = np.bincount(block.word[~block.held[block.doc]], minlength=len(block.words))
-        some = (counts > 0) & (counts >= FREQUENT * counts.sum()) & (block.words != END)
-        yield pa.RecordBatch.from_arrays([pa.array(block.words[some].view(np.int64)), pa.array(counts[some])], names=["word", "n"])
 
+def _ids_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """Ids, and flags: 1 for held out, 2 for an id that is not null."""
+    n = len(row["d"]) // 9
+    return np.frombuffer(row["d"], np.int64, n), np.frombuffer(row["d"], np.uint8, n, 8 * n)
 
-_SENT = "bucket long, block long, words binary, sizes binary, contexts binary, counts binary"
 
+def _block_of(row: dict) -> Block:
+    _, flags = _ids_of(row)
+    return Block(_u64(row["b"]), np.frombuffer(row["a"], np.uint32), np.repeat(flags & 1 > 0, np.frombuffer(row["c"], np.uint32)))
 
-def _send(batches: Iterator[pa.RecordBatch], size: int, contexts: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    for block in blocks(batches, size):
-        keys, place = block.pairs(contexts)
-        counts = np.bincount(place[~block.held[block.doc]], minlength=len(keys)).astype(np.uint32)
-        sizes = np.bincount(keys >> BITS, minlength=len(block.words)).astype(np.uint16)
-        bucket = (block.words >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(block.words), np.int64)
-        numbers, at = np.unique(bucket, return_index=True)
-        ends = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-        own = (keys & (1 << BITS) - 1).astype(np.uint16)
-        rows = []
-        for number, a, b in zip(numbers.tolist(), at, [*at[1:], len(block.words)]):
-            x, y = ends[a], ends[b]
-            rows.append((number, block.number, block.words[a:b].tobytes(), sizes[a:b].tobytes(), own[x:y].tobytes(), counts[x:y].tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["bucket", "block", "words", "sizes", "contexts", "counts"])
 
+def _parts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
+    """(number, from, to) of the runs of sorted keys with equal leading bits."""
+    number = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    first, at = np.unique(number, return_index=True)
+    yield from zip(first.tolist(), at.tolist(), [*at[1:].tolist(), len(keys)])
 
-_MERGED = "bucket long, word binary, context binary, count binary, blocks array<long>, places array<binary>, stats array<double>"
-#: Of the statistics after those of the restaurants: training tokens, vocabulary, pairs with one and two customers, words in one and two restaurants.
-_EXTRA = 6
 
-
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
-
-    def merged() -> pa.RecordBatch:
-        words, inverse = np.unique(np.concatenate([np.frombuffer(r[2], np.uint64) for r in held]), return_inverse=True)
-        owner = np.repeat(inverse, np.concatenate([np.frombuffer(r[3], np.uint16) for r in held]))
-        context = np.concatenate([np.frombuffer(r[4], np.uint16) for r in held]).astype(np.int64)
-        keys, place = np.unique(owner << BITS | context, return_inverse=True)
-        count = np.bincount(place, np.concatenate([np.frombuffer(r[5], np.uint32) for r in held]), len(keys)).astype(np.int64)
-        word, context = keys >> BITS, keys & (1 << BITS) - 1
-        ends = np.cumsum([len(r[4]) // 2 for r in held])
-        places = [p.astype(np.uint32).tobytes() for p in np.split(place, ends[:-1])]
+def _send_pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple]:
+    for row in _each(batches):
+        block = _block_of(row)
+        u, w, keys, place = block.pairs()
+        counts = np.bincount(place[~block.held], minlength=len(keys)).astype(np.uint32)
+        for bucket, a, b in _parts(keys, bits):
+            yield _message(PAIRS, bucket, row["to"], block.words[u[a:b]], block.words[w[a:b]], counts[a:b])
+
+
+def _by_word(bits: int, words: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    for number, a, b in _parts(words, bits):
+        yield number, [words[a:b], *(v[a:b] for v in values)]
+
+
+def _summed(words: Sequence[np.ndarray], values: Sequence[Sequence[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Distinct words, sorted, and the integer sums of each list of values."""
+    distinct, place = np.unique(np.concatenate(words), return_inverse=True)
+    return distinct, [np.bincount(place, np.concatenate(v), len(distinct)).astype(np.int64) for v in values]
+
+
+def _merge(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iterator[tuple]:
+    """Of each bucket: for each block a code of each of its pairs (0 unseen, 1 a crowd of one, 2 and more the place of its crowd), the crowds, the first totals."""
+    for bucket, rows in _runs(batches):
+        blocks, us, ws, counts = [], [], [], []
+        for r in rows:
+            blocks.append(r["of"])
+            us.append(_u64(r["a"]))
+            ws.append(_u64(r["b"]))
+            counts.append(np.frombuffer(r["c"], np.uint32))
+        u, w = np.concatenate(us), np.concatenate(ws)
+        keys, place = np.unique(pair_keys(u, w), return_inverse=True)
+        some = np.empty(len(keys), np.int64)
+        some[place] = np.arange(len(place))
+        count = np.bincount(place, np.concatenate(counts), len(keys)).astype(np.int64)
+        u, w = u[some], w[some]
+        crowd = count > 1
+        code = np.where(crowd, np.cumsum(crowd) + 1, count).astype(np.uint32)
+        for block, own in zip(blocks, np.split(code[place], np.cumsum([len(x) for x in us])[:-1])):
+            yield _message(PAIRS, bucket, block, own)
+        yield _message(CROWDS, bucket, 0, keys[crowd], np.concatenate([u[crowd], w[crowd]]), count[crowd], np.ones(crowd.sum(), np.int64))
         used = count > 0
-        types = np.bincount(context[used], minlength=1 << BITS)
-        customers = np.bincount(context, count, 1 << BITS)
-        restaurants = np.bincount(word[used], minlength=len(words))
-        extra = [count.sum(), (restaurants > 0).sum(), (count == 1).sum(), (count == 2).sum(), (restaurants == 1).sum(), (restaurants == 2).sum()]
-        row = (held[0][0], word.astype(np.uint32).tobytes(), context.astype(np.uint16).tobytes(), count.tobytes(), [r[1] for r in held], places, np.concatenate([types, customers, extra]).astype(float).tolist())
-        return pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["bucket", "word", "context", "count", "blocks", "places", "stats"])
-
-    for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and held[0][0] != row[0]:
-                yield merged()
-                held = []
-            held.append(row)
-    if held:
-        yield merged()
+        one = np.ones(int(used.sum()), np.int64)
+        none = np.zeros_like(one)
+        words, sums = _summed([u[used], w[used]], [[one, none], [none, one], [none, count[used]]])
+        for number, parts in _by_word(range_bits, words, *(x.astype(np.uint64) for x in sums)):
+            yield _message(TOTALS, number, 0, *parts)
+        yield _message(NUMBERS, 0, stats=[(count == 1).sum(), (count == 2).sum(), count.sum()])
 
 
 @dataclass
-class Totals:
-    """What tasks know of the restaurants: each context's tables and training tokens, the parent's tables, discounts, vocabulary."""
+class Numbers:
+    """Of the whole corpus: tokens, vocabulary, discounts of pairs and of words, customers and tables of the parent."""
 
-    tables: np.ndarray
-    tokens_of: np.ndarray
-    parent_tables: float
-    discount: float
-    parent_discount: float
     tokens: int
     vocabulary: int
-
-    @property
-    def customers(self) -> np.ndarray:
-        """Tokens, and the tables of the restaurants below."""
-        out = self.tokens_of.astype(float)
-        out[ABOVE[RIGHT_BEFORE]] += self.tables[RIGHT_BEFORE]
-        return out
-
-    @property
-    def parent_customers(self) -> float:
-        return float(self.tables.sum() - self.tables[RIGHT_BEFORE].sum())
+    discount: float
+    parent_discount: float
+    customers: float
+    tables: float
+    strength: float
 
     @property
     def uniform(self) -> float:
         return 1 / (self.vocabulary + 1)
 
+    def parent(self, own: np.ndarray) -> np.ndarray:
+        """Probabilities without context, from customers less discounts of each word."""
+        return (own + (self.strength + self.parent_discount * self.tables) * self.uniform) / (self.strength + self.customers)
 
-def seat(count: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Tables that ``count`` customers of each dish open, where a new table weighs ``opening`` against n - discount * tables."""
-    order = np.argsort(-count, kind="stable")
-    left, weight = count[order], opening[order]
-    tables = np.ones(len(count), np.int64)
-    n = 1
-    while (m := int(np.searchsorted(-left, -n, "left"))) > 0:
-        step = 1 if n < 64 else n // 8
-        t, w = tables[:m], weight[:m]
-        chance = w / (w + n - discount * t)
-        t += rng.random(m) < chance if step == 1 else rng.binomial(np.minimum(step, left[:m] - n), chance)
-        n += step
-    out = np.empty_like(tables)
-    out[order] = tables
-    return np.where(count > 0, out, 0)
 
+def discount_of(one: float, two: float) -> float:
+    """From how many crowds have one and two customers."""
+    return float(np.clip(one / max(1.0, one + 2 * two), 0.05, 0.95))
 
-def _reseat(sizes: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> None:
-    """Gibbs move: in each row of table sizes a random customer leaves its table and is seated given the others."""
-    rows = np.arange(len(sizes))
-    total = np.cumsum(sizes, axis=1)
-    table = (total > (rng.random(len(sizes)) * total[:, -1])[:, None]).argmax(axis=1)
-    sizes[rows, table] -= 1
-    weights = np.cumsum(np.where(sizes > 0, sizes - discount, 0.0), axis=1)
-    draw = rng.random(len(sizes)) * (weights[:, -1] + opening)
-    joins = draw < weights[:, -1]
-    table = np.where(joins, (weights > draw[:, None]).argmax(axis=1), (sizes == 0).argmax(axis=1))
-    sizes[rows, table] += 1
 
+# Gibbs moves
 
-def sample(word: np.ndarray, context: np.ndarray, count: np.ndarray, totals: Totals, burn: int, keep: int, seed: int) -> tuple[np.ndarray, np.ndarray, float]:
-    """Averages over ``keep`` samples: the probability of each pair, tables of each context, tables of the parent.
 
-    ``low`` are the pairs of restaurants that have another one above them; ``mid`` are all others and those above.
-    """
-    rng = np.random.default_rng(seed)
-    d, words = totals.discount, int(word.max()) + 1
-    low = np.flatnonzero((context >= 1) & (context <= CONTEXTS))
-    top = np.flatnonzero((context < 1) | (context > CONTEXTS))
-    keys, place = np.unique(np.concatenate([word[low] << BITS | ABOVE[context[low]], word[top] << BITS | context[top]]), return_inverse=True)
-    above_low, of_top = place[: len(low)], place[len(low) :]
-    mid_word, mid_context = keys >> BITS, keys & (1 << BITS) - 1
-    own_mid = np.bincount(of_top, count[top], len(keys)).astype(np.int64)
-    used = np.flatnonzero(count[low] > 0)
-    k, c = context[low][used], count[low][used]
-    small, large = np.flatnonzero((c > 1) & (c <= SMALL)), np.flatnonzero(c > SMALL)
-    tables = np.ones(len(used), np.int64)
-    sizes = np.zeros((len(small), SMALL))
-    sizes[:, 0] = c[small]
-    opens = STRENGTH + d * totals.tables
-    shares = STRENGTH + totals.customers
-    beyond = (STRENGTH + totals.parent_discount * totals.parent_tables) * totals.uniform
-    parent_all = STRENGTH + totals.parent_customers
-    guests = own_mid + np.bincount(above_low[used], tables, len(keys)).astype(np.int64)
-    mid_tables = (guests > 0).astype(np.int64)
-    customers = np.bincount(mid_word, mid_tables, words).astype(np.int64)
-    parent = (customers > 0).astype(np.int64)
-    mean, of_context, of_parent = np.zeros(len(word)), np.zeros(1 << BITS), 0.0
-
-    def predictive() -> tuple[np.ndarray, np.ndarray]:
-        """Of the parent for each word, of the restaurants below it for each of their pairs."""
-        first = (customers - totals.parent_discount * parent + beyond) / parent_all
-        return first, (guests - d * mid_tables + opens[mid_context] * first[mid_word]) / shares[mid_context]
-
-    for sweep in range(burn + keep):
-        first, second = predictive()
-        opening = opens[k] * second[above_low[used]]
-        for _ in range(MOVES):
-            _reseat(sizes, opening[small], d, rng)
-        tables[small] = (sizes > 0).sum(axis=1)
-        tables[large] = seat(c[large], opening[large], d, rng)
-        guests = own_mid + np.bincount(above_low[used], tables, len(keys)).astype(np.int64)
-        mid_tables = seat(guests, opens[mid_context] * first[mid_word], d, rng)
-        customers = np.bincount(mid_word, mid_tables, words).astype(np.int64)
-        parent = seat(customers, np.full(words, beyond), totals.parent_discount, rng)
-        if sweep >= burn:
-            _, second = predictive()
-            own = np.zeros(len(low))
-            own[used] = c - d * tables
-            mean[low] += (own + opens[context[low]] * second[above_low]) / shares[context[low]]
-            mean[top] += second[of_top]
-            of_context += np.bincount(k, tables, 1 << BITS) + np.bincount(mid_context, mid_tables, 1 << BITS)
-            of_parent += parent.sum()
-    return mean / keep, of_context / keep, of_parent / keep
-
-
-def _unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(row["word"], np.uint32).astype(np.int64), np.frombuffer(row["context"], np.uint16).astype(np.int64), np.frombuffer(row["count"], np.int64)
+@lru_cache(maxsize=4)
+def alone_table(d: float) -> np.ndarray:
+    """[c, t]: the probability that a random one of c customers at t tables is alone, S(c-1, t-1) / S(c, t)."""
+    out = np.zeros((EXACT + 1, EXACT + 2))
+    log = np.full(EXACT + 2, -np.inf)
+    log[1] = 0.0
+    out[1, 1] = 1.0
+    t = np.arange(EXACT + 2)
+    for c in range(2, EXACT + 1):
+        stay = np.full(EXACT + 2, -np.inf)
+        stay[1:c] = np.log(c - 1 - d * t[1:c]) + log[1:c]
+        opened = np.concatenate([[-np.inf], log[:-1]])
+        grown = np.logaddexp(stay, opened)
+        out[c, 1 : c + 1] = np.exp(opened[1 : c + 1] - grown[1 : c + 1])
+        log = grown
+    return out
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        yield from batch.to_pylist()
+def alone(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    few = c <= EXACT
+    out = np.minimum(1.0, d * (t - 1) / np.maximum(1, c - 1))
+    out[few] = alone_table(d)[c[few], t[few]]
+    return out
 
 
-def _sum(df: DataFrame, name: str) -> np.ndarray:
-    """The sum, place by place, of an array column whose length is fixed."""
-    found = df.select(F.posexplode(name).alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
-    return np.array([x for _, x in sorted(map(tuple, found))])
+def seated(key: np.ndarray, c: np.ndarray, base: np.ndarray, slope: np.ndarray, d: float) -> np.ndarray:
+    """Tables of crowds whose customers come one by one; base + slope * t is the weight of a new table beside t tables."""
+    order = np.argsort(-c, kind="stable")
+    key, left, base, slope = key[order], c[order], base[order], slope[order]
+    tables = (left > 0).astype(np.int64)
+    n = 1
+    while (m := int(np.searchsorted(-left, -n, "left"))) > 0:
+        step = 1 if n < 64 else n // 8
+        t = tables[:m]
+        weight = base[:m] + slope[:m] * t
+        tables[:m] += (np.minimum(step, left[:m] - n) * weight / (weight + n - d * t) + uniform(key[:m], n)).astype(np.int64)
+        n += step
+    out = np.empty_like(tables)
+    out[order] = tables
+    return out
+
+
+def moved(key: np.ndarray, c: np.ndarray, t: np.ndarray, base: np.ndarray, slope: np.ndarray, d: float, first: int, moves: int) -> np.ndarray:
+    """Tables after Gibbs moves ``first``, ``first + 1``, ... of crowds of two and more."""
+    for k in range(first, first + moves):
+        rest = t - (uniform(key, (1 << 40) + 2 * k) < alone(c, t, d))
+        weight = base + slope * rest
+        t = rest + (uniform(key, (1 << 40) + 2 * k + 1) < weight / (weight + c - 1 - d * rest))
+    return t
+
+
+def _gibbs(batches: Iterator[pa.RecordBatch], numbers: Numbers, turn: int, last: bool, range_bits: int) -> Iterator[tuple]:
+    """Of each bucket: its crowds after a round (in the last one the tables are sums over the samples), and how totals by word change."""
+    d, scale = numbers.discount, KEEP if last else 1
+    for bucket, rows in _runs(batches):
+        crowds, words, tables, own = None, [], [], []
+        for r in rows:
+            if r["kind"] == CROWDS:
+                crowds = r
+            else:
+                words.append(_u64(r["a"]))
+                tables.append(np.frombuffer(r["b"], np.float64))
+                own.append(np.frombuffer(r["c"], np.float64))
+        key, c, t = _u64(crowds["a"]), np.frombuffer(crowds["c"], np.int64), np.frombuffer(crowds["d"], np.int64)
+        if not len(key):
+            yield _message(CROWDS, bucket, 0, key, key, c, t)
+            continue
+        u, w = np.split(_u64(crowds["b"]), 2)
+        words = np.concatenate(words)  # ranges come in order, so words are sorted
+        at = np.searchsorted(words, u)
+        first_own = np.concatenate(own)[np.searchsorted(words, w)]
+        parent = numbers.parent(first_own if turn else first_own - numbers.parent_discount)  # at first each word has a table of its own there
+        others = np.concatenate(tables)[at] - t
+        base, slope = (numbers.strength + d * others) * parent, d * parent
+        now = t if turn else seated(key, c, base, slope, d)
+        first = turn * (BURN + KEEP * BETWEEN)
+        now = moved(key, c, now, base, slope, d, first, BURN)
+        if last:
+            total = np.zeros_like(now)
+            for k in range(KEEP):
+                now = moved(key, c, now, base, slope, d, first + BURN + k * BETWEEN, BETWEEN)
+                total += now
+        else:
+            total = now
+        yield _message(CROWDS, bucket, 0, key, np.concatenate([u, w]), c, total)
+        change = total - scale * t
+        zero = np.zeros_like(change)
+        names, (by_u, by_w) = _summed([u, w], [[change, zero], [zero, change]])
+        for number, parts in _by_word(range_bits, names, by_u, by_w):
+            yield _message(TOTALS, number, 1, *parts)
+
+
+def _ask_crowds(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iterator[tuple]:
+    for row in _each(batches):
+        for number, (words,) in _by_word(range_bits, np.unique(_u64(row["b"]))):
+            yield _message(ANSWERS, number, row["to"], words)
 
 
-def _round(batches: Iterator[pa.RecordBatch], totals: Totals, seed: int) -> Iterator[pa.RecordBatch]:
+def _ask_blocks(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iterator[tuple]:
     for row in _each(batches):
-        _, tables, parent = sample(*_unpacked(row), totals, BURN, 1, seed + row["bucket"])
-        yield pa.RecordBatch.from_arrays([pa.array([[*tables.tolist(), parent]])], names=["totals"])
+        for number, (words,) in _by_word(range_bits, _u64(row["b"])):
+            yield _message(ANSWERS, number, row["to"], words)
 
 
-def _predict(batches: Iterator[pa.RecordBatch], totals: Totals, seed: int) -> Iterator[pa.RecordBatch]:
-    for row in _each(batches):
-        word, context, count = _unpacked(row)
-        mean, _, _ = sample(word, context, count, totals, BURN, KEEP, seed + row["bucket"])
-        logs = np.log10(mean).astype(np.float32)
-        of_word = np.bincount(word, count).astype(np.int64)
-        for block, packed in zip(row["blocks"], row["places"]):
-            place = np.frombuffer(packed, np.uint32)
-            own = word[place]
-            first = np.ones(len(own), bool)
-            first[1:] = own[1:] != own[:-1]
-            known = of_word[own[first]]
-            width = 4 if known.max() < 1 << 32 else 8
-            values = (block, row["bucket"], logs[place].tobytes(), known.astype(f"<u{width}").tobytes(), pa.scalar(width, pa.int32()))
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in values], names=["block", "bucket", "logs", "counts", "width"])
-
-
-def _returned(folder: str, number: int) -> tuple[np.ndarray, np.ndarray]:
-    import pyarrow.parquet as pq
-    from pyarrow import fs
-
-    system, root = fs.FileSystem.from_uri(folder)
-    rows: list[dict] = []
-    for info in system.get_file_info(fs.FileSelector(f"{root}/block={number}")):
-        if info.path.endswith(".parquet"):
-            rows += pq.ParquetFile(system.open_input_file(info.path)).read().to_pylist()
-    rows.sort(key=lambda r: r["bucket"])
-    return np.concatenate([np.frombuffer(r["logs"], np.float32) for r in rows]), np.concatenate([np.frombuffer(r["counts"], f"<u{r['width']}").astype(np.int64) for r in rows])
-
-
-def _score(batches: Iterator[pa.RecordBatch], size: int, contexts: np.ndarray, folder: str, totals: Totals) -> Iterator[pa.RecordBatch]:
-    names = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    for block in blocks(batches, size):
-        keys, place = block.pairs(contexts)
-        logs, counts = _returned(folder, block.number)
-        if len(logs) != len(keys) or len(counts) != len(block.words):
-            raise RuntimeError("the documents were not read as in the first scan; they must come from storage")
-        n = len(block.ids)
-        tokens = np.bincount(block.doc, minlength=n)
-        known = np.bincount(block.doc, counts[block.word] > 0, n).astype(np.int64)
-        base = np.bincount(block.doc, np.log10(counts + 1.0)[block.word], n) - tokens * np.log10(totals.tokens + totals.vocabulary + 1.0)
-        score = np.bincount(block.doc, logs[place], n)
-        yield pa.RecordBatch.from_arrays([pa.array(block.ids, pa.int64()), pa.array(block.held), pa.array(tokens), pa.array(known), pa.array(np.full(n, totals.tokens, np.int64)), pa.array(base), pa.array(score)], names=names)
-
-
-def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, seed: int = 1) -> DataFrame:
-    """Trains on the rows that are not ``held_out`` and scores all: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+@dataclass
+class Known:
+    """Of the words of a range, sorted: tables of their restaurants, their customers, tokens, and tables in the parent."""
+
+    words: np.ndarray
+    tables: np.ndarray
+    customers: np.ndarray
+    tokens: np.ndarray
+    seats: np.ndarray
+
+    def of(self, asked: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
+        if not len(self.words):
+            return [np.zeros(len(asked)) for _ in values]
+        at = np.minimum(np.searchsorted(self.words, asked), len(self.words) - 1)
+        found = self.words[at] == asked
+        return [np.where(found, x[at], 0.0) for x in values]
+
+
+def _known(words: list[np.ndarray], sums: list[list[np.ndarray]], scale: int, numbers: Numbers | None) -> Known:
+    if not words:
+        return Known(np.zeros(0, np.uint64), *(np.zeros(0) for _ in range(4)))
+    distinct, (tables, customers, tokens) = _summed(words, sums)
+    tables, customers = tables / scale, customers / scale
+    seats = (customers > 0).astype(float)
+    if numbers is not None:
+        d = numbers.parent_discount
+        c = np.round(customers).astype(np.int64)
+        some = np.flatnonzero(c > 1)
+        key, c = distinct[some], c[some]
+        base = np.full(len(some), (numbers.strength + d * (numbers.tables - 1)) * numbers.uniform)
+        slope = np.full(len(some), d * numbers.uniform)
+        t, total = seated(key, c, base, slope, d), np.zeros(len(some))
+        for k in range(KEEP):
+            t = moved(key, c, t, base, slope, d, k * BETWEEN, BETWEEN)
+            total += t
+        seats[some] = total / KEEP
+    return Known(distinct, tables, customers, tokens, seats)
+
+
+def _answer(batches: Iterator[pa.RecordBatch], numbers: Numbers | None, scale: int, to_blocks: bool) -> Iterator[tuple]:
+    """Of each range of words: its totals with their changes, which were multiplied by ``scale``; answers; numbers of the parent.
+
+    Totals are, by word: tables of its restaurant, its customers in the parent, tokens. Without ``numbers`` each word has one table in the parent.
+    """
+    for number, rows in _runs(batches):
+        words: list[np.ndarray] = []
+        sums: list[list[np.ndarray]] = [[], [], []]
+        known = None
+        for r in rows:  # totals come first
+            if r["kind"] == TOTALS:
+                words.append(_u64(r["a"]))
+                change = r["of"] == 1
+                parts = [np.frombuffer(r[n], np.int64) for n in "bc"] + [np.zeros(len(words[-1]), np.int64) if change else np.frombuffer(r["d"], np.int64)]
+                for k, part in enumerate(parts):
+                    sums[k].append(part if change or k == 2 else part * scale)
+                continue
+            known = known or _known(words, sums, scale, numbers)
+            asked = _u64(r["a"])
+            own = known.customers - known.seats * (numbers.parent_discount if numbers else 0.0)
+            tables, own, tokens = known.of(asked, known.tables, own, known.tokens)
+            if to_blocks:  # in the order of the block's words
+                yield _message(ANSWERS, r["of"], number, tables.astype(np.float32), own.astype(np.float32), tokens)
+            else:
+                yield _message(ANSWERS, r["of"], number, asked, tables, own)
+        known = known or _known(words, sums, scale, numbers)
+        if not to_blocks:
+            yield _message(TOTALS, number, 0, known.words, *(x.astype(np.int64) for x in (known.tables, known.customers, known.tokens)))
+        yield _message(NUMBERS, 0, stats=[(known.tokens > 0).sum(), known.customers.sum(), known.seats.sum(), (known.customers == 1).sum(), (known.customers == 2).sum()])
+
+
+# scores
+
+
+def _values(batches: Iterator[pa.RecordBatch], discount: float) -> Iterator[tuple]:
+    """Customers less discounts of each block's pairs."""
+    for bucket, rows in _runs(batches):
+        value = np.array([0.0, 1.0 - discount], np.float32)
+        for r in rows:
+            if r["kind"] == CROWDS:
+                own = np.frombuffer(r["c"], np.int64) - discount * np.frombuffer(r["d"], np.int64) / KEEP
+                value = np.concatenate([value, own.astype(np.float32)])
+            else:
+                yield _message(VALUES, r["of"], bucket, value[np.frombuffer(r["a"], np.uint32)])
+
+
+def _score(batches: Iterator[pa.RecordBatch], numbers: Numbers, token_logs: bool) -> Iterator[pa.RecordBatch]:
+    for _, rows in _runs(batches):
+        text, answers, values = None, [], []
+        for r in rows:
+            if r["kind"] == TEXTS:
+                text = r
+            elif r["kind"] == ANSWERS:
+                answers.append((np.frombuffer(r["a"], np.float32), np.frombuffer(r["b"], np.float32), np.frombuffer(r["c"], np.float64)))
+            else:
+                values.append(np.frombuffer(r["a"], np.float32))
+        block = _block_of(text)
+        u, w, _, place = block.pairs()
+        tables, own, tokens = (np.concatenate(x).astype(float) for x in zip(*answers))
+        seat = np.concatenate(values)
+        p = (seat + (numbers.strength + numbers.discount * tables[u]) * numbers.parent(own)[w]) / (numbers.strength + tokens[u])
+        logs = np.log10(p)[place]
+        base = np.log10((tokens + 1.0) / (numbers.tokens + numbers.vocabulary + 1.0))[block.index]
+        sizes = np.frombuffer(text["c"], np.uint32).astype(np.int64)
+        at = np.cumsum(sizes) - sizes
+        ids, flags = _ids_of(text)
+        columns = [pa.array(ids, mask=flags & 2 == 0), pa.array(flags & 1 > 0), pa.array(sizes), pa.array(np.add.reduceat((tokens > 0).astype(np.int64)[block.index], at)), pa.array(np.full(len(at), numbers.tokens, np.int64)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(logs, at))]
+        if token_logs:
+            columns.append(pa.array(np.split(logs, at[1:]), pa.list_(pa.float64())))
+        yield pa.RecordBatch.from_arrays(columns, names=_NAMES[: len(columns)])
+
+
+_NAMES = ["id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "token_scores"]
+_SCORES = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def _map(df: DataFrame, task) -> DataFrame:
+    return df.mapInArrow(lambda it: trimmed(_packed(task(it))), _SENT_SQL)
+
+
+def _dealt(df: DataFrame, bits: int) -> DataFrame:
+    """A partition for each bucket or range."""
+    return df.repartitionById(1 << bits, F.col("to").cast("int")).sortWithinPartitions("to", "kind", "of")
+
+
+class _Stored:
+    """Messages in the shared folder, in a folder for each kind."""
+
+    def __init__(self, messages: DataFrame, name: str) -> None:
+        self.spark = messages.sparkSession
+        self.path = shared_dir(self.spark, name)
+        write(messages, self.path, "kind")
+        self.all = self.spark.read.schema(_SENT_SQL).parquet(self.path).select(*[x.name for x in _SENT])
+
+    def of(self, kind: int) -> DataFrame:
+        return self.all.where(F.col("kind") == kind)
+
+    def numbers(self) -> list[float]:
+        """The sums of the numbers told."""
+        found = self.of(NUMBERS).select(F.posexplode("stats").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
+        return [x for _, x in sorted(map(tuple, found))]
+
+    def drop(self, *kinds: int) -> None:
+        for path in [f"{self.path}/kind={k}" for k in kinds] or [self.path]:
+            delete(self.spark, path)
+
+
+def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, strength: float = STRENGTH, rounds: int = ROUNDS, token_scores: bool = False) -> DataFrame:
+    """Trains on the rows that are not ``held_out`` and scores all: id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+
+    ``token_scores`` adds each token's log10 probability, the end's last.
+    """
     spark = docs.sparkSession
     small_batches(spark)
+    kind = _SCORES + ", token_scores array<double>" * token_scores
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    frequent = rows.mapInArrow(lambda it: trimmed(_frequent(it, block_bytes)), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = frequent.orderBy(F.desc("n"), "word").limit(CONTEXTS).collect()
-    contexts = np.sort(np.array([r.word for r in top], np.int64).view(np.uint64))
-    bits = (4 * rows.rdd.getNumPartitions() - 1).bit_length()
-    sent = rows.mapInArrow(lambda it: trimmed(_send(it, block_bytes, contexts, bits)), _SENT)
-    merged = materialise(sent.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(_merge, _MERGED), "lm-counts")
-    stats = _sum(merged, "stats")
-    if not len(stats):
-        return rows.select("id", "held_out", *[F.lit(0).cast("long").alias(n) for n in ("n_tokens", "n_known", "train_tokens")], F.lit(0.0).alias("base_score"), F.lit(0.0).alias("score"))
-    tokens, vocabulary, one, two, parent_one, parent_two = stats[-_EXTRA:]
-    discount = lambda a, b: float(np.clip(a / max(1.0, a + 2 * b), 0.05, 0.95))
-    totals = Totals(stats[: 1 << BITS], stats[1 << BITS : 2 << BITS], vocabulary, discount(one, two), discount(parent_one, parent_two), int(tokens), int(vocabulary))
-    counts = merged.select("bucket", "word", "context", "count")
-    found = _sum(counts.mapInArrow(lambda it: _round(it, totals, seed), "totals array<double>"), "totals")
-    settled = Totals(found[:-1], totals.tokens_of, float(found[-1]), totals.discount, totals.parent_discount, totals.tokens, totals.vocabulary)
-    folder = shared_dir(spark, "lm-scores")
-    back = merged.drop("stats").mapInArrow(lambda it: trimmed(_predict(it, settled, seed)), "block long, bucket long, logs binary, counts binary, width int")
-    back.repartition("block").sortWithinPartitions("block", "bucket").write.partitionBy("block").parquet(folder)
-    return rows.mapInArrow(lambda it: trimmed(_score(it, block_bytes, contexts, folder, settled)), "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    texts = materialise(_map(rows, lambda it: _blocks(it, block_bytes)), "lm-texts")
+    tokens = texts.agg(F.sum("of")).first()[0]
+    if not tokens:
+        return spark.createDataFrame([], kind)
+    bits = (tokens >> BUCKET_BITS).bit_length()
+    range_bits = max(0, bits - RANGE_BITS)
+    merged = _Stored(_map(_dealt(_map(texts, lambda it: _send_pairs(it, bits)), bits), lambda it: _merge(it, range_bits)), "lm-pairs")
+    one, two, train_tokens = merged.numbers()
+    ask = lambda crowds: _map(crowds, lambda it: _ask_crowds(it, range_bits))
+    totals = _Stored(_map(_dealt(merged.of(TOTALS).unionByName(ask(merged.of(CROWDS))), range_bits), lambda it: _answer(it, None, 1, False)), "lm-totals")
+    merged.drop(TOTALS)
+    vocabulary, customers, tables, parent_one, parent_two = totals.numbers()
+    numbers = Numbers(int(train_tokens), int(vocabulary), discount_of(one, two), discount_of(parent_one, parent_two), customers, tables, strength)
+    crowds = merged
+    for turn in range(rounds):
+        numbers, crowds, totals = _one_round(texts, crowds, totals, numbers, turn, turn + 1 == rounds, bits, range_bits)
+    values = _map(_dealt(merged.of(PAIRS).unionByName(crowds.of(CROWDS)), bits), lambda it: _values(it, numbers.discount))
+    together = texts.unionByName(totals.of(ANSWERS)).unionByName(values).repartition("to").sortWithinPartitions("to", "kind", "of")
+    return together.mapInArrow(lambda it: trimmed(_score(it, numbers, token_scores)), kind)
+
+
+def _one_round(texts: DataFrame, crowds: _Stored, totals: _Stored, numbers: Numbers, turn: int, last: bool, bits: int, range_bits: int) -> tuple[Numbers, _Stored, _Stored]:
+    """Moves all crowds and sums up their totals; in the last round the answers go to the blocks."""
+    now = _Stored(_map(_dealt(crowds.of(CROWDS).unionByName(totals.of(ANSWERS)), bits), lambda it: _gibbs(it, numbers, turn, last, range_bits)), "lm-crowds")
+    crowds.drop(CROWDS)
+    asked = _map(texts, lambda it: _ask_blocks(it, range_bits)) if last else _map(now.of(CROWDS), lambda it: _ask_crowds(it, range_bits))
+    changed = totals.of(TOTALS).unionByName(now.of(TOTALS)).unionByName(asked)
+    after = _Stored(_map(_dealt(changed, range_bits), lambda it: _answer(it, numbers, KEEP if last else 1, last)), "lm-totals")
+    totals.drop()
+    now.drop(TOTALS)
+    _, customers, tables, _, _ = after.numbers()
+    return replace(numbers, customers=customers, tables=tables), now, after
 
 
 def held_out_by_id(id_col: str = "doc_id") -> Column:

@@ -48,45 +48,67 @@ def test_held_out_texts_are_likelier_than_by_the_base(scored):
     assert all(r.score < 0 for r in rows)
 
 
-def test_same_again_for_other_blocks_and_partitions(spark, tmp_path, scored):
-    docs = stored(spark, tmp_path, ROWS)
-    again = lm.score(docs, lm.held_out_by_id(), block_bytes=10**6).collect()
-    a, b = ({(r.id, r.n_tokens): r.score for r in rows} for rows in (scored, again))
-    assert all(abs(a[k] - b[k]) <= 0.05 * abs(a[k]) + 0.05 for k in a)
-
-
-def test_probabilities_sum_to_one():
-    rng = np.random.default_rng(0)
-    kinds = np.array([0, 1, lm.START, lm.START + 1])
-    word, context = np.repeat(np.arange(60), 4), np.tile(kinds, 60)
-    count = rng.integers(0, 40, 240) * rng.integers(0, 2, 240)
-    count[word >= 50] = 0
-    types = np.bincount(context[count > 0], minlength=1 << lm.BITS).astype(float)
-    tokens_of = np.bincount(context, count, 1 << lm.BITS)
-    seen = len(set(word[count > 0]))
-    totals = lm.Totals(types, tokens_of, float(seen), 0.5, 0.5, int(count.sum()), seen)
-    for _ in range(6):
-        _, tables, parent = lm.sample(word, context, count, totals, 5, 30, 3)
-        totals = lm.Totals(tables, tokens_of, parent, 0.5, 0.5, totals.tokens, seen)
-    mean, _, _ = lm.sample(word, context, count, totals, 5, 100, 3)
-    known = np.isin(word, word[count > 0])
-    for k in kinds:
-        unknown = mean[(context == k) & ~known]
-        assert np.allclose(unknown, unknown[0])
-        assert mean[(context == k) & known].sum() + unknown[0] == pytest.approx(1, abs=0.03)
-
-
-def test_seating():
-    rng = np.random.default_rng(1)
-    count = np.array([0, 1, 2, 500, 10_000])
-    tables = lm.seat(count, np.full(5, 0.5), 0.5, rng)
-    assert tables[0] == 0 and tables[1] == 1 and (tables <= count).all() and tables[4] > tables[3] >= 2
-    sizes = np.zeros((100, lm.SMALL))
-    sizes[:, 0] = 10
-    for _ in range(30):
-        lm._reseat(sizes, np.full(100, 2.0), 0.5, rng)
-        assert (sizes.sum(axis=1) == 10).all() and (sizes >= 0).all()
-    assert 2 < (sizes > 0).sum(axis=1).mean() < 8
+def test_same_scores_for_other_files_blocks_and_buckets(spark, tmp_path, scored, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_BITS", 11)
+    monkeypatch.setattr(lm, "RANGE_BITS", 1)
+    for files, size in ((1, 10**6), (9, 500)):
+        spark.createDataFrame(ROWS, "doc_id long, text string, word string").repartition(files).write.parquet(str(tmp_path / f"t{files}"))
+        again = lm.score(spark.read.parquet(str(tmp_path / f"t{files}")), lm.held_out_by_id(), block_bytes=size).collect()
+        key = lambda r: (str(r.id), r.n_tokens, r.base_score)
+        assert [key(r) for r in sorted(again, key=key)] == [key(r) for r in sorted(scored, key=key)]
+        for a, b in zip(sorted(again, key=key), sorted(scored, key=key)):
+            assert a.score == pytest.approx(b.score, abs=1e-9)
+
+
+def test_probabilities_sum_to_one(spark, tmp_path):
+    """Of every next word, an unknown one and the end, after a frequent word, a rare one, an unknown one and at the start."""
+    rows = [*corpus(120), (1, "the the the of", "z")]
+    train = [t for _, t, _ in rows]
+    words = sorted({w.lower() for t in train for w in t.split()})
+    asked = [(10_000 + k, f"{u} {w}".strip(), "z") for k, (u, w) in enumerate((u, w) for u in ("the", "dog", words[-1], "unknown", "") for w in [*words, "unheard", ""])]
+    docs = stored(spark, tmp_path, rows + asked)
+    out = lm.score(docs, F.col("doc_id") >= 10_000, token_scores=True).where("held_out").collect()
+    scores = {r.id: r.token_scores for r in out}
+    for k, u in enumerate(("the", "dog", words[-1], "unknown", "")):
+        at = 10_000 + k * (len(words) + 2)
+        place = 1 if u else 0
+        assert sum(10 ** scores[at + j][place] for j in range(len(words) + 2)) == pytest.approx(1, abs=1e-5)
+    assert all(r.score == pytest.approx(sum(r.token_scores)) for r in out)
+
+
+def partitions(c, t, d):
+    """Generalised Stirling number: the weight of seating c customers at t tables."""
+    if c == 0 or t == 0:
+        return float(c == t)
+    return partitions(c - 1, t - 1, d) + max(0.0, c - 1 - d * t) * partitions(c - 1, t, d)
+
+
+def test_alone():
+    for d in (0.1, 0.5, 0.9):
+        table = lm.alone_table(d)
+        for c in range(2, 9):
+            for t in range(1, c + 1):
+                assert table[c, t] == pytest.approx(partitions(c - 1, t - 1, d) / partitions(c, t, d))
+    c, t = np.array([lm.EXACT, lm.EXACT + 1]), np.array([20, 20])
+    assert np.diff(lm.alone(c, t, 0.5)) == pytest.approx(0, abs=0.01)
+
+
+@pytest.mark.parametrize("base,slope,d", [(0.5, 0.1, 0.5), (3.0, 0.0, 0.8), (0.02, 0.01, 0.3)])
+def test_moves_have_the_posterior_as_their_law(base, slope, d):
+    n, c = 40_000, 6
+    key = lm.mix(np.arange(n, dtype=np.uint64), 5)
+    full = lambda x: np.full(n, x)
+    t = lm.moved(key, full(c), full(1), full(base), full(slope), d, 0, 200)
+    weight = np.array([partitions(c, k, d) * math.prod(base + slope * j for j in range(k)) for k in range(1, c + 1)])
+    assert np.allclose(np.bincount(t, minlength=c + 1)[1:] / n, weight / weight.sum(), atol=0.012)
+
+
+def test_seating_one_by_one():
+    count = np.repeat([0, 1, 2, 500, 10_000], 200)
+    key = np.arange(len(count), dtype=np.uint64)
+    tables = lm.seated(key, count, np.full(len(count), 0.5), np.zeros(len(count)), 0.5).reshape(5, 200)
+    assert (tables[0] == 0).all() and (tables[1] == 1).all() and (tables.reshape(-1) <= count).all()
+    assert 1 < tables[2].mean() < 2 < tables[3].mean() < tables[4].mean() < 100
 
 
 def test_empty_and_all_held_out(spark, tmp_path):
