@@ -517,10 +517,10 @@ class _Stored:
     def of(self, kind: int) -> DataFrame:
         return self.all.where(F.col("kind") == kind)
 
-    def numbers(self) -> list[float]:
-        """The sums of the numbers told."""
+    def numbers(self, n: int) -> list[float]:
+        """The sums of the ``n`` numbers told; zeros if none were."""
         found = self.of(NUMBERS).select(F.posexplode("stats").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
-        return [x for _, x in sorted(map(tuple, found))]
+        return [x for _, x in sorted(map(tuple, found))] or [0.0] * n
 
     def drop(self, *kinds: int) -> None:
         for path in [f"{self.path}/kind={k}" for k in kinds] or [self.path]:
@@ -543,11 +543,11 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     bits = (tokens >> BUCKET_BITS).bit_length()
     range_bits = max(0, bits - RANGE_BITS)
     merged = _Stored(_map(_dealt(_map(texts, lambda it: _send_pairs(it, bits)), bits), lambda it: _merge(it, range_bits)), "lm-pairs")
-    one, two, train_tokens = merged.numbers()
+    one, two, train_tokens = merged.numbers(3)
     ask = lambda crowds: _map(crowds, lambda it: _ask_crowds(it, range_bits))
     totals = _Stored(_map(_dealt(merged.of(TOTALS).unionByName(ask(merged.of(CROWDS))), range_bits), lambda it: _answer(it, None, 1, False)), "lm-totals")
     merged.drop(TOTALS)
-    vocabulary, customers, tables, parent_one, parent_two = totals.numbers()
+    vocabulary, customers, tables, parent_one, parent_two = totals.numbers(5)
     numbers = Numbers(int(train_tokens), int(vocabulary), discount_of(one, two), discount_of(parent_one, parent_two), customers, tables, strength)
     crowds = merged
     for turn in range(rounds):
@@ -566,7 +566,7 @@ def _one_round(texts: DataFrame, crowds: _Stored, totals: _Stored, numbers: Numb
     after = _Stored(_map(_dealt(changed, range_bits), lambda it: _answer(it, numbers, KEEP if last else 1, last)), "lm-totals")
     totals.drop()
     now.drop(TOTALS)
-    _, customers, tables, _, _ = after.numbers()
+    _, customers, tables, _, _ = after.numbers(5)
     return replace(numbers, customers=customers, tables=tables), now, after
 
 
