@@ -14,7 +14,8 @@ customers the share of those alone is taken at its limit for large crowds, d (t
 Random numbers are hashes of (pair, move), and all statistics are counted over the corpus, so scores do not depend on how rows are dealt to
 files, tasks or blocks.
 
-1. Texts become blocks of word numbers, written once.
+1. Texts become blocks of words, written once. Ranges of the words' 64-bit hashes count their words and number them, and the blocks are written anew with
+   these numbers.
 2. A block's distinct pairs and counts are dealt by the pairs' 64-bit hashes into buckets: a frequent word's pairs are spread over all. A bucket
    merges its counts, and tells the restaurants' and words' first totals, of one table for each pair.
 3. In each of ``ROUNDS`` rounds, totals by word are summed in ranges of words' hashes and sent to the buckets that ask for them; a bucket
@@ -24,7 +25,7 @@ files, tasks or blocks.
    probabilities sum to one. Of the product of T and p the product of the averages is taken.
 
 Discounts come from the counts of counts of pairs, and of words by the restaurants that they are in; the strength is a parameter.
-Nothing but some totals reaches the driver.
+Nothing but some sums over the corpus reaches the driver.
 
 Defined results: a null text is empty and has one token, the end. A null id counts as training. Repeated rows count
 and are scored one by one. With an empty table, or without training rows, the vocabulary is empty and each token has probability 1. Other columns
@@ -39,11 +40,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import delete, materialise, shared_dir, small_batches, table, trimmed, write
+from tabularium.llm.common import delete, drop, materialise, shared_dir, small_batches, table, trimmed, write
 from tabularium.llm.hashing import mix, slices, word_hashes
 
 BLOCK_BYTES = 8 << 20
@@ -55,6 +57,8 @@ BURN, KEEP, BETWEEN = 12, 4, 3
 STRENGTH = 1.0
 #: Customers up to which Stirling numbers are computed.
 EXACT = 256
+#: Bits of a word's number for its rank in its range.
+RANK_BITS = 40
 END = np.uint64(0x5851F42D4C957F2D)
 _FACTOR = 0x9E3779B97F4A7C15
 
@@ -73,20 +77,34 @@ def uniform(key: np.ndarray, number: int) -> np.ndarray:
 
 @dataclass
 class Block:
-    """Distinct word hashes, sorted; the place of each token's word among them; whether each token is held out."""
+    """The distinct words' numbers; the place of each token's word among them; the place of END; each text's tokens, whether it is held out, its id or none."""
 
-    words: np.ndarray
+    numbers: np.ndarray
     index: np.ndarray
+    end: int
+    sizes: np.ndarray
     held: np.ndarray
+    ids: pa.Array
+
+    @classmethod
+    def of(cls, row: dict) -> Block:
+        n = len(row["d"]) // 9
+        ids, flags = np.frombuffer(row["d"], np.int64, n), np.frombuffer(row["d"], np.uint8, n, 8 * n)
+        sizes = unpack(row["c"]).astype(np.int64)
+        return cls(unpack(row["b"]), unpack(row["a"]).astype(np.int64), int(row["of"]), sizes, flags & 1 > 0, pa.array(ids, mask=flags & 2 == 0))
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct pairs as places of context and word, in the order of their keys; these keys; each token's place in them."""
-        before = np.concatenate([[np.searchsorted(self.words, END)], self.index[:-1]])
-        keys, place = np.unique(pair_keys(self.words[before], self.words[self.index]), return_inverse=True)
+        before = np.concatenate([[self.end], self.index[:-1]])
+        keys, place = np.unique(pair_keys(self.numbers[before], self.numbers[self.index]), return_inverse=True)
         some = np.empty(len(keys), np.int64)
         some[place] = np.arange(len(place))
         return before[some], self.index[some], keys, place
 
+    def training(self, place: np.ndarray, n: int) -> np.ndarray:
+        """How often each of ``n`` places occurs in texts that are not held out."""
+        return np.bincount(place[~np.repeat(self.held, self.sizes)], minlength=n)
+
 
 def _tokens(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words, each token's place in them, and the number of tokens of each text; every text ends with END."""
@@ -102,8 +120,38 @@ def _tokens(texts: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return words, index.astype(np.uint32), np.concatenate(sizes).astype(np.uint32)
 
 
-def _u64(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint64)
+def pack(x: np.ndarray) -> bytes:
+    """Numbers from 0 on, in as few bytes as the largest needs, byte by byte of their places, compressed."""
+    x = np.ascontiguousarray(x, np.uint64)
+    width = (int(x.max()).bit_length() + 7) // 8 if len(x) else 0
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return len(x).to_bytes(8, "little") + bytes([width]) + _compressor().compress(planes.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    n, width = int.from_bytes(data[:8], "little"), data[8]
+    planes = np.frombuffer(_decompressor().decompress(data[9:]), np.uint8).reshape(width, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view(np.uint64).reshape(n)
+
+
+@lru_cache
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=1)
+
+
+@lru_cache
+def _decompressor() -> zstandard.ZstdDecompressor:
+    return zstandard.ZstdDecompressor()
+
+
+def floats(x: np.ndarray) -> bytes:
+    return _compressor().compress(np.ascontiguousarray(x, np.float32).tobytes())
+
+
+def unfloats(data: bytes) -> np.ndarray:
+    return np.frombuffer(_decompressor().decompress(data), np.float32).astype(float)
 
 
 def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -114,16 +162,15 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 # what is sent: a kind, where to (bucket, range or block), where from, and arrays
 
-_SENT = pa.schema([("kind", pa.int32()), ("to", pa.int64()), ("of", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("stats", pa.list_(pa.float64()))])
-_SENT_SQL = "kind int, to long, of long, a binary, b binary, c binary, d binary, stats array<double>"
+_SENT = pa.schema([("kind", pa.int32()), ("to", pa.int64()), ("of", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary()), ("stats", pa.list_(pa.float64()))])
+_SENT_SQL = "kind int, to long, of long, a binary, b binary, c binary, d binary, e binary, stats array<double>"
 #: In a bucket: its crowds, then pairs of blocks. In a range: totals and their changes, then questions; an answer goes where its question came from. For
 #: the driver: numbers. In a block: its texts, answers, values of its pairs.
 CROWDS, PAIRS, TOTALS, ANSWERS, NUMBERS, TEXTS, VALUES = range(7)
 
 
-def _message(kind: int, to: int, of: int = 0, *arrays: np.ndarray, stats: Sequence[float] | None = None) -> tuple:
-    data = [x.tobytes() for x in arrays]
-    return (kind, to, of, *data, *[None] * (4 - len(data)), list(map(float, stats)) if stats is not None else None)
+def _message(kind: int, to: int, of: int = 0, *data: bytes, stats: Sequence[float] | None = None) -> tuple:
+    return (kind, to, of, *data, *[None] * (5 - len(data)), list(map(float, stats)) if stats is not None else None)
 
 
 def _packed(messages: Iterator[tuple], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
@@ -131,7 +178,7 @@ def _packed(messages: Iterator[tuple], most: int = 8 << 20) -> Iterator[pa.Recor
     size = 0
     for m in messages:
         held.append(m)
-        size += sum(len(x) for x in m[3:7] if x) + 64
+        size += sum(len(x) for x in m[3:8] if x) + 64
         if size > most:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _SENT)], schema=_SENT)
             held, size = [], 0
@@ -158,10 +205,13 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[dic
 
 
 def _block_message(number: int, ids: list, held: list, texts: list[bytes]) -> tuple:
+    """a: index, b: words' hashes, c: sizes, d: ids and flags (1 for held out, 2 for an id), e: each word's training tokens; of: END's place."""
     words, index, sizes = _tokens(texts)
     flags = np.array(held, np.uint8) + 2 * np.array([x is not None for x in ids], np.uint8)
     numbers = np.array([x or 0 for x in ids], np.int64)
-    return _message(TEXTS, number, len(index), index, words, sizes, np.concatenate([numbers.view(np.uint8), flags]))
+    counts = np.bincount(index[~np.repeat(np.array(held, bool), sizes)], minlength=len(words))
+    end = int(np.searchsorted(words, END))
+    return _message(TEXTS, number, end, pack(index), words.tobytes(), pack(sizes), numbers.tobytes() + flags.tobytes(), pack(counts), stats=[len(index)])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
@@ -181,17 +231,6 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
         yield _block_message(number, ids, held, texts)
 
 
-def _ids_of(row: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Ids, and flags: 1 for held out, 2 for an id that is not null."""
-    n = len(row["d"]) // 9
-    return np.frombuffer(row["d"], np.int64, n), np.frombuffer(row["d"], np.uint8, n, 8 * n)
-
-
-def _block_of(row: dict) -> Block:
-    _, flags = _ids_of(row)
-    return Block(_u64(row["b"]), np.frombuffer(row["a"], np.uint32), np.repeat(flags & 1 > 0, np.frombuffer(row["c"], np.uint32)))
-
-
 def _parts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     """(number, from, to) of the runs of sorted keys with equal leading bits."""
     number = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
@@ -199,18 +238,56 @@ def _parts(keys: np.ndarray, bits: int) -> Iterator[tuple[int, int, int]]:
     yield from zip(first.tolist(), at.tolist(), [*at[1:].tolist(), len(keys)])
 
 
+def _ask_numbers(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iterator[tuple]:
+    for row in _each(batches):
+        words, counts = np.frombuffer(row["b"], np.uint64), unpack(row["e"])
+        for number, a, b in _parts(words, range_bits):
+            yield _message(PAIRS, number, row["to"], words[a:b].tobytes(), pack(counts[a:b]))
+
+
+def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Of each range of hashes: to the blocks the numbers of their words, which are range and rank, and their training tokens; words and tokens in all."""
+    for number, rows in _runs(batches):
+        blocks, words, counts = [], [], []
+        for r in rows:
+            blocks.append(r["of"])
+            words.append(np.frombuffer(r["a"], np.uint64))
+            counts.append(unpack(r["b"]))
+        distinct, rank = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.bincount(rank, np.concatenate(counts), len(distinct)).astype(np.uint64)
+        for block, own in zip(blocks, np.split(rank, np.cumsum([len(x) for x in words])[:-1])):
+            yield _message(ANSWERS, block, number, pack(own), pack(total[own]))
+        yield _message(NUMBERS, 0, stats=[(total > 0).sum(), total.sum()])
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Blocks with b: words' numbers, e: their training tokens in all."""
+    for _, rows in _runs(batches):
+        text, numbers, totals = None, [], []
+        for r in rows:
+            if r["kind"] == TEXTS:
+                text = r
+            else:
+                numbers.append(unpack(r["a"]) | np.uint64(r["of"] << RANK_BITS))
+                totals.append(unpack(r["b"]))
+        yield _message(TEXTS, text["to"], text["of"], text["a"], pack(np.concatenate(numbers)), text["c"], text["d"], pack(np.concatenate(totals)))
+
+
 def _send_pairs(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[tuple]:
     for row in _each(batches):
-        block = _block_of(row)
+        block = Block.of(row)
         u, w, keys, place = block.pairs()
-        counts = np.bincount(place[~block.held], minlength=len(keys)).astype(np.uint32)
+        counts = block.training(place, len(keys))
         for bucket, a, b in _parts(keys, bits):
-            yield _message(PAIRS, bucket, row["to"], block.words[u[a:b]], block.words[w[a:b]], counts[a:b])
+            yield _message(PAIRS, bucket, row["to"], pack(block.numbers[u[a:b]]), pack(block.numbers[w[a:b]]), pack(counts[a:b]))
 
 
-def _by_word(bits: int, words: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
-    for number, a, b in _parts(words, bits):
-        yield number, [words[a:b], *(v[a:b] for v in values)]
+def _by_range(numbers: np.ndarray, *values: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(range, ranks, values) of the runs of sorted numbers of words in one range."""
+    found, at = np.unique(numbers >> np.uint64(RANK_BITS), return_index=True)
+    rank = numbers & np.uint64((1 << RANK_BITS) - 1)
+    for k, a, b in zip(found.tolist(), at.tolist(), [*at[1:].tolist(), len(numbers)]):
+        yield k, [rank[a:b], *(v[a:b] for v in values)]
 
 
 def _summed(words: Sequence[np.ndarray], values: Sequence[Sequence[np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -219,15 +296,15 @@ def _summed(words: Sequence[np.ndarray], values: Sequence[Sequence[np.ndarray]])
     return distinct, [np.bincount(place, np.concatenate(v), len(distinct)).astype(np.int64) for v in values]
 
 
-def _merge(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iterator[tuple]:
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     """Of each bucket: for each block a code of each of its pairs (0 unseen, 1 a crowd of one, 2 and more the place of its crowd), the crowds, the first totals."""
     for bucket, rows in _runs(batches):
         blocks, us, ws, counts = [], [], [], []
         for r in rows:
             blocks.append(r["of"])
-            us.append(_u64(r["a"]))
-            ws.append(_u64(r["b"]))
-            counts.append(np.frombuffer(r["c"], np.uint32))
+            us.append(unpack(r["a"]))
+            ws.append(unpack(r["b"]))
+            counts.append(unpack(r["c"]))
         u, w = np.concatenate(us), np.concatenate(ws)
         keys, place = np.unique(pair_keys(u, w), return_inverse=True)
         some = np.empty(len(keys), np.int64)
@@ -235,17 +312,17 @@ def _merge(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iterator[tuple
         count = np.bincount(place, np.concatenate(counts), len(keys)).astype(np.int64)
         u, w = u[some], w[some]
         crowd = count > 1
-        code = np.where(crowd, np.cumsum(crowd) + 1, count).astype(np.uint32)
+        code = np.where(crowd, np.cumsum(crowd) + 1, count)
         for block, own in zip(blocks, np.split(code[place], np.cumsum([len(x) for x in us])[:-1])):
-            yield _message(PAIRS, bucket, block, own)
-        yield _message(CROWDS, bucket, 0, keys[crowd], np.concatenate([u[crowd], w[crowd]]), count[crowd], np.ones(crowd.sum(), np.int64))
+            yield _message(PAIRS, bucket, block, pack(own))
+        yield _message(CROWDS, bucket, 0, pack(u[crowd]), pack(w[crowd]), pack(count[crowd]), pack(np.ones(crowd.sum())))
         used = count > 0
         one = np.ones(int(used.sum()), np.int64)
         none = np.zeros_like(one)
-        words, sums = _summed([u[used], w[used]], [[one, none], [none, one], [none, count[used]]])
-        for number, parts in _by_word(range_bits, words, *(x.astype(np.uint64) for x in sums)):
-            yield _message(TOTALS, number, 0, *parts)
-        yield _message(NUMBERS, 0, stats=[(count == 1).sum(), (count == 2).sum(), count.sum()])
+        words, sums = _summed([u[used], w[used]], [[one, none], [none, one]])
+        for number, parts in _by_range(words, *sums):
+            yield _message(TOTALS, number, 0, *map(pack, parts))
+        yield _message(NUMBERS, 0, stats=[(count == 1).sum(), (count == 2).sum()])
 
 
 @dataclass
@@ -328,7 +405,7 @@ def moved(key: np.ndarray, c: np.ndarray, t: np.ndarray, base: np.ndarray, slope
     return t
 
 
-def _gibbs(batches: Iterator[pa.RecordBatch], numbers: Numbers, turn: int, last: bool, range_bits: int) -> Iterator[tuple]:
+def _gibbs(batches: Iterator[pa.RecordBatch], numbers: Numbers, turn: int, last: bool) -> Iterator[tuple]:
     """Of each bucket: its crowds after a round (in the last one the tables are sums over the samples), and how totals by word change."""
     d, scale = numbers.discount, KEEP if last else 1
     for bucket, rows in _runs(batches):
@@ -337,79 +414,63 @@ def _gibbs(batches: Iterator[pa.RecordBatch], numbers: Numbers, turn: int, last:
             if r["kind"] == CROWDS:
                 crowds = r
             else:
-                words.append(_u64(r["a"]))
+                words.append(unpack(r["a"]) | np.uint64(r["of"] << RANK_BITS))
                 tables.append(np.frombuffer(r["b"], np.float64))
                 own.append(np.frombuffer(r["c"], np.float64))
-        key, c, t = _u64(crowds["a"]), np.frombuffer(crowds["c"], np.int64), np.frombuffer(crowds["d"], np.int64)
-        if not len(key):
-            yield _message(CROWDS, bucket, 0, key, key, c, t)
-            continue
-        u, w = np.split(_u64(crowds["b"]), 2)
-        words = np.concatenate(words)  # ranges come in order, so words are sorted
-        at = np.searchsorted(words, u)
-        first_own = np.concatenate(own)[np.searchsorted(words, w)]
-        parent = numbers.parent(first_own if turn else first_own - numbers.parent_discount)  # at first each word has a table of its own there
-        others = np.concatenate(tables)[at] - t
-        base, slope = (numbers.strength + d * others) * parent, d * parent
-        now = t if turn else seated(key, c, base, slope, d)
-        first = turn * (BURN + KEEP * BETWEEN)
-        now = moved(key, c, now, base, slope, d, first, BURN)
-        if last:
-            total = np.zeros_like(now)
-            for k in range(KEEP):
-                now = moved(key, c, now, base, slope, d, first + BURN + k * BETWEEN, BETWEEN)
-                total += now
-        else:
-            total = now
-        yield _message(CROWDS, bucket, 0, key, np.concatenate([u, w]), c, total)
+        u, w = unpack(crowds["a"]), unpack(crowds["b"])
+        c, t = unpack(crowds["c"]).astype(np.int64), unpack(crowds["d"]).astype(np.int64)
+        total = t
+        if len(u):
+            key = pair_keys(u, w)
+            known = np.concatenate(words)  # ranges come in order, so numbers are sorted
+            customers = np.concatenate(own)[np.searchsorted(known, w)]
+            parent = numbers.parent(customers if turn else customers - numbers.parent_discount)  # at first each word has a table of its own there
+            others = np.concatenate(tables)[np.searchsorted(known, u)] - t
+            base, slope = (numbers.strength + d * others) * parent, d * parent
+            total = now = moved(key, c, t if turn else seated(key, c, base, slope, d), base, slope, d, turn * (BURN + KEEP * BETWEEN), BURN)
+            if last:
+                total = np.zeros_like(now)
+                for k in range(KEEP):
+                    now = moved(key, c, now, base, slope, d, turn * (BURN + KEEP * BETWEEN) + BURN + k * BETWEEN, BETWEEN)
+                    total += now
+        yield _message(CROWDS, bucket, 0, crowds["a"], crowds["b"], crowds["c"], pack(total))
         change = total - scale * t
         zero = np.zeros_like(change)
-        names, (by_u, by_w) = _summed([u, w], [[change, zero], [zero, change]])
-        for number, parts in _by_word(range_bits, names, by_u, by_w):
-            yield _message(TOTALS, number, 1, *parts)
+        names, sums = _summed([u, w], [[change, zero], [zero, change]])
+        for number, (rank, by_u, by_w) in _by_range(names, *sums):
+            yield _message(TOTALS, number, 1, pack(rank), by_u.tobytes(), by_w.tobytes())
 
 
-def _ask_crowds(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iterator[tuple]:
+def _ask_crowds(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for row in _each(batches):
-        for number, (words,) in _by_word(range_bits, np.unique(_u64(row["b"]))):
-            yield _message(ANSWERS, number, row["to"], words)
+        for number, (ranks,) in _by_range(np.unique(np.concatenate([unpack(row["a"]), unpack(row["b"])]))):
+            yield _message(ANSWERS, number, row["to"], pack(ranks))
 
 
-def _ask_blocks(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iterator[tuple]:
+def _ask_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for row in _each(batches):
-        for number, (words,) in _by_word(range_bits, _u64(row["b"])):
-            yield _message(ANSWERS, number, row["to"], words)
+        for number, (ranks,) in _by_range(unpack(row["b"])):
+            yield _message(ANSWERS, number, row["to"], pack(ranks))
 
 
 @dataclass
 class Known:
-    """Of the words of a range, sorted: tables of their restaurants, their customers, tokens, and tables in the parent."""
+    """By rank in a range: tables of a word's restaurant, its customers in the parent, tables in the parent."""
 
-    words: np.ndarray
     tables: np.ndarray
     customers: np.ndarray
-    tokens: np.ndarray
     seats: np.ndarray
 
-    def of(self, asked: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-        if not len(self.words):
-            return [np.zeros(len(asked)) for _ in values]
-        at = np.minimum(np.searchsorted(self.words, asked), len(self.words) - 1)
-        found = self.words[at] == asked
-        return [np.where(found, x[at], 0.0) for x in values]
-
 
-def _known(words: list[np.ndarray], sums: list[list[np.ndarray]], scale: int, numbers: Numbers | None) -> Known:
-    if not words:
-        return Known(np.zeros(0, np.uint64), *(np.zeros(0) for _ in range(4)))
-    distinct, (tables, customers, tokens) = _summed(words, sums)
-    tables, customers = tables / scale, customers / scale
+def _known(number: int, ranks: list[np.ndarray], sums: list[list[np.ndarray]], most: int, scale: int, numbers: Numbers | None) -> Known:
+    at = np.concatenate([*ranks, np.zeros(0, np.uint64)]).astype(np.int64)
+    tables, customers = (np.bincount(at, np.concatenate([*x, np.zeros(0)]), most) / scale for x in sums)
     seats = (customers > 0).astype(float)
     if numbers is not None:
         d = numbers.parent_discount
         c = np.round(customers).astype(np.int64)
         some = np.flatnonzero(c > 1)
-        key, c = distinct[some], c[some]
+        key, c = mix(some.astype(np.uint64) | np.uint64(number << RANK_BITS), 34), c[some]
         base = np.full(len(some), (numbers.strength + d * (numbers.tables - 1)) * numbers.uniform)
         slope = np.full(len(some), d * numbers.uniform)
         t, total = seated(key, c, base, slope, d), np.zeros(len(some))
@@ -417,38 +478,39 @@ def _known(words: list[np.ndarray], sums: list[list[np.ndarray]], scale: int, nu
             t = moved(key, c, t, base, slope, d, k * BETWEEN, BETWEEN)
             total += t
         seats[some] = total / KEEP
-    return Known(distinct, tables, customers, tokens, seats)
+    return Known(tables, customers, seats)
 
 
 def _answer(batches: Iterator[pa.RecordBatch], numbers: Numbers | None, scale: int, to_blocks: bool) -> Iterator[tuple]:
     """Of each range of words: its totals with their changes, which were multiplied by ``scale``; answers; numbers of the parent.
 
-    Totals are, by word: tables of its restaurant, its customers in the parent, tokens. Without ``numbers`` each word has one table in the parent.
+    Totals are, by word: tables of its restaurant, its customers in the parent. Without ``numbers`` each word has one table in the parent.
     """
     for number, rows in _runs(batches):
-        words: list[np.ndarray] = []
-        sums: list[list[np.ndarray]] = [[], [], []]
-        known = None
-        for r in rows:  # totals come first
+        ranks: list[np.ndarray] = []
+        sums: list[list[np.ndarray]] = [[], []]
+        questions: list[tuple[int, np.ndarray]] = []
+        for r in rows:
+            rank = unpack(r["a"])
             if r["kind"] == TOTALS:
-                words.append(_u64(r["a"]))
-                change = r["of"] == 1
-                parts = [np.frombuffer(r[n], np.int64) for n in "bc"] + [np.zeros(len(words[-1]), np.int64) if change else np.frombuffer(r["d"], np.int64)]
-                for k, part in enumerate(parts):
-                    sums[k].append(part if change or k == 2 else part * scale)
-                continue
-            known = known or _known(words, sums, scale, numbers)
-            asked = _u64(r["a"])
-            own = known.customers - known.seats * (numbers.parent_discount if numbers else 0.0)
-            tables, own, tokens = known.of(asked, known.tables, own, known.tokens)
+                ranks.append(rank)
+                for part, name in zip(sums, "bc"):
+                    part.append(np.frombuffer(r[name], np.int64) if r["of"] == 1 else unpack(r[name]).astype(np.int64) * scale)
+            else:
+                questions.append((r["of"], r["a"]))
+        asked = [int(unpack(q).max()) for _, q in questions]
+        most = 1 + max([-1, *asked, *(int(x.max()) for x in ranks if len(x))])
+        known = _known(number, ranks, sums, most, scale, numbers)
+        own = known.customers - known.seats * (numbers.parent_discount if numbers else 0.0)
+        for of, question in questions:
+            rank = unpack(question).astype(np.int64)
             if to_blocks:  # in the order of the block's words
-                yield _message(ANSWERS, r["of"], number, tables.astype(np.float32), own.astype(np.float32), tokens)
+                yield _message(ANSWERS, of, number, floats(known.tables[rank]), floats(own[rank]))
             else:
-                yield _message(ANSWERS, r["of"], number, asked, tables, own)
-        known = known or _known(words, sums, scale, numbers)
+                yield _message(ANSWERS, of, number, question, known.tables[rank].tobytes(), own[rank].tobytes())
         if not to_blocks:
-            yield _message(TOTALS, number, 0, known.words, *(x.astype(np.int64) for x in (known.tables, known.customers, known.tokens)))
-        yield _message(NUMBERS, 0, stats=[(known.tokens > 0).sum(), known.customers.sum(), known.seats.sum(), (known.customers == 1).sum(), (known.customers == 2).sum()])
+            yield _message(TOTALS, number, 0, pack(np.arange(most)), pack(known.tables), pack(known.customers))
+        yield _message(NUMBERS, 0, stats=[known.customers.sum(), known.seats.sum(), (known.customers == 1).sum(), (known.customers == 2).sum()])
 
 
 # scores
@@ -457,13 +519,12 @@ def _answer(batches: Iterator[pa.RecordBatch], numbers: Numbers | None, scale: i
 def _values(batches: Iterator[pa.RecordBatch], discount: float) -> Iterator[tuple]:
     """Customers less discounts of each block's pairs."""
     for bucket, rows in _runs(batches):
-        value = np.array([0.0, 1.0 - discount], np.float32)
+        value = np.array([0.0, 1.0 - discount])
         for r in rows:
             if r["kind"] == CROWDS:
-                own = np.frombuffer(r["c"], np.int64) - discount * np.frombuffer(r["d"], np.int64) / KEEP
-                value = np.concatenate([value, own.astype(np.float32)])
+                value = np.concatenate([value, unpack(r["c"]) - discount * unpack(r["d"]) / KEEP])
             else:
-                yield _message(VALUES, r["of"], bucket, value[np.frombuffer(r["a"], np.uint32)])
+                yield _message(VALUES, r["of"], bucket, floats(value[unpack(r["a"]).astype(np.int64)]))
 
 
 def _score(batches: Iterator[pa.RecordBatch], numbers: Numbers, token_logs: bool) -> Iterator[pa.RecordBatch]:
@@ -473,20 +534,17 @@ def _score(batches: Iterator[pa.RecordBatch], numbers: Numbers, token_logs: bool
             if r["kind"] == TEXTS:
                 text = r
             elif r["kind"] == ANSWERS:
-                answers.append((np.frombuffer(r["a"], np.float32), np.frombuffer(r["b"], np.float32), np.frombuffer(r["c"], np.float64)))
+                answers.append((unfloats(r["a"]), unfloats(r["b"])))
             else:
-                values.append(np.frombuffer(r["a"], np.float32))
-        block = _block_of(text)
+                values.append(unfloats(r["a"]))
+        block, tokens = Block.of(text), unpack(text["e"]).astype(float)
         u, w, _, place = block.pairs()
-        tables, own, tokens = (np.concatenate(x).astype(float) for x in zip(*answers))
-        seat = np.concatenate(values)
-        p = (seat + (numbers.strength + numbers.discount * tables[u]) * numbers.parent(own)[w]) / (numbers.strength + tokens[u])
+        tables, own = (np.concatenate(x) for x in zip(*answers))
+        p = (np.concatenate(values) + (numbers.strength + numbers.discount * tables[u]) * numbers.parent(own)[w]) / (numbers.strength + tokens[u])
         logs = np.log10(p)[place]
         base = np.log10((tokens + 1.0) / (numbers.tokens + numbers.vocabulary + 1.0))[block.index]
-        sizes = np.frombuffer(text["c"], np.uint32).astype(np.int64)
-        at = np.cumsum(sizes) - sizes
-        ids, flags = _ids_of(text)
-        columns = [pa.array(ids, mask=flags & 2 == 0), pa.array(flags & 1 > 0), pa.array(sizes), pa.array(np.add.reduceat((tokens > 0).astype(np.int64)[block.index], at)), pa.array(np.full(len(at), numbers.tokens, np.int64)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(logs, at))]
+        at = np.cumsum(block.sizes) - block.sizes
+        columns = [block.ids, pa.array(block.held), pa.array(block.sizes), pa.array(np.add.reduceat((tokens > 0).astype(np.int64)[block.index], at)), pa.array(np.full(len(at), numbers.tokens, np.int64)), pa.array(np.add.reduceat(base, at)), pa.array(np.add.reduceat(logs, at))]
         if token_logs:
             columns.append(pa.array(np.split(logs, at[1:]), pa.list_(pa.float64())))
         yield pa.RecordBatch.from_arrays(columns, names=_NAMES[: len(columns)])
@@ -536,18 +594,23 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     small_batches(spark)
     kind = _SCORES + ", token_scores array<double>" * token_scores
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    texts = materialise(_map(rows, lambda it: _blocks(it, block_bytes)), "lm-texts")
-    tokens = texts.agg(F.sum("of")).first()[0]
+    read = materialise(_map(rows, lambda it: _blocks(it, block_bytes)), "lm-words")
+    tokens = read.agg(F.sum(F.get("stats", 0))).first()[0]
     if not tokens:
         return spark.createDataFrame([], kind)
-    bits = (tokens >> BUCKET_BITS).bit_length()
+    bits = (int(tokens) >> BUCKET_BITS).bit_length()
     range_bits = max(0, bits - RANGE_BITS)
-    merged = _Stored(_map(_dealt(_map(texts, lambda it: _send_pairs(it, bits)), bits), lambda it: _merge(it, range_bits)), "lm-pairs")
-    one, two, train_tokens = merged.numbers(3)
-    ask = lambda crowds: _map(crowds, lambda it: _ask_crowds(it, range_bits))
-    totals = _Stored(_map(_dealt(merged.of(TOTALS).unionByName(ask(merged.of(CROWDS))), range_bits), lambda it: _answer(it, None, 1, False)), "lm-totals")
+    told = _Stored(_map(_dealt(_map(read, lambda it: _ask_numbers(it, range_bits)), range_bits), _number), "lm-numbers")
+    vocabulary, train_tokens = told.numbers(2)
+    joined = read.withColumn("b", F.lit(None).cast("binary")).unionByName(told.of(ANSWERS)).repartition("to").sortWithinPartitions("to", "kind", "of")
+    texts = materialise(_map(joined, _numbered), "lm-texts")
+    drop(read)
+    told.drop()
+    merged = _Stored(_map(_dealt(_map(texts, lambda it: _send_pairs(it, bits)), bits), _merge), "lm-pairs")
+    one, two = merged.numbers(2)
+    totals = _Stored(_map(_dealt(merged.of(TOTALS).unionByName(_map(merged.of(CROWDS), _ask_crowds)), range_bits), lambda it: _answer(it, None, 1, False)), "lm-totals")
     merged.drop(TOTALS)
-    vocabulary, customers, tables, parent_one, parent_two = totals.numbers(5)
+    customers, tables, parent_one, parent_two = totals.numbers(4)
     numbers = Numbers(int(train_tokens), int(vocabulary), discount_of(one, two), discount_of(parent_one, parent_two), customers, tables, strength)
     crowds = merged
     for turn in range(rounds):
@@ -559,14 +622,14 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
 
 def _one_round(texts: DataFrame, crowds: _Stored, totals: _Stored, numbers: Numbers, turn: int, last: bool, bits: int, range_bits: int) -> tuple[Numbers, _Stored, _Stored]:
     """Moves all crowds and sums up their totals; in the last round the answers go to the blocks."""
-    now = _Stored(_map(_dealt(crowds.of(CROWDS).unionByName(totals.of(ANSWERS)), bits), lambda it: _gibbs(it, numbers, turn, last, range_bits)), "lm-crowds")
+    now = _Stored(_map(_dealt(crowds.of(CROWDS).unionByName(totals.of(ANSWERS)), bits), lambda it: _gibbs(it, numbers, turn, last)), "lm-crowds")
     crowds.drop(CROWDS)
-    asked = _map(texts, lambda it: _ask_blocks(it, range_bits)) if last else _map(now.of(CROWDS), lambda it: _ask_crowds(it, range_bits))
+    asked = _map(texts, _ask_blocks) if last else _map(now.of(CROWDS), _ask_crowds)
     changed = totals.of(TOTALS).unionByName(now.of(TOTALS)).unionByName(asked)
     after = _Stored(_map(_dealt(changed, range_bits), lambda it: _answer(it, numbers, KEEP if last else 1, last)), "lm-totals")
     totals.drop()
     now.drop(TOTALS)
-    _, customers, tables, _, _ = after.numbers(5)
+    customers, tables, _, _ = after.numbers(4)
     return replace(numbers, customers=customers, tables=tables), now, after
 
 
