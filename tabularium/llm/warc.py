@@ -6,12 +6,17 @@ same file again. Of records with equal payloads (SHA-1 and length) of at least `
 largest page id is the response and the others are revisits that refer to it. Only digests are grouped; the
 few that occur twice are joined to the pages, by broadcast if Spark finds them small enough.
 
-Reading: a task takes a range of bytes of a file and scans it for gzip's magic number. A candidate counts if
-it decodes to a WARC header. A task owns the records that start in its range and reads the last one beyond
-the range's end. Within a record the writer leaves no candidate that would pass for a record.
+Reading, in two passes. In both a task takes a range of bytes of a file and owns the records that start in it; it reads the last one beyond
+the range's end. The first pass scans for gzip's magic number, decodes each candidate until its first bytes tell whether it is a WARC header, however
+long the gzip header is, and tells where the range's last record ends. A candidate inside a record, such as an archive
+that the record holds uncompressed, can pass for a record to the range that starts there; but a record of an earlier range then ends behind it.
+So the second pass begins a range where the records of all earlier ranges have ended, and reads on from record to record.
+
+Archives of other writers are read as well: record ids of any form, with or without digests and HTTP lengths. ``intact`` tells whether a
+response's payload has the digest and length that its headers name, if they do.
 
 Defined results: a null payload is the empty payload, a null url an empty one. A null page id sorts below all
-others and is read back as null. Of repeated rows with the largest id, the first read one is the response. An
+others and is read back as null, like an id that is no page's. A revisit's length and digest are those that its headers name, else null. Of repeated rows with the largest id, the first read one is the response. An
 empty table gives archives without pages and an empty result. Other columns are not read.
 """
 
@@ -19,6 +24,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -26,6 +32,7 @@ from urllib.parse import quote
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
 from tabularium.llm.common import materialise, shared_dir, small_batches, table
@@ -36,8 +43,9 @@ SPLIT = 64 << 20
 BLOCK = 1 << 20
 #: Bytes of an archive after which a task begins another one.
 ARCHIVE = 1 << 30
-#: A member's first bytes that are decoded to tell whether it is a record.
+#: Bytes by which a candidate is decoded until they tell whether it is a record.
 PROBE = 512
+_HEAD = b"WARC/"
 
 
 def payload_digest(payload: bytes) -> str:
@@ -48,9 +56,13 @@ def _record_id(page_id: int | None, row: int) -> str:
     return f"<urn:x-page:{'null' if page_id is None else page_id}:{row}>"
 
 
+_OWN_ID = re.compile(r"<urn:x-page:(\d+|-\d+|null):\d+>")
+
+
 def _page_id(record_id: str | None) -> int | None:
-    part = (record_id or "<urn:x-page:null:0>").split(":")[2]
-    return None if part == "null" else int(part)
+    """The page of a record id of this writer; null for others."""
+    own = _OWN_ID.fullmatch(record_id or "")
+    return None if own is None or own[1] == "null" else int(own[1])
 
 
 def record(page_id: int | None, row: int, url: str, payload: bytes, refers_to: str | None) -> bytes:
@@ -76,81 +88,128 @@ _URL_SAFE = ":/?#[]@!$&'()*+,;=-._~%"
 
 
 def member(content: bytes) -> bytes:
-    """A gzip member that holds no second candidate which a reader would take for a record."""
-    for level, strategy in ((6, zlib.Z_DEFAULT_STRATEGY), (9, zlib.Z_DEFAULT_STRATEGY), (9, zlib.Z_HUFFMAN_ONLY)):
-        packer = zlib.compressobj(level, zlib.DEFLATED, 31, 8, strategy)
-        out = packer.compress(content) + packer.flush()
-        at = out.find(MAGIC, 1)
-        while at >= 0 and not is_record(out[at : at + PROBE]):
-            at = out.find(MAGIC, at + 1)
-        if at < 0:
-            break
-    return out
-
-
-def is_record(data: bytes) -> bool:
-    """Whether a gzip member whose first bytes are ``data`` begins with a WARC header."""
-    try:
-        return zlib.decompressobj(31).decompress(data, 16).startswith(b"WARC/1.")
-    except zlib.error:
-        return False
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(content) + packer.flush()
 
 
 def parse(content: bytes) -> tuple[dict[str, str], bytes]:
     """Header fields, names in lower case, and the block."""
     head, _, rest = content.partition(b"\r\n\r\n")
-    fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    fields = {k.lower(): v for k, v in fields.items()}
-    block = rest[: int(fields["content-length"])]
-    if len(block) < int(fields["content-length"]):
+    fields = _fields(head)
+    length = int(fields.get("content-length", len(rest)))
+    if len(rest) < length:
         raise ValueError("a record is cut off")
-    return fields, block
+    return fields, rest[:length]
+
+
+def _fields(head: bytes) -> dict[str, str]:
+    """Of header lines after the first; a line that begins with a space goes on with the one before."""
+    out: dict[str, str] = {}
+    name = ""
+    for line in head.decode("utf-8", "replace").split("\n")[1:]:
+        if line[:1] in (" ", "\t") and name:
+            out[name] += " " + line.strip()
+        elif ":" in line:
+            name, _, value = line.partition(":")
+            name = name.strip().lower()
+            out[name] = value.strip()
+    return out
 
 
-def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(place, content) of the records that start in a range of a seekable file."""
-    size = file.size()
-    at, held, base = start, b"", start  # held: bytes of the file from base on
+class Window:
+    """A seekable file's bytes from a place on, read ahead by blocks."""
+
+    def __init__(self, file) -> None:
+        self.file, self.size, self.held, self.base = file, file.size(), b"", 0
+
+    def get(self, start: int, end: int) -> bytes:
+        """The bytes of the file between two places, fewer at its end; what is before ``start`` is forgotten."""
+        if start < self.base or start > self.base + len(self.held):
+            self.held, self.base = b"", start
+        elif start - self.base > BLOCK:
+            self.held, self.base = self.held[start - self.base :], start
+        while self.base + len(self.held) < min(end, self.size):
+            at = self.base + len(self.held)
+            self.held += self.file.read_at(min(BLOCK, self.size - at), at)
+        return self.held[start - self.base : end - self.base]
+
+
+def is_record(window: Window, at: int) -> bool:
+    """Whether a gzip member at ``at`` begins with a WARC header."""
+    decoder, out = zlib.decompressobj(31), b""
+    try:
+        while len(out) < len(_HEAD) and not decoder.eof and at < window.size:
+            out += decoder.decompress(window.get(at, at + PROBE), len(_HEAD))
+            at += PROBE
+    except zlib.error:
+        return False
+    return out.startswith(_HEAD)
+
+
+def unpacked(window: Window, at: int) -> tuple[list[bytes], int]:
+    """The content of the member at ``at`` in parts, and where it ends; raises if it is damaged or cut off."""
+    decoder, parts = zlib.decompressobj(31), []
+    while not decoder.eof:
+        chunk = window.get(at, at + BLOCK)
+        if not chunk:
+            raise ValueError(f"a member is cut off at {at}")
+        parts.append(decoder.decompress(chunk))
+        at += len(chunk)
+    return parts, at - len(decoder.unused_data)
 
-    def need(upto: int) -> None:
-        nonlocal held
-        while base + len(held) < min(upto, size):
-            held += file.read_at(min(BLOCK, size - base - len(held)), base + len(held))
 
+def candidates(window: Window, at: int, end: int) -> Iterator[int]:
+    """Places of records between two places, as far as their first bytes tell; send() the place to go on from."""
     while at < end:
-        held, base = held[at - base :], at
-        need(at + 2 * PROBE)
-        found = held.find(MAGIC)
+        found = window.get(at, at + BLOCK).find(MAGIC)
         if found < 0:
-            at = base + max(1, len(held) - len(MAGIC) + 1)
-            if base + len(held) >= size:
+            if at + BLOCK >= window.size:
                 return
+            at += BLOCK - len(MAGIC) + 1
             continue
-        at = base + found
+        at += found
         if at >= end:
             return
-        need(at + PROBE)
-        if not is_record(held[found : found + PROBE]):
-            at += 1
-            continue
-        decoder, parts, pos = zlib.decompressobj(31), [], at
-        chunk = held[found:]
-        while not decoder.eof:
-            if not chunk:
-                raise ValueError(f"the member at {at} is cut off")
-            parts.append(decoder.decompress(chunk))
-            pos += len(chunk)
-            if not decoder.eof:
-                chunk = file.read_at(min(BLOCK, max(0, size - pos)), pos)
-                held, base = chunk, pos
+        after = (yield at) if is_record(window, at) else None
+        at = at + 1 if after is None else after
+
+
+def last_end(file, start: int, end: int) -> int:
+    """Where the last record that starts in the range ends, ``start`` if there is none. A candidate that does not decode is none."""
+    window, upto = Window(file), start
+    found = candidates(window, start, end)
+    at = next(found, None)
+    while at is not None:
+        try:
+            after = unpacked(window, at)[1]
+            upto = max(upto, after)
+        except (zlib.error, ValueError):
+            after = at + 1
+        try:
+            at = found.send(after)
+        except StopIteration:
+            return upto
+    return upto
+
+
+def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
+    """(place, content) of the records that start in a range whose first one is the first to be found."""
+    window = Window(file)
+    found = candidates(window, start, end)
+    at = next(found, None)
+    while at is not None:
+        parts, after = unpacked(window, at)
         yield at, b"".join(parts)
-        at = pos - len(decoder.unused_data)
+        try:
+            at = found.send(after)
+        except StopIteration:
+            return
 
 
 def _file_system(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(re.sub("^s3a:", "s3:", uri))
 
 
 _WRITTEN = pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())])
@@ -206,10 +265,33 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     return materialise(joined.mapInArrow(lambda it: _write(it, folder), "path string, bytes long, records long"), "warc-written")
 
 
-_READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("payload", pa.binary())])
-
-
-def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.RecordBatch]:
+_READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("intact", pa.bool_()), ("payload", pa.binary())])
+_READ_SQL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long, record_id string, refers_to_id string, intact boolean"
+
+
+def _row(fields: dict[str, str], block: bytes) -> tuple:
+    """The columns of a record but for its place."""
+    kind, payload, length = fields["warc-type"], block, None
+    if fields.get("content-type", "application/http").lower().startswith("application/http"):
+        http, _, payload = block.partition(b"\r\n\r\n")
+        told = _fields(http).get("content-length", "")
+        length = int(told) if told.isdigit() else None
+    told = fields.get("warc-payload-digest", "")
+    digest = told.partition(":")[2] if ":" in told else told
+    intact = None
+    if kind == "response":
+        intact = length in (None, len(payload))
+        if told.lower().startswith("sha1:") or not told:
+            own = payload_digest(payload)
+            intact = intact and digest.upper() in ("", own)
+            digest = own
+        length = len(payload)
+    refers_to = fields.get("warc-refers-to")
+    url = fields.get("warc-target-uri", "").removeprefix("<").removesuffix(">")
+    return _page_id(fields.get("warc-record-id")), url, length, digest or None, kind, _page_id(refers_to), fields.get("warc-record-id"), refers_to, intact, payload
+
+
+def _read(batches: Iterator[pa.RecordBatch], with_payload: bool, strict: bool) -> Iterator[pa.RecordBatch]:
     schema = _READ if with_payload else pa.schema(list(_READ)[:-1])
     for batch in batches:
         for path, start, end in zip(*(batch.column(n).to_pylist() for n in ("path", "start", "end"))):
@@ -219,15 +301,12 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
             with system.open_input_file(name) as file:
                 for at, content in members(file, start, end):
                     fields, block = parse(content)
-                    if fields["warc-type"] not in ("response", "revisit"):
+                    if fields.get("warc-type") not in ("response", "revisit"):
                         continue
-                    http, _, payload = block.partition(b"\r\n\r\n")
-                    length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
-                    digest = fields["warc-payload-digest"].removeprefix("sha1:")
-                    if fields["warc-type"] == "response" and (len(payload) != length or payload_digest(payload) != digest):
-                        raise ValueError(f"{path} at {at}: the payload is not the one written")
-                    refers_to = _page_id(fields["warc-refers-to"]) if "warc-refers-to" in fields else None
-                    rows.append((_page_id(fields["warc-record-id"]), fields["warc-target-uri"], length, digest, fields["warc-type"], refers_to, path, at, payload)[: len(schema)])
+                    *head, record_id, refers_to, intact, payload = _row(fields, block)
+                    if strict and intact is False:
+                        raise ValueError(f"{path} at {at}: the payload is not the one that its headers name")
+                    rows.append((*head, path, at, record_id, refers_to, intact, payload)[: len(schema)])
                     size += len(payload)
                     if size > 16 << 20 or len(rows) > 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -236,19 +315,33 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool) -> Iterator[pa.
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
-def read(files: DataFrame, split: int = SPLIT, with_payload: bool = True) -> DataFrame:
-    """The response and revisit records of ``files``, which has path and bytes."""
-    small_batches(files.sparkSession)
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        paths, starts, ends = (batch.column(n).to_pylist() for n in ("path", "start", "end"))
+        found = []
+        for path, start, end in zip(paths, starts, ends):
+            system, name = _file_system(path)
+            with system.open_input_file(name) as file:
+                found.append(last_end(file, start, end))
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(starts, pa.int64()), pa.array(ends, pa.int64()), pa.array(found, pa.int64())], names=["path", "start", "end", "upto"])
+
+
+def read(files: DataFrame, split: int = SPLIT, with_payload: bool = True, strict: bool = False) -> DataFrame:
+    """The response and revisit records of ``files``, which has path and bytes. ``strict`` raises for a payload that is not intact."""
+    spark = files.sparkSession
+    small_batches(spark)
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long")))
     splits = files.select("path", starts.alias("start")).withColumn("end", F.col("start") + split)
-    count = files.select(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
-    kind = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long" + ", payload binary" * with_payload
-    return splits.repartition(int(count)).mapInArrow(lambda it: _read(it, with_payload), kind)
+    count = int(files.select(F.sum(F.greatest(F.ceil(F.col("bytes") / split), F.lit(1)))).first()[0] or 1)
+    ends = materialise(splits.repartition(count).mapInArrow(_ends, "path string, start long, end long, upto long"), "warc-ends")
+    earlier = Over.partitionBy("path").orderBy("start").rowsBetween(Over.unboundedPreceding, -1)  # a row for each split of a file
+    exact = ends.withColumn("start", F.greatest("start", F.coalesce(F.max("upto").over(earlier), F.lit(0)))).where(F.col("start") < F.col("end")).select("path", "start", "end")
+    return exact.repartition(count).mapInArrow(lambda it: _read(it, with_payload, strict), _READ_SQL + ", payload binary" * with_payload)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write(table(spark, sf_dir, "pages"), shared_dir(spark, "warc"))
-    return read(files, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(files, with_payload=False, strict=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """

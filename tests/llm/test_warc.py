@@ -54,26 +54,83 @@ class File(pa.BufferReader):
     pass
 
 
+def by_ranges(data, step):
+    """What two passes over ranges of ``step`` bytes find."""
+    out, upto = [], 0
+    for at in range(0, len(data), step):
+        begin = max(at, upto)
+        if begin < at + step:
+            out += [c for _, c in warc.members(File(data), begin, at + step)]
+        upto = max(upto, warc.last_end(File(data), at, at + step))
+    return out
+
+
+def named(content, name):
+    """A gzip member with a file name in its header."""
+    plain = warc.member(content)
+    return plain[:3] + bytes([plain[3] | 8]) + plain[4:10] + name + b"\0" + plain[10:]
+
+
 def test_members_by_range():
     contents = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % n + bytes(k * 7 % 256 for k in range(n)) + b"\r\n\r\n" for n in (0, 10, 5000, 3)]
-    trap = zlib.compressobj(0, zlib.DEFLATED, 31)
-    inner = warc.member(contents[1])
-    outer = trap.compress(b"not a record " + inner) + trap.flush()
     data = b"".join(map(warc.member, contents))
     for step in (1, 7, 100, len(data)):
-        found = [c for at in range(0, len(data), step) for _, c in warc.members(File(data), at, at + step)]
-        assert found == contents
-    assert [c for _, c in warc.members(File(b"junk\x1f\x8b\x08junk" + data), 0, 10**6)] == contents
-    assert outer.find(inner) > 0
-
-
-def test_no_second_candidate_in_a_member():
-    inner = warc.member(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n")
-    packed = warc.member(b"WARC/1.1\r\n\r\n" + inner * 50 + hashlib.shake_128(b"x").digest(20_000) + inner)
-    at = packed.find(warc.MAGIC, 1)
-    while at >= 0:
-        assert not warc.is_record(packed[at : at + warc.PROBE])
-        at = packed.find(warc.MAGIC, at + 1)
+        assert by_ranges(data, step) == contents
+    assert by_ranges(b"junk\x1f\x8b\x08junk" + data, 10**6) == contents
+
+
+def test_an_archive_inside_a_record_at_every_split():
+    """Stored without compression, so that its records' first bytes stand in the file; whole, cut off, and in a record that spans splits."""
+    head = lambda n: b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % n
+    inner = warc.member(head(3) + b"abc\r\n\r\n")
+    packer = zlib.compressobj(0, zlib.DEFLATED, 31)
+    block = inner * 3 + b"x" * 50 + inner[:-9]
+    outer = packer.compress(head(len(block)) + block + b"\r\n\r\n") + packer.flush()
+    assert inner in outer
+    data = warc.member(head(1) + b"a\r\n\r\n") + outer + warc.member(head(1) + b"z\r\n\r\n")
+    whole = by_ranges(data, len(data))
+    assert len(whole) == 3
+    for step in range(1, len(data) + 1):
+        assert by_ranges(data, step) == whole
+
+
+def test_long_headers():
+    content = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    for size in (0, 600, 5000, 200_000):
+        data = warc.member(content) + named(content, b"n" * size) + warc.member(content)
+        for step in (64, 1000, len(data)):
+            assert by_ranges(data, step) == [content] * 3
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    def made(kind, record_id, block, *lines):
+        return "\r\n".join(["WARC/1.0", f"WARC-Type: {kind}", f"WARC-Record-ID: {record_id}", f"Content-Length: {len(block)}", *lines]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    uuid = "<urn:uuid:8f3c7d5e-0000-4000-8000-00000000000{}>"
+    http = b"HTTP/1.1 200 OK\r\n\r\npayload"
+    good = base64.b32encode(hashlib.sha1(b"payload").digest()).decode()
+    records = [
+        made("warcinfo", uuid.format(0), b"x"),
+        made("response", uuid.format(1), http, "Content-Type: application/http; msgtype=response", "WARC-Target-URI: <http://a/>"),
+        made("response", uuid.format(2), http, "content-type:application/http", f"WARC-Payload-Digest: sha1:{good}", "X-Note: one", "  and more"),
+        made("response", uuid.format(3), http, "Content-Type: application/http", "WARC-Payload-Digest: sha1:" + "A" * 32),
+        made("response", uuid.format(4), b"dns answer", "Content-Type: text/dns"),
+        made("revisit", uuid.format(5), b"HTTP/1.1 304 Not Modified\r\n\r\n", "Content-Type: application/http", f"WARC-Refers-To: {uuid.format(1)}"),
+        made("request", uuid.format(6), b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http"),
+    ]
+    data = b"".join(map(warc.member, records))
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    files = spark.createDataFrame([(f"file://{tmp_path}/x.warc.gz", len(data))], "path string, bytes long")
+    for split in (100, 1 << 20):
+        rows = sorted(warc.read(files, split=split).collect(), key=lambda r: r.record_id)
+        assert [(r.page_id, r.record_type, r.payload_bytes, r.payload_digest, r.intact) for r in rows] == [
+            (None, "response", 7, good, True), (None, "response", 7, good, True), (None, "response", 7, good, False),
+            (None, "response", 10, warc.payload_digest(b"dns answer"), True), (None, "revisit", None, None, None),
+        ]
+        assert rows[0].url == "http://a/" and rows[4].refers_to_id == uuid.format(1) and rows[4].refers_to is None
+        assert bytes(rows[0].payload) == b"payload"
+    with pytest.raises(Exception, match="is not the one"):
+        warc.read(files, strict=True).collect()
 
 
 def test_damage_is_noticed():
