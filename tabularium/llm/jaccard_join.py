@@ -7,12 +7,14 @@ similarity of 0.8 or more. A text of one to four words is one shingle.
    sorted sets) form a class, and only a representative of it goes on.
 2. Representatives that agree in a band of four values meet in a bucket. With 32 bands, all values, a pair at similarity
    0.8 is missed with a probability of (1 - 0.8^4)^32 = 4.8e-8. A pair belongs to the first band it agrees in.
-3. Buckets are cut into blocks and a task takes a pair of blocks, so no bucket, however large, lands in one task.
+3. Buckets are cut into blocks and a task takes pairs of blocks, so no bucket, however large, lands in one task. A bucket of up to
+   ``WAYS * MOST`` representatives has ``WAYS`` blocks at most, so that it sends no row more than ``WAYS`` times. The pairs of blocks of a bucket are
+   dealt to the partitions one after the other.
    A pair's signatures are compared 16 values at a time; it is dropped as soon as the posterior probability, under a
    uniform prior, that its similarity reaches the threshold falls below 1e-6. Over all eight steps a pair at similarity 0.8
    is dropped with a probability of 8.9e-6, which is most of what the join misses.
-4. The pairs that are left are verified exactly, on the shingles of the whole texts. A block pair leaves as one row
-   with its list of pairs; links between thousands of near copies are never rows of their own.
+4. The pairs that are left are verified exactly, on the shingles of the whole texts. A block pair's candidates leave as compressed lists;
+   links between thousands of near copies are never rows of their own.
    Joins are merge joins at every size, so that a small input runs as a large one does.
 5. Verified pairs are summed to numbers of links, with each class counted in full, and a spanning forest of every
    block pair gives the connected components.
@@ -32,10 +34,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import materialise, small_batches, table, trimmed
+from tabularium.llm.common import drop, materialise, reserved, small_batches, table, trimmed
 from tabularium.llm.components import components
 from tabularium.llm.hashing import mix, slices, word_hashes
 
@@ -45,8 +48,10 @@ NUMERATOR, DENOMINATOR = 4, 5
 HASHES, STEP = 128, 16
 BANDS, BAND = 32, 4
 TOLERANCE = 1e-6
-#: Representatives of a bucket that make a block.
-BLOCK = 256
+#: Representatives of a bucket that make a block while there are few blocks, blocks of a bucket, and representatives of a block in the largest buckets.
+BLOCK, WAYS, MOST = 256, 32, 4096
+#: Candidates that are held as one list.
+LIST = 1 << 17
 
 _SALTS = np.frombuffer(hashlib.shake_128(b"minhash").digest(8 * HASHES), np.uint32).reshape(2, HASHES)
 _MULTIPLY, _ADD = _SALTS[0] | np.uint32(1), _SALTS[1]
@@ -114,9 +119,10 @@ def least_matches(threshold: float = NUMERATOR / DENOMINATOR, tolerance: float =
 LEAST = least_matches()
 
 
-def candidates(signature: np.ndarray, keys: np.ndarray, band: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Pairs (place in left, place in right) of a bucket that are not dropped; left is right for a block with itself."""
-    found = []
+def candidates(signature: np.ndarray, keys: np.ndarray, band: int, left: np.ndarray, right: np.ndarray) -> Iterator[np.ndarray]:
+    """Lists of pairs (place in left, place in right) of a bucket that are not dropped; left is right for a block with itself."""
+    found: list[np.ndarray] = []
+    count = 0
     same = left is right
     for i, a in enumerate(left):
         others = right[i + 1 :] if same else right
@@ -136,47 +142,65 @@ def candidates(signature: np.ndarray, keys: np.ndarray, band: int, left: np.ndar
                 break
         if len(place):
             found.append(np.column_stack([np.full(len(place), i), place]))
-    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-
-
-def verified(sets: Sequence[np.ndarray], pairs: np.ndarray) -> np.ndarray:
-    """Those of the pairs (places in ``sets``) that reach the threshold exactly."""
-    lengths = np.array([len(s) for s in sets])
-    flat = np.concatenate(sets)
-    number = np.unique(flat, return_inverse=True)[1]
-    begin = np.concatenate([[0], np.cumsum(lengths)])
-    marked = np.zeros(int(number.max()) + 1, bool)
-    good = np.zeros(len(pairs), bool)
+            count += len(place)
+            if count > LIST:
+                yield np.concatenate(found)
+                found, count = [], 0
+    if found:
+        yield np.concatenate(found)
+
+
+def pack(pairs: np.ndarray) -> bytes:
+    """Rows of pairs, mostly runs, as compressed differences."""
+    first = np.diff(pairs[:, 0], prepend=0).astype(np.int32)
+    second = np.diff(pairs[:, 1], prepend=0).astype(np.int32)
+    return zstandard.ZstdCompressor(level=1).compress(first.tobytes() + second.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    both = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.int32).reshape(2, -1)
+    return np.cumsum(both, axis=1, dtype=np.int64).T
+
+
+class Verifier:
+    """Compares sets exactly."""
+
+    def __init__(self, sets: Sequence[np.ndarray]) -> None:
+        self.lengths = np.array([len(s) for s in sets])
+        self.number = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        self.begin = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.marked = np.zeros(int(self.number.max()) + 1, bool)
+
+    def similar(self, pairs: np.ndarray) -> np.ndarray:
+        """Those of the pairs of places that reach the threshold."""
+        good = np.zeros(len(pairs), bool)
+        order = np.argsort(pairs[:, 0], kind="stable")
+        firsts, at = np.unique(pairs[order, 0], return_index=True)
+        for a, rows in zip(firsts, np.split(order, at[1:])):
+            own = self.number[self.begin[a] : self.begin[a + 1]]
+            self.marked[own] = True
+            for part in np.array_split(rows, max(1, int(self.lengths[pairs[rows, 1]].sum() >> 19))):
+                b = pairs[part, 1]
+                at_b = np.concatenate([[0], np.cumsum(self.lengths[b])])
+                taken = np.arange(at_b[-1]) - np.repeat(at_b[:-1] - self.begin[b], self.lengths[b])
+                shared = np.add.reduceat(self.marked[self.number[taken]].astype(np.int64), at_b[:-1])
+                good[part] = DENOMINATOR * shared >= NUMERATOR * (self.lengths[a] + self.lengths[b] - shared)
+            self.marked[own] = False
+        return pairs[good]
+
+
+def join_up(label: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Those of the pairs that join two components for the first time; ``label`` names each place's component and is brought up to date."""
+    kept = []
     order = np.argsort(pairs[:, 0], kind="stable")
     firsts, at = np.unique(pairs[order, 0], return_index=True)
-    for a, rows in zip(firsts, np.split(order, at[1:])):
-        own = number[begin[a] : begin[a + 1]]
-        marked[own] = True
-        for part in np.array_split(rows, max(1, int(lengths[pairs[rows, 1]].sum() >> 19))):
-            b = pairs[part, 1]
-            at_b = np.concatenate([[0], np.cumsum(lengths[b])])
-            taken = np.arange(at_b[-1]) - np.repeat(at_b[:-1] - begin[b], lengths[b])
-            shared = np.add.reduceat(marked[number[taken]].astype(np.int64), at_b[:-1])
-            good[part] = DENOMINATOR * shared >= NUMERATOR * (lengths[a] + lengths[b] - shared)
-        marked[own] = False
-    return pairs[good]
-
-
-def forest(n: int, pairs: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs that join the same places as all ``pairs`` do."""
-    root = list(range(n))
-    kept = []
-    for a, b in pairs.tolist():
-        x, y = a, b
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        while root[y] != y:
-            root[y] = root[root[y]]
-            y = root[y]
-        if x != y:
-            root[max(x, y)] = min(x, y)
-            kept.append((a, b))
+    for a, rows in zip(firsts.tolist(), np.split(order, at[1:])):
+        others = pairs[rows, 1]
+        apart = others[label[others] != label[a]]
+        while len(apart):
+            kept.append((a, int(apart[0])))
+            label[label == label[apart[0]]] = label[a]
+            apart = apart[label[apart] != label[a]]
     return kept
 
 
@@ -227,29 +251,38 @@ def _groups(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterat
         yield group, held
 
 
-_PAIRED = pa.schema([("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("reps", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("pairs", pa.binary())])
+_PAIRED = pa.schema([("slot", pa.int64()), ("key", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("part", pa.int32()), ("reps", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("pairs", pa.binary())])
+_PAIRED_SQL = "slot long, key long, i int, j int, part int, reps array<long>, sizes array<long>, pairs binary"
 
 
 def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each block pair: the representatives that are in a candidate, and lists of candidates as places among them."""
     out: list[tuple] = []
+    size = 0
 
     def packed() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _PAIRED)], schema=_PAIRED)
 
-    for (key, i, j), held in _groups(batches, ("band", "block", "rep", "size", "signature")):
+    for (key, i, j), held in _groups(batches, ("slot", "band", "block", "rep", "size", "signature")):
         block = np.array(held["block"])
         left = np.flatnonzero(block == i)
         right = left if i == j else np.flatnonzero(block == j)
         signature = np.frombuffer(b"".join(held["signature"]), np.uint32).reshape(-1, HASHES)
-        found = candidates(signature, band_keys(signature), held["band"][0], left, right)
-        if not len(found):
-            continue
-        pairs = np.column_stack([left[found[:, 0]], right[found[:, 1]]])
-        used, local = np.unique(pairs, return_inverse=True)
-        out.append((key, i, j, [held["rep"][k] for k in used], [held["size"][k] for k in used], local.reshape(-1, 2).astype(np.uint32).tobytes()))
-        if len(out) >= 500 or len(out[-1][5]) > 1 << 20:
-            yield packed()
-            out = []
+        used, lists = np.zeros(len(block), bool), []
+        for found in candidates(signature, band_keys(signature), held["band"][0], left, right):
+            used[left[found[:, 0]]] = used[right[found[:, 1]]] = True
+            lists.append(pack(found))
+        local = np.cumsum(used) - 1
+        for part, data in enumerate(lists):
+            found = unpack(data)
+            pairs = pack(np.column_stack([local[left[found[:, 0]]], local[right[found[:, 1]]]]))
+            reps = [held["rep"][k] for k in np.flatnonzero(used)] if part == 0 else []
+            sizes = [held["size"][k] for k in np.flatnonzero(used)] if part == 0 else []
+            out.append((held["slot"][0], key, i, j, part, reps, sizes, pairs))
+            size += len(pairs) + 16 * len(reps)
+            if size > 1 << 20:
+                yield packed()
+                out, size = [], 0
     if out:
         yield packed()
 
@@ -257,17 +290,27 @@ def _prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("links", pa.int64())])
     for _, held in _groups(batches, ("rep", "size", "data")):
-        reps, sizes = held["rep"][1:], np.array(held["size"][1:], np.int64)
-        pairs = np.frombuffer(held["data"][0], np.uint32).reshape(-1, 2).astype(np.int64)
-        pairs = verified(shingles([d.decode() for d in held["data"][1:]]), pairs)
-        if not len(pairs):
-            continue
-        links = np.bincount(pairs[:, 0], sizes[pairs[:, 1]], len(reps)) + np.bincount(pairs[:, 1], sizes[pairs[:, 0]], len(reps))
+        first = next(k for k, rep in enumerate(held["rep"]) if rep is not None)
+        reps, sizes = held["rep"][first:], np.array(held["size"][first:], np.int64)
+        verifier = Verifier(shingles([d.decode() for d in held["data"][first:]]))
+        links, label, tree = np.zeros(len(reps), np.int64), np.arange(len(reps)), []
+        for data in held["data"][:first]:
+            pairs = verifier.similar(unpack(data))
+            if len(pairs):
+                links += (np.bincount(pairs[:, 0], sizes[pairs[:, 1]], len(reps)) + np.bincount(pairs[:, 1], sizes[pairs[:, 0]], len(reps))).astype(np.int64)
+                tree += join_up(label, pairs)
         some = np.flatnonzero(links)
-        tree = forest(len(reps), pairs)
+        if not len(some):
+            continue
         a = [reps[k] for k in some] + [reps[x] for x, _ in tree]
         b = [None] * len(some) + [reps[y] for _, y in tree]
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*links[some].astype(int).tolist(), *[0] * len(tree)], pa.int64())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*links[some].tolist(), *[0] * len(tree)], pa.int64())], schema=schema)
+
+
+def _spread(df: DataFrame, *order: str) -> DataFrame:
+    """Block pairs by their slots: those of one bucket go to partitions one after the other."""
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartitionById(count, F.pmod("slot", F.lit(count)).cast("int")).sortWithinPartitions("key", "i", "j", *order)
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
@@ -284,19 +327,22 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
     reps = sketches.where("n > 0").join(classes.select(F.col("rep").alias("row"), "size").hint("merge"), "row").select(F.col("row").alias("rep"), "size", "signature")
     banded = reps.mapInArrow(_bands, "rep long, keys array<long>").select("rep", F.posexplode("keys").alias("band", "key"))
     banded = materialise(banded, "bands")
-    buckets = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    blocks = F.ceil(F.col("m") / block).cast("int")
+    buckets = materialise(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")  # a join to an aggregate could not be split
+    blocks = F.greatest(F.least(F.ceil(F.col("m") / block), F.lit(WAYS)), F.ceil(F.col("m") / MOST)).cast("int")
     placed = banded.join(buckets.hint("merge"), "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("rep", "band", "key", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    met = dealt.join(reps.hint("merge"), "rep").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
-    paired = materialise(met.mapInArrow(lambda it: trimmed(_prune(it)), "key long, i int, j int, reps array<long>, sizes array<long>, pairs binary"), "pairs")
-    active = paired.select("key", "i", "j", F.posexplode(F.arrays_zip("reps", "sizes")).alias("pos", "x"))
+    dealt = dealt.select("rep", "band", "key", "block", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    slot = F.shiftright(F.xxhash64("key"), 16) + F.col("i") * F.col("blocks") + F.col("j")
+    met = _spread(dealt.withColumn("slot", slot).drop("blocks").join(reps.hint("merge"), "rep"), "rep")
+    paired = materialise(met.mapInArrow(lambda it: trimmed(_prune(it)), _PAIRED_SQL), "pairs")
+    drop(banded, buckets)
+    active = paired.where("part = 0").select("slot", "key", "i", "j", F.posexplode(F.arrays_zip("reps", "sizes")).alias("pos", "x"))
     texts = rows.select("row", F.col("text").cast("binary").alias("data"))
-    members = active.select("key", "i", "j", "pos", F.col("x.reps").alias("row"), F.col("x.sizes").alias("size")).join(texts.hint("merge"), "row")
-    lists = paired.select("key", "i", "j", F.lit(-1).alias("pos"), F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("size"), F.col("pairs").alias("data"))
-    together = lists.unionByName(members.withColumnRenamed("row", "rep")).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "pos")
+    members = active.select("slot", "key", "i", "j", "pos", F.col("x.reps").alias("row"), F.col("x.sizes").alias("size")).join(texts.hint("merge"), "row")
+    lists = paired.select("slot", "key", "i", "j", (-1 - F.col("part")).alias("pos"), F.lit(None).cast("long").alias("rep"), F.lit(None).cast("long").alias("size"), F.col("pairs").alias("data"))
+    together = _spread(lists.unionByName(members.withColumnRenamed("row", "rep")), "pos")
     found = materialise(together.mapInArrow(lambda it: trimmed(_verify(it)), "a long, b long, links long"), "links")
+    drop(paired)
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     stars = components(found.where("b is not null").select(F.col("a").alias("u"), F.col("b").alias("v")))
     reps = classes.join(stars.select(F.col("u").alias("rep"), F.col("v").alias("top")), "rep", "left").join(links, "rep", "left")
@@ -308,9 +354,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that come first in their class, with their columns."""
-    kept = join(docs, id_col, text_col).where("row = class_row").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    """The rows of ``docs`` that come first in their class, with their columns. A column ``__row`` is an error, as are rows that a second scan numbers otherwise."""
+    reserved(docs, ["__row", "__id"])
+    kept = join(docs, id_col, text_col).where("row = class_row").select(F.col("row").alias("__row"), F.col("id").alias("__id"))
+    same = F.assert_true(F.col(id_col).cast("long").eqNullSafe(F.col("__id")), F.lit("the documents were not read in the same order twice; they must come from storage"))
+    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row").where(same.isNull()).drop("__row", "__id")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,11 +65,31 @@ def rows():
     return [(k, t) for k, t in enumerate(texts)] + [(None, texts[20]), (None, "alone in the world with no id"), (5, "a b c d e"), (6, "other text for a repeated id here")]
 
 
-@pytest.mark.parametrize("block", [5, 512])
-def test_against_brute_force(spark, tmp_path, rows, block):
+@pytest.mark.parametrize("block,ways,most", [(5, 32, 4096), (5, 3, 8), (512, 32, 4096)])
+def test_against_brute_force(spark, tmp_path, rows, block, ways, most, monkeypatch):
+    for name, value in (("WAYS", ways), ("MOST", most)):
+        monkeypatch.setattr(jj, name, value)
     assert found(jj.join(stored(spark, tmp_path, rows), block=block)) == brute(rows)
 
 
+def test_packed_pairs():
+    pairs = np.array([[0, 5], [0, 6], [3, 1], [2, 70_000]])
+    assert jj.unpack(jj.pack(pairs)).tolist() == pairs.tolist()
+
+
+def test_joining_up():
+    rng = np.random.default_rng(3)
+    pairs = rng.integers(0, 300, (200, 2))
+    label = np.arange(300)
+    tree = jj.join_up(label, pairs)
+    assert len(tree) == 300 - len(set(label.tolist())) and all(label[a] == label[b] for a, b in pairs)
+
+
+def test_reserved_names_are_refused(spark):
+    with pytest.raises(ValueError, match="__row"):
+        jj.one_of_each(spark.createDataFrame([(1, "a", 1)], "doc_id long, text string, __row int"))
+
+
 def test_one_of_each(spark, tmp_path, rows):
     docs = stored(spark, tmp_path, rows)
     out = jj.one_of_each(docs)
@@ -89,7 +109,8 @@ def test_empty(spark, tmp_path):
     assert jj.join(docs).count() == 0 and jj.one_of_each(docs).count() == 0
 
 
-def test_pruning_keeps_what_is_similar():
+def test_pruning_keeps_what_is_similar(monkeypatch):
+    monkeypatch.setattr(jj, "LIST", 1)
     rng = np.random.default_rng(0)
     a = np.unique(rng.integers(0, 1 << 63, 900).astype(np.uint64))
     sets = [a]
@@ -98,9 +119,9 @@ def test_pruning_keeps_what_is_similar():
         sets.append(np.unique(np.concatenate([a[:n], rng.integers(0, 1 << 63, len(a) - n).astype(np.uint64)])))
     signature = jj.signatures(sets)
     everyone = np.arange(len(sets))
-    pairs = {tuple(p) for p in jj.candidates(signature, jj.band_keys(signature), 0, everyone, everyone).tolist()}
+    pairs = {tuple(p) for found in jj.candidates(signature, jj.band_keys(signature), 0, everyone, everyone) for p in found.tolist()}
     assert {(0, 1), (0, 2)} <= pairs and (0, 4) not in pairs and (0, 3) not in pairs
-    checked = {tuple(p) for p in jj.verified(sets, np.array([[0, 1], [0, 2], [0, 3], [1, 2]])).tolist()}
+    checked = {tuple(p) for p in jj.Verifier(sets).similar(np.array([[0, 1], [0, 2], [0, 3], [1, 2]])).tolist()}
     exact = {(a, b) for a, b in [(0, 1), (0, 2), (0, 3), (1, 2)] if len(np.intersect1d(sets[a], sets[b])) * 5 >= 4 * len(np.union1d(sets[a], sets[b]))}
     assert checked == exact
 
