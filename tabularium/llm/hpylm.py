@@ -563,6 +563,27 @@ def _dealt(df: DataFrame, bits: int) -> DataFrame:
     return df.repartitionById(1 << bits, F.col("to").cast("int")).sortWithinPartitions("to", "kind", "of")
 
 
+@dataclass
+class Blocks:
+    """How blocks are numbered: by the task that read them, and by their order in it."""
+
+    tasks: int
+    most: int
+    count: int
+
+    @classmethod
+    def of(cls, texts: DataFrame) -> Blocks:
+        row = texts.agg(F.max(F.shiftright("to", 32)), F.max(F.col("to").bitwiseAND((1 << 32) - 1)), F.count(F.lit(1))).first()
+        return cls(row[0] + 1, row[1] + 1, row[2])
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        """A partition for each block; where tasks read very different numbers of blocks, as many partitions by hash."""
+        number = F.shiftright("to", 32) * self.most + F.col("to").bitwiseAND((1 << 32) - 1)
+        alone = self.tasks * self.most <= 4 * self.count
+        parted = df.repartitionById(self.tasks * self.most, number.cast("int")) if alone else df.repartition(self.count, "to")
+        return parted.sortWithinPartitions("to", "kind", "of")
+
+
 class _Stored:
     """Messages in the shared folder, in a folder for each kind."""
 
@@ -602,8 +623,8 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     range_bits = max(0, bits - RANGE_BITS)
     told = _Stored(_map(_dealt(_map(read, lambda it: _ask_numbers(it, range_bits)), range_bits), _number), "lm-numbers")
     vocabulary, train_tokens = told.numbers(2)
-    joined = read.withColumn("b", F.lit(None).cast("binary")).unionByName(told.of(ANSWERS)).repartition("to").sortWithinPartitions("to", "kind", "of")
-    texts = materialise(_map(joined, _numbered), "lm-texts")
+    blocks = Blocks.of(read)
+    texts = materialise(_map(blocks.dealt(read.withColumn("b", F.lit(None).cast("binary")).unionByName(told.of(ANSWERS))), _numbered), "lm-texts")
     drop(read)
     told.drop()
     merged = _Stored(_map(_dealt(_map(texts, lambda it: _send_pairs(it, bits)), bits), _merge), "lm-pairs")
@@ -616,7 +637,7 @@ def score(docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: s
     for turn in range(rounds):
         numbers, crowds, totals = _one_round(texts, crowds, totals, numbers, turn, turn + 1 == rounds, bits, range_bits)
     values = _map(_dealt(merged.of(PAIRS).unionByName(crowds.of(CROWDS)), bits), lambda it: _values(it, numbers.discount))
-    together = texts.unionByName(totals.of(ANSWERS)).unionByName(values).repartition("to").sortWithinPartitions("to", "kind", "of")
+    together = blocks.dealt(texts.unionByName(totals.of(ANSWERS)).unionByName(values))
     return together.mapInArrow(lambda it: trimmed(_score(it, numbers, token_scores)), kind)
 
 
