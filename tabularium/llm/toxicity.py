@@ -3,7 +3,7 @@
 Categories are predicted one after the other. Each has a logistic model over hashed features of a text, and
 each later model also takes the earlier categories' probabilities. For training these come out of fold: a
 document's are those of models that did not see its fold, so later models learn from probabilities of the
-kind they will meet. Folds go by content, so copies share a fold.
+kind they will meet. Folds go by content, so copies share a fold. The verdict is that of the chain's last link.
 
 Features are a text's distinct words and their beginnings of 4, 5 and 6 bytes, hashed to 2**20; a word is
 a run of ASCII letters and digits and other than ASCII characters, lower case. Models are fitted on the driver with
@@ -43,11 +43,10 @@ THRESHOLD = 0.3
 EPOCHS = 2
 
 
-
 def categories() -> dict[str, Column]:
-    """The categories that the labels table holds: any; in good prose; in poor text."""
+    """The categories that the labels table holds: in good prose; in poor text; any. The last one, which is the verdict's, takes the others' probabilities."""
     toxic, good = F.coalesce(F.col("toxic"), F.lit(0)) >= 1, F.coalesce(F.col("quality"), F.lit(0)) >= 1
-    return {"toxic": toxic, "toxic_prose": toxic & good, "toxic_junk": toxic & ~good}
+    return {"toxic_prose": toxic & good, "toxic_junk": toxic & ~good, "toxic": toxic}
 
 
 def features(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
