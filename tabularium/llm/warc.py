@@ -122,8 +122,8 @@ class Window:
     def __init__(self, file) -> None:
         self.file, self.size, self.held, self.base = file, file.size(), b"", 0
 
-    def get(self, start: int, end: int) -> bytes:
-        """The bytes of the file between two places, fewer at its end; what is before ``start`` is forgotten."""
+    def _fill(self, start: int, end: int) -> None:
+        """Holds the bytes between two places, as far as the file goes; what is before ``start`` may be forgotten."""
         if start < self.base or start > self.base + len(self.held):
             self.held, self.base = b"", start
         elif start - self.base > BLOCK:
@@ -131,7 +131,17 @@ class Window:
         while self.base + len(self.held) < min(end, self.size):
             at = self.base + len(self.held)
             self.held += self.file.read_at(min(BLOCK, self.size - at), at)
-        return self.held[start - self.base : end - self.base]
+
+    def get(self, start: int, end: int) -> memoryview:
+        """The bytes of the file between two places, fewer at its end."""
+        self._fill(start, end)
+        return memoryview(self.held)[start - self.base : end - self.base]
+
+    def find(self, what: bytes, start: int, end: int) -> int:
+        """Where ``what`` begins first between two places, else -1."""
+        self._fill(start, end)
+        found = self.held.find(what, start - self.base, end - self.base)
+        return found if found < 0 else self.base + found
 
 
 def is_record(window: Window, at: int) -> bool:
@@ -148,26 +158,29 @@ def is_record(window: Window, at: int) -> bool:
 
 def unpacked(window: Window, at: int) -> tuple[list[bytes], int]:
     """The content of the member at ``at`` in parts, and where it ends; raises if it is damaged or cut off."""
-    decoder, parts = zlib.decompressobj(31), []
+    decoder, parts, step = zlib.decompressobj(31), [], 1 << 12
     while not decoder.eof:
-        chunk = window.get(at, at + BLOCK)
+        chunk = window.get(at, at + step)
         if not chunk:
             raise ValueError(f"a member is cut off at {at}")
         parts.append(decoder.decompress(chunk))
         at += len(chunk)
+        step = min(2 * step, BLOCK)
     return parts, at - len(decoder.unused_data)
 
 
 def candidates(window: Window, at: int, end: int) -> Iterator[int]:
     """Places of records between two places, as far as their first bytes tell; send() the place to go on from."""
     while at < end:
-        found = window.get(at, at + BLOCK).find(MAGIC)
-        if found < 0:
-            if at + BLOCK >= window.size:
-                return
-            at += BLOCK - len(MAGIC) + 1
-            continue
-        at += found
+        found, step = -1, 1 << 12
+        while found < 0:
+            found = window.find(MAGIC, at, at + step)
+            if found < 0:
+                if at + step >= window.size or at >= end:
+                    return
+                at += step - len(MAGIC) + 1
+                step = min(2 * step, BLOCK)
+        at = found
         if at >= end:
             return
         after = (yield at) if is_record(window, at) else None
