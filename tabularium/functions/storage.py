@@ -64,12 +64,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _read_by(df: DataFrame) -> set[str]:
+    """Paths in the shared folder that ``df`` reads."""
+    plain = lambda x: x.replace(":///", ":/")
+    files = [plain(x) for x in df.inputFiles()]
+    return {path for path in _MADE if any(f.startswith(f"{plain(path)}/") for f in files)}
+
+
 def drop(*tables: DataFrame) -> None:
     """Deletes the files of materialised tables that nothing reads any more."""
     for df in tables:
-        for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            if path in _MADE or path.replace("file:///", "file:/") in _MADE:
-                delete(df.sparkSession, path)
+        for path in _read_by(df):
+            delete(df.sparkSession, path)
+
+
+class Scope:
+    """What is written to the shared folder from here on."""
+
+    def __init__(self) -> None:
+        self.before = set(_MADE)
+
+    def clear(self, keep: DataFrame) -> None:
+        """Deletes it, but for what ``keep`` reads."""
+        for path in set(_MADE) - self.before - _read_by(keep):
+            delete(keep.sparkSession, path)
+
+
+def store(df: DataFrame, path: str) -> None:
+    """Writes a result and deletes the tables in the shared folder that it was read from."""
+    write(df, path)
+    drop(df)
 
 
 def put(spark: SparkSession, path: str, data: bytes) -> str:
