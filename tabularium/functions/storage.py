@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[str] = []
+_OWN: list[str] = []
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -20,14 +21,14 @@ def is_local(spark: SparkSession) -> bool:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder of spark.checkpoint.dir.
 
-    Where the setting is absent a temporary folder is made and set if the session is local, as in tests; on a cluster that is an error.
+    Where the setting is absent a temporary folder is made if the session is local, as in tests; on a cluster that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not is_local(spark):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        _OWN[:] = _OWN or ["file://" + tempfile.mkdtemp(prefix="shared-")]
+        base = _OWN[0]
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _MADE.append(path)
     return path
