@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.functions.ship import ship
-from tabularium.functions.storage import clean_up, delete, drop, materialise, shared_dir, write
+from tabularium.functions.storage import Scope, clean_up, delete, drop, materialise, shared_dir, store, write
 
-__all__ = ["SPACE", "SPACE_BYTES", "WORD", "clean_up", "delete", "drop", "let", "materialise", "reserved", "shared_dir", "small_batches", "table", "trimmed", "write"]
+__all__ = ["SPACE", "SPACE_BYTES", "WORD", "Scope", "clean_up", "delete", "drop", "let", "materialise", "reserved", "same_rows", "shared_dir", "small_batches", "store", "table", "trimmed", "write"]
 
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]"
@@ -44,6 +44,13 @@ def reserved(docs: DataFrame, names: Sequence[str]) -> None:
         raise ValueError(f"columns named {', '.join(taken)} are reserved; rename them")
 
 
+def same_rows(left: Column, right: Column, of: Column | None = None) -> Column:
+    """A condition that is true, and an error where two ids of a row (of those that ``of`` marks) differ: a second scan has then numbered the rows in another order."""
+    said = F.lit("the documents were not read in the same order twice; they must come from storage")
+    same = left.eqNullSafe(right)
+    return F.assert_true(same if of is None else ~of | same, said).isNull()
+
+
 def trimmed(batches: Iterator) -> Iterator:
     """The batches; when a task has made its last one, memory it has freed goes back to the system, as workers live on."""
     try:

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import materialise
+from tabularium.llm.common import drop, materialise
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links every neighbour of a node (the larger ones, or the smaller ones and itself) to its least neighbour."""
+def _star(edges: DataFrame, large: bool) -> tuple[DataFrame, DataFrame]:
+    """The edges that link every neighbour of a node (the larger ones, or the smaller ones and itself) to its least neighbour, and a table that they read."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     sides = both if large else both.where("v < u")
     least = sides.groupBy("u").agg(F.min("v").alias("least")).select("u", F.least("u", "least").alias("least"))
@@ -18,7 +18,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     out = joined.where("v > u" if large else "v != least").select(F.col("v").alias("u"), F.col("least").alias("v"))
     if not large:
         out = out.unionByName(least.select("u", F.col("least").alias("v")))
-    return out.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return out.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), least
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -30,7 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialise(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     while True:
-        now = materialise(_star(_star(now, large=True), large=False), "stars")
+        before, (edges, first) = now, _star(now, large=True)
+        edges, second = _star(edges, large=False)
+        now = materialise(edges, "stars")
+        drop(before, first, second)
         row = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(row) == mark:
             return now

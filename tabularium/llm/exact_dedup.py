@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import SPACE_BYTES, small_batches, table, trimmed
+from tabularium.llm.common import SPACE_BYTES, reserved, same_rows, small_batches, table, trimmed
 
 #: Bytes of distinct contents that one table holds.
 MEMORY = 48 << 20
@@ -207,14 +207,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memo
     small_batches(docs.sparkSession)
     members = _numbered(docs, id_col, text_col).mapInArrow(lambda it: trimmed(_digests(it)), "row long, id long, digest binary")
     joined = members.join(verdicts(docs, id_col, text_col, memory), "digest")
-    return joined.select("id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    checked = joined.where(same_rows(F.col("id"), F.col("keep_id"), F.col("row") == F.col("keep_row")))
+    return checked.select("id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", memory: int = MEMORY) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
-    kept = verdicts(docs, id_col, text_col, memory).select(F.col("keep_row").alias("__keep_row"))
+    """The rows of ``docs`` that stay, with all their columns. A column ``__keep_row`` is an error, as are rows that a second scan numbers otherwise."""
+    reserved(docs, ["__keep_row", "__keep_id"])
+    kept = verdicts(docs, id_col, text_col, memory).select(F.col("keep_row").alias("__keep_row"), F.col("keep_id").alias("__keep_id"))
     rows = docs.withColumn("__keep_row", F.monotonically_increasing_id())
-    return rows.join(kept, "__keep_row", "left_semi").drop("__keep_row")
+    return rows.join(kept, "__keep_row").where(same_rows(F.col(id_col).cast("long"), F.col("__keep_id"))).drop("__keep_row", "__keep_id")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

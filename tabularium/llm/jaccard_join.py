@@ -38,7 +38,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import drop, materialise, reserved, small_batches, table, trimmed
+from tabularium.llm.common import drop, materialise, reserved, same_rows, small_batches, table, trimmed
 from tabularium.llm.components import components
 from tabularium.llm.hashing import mix, slices, word_hashes
 
@@ -349,6 +349,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
     reps = reps.select("set_1", "set_2", F.coalesce("top", "rep").alias("top"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     labelled = sketches.select("row", "id", "set_1", "set_2").join(reps.hint("merge"), ["set_1", "set_2"])
     labelled = materialise(labelled.select("row", "id", "top", "n_links"), "labelled")
+    drop(sketches, classes, found, stars)
     first = materialise(labelled.groupBy("top").agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "row")).alias("first")), "firsts")
     return labelled.join(first, "top").select("row", "id", F.col("first.id").alias("class_id"), F.col("first.row").alias("class_row"), "n_links")
 
@@ -357,8 +358,8 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of ``docs`` that come first in their class, with their columns. A column ``__row`` is an error, as are rows that a second scan numbers otherwise."""
     reserved(docs, ["__row", "__id"])
     kept = join(docs, id_col, text_col).where("row = class_row").select(F.col("row").alias("__row"), F.col("id").alias("__id"))
-    same = F.assert_true(F.col(id_col).cast("long").eqNullSafe(F.col("__id")), F.lit("the documents were not read in the same order twice; they must come from storage"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row").where(same.isNull()).drop("__row", "__id")
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    return numbered.join(kept, "__row").where(same_rows(F.col(id_col).cast("long"), F.col("__id"))).drop("__row", "__id")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

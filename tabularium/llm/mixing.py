@@ -8,10 +8,11 @@ come first and the rest is cut from the same order.
 
 Targets fill up by weight: a source stops at ``epochs`` times its size and the excess is shared by weight
 among the rest until none is above. With the sources in order of cap over weight, those that stop are a
-prefix, which running sums over the table of sources find without a loop.
+prefix, which running sums over the table of sources find without a loop. That table has a row for each source and is
+held by one task: sources are names, some millions of them at most.
 
 Defined results: a null text has no words; a null source is a source of its own, last in order; a null id
-hashes as the text "null"; rows with equal keys go by id and size. Sources without words have target 0. An empty
+hashes as the text "null"; rows with equal keys go by id, size and a hash of the text. Sources without words have target 0. An empty
 table gives an empty result. Repeated ids are separate documents. Other columns are not read.
 """
 
@@ -22,7 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import WORD, materialise, table
+from tabularium.llm.common import WORD, materialise, reserved, same_rows, table
 
 SEED = "mix"
 WEIGHTS = (5, 2, 1)
@@ -55,7 +56,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, epochs: i
 def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: Sequence[int] = WEIGHTS, epochs: int = EPOCHS, seed: str = SEED, keep: Sequence[Column] = ()) -> DataFrame:
     """(id, source, key, size, source_size, target, taken) of each row, and the columns in ``keep``."""
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"), words_in(F.col(text_col)).alias("size"), *keep)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), key.alias("key"), words_in(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("__tie"), *keep)
     rows = materialise(rows, "mix-rows")
     named = rows.withColumn("null_source", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit(""))).withColumn("range", F.substring("key", 1, RANGE_DIGITS))
     ranges = named.groupBy("null_source", "name", "range").agg(F.sum("size").alias("range_size"))
@@ -63,24 +64,27 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     targets = targets.withColumn("null_source", F.col("source").isNull()).withColumn("name", F.coalesce("source", F.lit(""))).drop("source")
     earlier = Window.partitionBy("null_source", "name").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = ranges.select("null_source", "name", "range", F.coalesce(F.sum("range_size").over(earlier), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy("null_source", "name", "range").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("null_source", "name", "range").orderBy("key", F.col("id").asc_nulls_last(), "size", "__tie").rowsBetween(Window.unboundedPreceding, -1)
     placed = named.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(offsets, ["null_source", "name", "range"]).join(targets, ["null_source", "name"])
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("budget") / F.col("source_size"))).otherwise(F.lit(0))
     left = F.col("budget") - whole * F.col("source_size") - F.col("offset") - F.col("inside")
     taken = whole * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left))
-    return placed.select("id", "source", "key", "size", "source_size", "target", taken.cast("long").alias("taken"), *[c for c in rows.columns if c not in ("id", "source", "key", "size")])
+    return placed.select("id", "source", "key", "size", "source_size", "target", taken.cast("long").alias("taken"), *[c for c in rows.columns if c not in ("id", "source", "key", "size", "__tie")])
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
     """The mixture as rows of ``docs``: a document comes once for every epoch that takes it.
 
     Texts are not cut: the one document a source's budget ends in is taken whole, so that a source exceeds
-    its target by less than that document. Documents without words carry nothing and are not taken.
+    its target by less than that document. Documents without words carry nothing and are not taken. Columns of the names ``__row``, ``__id``,
+    ``__copies``, ``__copy`` and ``__tie`` are an error, as are rows that a second scan numbers otherwise.
     """
+    reserved(docs, ["__row", "__id", "__copies", "__copy", "__tie"])
     numbered = docs.withColumn("__row", F.monotonically_increasing_id())
     taken = mix(numbered, id_col, source_col, text_col, keep=[F.col("__row")], **options)
-    copies = taken.where("taken > 0").select("__row", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
-    return numbered.join(copies, "__row").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    copies = taken.where("taken > 0").select("__row", F.col("id").alias("__id"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("__copies"))
+    joined = numbered.join(copies, "__row").where(same_rows(F.col(id_col), F.col("__id")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

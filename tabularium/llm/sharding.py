@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import materialise, table
+from tabularium.llm.common import drop, materialise, table
 
 SHARDS = 8
 ROUNDS = 10
@@ -81,6 +81,7 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slac
         moved = now.join(moves, "row", "left").withColumn("moved", F.col("wish").isNotNull()).withColumn("shard", F.coalesce("wish", "shard")).drop("wish")
         moved = materialise(moved, "shards")
         count = moved.where("moved").count()
+        drop(now, wishes)
         now = moved.drop("moved")
         loads = _loads(now, shards)
         if not count:

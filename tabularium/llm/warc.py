@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as Over
 from pyspark.sql import functions as F
 
-from tabularium.llm.common import materialise, shared_dir, small_batches, table
+from tabularium.llm.common import drop, materialise, shared_dir, small_batches, table
 
 MAGIC = b"\x1f\x8b\x08"
 MIN_BYTES = 0
@@ -275,7 +275,9 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     firsts = rows.where(F.col("size") >= min_bytes).groupBy("sha1", "size").agg(F.count(F.lit(1)).alias("n"), F.max(order).alias("first"))
     firsts = materialise(firsts.where("n > 1").select("sha1", "size", F.col("first.page_id").alias("first_id"), (-F.col("first.back")).alias("first_row")), "warc-firsts")
     joined = rows.join(firsts, ["sha1", "size"], "left").select("page_id", "row", "url", "payload", "first_id", "first_row")
-    return materialise(joined.mapInArrow(lambda it: _write(it, folder), "path string, bytes long, records long"), "warc-written")
+    written = materialise(joined.mapInArrow(lambda it: _write(it, folder), "path string, bytes long, records long"), "warc-written")
+    drop(firsts)
+    return written
 
 
 _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("intact", pa.bool_()), ("payload", pa.binary())])
