@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.llm import bpe, exact_dedup, jaccard_join, mixing, toxicity
-from tabularium.llm.common import materialise, table
+from tabularium.llm.common import Scope, materialise, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialise(docs, name)
-    return docs
+    """The last stage's rows. What a stage has written but for its result, and the result before it, are deleted when the stage is done."""
+    docs, scope = table(spark, sf_dir, "documents"), Scope()
+    for name, stage in STAGES[:-1]:
+        docs = materialise(stage(spark, docs, sf_dir), name)
+        scope.clear(keep=docs)
+    return STAGES[-1][1](spark, docs, sf_dir)
