@@ -36,9 +36,13 @@ TERMINALS = (".", "!", "?", "…", "。", "！", "？", ":", ";")
 CLOSERS = "\"'”’»)] \t\x0b\x0c\r"
 HAS_SENTENCE = r"[.!?…。！？]"
 SEPARATORS = ("|", "»", "›", "·", "•", "→")
+#: In English, German, French and Spanish, in any case.
 LINK_LABEL = (
     r"(?i)^[^a-z0-9]*(home|menu|next( page)?|previous( page)?|back to top|skip to (main )?content|read more|click here|"
-    r"log ?in|sign ?(in|up)|share( this)?|search|contact( us)?|about( us)?|site ?map|subscribe|print|comments?)[^a-z0-9]*$"
+    r"log ?in|sign ?(in|up)|share( this)?|search|contact( us)?|about( us)?|site ?map|subscribe|print|comments?|"
+    r"startseite|weiter(lesen)?|zur[üÜ]ck|nach oben|anmelden|suche|kontakt|impressum|drucken|kommentare?|"
+    r"accueil|suivant|pr[éÉ]c[éÉ]dent|lire la suite|connexion|rechercher?|partager|imprimer|commentaires?|haut de page|"
+    r"inicio|siguiente|anterior|leer m[áÁ]s|iniciar sesi[óÓ]n|buscar|compartir|comentarios?|volver arriba)[^a-z0-9]*$"
 )
 #: Words of a line that can be a link label.
 LABEL_WORDS = 5
@@ -47,6 +51,8 @@ BOILERPLATE = (
     "all rights reserved", "cookie policy", "cookie settings", "cookie notice", "uses cookies", "accept cookies", "accept all cookies",
     "privacy policy", "terms of use", "terms of service", "terms and conditions", "copyright ©", "enable javascript", "javascript is required",
     "javascript is disabled", "lorem ipsum", "subscribe to our newsletter", "follow us on", "powered by wordpress", "{", "}", "</", "function(",
+    "alle rechte vorbehalten", "datenschutzerklärung", "verwendet cookies", "tous droits réservés", "politique de confidentialité",
+    "utilise des cookies", "todos los derechos reservados", "política de privacidad", "utiliza cookies",
 )
 
 

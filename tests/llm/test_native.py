@@ -12,6 +12,7 @@ from tabularium.llm import license_scan, quality_rules
 TEXTS = [
     None, "", "   \n\t ", "one", "a b c a b c a b c", "Home | About | Contact | Terms\nA proper sentence stands here.",
     "All rights reserved. Cookie policy.\n" + "Words go on and on in this line. " * 20, "x " * 5000, "# $ % & |\n#",
+    "Zurück\nPRÉCÉDENT\nleer más\nZurück zur Natur.\nAlle Rechte vorbehalten.\nPolitique de CONFIDENTIALITÉ.\nTodos los derechos reservados.\nUn texto.\n" + "Words go on and on in this line. " * 20,
     "Same line here.\nSame line here.\nSame line here.\n" * 3, "é ü ñ words here.", "no end of sentence in this rather long line of words",
 ]
 
