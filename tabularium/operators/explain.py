@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Callable, Sequence
 
@@ -18,6 +19,28 @@ def linear(rows: DataFrame, background: DataFrame, weights: dict[str, float]) ->
     return rows.select(F.explode(F.array(*size)).alias("x")).groupBy("x.feature").agg(F.avg("x.phi").alias("importance"))
 
 
+def exact(rows: DataFrame, background: DataFrame, features: Sequence[str], predict: Callable[[DataFrame], DataFrame], row_id: str) -> DataFrame:
+    """(feature, importance) of any model, from all coalitions of at most ten features: a coalition's value is the mean prediction over the background rows.
+
+    ``rows`` and ``background`` are at most some hundred rows each; the background is a literal. ``predict`` adds ``score``.
+    """
+    k = len(features)
+    if k > 10:
+        raise ValueError("all coalitions of more than ten features are too many; use sampled()")
+    values = lambda df: F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    pool = [list(r[0]) for r in background.select(values(background)).collect()]  # some hundred rows
+    others = F.array(*[F.array(*map(F.lit, x)) for x in pool])
+    mixed = rows.select(F.col(row_id).alias("__row"), values(rows).alias("own")).withColumn("other", F.explode(others)).withColumn("members", F.explode(F.sequence(F.lit(0), F.lit(2**k - 1))))
+    cells = [F.when(F.col("members").bitwiseAND(1 << j) > 0, F.col("own")[j]).otherwise(F.col("other")[j]).alias(c) for j, c in enumerate(features)]
+    scored = predict(mixed.select("__row", "members", *cells)).groupBy("__row", "members").agg(F.avg("score").alias("v"))
+    weight = [math.factorial(n) * math.factorial(k - n - 1) / math.factorial(k) for n in range(k)]  # of a feature that joins n others
+    of_size = lambda w: F.element_at(F.array(*map(F.lit, w)), F.bit_count("members").cast("int") + 1)
+    joined, left = of_size([0.0, *weight]), of_size([*weight, 0.0])
+    parts = [F.struct(F.lit(c).alias("feature"), F.when(F.col("members").bitwiseAND(1 << j) > 0, joined * F.col("v")).otherwise(-left * F.col("v")).alias("phi")) for j, c in enumerate(features)]
+    phi = scored.select("__row", F.explode(F.array(*parts)).alias("x")).groupBy("__row", "x.feature").agg(F.sum("x.phi").alias("phi"))
+    return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
+
+
 def sampled(rows: DataFrame, background: DataFrame, features: Sequence[str], predict: Callable[[DataFrame], DataFrame], row_id: str, permutations: int = 4, seed: int = 0) -> DataFrame:
     """(feature, importance) of any model, by sampled permutations.
 

@@ -5,6 +5,9 @@ Missing values are put in by key, as the tables have none: a value is null where
 
 from __future__ import annotations
 
+import io
+import tempfile
+import zipfile
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tabularium.functions.expressions import label, kind_of, logistic, text_to_number
 from tabularium.functions.masking import mask
-from tabularium.functions.storage import shared_dir
+from tabularium.functions.storage import put, shared_dir
 from tabularium.operators import anonymize, explain, match, metrics, model, prepare, profile, split, target
 from tabularium.plans import oracles, report
 from tabularium.sources import delimited, identify, load, xlsx
@@ -346,6 +349,14 @@ def linear_shap_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.top(found, list(WEIGHTS))
 
 
+def shap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importances of a scorer with an interaction, from all coalitions."""
+    rows = _numbers(spark, sf_dir)
+    scorer = lambda df: df.withColumn("score", logistic(F.col("totalprice") - 0.5 * F.col("custkey") * F.col("month") + 0.125 * F.col("month")))
+    found = explain.exact(split.first_rows(rows, "o_orderkey"), split.background(rows, "o_orderkey"), list(WEIGHTS), scorer, "o_orderkey")
+    return explain.top(found, list(WEIGHTS))
+
+
 def predictions_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _numbers(spark, sf_dir)
     raw = sum((w * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0))
@@ -362,6 +373,30 @@ def file_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.array_join("labels", ",").alias("labels"), "data_kind")
 
 
+def archive_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two archives hold, and where a run takes them."""
+    csv, png = b"a,b\n1,2\n3,4\n", b"\x89PNG\r\n\x1a\n" + bytes(32)
+    base = shared_dir(spark, "archives")
+    paths = []
+    for name, members in (("tables.zip", {"x.csv": csv, "y.csv": csv}), ("mixed.zip", {"x.csv": csv, "z.png": png})):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as archive:
+            for member, content in members.items():
+                archive.writestr(member, content)
+        paths.append(put(spark, f"{base}/{name}", data.getvalue()))
+    found = identify.routed(identify.file_kinds(spark, paths))
+    return found.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.array_join("labels", ",").alias("labels"), "data_kind")
+
+
+def run_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run on the synthetic cohort: what was decided and counted."""
+    from tabularium.plans.pipeline import Pipeline
+
+    done = Pipeline(spark, tempfile.mkdtemp(prefix="run-"), explain=False, trees=2).run(table=generate(spark))
+    row = (done.data_kind, done.selected_model, done.target, done.n_classes, len(done.valid_headers), done.metrics["n_train"], done.metrics["n_test"], done.metrics["n_features"], ",".join(s["status"] for s in done.trace))
+    return spark.createDataFrame([row], "data_kind string, model string, target string, n_classes int, n_headers int, n_train int, n_test int, n_features int, stages string")
+
+
 def load_delimited(extension: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """``orders`` written as delimited text, in parts, and loaded by its extension."""
     path = f"{shared_dir(spark, 'orders')}{extension}"
@@ -439,7 +474,7 @@ def queries() -> dict:
     found |= {f"column_types_{t}": partial(column_types, t) for t in PROFILED}
     plain = (
         pii_hits_by_label, pii_report, plan_steps, project_headers, impute_median, impute_mode, impute_mode_numeric, binary_strings, coerce_numeric,
-        csv_types, one_hot_wide, level_names, load_parquet, load_xlsx, predictions_csv, target_binary, target_binary_text, target_factorize, target_multiclass, target_auto, target_classes, stratified_split,
+        csv_types, one_hot_wide, level_names, load_parquet, load_xlsx, predictions_csv, archive_kinds, run_demo, shap_exact, target_binary, target_binary_text, target_factorize, target_multiclass, target_auto, target_classes, stratified_split,
         split_counts, union_of_split, kfold_assign, background_sample, explain_rows, standard_scale, prepared_matrix, header_normalize, header_ngrams,
         header_tfidf, header_similarity, header_assignment, header_assignment_orders, model_selection, registry_scan, modality_catalogue,
         image_model_match, vector_cosine_topk, confusion_matrix, classification_metrics, macro_metrics, roc_auc, cv_accuracy, linear_shap_top10,

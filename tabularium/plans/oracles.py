@@ -171,6 +171,20 @@ _NUMBERS = "SELECT o_orderkey, o_totalprice / 1e5 AS totalprice, o_custkey / 1e3
 _ORDERS = """SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice, 6) AS o_totalprice, o_orderpriority, CASE WHEN o_orderkey % 5 = 0 THEN 'say "' || o_orderstatus || '", then' END AS o_note FROM orders"""
 
 
+def _coalition(own: str) -> str:
+    """The mean prediction where the features named in ``own`` are the row's and the others the background's."""
+    t, c, m = (f"{'e' if x in own else 'b'}.{name}" for x, name in (("t", "totalprice"), ("c", "custkey"), ("m", "month")))
+    return f"avg(1 / (1 + exp(-({t} - 0.5 * {c} * {m} + 0.125 * {m})))) AS v_{own}"
+
+
+_SHAP = f"""WITH x AS ({_NUMBERS}), b AS (SELECT * FROM x ORDER BY md5('0|' || o_orderkey), o_orderkey LIMIT 100), e AS (SELECT * FROM x ORDER BY o_orderkey LIMIT 100),
+v AS (SELECT e.o_orderkey, {", ".join(_coalition(s) for s in ("", "t", "c", "m", "tc", "tm", "cm", "tcm"))} FROM e, b GROUP BY e.o_orderkey),
+i AS (SELECT 'totalprice' AS feature, avg(abs((v_t - v_) / 3 + (v_tc - v_c) / 6 + (v_tm - v_m) / 6 + (v_tcm - v_cm) / 3)) AS v, 1 AS o FROM v
+UNION ALL SELECT 'custkey', avg(abs((v_c - v_) / 3 + (v_tc - v_t) / 6 + (v_cm - v_m) / 6 + (v_tcm - v_tm) / 3)), 2 FROM v
+UNION ALL SELECT 'month', avg(abs((v_m - v_) / 3 + (v_tm - v_t) / 6 + (v_cm - v_c) / 6 + (v_tcm - v_tc) / 3)), 3 FROM v)
+SELECT CAST(row_number() OVER (ORDER BY v DESC, o) AS INTEGER) AS rank, feature, round(v, 5) AS importance FROM i"""
+
+
 def _quoted(x: str | None) -> str:
     return "CAST(NULL AS VARCHAR)" if x is None else "'" + x.replace("'", "''") + "'"
 
@@ -206,6 +220,9 @@ SELECT p_partkey, place, level, CAST(width AS INTEGER) AS width FROM f JOIN l US
         "load_xlsx": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey, n_nationkey / 4e0 AS n_quarter, n_nationkey % 2 = 0 AS n_even FROM nation",
         "predictions_csv": f"WITH x AS ({_NUMBERS}), s AS (SELECT *, 1 / (1 + exp(-(0.5 * totalprice + -0.25 * custkey + 0.125 * month))) AS score FROM x) SELECT round(totalprice, 8) AS totalprice, round(custkey, 8) AS custkey, month, o_orderkey % 2 AS y_true, CAST(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS y_pred, round(score, 4) AS y_score FROM s",
         "file_kind": "SELECT * FROM (VALUES ('region.parquet', 'parquet', 'tabular'), ('nation.parquet', 'parquet', 'tabular'), ('supplier.parquet', 'parquet', 'tabular')) AS t(name, labels, data_kind)",
+        "archive_kinds": "SELECT * FROM (VALUES ('tables.zip', 'csv', 'tabular'), ('mixed.zip', 'csv,png', 'image')) AS t(name, labels, data_kind)",
+        "run_demo": "SELECT 'tabular' AS data_kind, 'MODEL_01' AS model, 'anxiety' AS target, 2 AS n_classes, 21 AS n_headers, 480 AS n_train, 120 AS n_test, 67 AS n_features, 'ok,ok,ok,ok,ok,ok,ok' AS stages",
+        "shap_exact": _SHAP,
         "level_names": "SELECT \"column\", level, count(*) AS n FROM (SELECT 'l_linenumber' AS \"column\", CAST(l_linenumber AS VARCHAR) AS level FROM lineitem UNION ALL SELECT 'l_quantity', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.0' FROM lineitem UNION ALL SELECT 'l_discount', CAST(l_discount AS VARCHAR) FROM lineitem) GROUP BY ALL",
         "one_hot_priority": _one_hot("orders", "o_orderkey", "o_orderpriority"),
         "one_hot_segment": _one_hot("customer", "c_custkey", "c_mktsegment"),
