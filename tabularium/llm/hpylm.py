@@ -50,7 +50,7 @@ from tabularium.llm.hashing import mix, slices, word_hashes
 
 BLOCK_BYTES = 8 << 20
 #: Tokens of the corpus for each bucket of pairs, and buckets for each range of words, as powers of two.
-BUCKET_BITS, RANGE_BITS = 20, 3
+BUCKET_BITS, RANGE_BITS = 21, 3
 ROUNDS = 2
 #: Moves of each crowd before samples are kept, samples, and moves between these.
 BURN, KEEP, BETWEEN = 12, 4, 3
@@ -164,9 +164,9 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 _SENT = pa.schema([("kind", pa.int32()), ("to", pa.int64()), ("of", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary()), ("e", pa.binary()), ("stats", pa.list_(pa.float64()))])
 _SENT_SQL = "kind int, to long, of long, a binary, b binary, c binary, d binary, e binary, stats array<double>"
-#: In a bucket: its crowds, then pairs of blocks. In a range: totals and their changes, then questions; an answer goes where its question came from. For
-#: the driver: numbers. In a block: its texts, answers, values of its pairs.
-CROWDS, PAIRS, TOTALS, ANSWERS, NUMBERS, TEXTS, VALUES = range(7)
+#: In a bucket: its crowds, then pairs of blocks. In a range: totals and their changes, then questions; an answer goes where its question came from.
+#: In a block: answers, its texts, values of its pairs. Stats are numbers for the driver to sum up.
+CROWDS, PAIRS, TOTALS, ANSWERS, TEXTS, VALUES = range(6)
 
 
 def _message(kind: int, to: int, of: int = 0, *data: bytes, stats: Sequence[float] | None = None) -> tuple:
@@ -255,9 +255,10 @@ def _number(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
             counts.append(unpack(r["b"]))
         distinct, rank = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(rank, np.concatenate(counts), len(distinct)).astype(np.uint64)
+        stats = [(total > 0).sum(), total.sum()]
         for block, own in zip(blocks, np.split(rank, np.cumsum([len(x) for x in words])[:-1])):
-            yield _message(ANSWERS, block, number, pack(own), pack(total[own]))
-        yield _message(NUMBERS, 0, stats=[(total > 0).sum(), total.sum()])
+            yield _message(ANSWERS, block, number, pack(own), pack(total[own]), stats=stats)
+            stats = None
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
@@ -315,14 +316,13 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         code = np.where(crowd, np.cumsum(crowd) + 1, count)
         for block, own in zip(blocks, np.split(code[place], np.cumsum([len(x) for x in us])[:-1])):
             yield _message(PAIRS, bucket, block, pack(own))
-        yield _message(CROWDS, bucket, 0, pack(u[crowd]), pack(w[crowd]), pack(count[crowd]), pack(np.ones(crowd.sum())))
+        yield _message(CROWDS, bucket, 0, pack(u[crowd]), pack(w[crowd]), pack(count[crowd]), pack(np.ones(crowd.sum())), stats=[(count == 1).sum(), (count == 2).sum()])
         used = count > 0
         one = np.ones(int(used.sum()), np.int64)
         none = np.zeros_like(one)
         words, sums = _summed([u[used], w[used]], [[one, none], [none, one]])
         for number, parts in _by_range(words, *sums):
             yield _message(TOTALS, number, 0, *map(pack, parts))
-        yield _message(NUMBERS, 0, stats=[(count == 1).sum(), (count == 2).sum()])
 
 
 @dataclass
@@ -482,7 +482,7 @@ def _known(number: int, ranks: list[np.ndarray], sums: list[list[np.ndarray]], m
 
 
 def _answer(batches: Iterator[pa.RecordBatch], numbers: Numbers | None, scale: int, to_blocks: bool) -> Iterator[tuple]:
-    """Of each range of words: its totals with their changes, which were multiplied by ``scale``; answers; numbers of the parent.
+    """Of each range of words: its totals with their changes, which were multiplied by ``scale``; answers; as stats, numbers of the parent.
 
     Totals are, by word: tables of its restaurant, its customers in the parent. Without ``numbers`` each word has one table in the parent.
     """
@@ -502,15 +502,14 @@ def _answer(batches: Iterator[pa.RecordBatch], numbers: Numbers | None, scale: i
         most = 1 + max([-1, *asked, *(int(x.max()) for x in ranks if len(x))])
         known = _known(number, ranks, sums, most, scale, numbers)
         own = known.customers - known.seats * (numbers.parent_discount if numbers else 0.0)
+        stats = [known.customers.sum(), known.seats.sum(), (known.customers == 1).sum(), (known.customers == 2).sum()]
+        yield _message(TOTALS, number, 0, pack(np.arange(most)), pack(known.tables), pack(known.customers), stats=stats)
         for of, question in questions:
             rank = unpack(question).astype(np.int64)
             if to_blocks:  # in the order of the block's words
                 yield _message(ANSWERS, of, number, floats(known.tables[rank]), floats(own[rank]))
             else:
                 yield _message(ANSWERS, of, number, question, known.tables[rank].tobytes(), own[rank].tobytes())
-        if not to_blocks:
-            yield _message(TOTALS, number, 0, pack(np.arange(most)), pack(known.tables), pack(known.customers))
-        yield _message(NUMBERS, 0, stats=[known.customers.sum(), known.seats.sum(), (known.customers == 1).sum(), (known.customers == 2).sum()])
 
 
 # scores
@@ -598,7 +597,7 @@ class _Stored:
 
     def numbers(self, n: int) -> list[float]:
         """The sums of the ``n`` numbers told; zeros if none were."""
-        found = self.of(NUMBERS).select(F.posexplode("stats").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
+        found = self.all.where("stats is not null").select(F.posexplode("stats").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).collect()
         return [x for _, x in sorted(map(tuple, found))] or [0.0] * n
 
     def drop(self, *kinds: int) -> None:
