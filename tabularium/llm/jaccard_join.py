@@ -35,7 +35,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.llm.common import drop, materialise, reserved, same_rows, small_batches, table, trimmed
@@ -307,6 +307,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([*links[some].tolist(), *[0] * len(tree)], pa.int64())], schema=schema)
 
 
+def block_count(m: Column, block: int) -> Column:
+    """Blocks of a bucket of ``m`` representatives, each of which is sent once for every block."""
+    return F.greatest(F.least(F.ceil(m / block), F.lit(WAYS)), F.ceil(m / MOST)).cast("int")
+
+
 def _spread(df: DataFrame, *order: str) -> DataFrame:
     """Block pairs by their slots: those of one bucket go to partitions one after the other."""
     count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -328,8 +333,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block:
     banded = reps.mapInArrow(_bands, "rep long, keys array<long>").select("rep", F.posexplode("keys").alias("band", "key"))
     banded = materialise(banded, "bands")
     buckets = materialise(banded.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "buckets")  # a join to an aggregate could not be split
-    blocks = F.greatest(F.least(F.ceil(F.col("m") / block), F.lit(WAYS)), F.ceil(F.col("m") / MOST)).cast("int")
-    placed = banded.join(buckets.hint("merge"), "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    placed = banded.join(buckets.hint("merge"), "key").withColumn("blocks", block_count(F.col("m"), block)).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("rep", "band", "key", "block", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     slot = F.shiftright(F.xxhash64("key"), 16) + F.col("i") * F.col("blocks") + F.col("j")

@@ -117,16 +117,29 @@ def _level(now: DataFrame, loads: list[int], shards: int) -> DataFrame:
 
 
 def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """(row, id, size, text_crc32, hub, shard, slot) of each row."""
+    """(row, id, size, text_crc32, hub, shard, n_links, n_cut, slot) of each row: its neighbours, and those of them in other shards."""
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     columns = [F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.sha2(raw, 256).alias("digest")]
     rows = materialise(docs.select(*columns), "shard-rows")
     linked = materialise(rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("digest").alias("hub")), "hubs")
     placed = materialise(propagate(rows.join(linked, "digest", "left").drop("digest"), shards), "placed")
-    slots = ranked(placed, F.col("shard"), F.lit(0), [F.col("row")], _range(F.col("row")))
+    drop(rows, linked)
+    counted = materialise(_with_links(placed), "counted")
+    drop(placed)
+    slots = ranked(counted, F.col("shard"), F.lit(0), [F.col("row")], _range(F.col("row")))
     return slots.withColumnRenamed("rank", "slot")
 
 
+def _with_links(placed: DataFrame) -> DataFrame:
+    """Adds n_links and n_cut, from counts by hub and shard."""
+    zero = F.lit(0).cast("long")
+    together = placed.where("hub is not null")
+    here = together.groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("__here"))
+    counts = materialise(here.join(together.groupBy("hub").agg(F.count(F.lit(1)).alias("__all")), "hub"), "shard-links")  # a join to an aggregate could not be split
+    linked = together.join(counts, ["hub", "shard"]).withColumns({"n_links": F.col("__all") - 1, "n_cut": F.col("__all") - F.col("__here")}).drop("__all", "__here")
+    return linked.unionByName(placed.where("hub is null").withColumns({"n_links": zero, "n_cut": zero}))
+
+
 def cut_links(sharded: DataFrame) -> DataFrame:
     """(links, cut): pairs of documents of a hub, and those in different shards, from counts alone."""
     by_shard = sharded.where("hub is not null").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
@@ -137,4 +150,4 @@ def cut_links(sharded: DataFrame) -> DataFrame:
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = shard(table(spark, sf_dir, "documents"))
-    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return placed.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "n_links", "n_cut")

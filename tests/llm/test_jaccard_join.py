@@ -3,6 +3,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from tabularium.llm import components, jaccard_join as jj
 
 
@@ -72,6 +74,12 @@ def test_against_brute_force(spark, tmp_path, rows, block, ways, most, monkeypat
     assert found(jj.join(stored(spark, tmp_path, rows), block=block)) == brute(rows)
 
 
+def test_rows_sent_are_linear_in_a_bucket(spark):
+    sizes = [2, 256, 257, 8192, 100_000, jj.WAYS * jj.MOST, 10**6]
+    found = dict(spark.createDataFrame([(m,) for m in sizes], "m long").select("m", jj.block_count(F.col("m"), jj.BLOCK)).collect())
+    assert found == {2: 1, 256: 1, 257: 2, 8192: 32, 100_000: 32, jj.WAYS * jj.MOST: 32, 10**6: 245}
+
+
 def test_packed_pairs():
     pairs = np.array([[0, 5], [0, 6], [3, 1], [2, 70_000]])
     assert jj.unpack(jj.pack(pairs)).tolist() == pairs.tolist()

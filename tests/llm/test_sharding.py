@@ -109,3 +109,5 @@ def test_fewer_links_are_cut_than_at_random(spark, tmp_path):
     links, cut = sharding.cut_links(placed).first()
     _, at_random = sharding.cut_links(placed.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(8)))).first()
     assert links == 50 * 28 and cut < 0.1 * at_random
+    rows = placed.collect()
+    assert (sum(r.n_links for r in rows), sum(r.n_cut for r in rows)) == (2 * links, 2 * cut)
