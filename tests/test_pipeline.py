@@ -1,5 +1,6 @@
 import json
 import os
+import shutil
 import subprocess
 import sys
 
@@ -134,14 +135,12 @@ def test_entry(spark):
 
 
 def test_works_without_the_text_operators(tmp_path):
+    """Without their folders and corpus_pipeline.py the entry imports, and other tests pass."""
     root = os.path.dirname(os.path.abspath(contract.__file__))
     code = "import __spark_entry__ as e; q = e.queries(); assert 'mask_documents' in q and not [n for n in q if n.startswith('op') and n[2].isdigit()] and 'pipeline' not in q; e.oracle_sql()"
-    for name in ("tabularium", "__spark_entry__.py"):
-        target = tmp_path / name
-        if name.endswith(".py"):
-            target.write_text(open(os.path.join(root, name)).read())
-        else:
-            import shutil
-
-            shutil.copytree(os.path.join(root, name), target, ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    for name in ("tabularium", "tests"):
+        shutil.copytree(os.path.join(root, name), tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(os.path.join(root, "__spark_entry__.py"), tmp_path)
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
+    subprocess.run([sys.executable, "-m", "pytest", "-x", "-q", "-p", "no:cacheprovider", "tests/test_masking.py", "tests/test_match.py"], cwd=tmp_path, check=True, env=env)
