@@ -51,6 +51,8 @@ from tabularium.llm.hashing import mix, slices, word_hashes
 BLOCK_BYTES = 8 << 20
 #: Tokens of the corpus for each bucket of pairs, and buckets for each range of words, as powers of two.
 BUCKET_BITS, RANGE_BITS = 21, 3
+#: Partitions of a shuffle at most, as a power of two.
+PARTITION_BITS = 16
 ROUNDS = 2
 #: Moves of each crowd before samples are kept, samples, and moves between these.
 BURN, KEEP, BETWEEN = 12, 4, 3
@@ -558,8 +560,9 @@ def _map(df: DataFrame, task) -> DataFrame:
 
 
 def _dealt(df: DataFrame, bits: int) -> DataFrame:
-    """A partition for each bucket or range."""
-    return df.repartitionById(1 << bits, F.col("to").cast("int")).sortWithinPartitions("to", "kind", "of")
+    """A partition for each bucket or range; of very many, several of the same size share one, and are taken one after the other."""
+    few = min(bits, PARTITION_BITS)
+    return df.repartitionById(1 << few, F.shiftright("to", bits - few).cast("int")).sortWithinPartitions("to", "kind", "of")
 
 
 @dataclass
@@ -576,10 +579,12 @@ class Blocks:
         return cls(row[0] + 1, row[1] + 1, row[2])
 
     def dealt(self, df: DataFrame) -> DataFrame:
-        """A partition for each block; where tasks read very different numbers of blocks, as many partitions by hash."""
+        """A partition for each block, or for several of very many; where tasks read very different numbers of blocks, as many partitions by hash."""
         number = F.shiftright("to", 32) * self.most + F.col("to").bitwiseAND((1 << 32) - 1)
-        alone = self.tasks * self.most <= 4 * self.count
-        parted = df.repartitionById(self.tasks * self.most, number.cast("int")) if alone else df.repartition(self.count, "to")
+        most = 1 << PARTITION_BITS
+        even = self.tasks * self.most <= 4 * self.count
+        slots = min(self.tasks * self.most, most)
+        parted = df.repartitionById(slots, F.pmod(number, F.lit(slots)).cast("int")) if even else df.repartition(min(self.count, most), "to")
         return parted.sortWithinPartitions("to", "kind", "of")
 
 

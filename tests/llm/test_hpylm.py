@@ -52,7 +52,8 @@ def test_same_scores_for_other_files_and_blocks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(lm, "BUCKET_BITS", 11)
     monkeypatch.setattr(lm, "RANGE_BITS", 1)
     runs = []
-    for files, size in ((1, 10**6), (9, 500)):
+    for files, size, bits in ((1, 10**6, 16), (9, 500, 2)):
+        monkeypatch.setattr(lm, "PARTITION_BITS", bits)
         spark.createDataFrame(ROWS, "doc_id long, text string, word string").repartition(files).write.parquet(str(tmp_path / f"t{files}"))
         rows = lm.score(spark.read.parquet(str(tmp_path / f"t{files}")), lm.held_out_by_id(), block_bytes=size).collect()
         runs.append(sorted((str(r.id), r.n_tokens, r.n_known, round(r.base_score, 9), r.score) for r in rows))
