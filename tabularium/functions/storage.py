@@ -66,10 +66,9 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 def _read_by(df: DataFrame) -> set[str]:
-    """Paths in the shared folder that ``df`` reads."""
-    plain = lambda x: x.replace(":///", ":/")
-    files = [plain(x) for x in df.inputFiles()]
-    return {path for path in _MADE if any(f.startswith(f"{plain(path)}/") for f in files)}
+    """Paths in the shared folder that ``df`` reads. Their last parts are unique, and schemes may be written in more than one way."""
+    files = df.inputFiles()
+    return {path for path in _MADE if any(f"/{path.rsplit('/', 1)[1]}/" in f for f in files)}
 
 
 def drop(*tables: DataFrame) -> None:
