@@ -33,6 +33,28 @@ def test_a_stored_result_leaves_no_tables(spark, tmp_path):
     assert storage._MADE == [] and spark.read.parquet(str(tmp_path / "out")).count() == 4
 
 
+@pytest.mark.parametrize("prefix", ["", "file:", "file://"])
+def test_scopes_know_paths_however_they_are_written(spark, tmp_path, monkeypatch, prefix):
+    common.clean_up(spark)
+    plain = storage.shared_dir
+
+    def path(session, name):
+        made = plain(session, name)
+        storage._MADE.remove(made)
+        storage._MADE.append(prefix + str(tmp_path / made.rsplit("/", 1)[1]))
+        return storage._MADE[-1]
+
+    monkeypatch.setattr(storage, "shared_dir", path)
+    scope = storage.Scope()
+    first, second = storage.materialise(spark.range(6), "first"), storage.materialise(spark.range(7), "second")
+    scope.clear(keep=second)
+    assert second.count() == 7 and len(storage._MADE) == 1
+    storage.drop(second)
+    assert storage._MADE == []
+    with pytest.raises(Exception):
+        first.count()
+
+
 def test_no_folder_is_made_up_on_a_cluster():
     session = lambda master: SimpleNamespace(conf={}, sparkContext=SimpleNamespace(master=master))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
