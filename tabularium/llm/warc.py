@@ -12,8 +12,12 @@ long the gzip header is, and tells where the range's last record ends. A candida
 that the record holds uncompressed, can pass for a record to the range that starts there; but a record of an earlier range then ends behind it.
 So the second pass begins a range where the records of all earlier ranges have ended, and reads on from record to record.
 
-Archives of other writers are read as well: record ids of any form, with or without digests and HTTP lengths. ``intact`` tells whether a
-response's payload has the digest and length that its headers name, if they do.
+Archives of other writers are read as well: record ids of any form, with or without digests and HTTP lengths, one record in a gzip member or many (``number`` is
+its place among them; a member belongs to the task in whose range it starts, and is decoded as a stream, a record at a time). ``intact`` tells whether a
+response's payload has the digest and length that its headers name, if they do. Files that are not gzip are not read.
+
+A member that is damaged, cut off or has a malformed record gives the records before the damage and a row of record_type ``damaged`` with its place, and
+reading goes on with the next member; ``strict`` makes it an error. A candidate that does not decode ends nowhere, so the range goes on one byte behind its start.
 
 Defined results: a null payload is the empty payload, a null url an empty one. A null page id sorts below all
 others and is read back as null, like an id that is no page's. A revisit's length and digest are those that its headers name, else null. Of repeated rows with the largest id, the first read one is the response. An
@@ -26,7 +30,7 @@ import base64
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Generator, Iterator
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -43,6 +47,8 @@ SPLIT = 64 << 20
 BLOCK = 1 << 20
 #: Bytes of an archive after which a task begins another one.
 ARCHIVE = 1 << 30
+#: Tasks of a pass at most; beyond, a task takes several ranges one after the other.
+TASKS = 1 << 15
 #: Bytes by which a candidate is decoded until they tell whether it is a record.
 PROBE = 512
 _HEAD = b"WARC/"
@@ -92,16 +98,6 @@ def member(content: bytes) -> bytes:
     return packer.compress(content) + packer.flush()
 
 
-def parse(content: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields, names in lower case, and the block."""
-    head, _, rest = content.partition(b"\r\n\r\n")
-    fields = _fields(head)
-    length = int(fields.get("content-length", len(rest)))
-    if len(rest) < length:
-        raise ValueError("a record is cut off")
-    return fields, rest[:length]
-
-
 def _fields(head: bytes) -> dict[str, str]:
     """Of header lines after the first; a line that begins with a space goes on with the one before."""
     out: dict[str, str] = {}
@@ -156,17 +152,87 @@ def is_record(window: Window, at: int) -> bool:
     return out.startswith(_HEAD)
 
 
-def unpacked(window: Window, at: int) -> tuple[list[bytes], int]:
-    """The content of the member at ``at`` in parts, and where it ends; raises if it is damaged or cut off."""
-    decoder, parts, step = zlib.decompressobj(31), [], 1 << 12
-    while not decoder.eof:
-        chunk = window.get(at, at + step)
-        if not chunk:
-            raise ValueError(f"a member is cut off at {at}")
-        parts.append(decoder.decompress(chunk))
-        at += len(chunk)
-        step = min(2 * step, BLOCK)
-    return parts, at - len(decoder.unused_data)
+class Damage(ValueError):
+    """A member that cannot be read to its end; ``after`` is its end if that is known."""
+
+    def __init__(self, said: str, after: int | None = None) -> None:
+        super().__init__(said)
+        self.after = after
+
+
+def _up_to_damage(decoder, chunk: bytes) -> bytes:
+    """What a chunk decodes to before the byte at which decoding fails."""
+    out = bytearray()
+    for k in range(len(chunk)):
+        try:
+            out += decoder.decompress(chunk[k : k + 1])
+        except zlib.error:
+            break
+    return bytes(out)
+
+
+def records(window: Window, at: int) -> Generator[tuple[dict[str, str], bytes], None, int]:
+    """Header fields, names in lower case, and the block of each record of the member at ``at``; its value is where the member ends."""
+    decoder, held, tail, step = zlib.decompressobj(31), bytearray(), b"", 1 << 12
+    broken = None
+
+    def more() -> bool:
+        nonlocal at, tail, step, broken
+        if broken:
+            raise broken
+        if decoder.eof:
+            return False
+        chunk = tail or bytes(window.get(at, at + step))
+        if not tail:
+            at += len(chunk)
+            step = min(2 * step, BLOCK)
+        before = decoder.copy()
+        try:
+            out = decoder.decompress(chunk, BLOCK)
+        except zlib.error as error:
+            out, broken = _up_to_damage(before, chunk), Damage(f"a member does not decode: {error}")
+        tail = decoder.unconsumed_tail
+        if not (out or chunk or decoder.eof or broken):
+            raise Damage("a member is cut off")
+        held.extend(out)
+        return True
+
+    def need(there: Callable[[], bool]) -> None:
+        while not there():
+            if not more():
+                raise Damage("a record is cut off", at - len(decoder.unused_data))
+
+    while True:
+        while not held.lstrip(b"\r\n"):
+            held.clear()
+            if not more():
+                return at - len(decoder.unused_data)
+        del held[: len(held) - len(held.lstrip(b"\r\n"))]
+        need(lambda: len(held) >= len(_HEAD))
+        if not held.startswith(_HEAD):
+            while more():
+                held.clear()
+            raise Damage("what follows a record is none", at - len(decoder.unused_data))
+        seen = 0
+
+        def headed() -> bool:
+            nonlocal seen
+            before, seen = seen, max(0, len(held) - 3)
+            return held.find(b"\r\n\r\n", before) >= 0
+
+        need(headed)
+        stop = held.find(b"\r\n\r\n")
+        fields = _fields(bytes(held[:stop]))
+        told = fields.get("content-length")
+        if told is None or not told.isdigit():  # all that is left
+            while more():
+                pass
+            length = len(held) - stop - 4
+        else:
+            length = int(told)
+        need(lambda: len(held) >= stop + 4 + length)
+        yield fields, bytes(held[stop + 4 : stop + 4 + length])
+        del held[: stop + 4 + length]
 
 
 def candidates(window: Window, at: int, end: int) -> Iterator[int]:
@@ -187,38 +253,44 @@ def candidates(window: Window, at: int, end: int) -> Iterator[int]:
         at = at + 1 if after is None else after
 
 
-def last_end(file, start: int, end: int) -> int:
-    """Where the last record that starts in the range ends, ``start`` if there is none. A candidate that does not decode is none."""
-    window, upto = Window(file), start
-    found = candidates(window, start, end)
-    at = next(found, None)
-    while at is not None:
-        try:
-            after = unpacked(window, at)[1]
-            upto = max(upto, after)
-        except (zlib.error, ValueError):
-            after = at + 1
-        try:
-            at = found.send(after)
-        except StopIteration:
-            return upto
-    return upto
-
-
-def members(file, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(place, content) of the records that start in a range whose first one is the first to be found."""
+def _walked(file, start: int, end: int) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | str, int | None]]:
+    """(place, number, fields, block, None) of the records of the members that start in a range; at each member's end (place, records, None, what is wrong or empty, its end if known)."""
     window = Window(file)
     found = candidates(window, start, end)
     at = next(found, None)
     while at is not None:
-        parts, after = unpacked(window, at)
-        yield at, b"".join(parts)
+        number, said, after = 0, "", None
+        inner = records(window, at)
+        while True:
+            try:
+                fields, block = next(inner)
+            except StopIteration as done:
+                after = done.value
+                break
+            except Damage as damage:
+                said, after = str(damage), damage.after
+                break
+            yield at, number, fields, block, None
+            number += 1
+        yield at, number, None, said, after
         try:
-            at = found.send(after)
+            at = found.send(at + 1 if after is None else after)
         except StopIteration:
             return
 
 
+def last_end(file, start: int, end: int) -> int:
+    """Where the last member that starts in the range ends, ``start`` if there is none. A candidate that does not decode is none."""
+    return max((after for *_, after in _walked(file, start, end) if after is not None), default=start)
+
+
+def members(file, start: int, end: int) -> Iterator[tuple[int, int, dict[str, str] | None, bytes | str]]:
+    """(place, number, fields, block) of the records that start in a range whose first one is the first to be found; for damage (place, number, None, what is wrong)."""
+    for at, number, fields, block, _ in _walked(file, start, end):
+        if fields is not None or block:
+            yield at, number, fields, block
+
+
 def _file_system(uri: str):
     from pyarrow import fs
 
@@ -280,8 +352,8 @@ def write(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str =
     return written
 
 
-_READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("intact", pa.bool_()), ("payload", pa.binary())])
-_READ_SQL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long, record_id string, refers_to_id string, intact boolean"
+_READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("path", pa.string()), ("offset", pa.int64()), ("number", pa.int32()), ("record_id", pa.string()), ("refers_to_id", pa.string()), ("intact", pa.bool_()), ("payload", pa.binary())])
+_READ_SQL = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, path string, offset long, number int, record_id string, refers_to_id string, intact boolean"
 
 
 def _row(fields: dict[str, str], block: bytes) -> tuple:
@@ -314,14 +386,18 @@ def _read(batches: Iterator[pa.RecordBatch], with_payload: bool, strict: bool) -
             rows: list[tuple] = []
             size = 0
             with system.open_input_file(name) as file:
-                for at, content in members(file, start, end):
-                    fields, block = parse(content)
+                for at, number, fields, block in members(file, start, end):
+                    if fields is None:
+                        if strict:
+                            raise ValueError(f"{path} at {at}: {block}")
+                        rows.append((None, None, None, None, "damaged", None, path, at, number, None, None, False, None)[: len(schema)])
+                        continue
                     if fields.get("warc-type") not in ("response", "revisit"):
                         continue
                     *head, record_id, refers_to, intact, payload = _row(fields, block)
                     if strict and intact is False:
                         raise ValueError(f"{path} at {at}: the payload is not the one that its headers name")
-                    rows.append((*head, path, at, record_id, refers_to, intact, payload)[: len(schema)])
+                    rows.append((*head, path, at, number, record_id, refers_to, intact, payload)[: len(schema)])
                     size += len(payload)
                     if size > 16 << 20 or len(rows) > 5000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -342,12 +418,12 @@ def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read(files: DataFrame, split: int = SPLIT, with_payload: bool = True, strict: bool = False) -> DataFrame:
-    """The response and revisit records of ``files``, which has path and bytes. ``strict`` raises for a payload that is not intact."""
+    """The response and revisit records of ``files``, which has path and bytes, and a row for damage. ``strict`` raises for damage and for a payload that is not intact."""
     spark = files.sparkSession
     small_batches(spark)
     starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split).cast("long")))
     splits = files.select("path", starts.alias("start")).withColumn("end", F.col("start") + split)
-    count = int(files.select(F.sum(F.greatest(F.ceil(F.col("bytes") / split), F.lit(1)))).first()[0] or 1)
+    count = min(TASKS, int(files.select(F.sum(F.greatest(F.ceil(F.col("bytes") / split), F.lit(1)))).first()[0] or 1))
     ends = materialise(splits.repartition(count).mapInArrow(_ends, "path string, start long, end long, upto long"), "warc-ends")
     earlier = Over.partitionBy("path").orderBy("start").rowsBetween(Over.unboundedPreceding, -1)  # a row for each split of a file
     exact = ends.withColumn("start", F.greatest("start", F.coalesce(F.max("upto").over(earlier), F.lit(0)))).where(F.col("start") < F.col("end")).select("path", "start", "end")

@@ -60,11 +60,18 @@ def by_ranges(data, step):
     for at in range(0, len(data), step):
         begin = max(at, upto)
         if begin < at + step:
-            out += [c for _, c in warc.members(File(data), begin, at + step)]
+            out += [x[2:] for x in warc.members(File(data), begin, at + step)]
         upto = max(upto, warc.last_end(File(data), at, at + step))
     return out
 
 
+def parsed(content):
+    """Fields and block of a record."""
+    head, _, rest = content.partition(b"\r\n\r\n")
+    fields = {n.lower(): v for n, v in (x.split(": ") for x in head.decode().split("\r\n")[1:])}
+    return fields, rest[: int(fields["content-length"])]
+
+
 def named(content, name):
     """A gzip member with a file name in its header."""
     plain = warc.member(content)
@@ -75,8 +82,8 @@ def test_members_by_range():
     contents = [b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: %d\r\n\r\n" % n + bytes(k * 7 % 256 for k in range(n)) + b"\r\n\r\n" for n in (0, 10, 5000, 3)]
     data = b"".join(map(warc.member, contents))
     for step in (1, 7, 100, len(data)):
-        assert by_ranges(data, step) == contents
-    assert by_ranges(b"junk\x1f\x8b\x08junk" + data, 10**6) == contents
+        assert by_ranges(data, step) == list(map(parsed, contents))
+    assert by_ranges(b"junk\x1f\x8b\x08junk" + data, 10**6) == list(map(parsed, contents))
 
 
 def test_an_archive_inside_a_record_at_every_split():
@@ -99,7 +106,7 @@ def test_long_headers():
     for size in (0, 600, 5000, 200_000):
         data = warc.member(content) + named(content, b"n" * size) + warc.member(content)
         for step in (64, 1000, len(data)):
-            assert by_ranges(data, step) == [content] * 3
+            assert by_ranges(data, step) == [parsed(content)] * 3
 
 
 def test_archives_of_other_writers(spark, tmp_path):
@@ -133,10 +140,66 @@ def test_archives_of_other_writers(spark, tmp_path):
         warc.read(files, strict=True).collect()
 
 
-def test_damage_is_noticed():
-    data = warc.member(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
-    with pytest.raises((ValueError, zlib.error)):
-        list(warc.members(File(data[:-12]), 0, 1000))
+def response(block, *lines):
+    return "\r\n".join(["WARC/1.0", "WARC-Type: response", f"Content-Length: {len(block)}", *lines]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_all_records_of_a_member_at_every_split():
+    contents = [response(bytes([65 + k]) * (k * 40), f"X-N: {k}") for k in range(9)]
+    data = warc.member(b"".join(contents[:5])) + warc.member(contents[5]) + warc.member(b"\r\n".join(contents[6:]))
+    for step in range(1, len(data) + 1):
+        assert by_ranges(data, step) == list(map(parsed, contents))
+    places = [(x[0], x[1]) for x in warc.members(File(data), 0, len(data))]
+    assert [n for _, n in places] == [0, 1, 2, 3, 4, 0, 0, 1, 2] and len({p for p, _ in places}) == 3
+
+
+def test_a_long_member_is_read_as_a_stream():
+    blocks = [b"%d" % k * 300_000 for k in range(8)] + [b""]
+    data = warc.member(b"".join(map(response, blocks)))
+    assert [x[3] for x in warc.members(File(data), 0, 1)] == blocks
+
+
+@pytest.mark.parametrize("harm", ["cut", "bytes", "crc", "length", "junk"])
+def test_damage_at_every_split(harm):
+    """Records before the damage and all other members stay; at every split the same is found."""
+    good = [warc.member(response(bytes([97 + k]) * 30)) for k in range(3)]
+    two = response(b"first", "X-N: 1") + response(bytes(range(256)) * 3, "X-N: 2")
+    bad = warc.member(two)
+    if harm == "cut":
+        bad = bad[:-40]
+    elif harm == "bytes":
+        bad = bad[:-60] + bytes(20) + bad[-40:]
+    elif harm == "crc":
+        bad = bad[:-8] + b"abcd" + bad[-4:]
+    elif harm == "length":
+        bad = warc.member(two[:-100])
+    else:
+        bad = warc.member(response(b"first") + b"no record")
+    data = good[0] + bad + good[1] + good[2]
+    whole = by_ranges(data, len(data))
+    assert [b for f, b in whole if f and f["content-length"] == "30"] == [b"a" * 30, b"b" * 30, b"c" * 30]
+    assert sum(f is None for f, _ in whole) == 1 and b"first" in [b for _, b in whole]
+    for step in range(1, len(data) + 1):
+        assert by_ranges(data, step) == whole
+
+
+def test_damage_and_many_records_in_a_spark_read(spark, tmp_path):
+    many = b"".join(response(b"HTTP/1.1 200 OK\r\n\r\nbody %d" % k, f"WARC-Record-ID: <urn:x-page:{k}:0>") for k in range(6))
+    good, end = warc.member(many), warc.member(response(b"z", "WARC-Record-ID: <urn:x-page:9:0>", "Content-Type: text/plain"))
+    data = good + good[:-30] + end
+    (tmp_path / "x.warc.gz").write_bytes(data)
+    (tmp_path / "cut.warc.gz").write_bytes(good[: len(good) // 2])
+    files = spark.createDataFrame([(f"file://{tmp_path}/{n}", len(d)) for n, d in (("x.warc.gz", data), ("cut.warc.gz", good[: len(good) // 2]))], "path string, bytes long")
+    found = []
+    for split in (50, 1 << 20):
+        rows = warc.read(files, split=split).collect()
+        found.append(sorted((r.path[-8:], r.offset, r.number, r.record_type, r.page_id, bytes(r.payload or b"")) for r in rows if r.page_id is not None))
+        damage = [(r.path.rsplit("/", 1)[1], r.offset, r.intact) for r in rows if r.record_type == "damaged"]
+        assert sorted(damage) == [("cut.warc.gz", 0, False), ("x.warc.gz", len(good), False)]
+    assert found[0] == found[1]
+    assert [x[4] for x in found[0] if x[0] == ".warc.gz"[-8:] and x[1] == 0][:6] == [0, 1, 2, 3, 4, 5] and found[0][-1][4] == 9
+    with pytest.raises(Exception, match="cut off|decode"):
+        warc.read(files, strict=True).collect()
 
 
 def test_empty(spark, tmp_path):
