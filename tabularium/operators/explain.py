@@ -4,11 +4,16 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabularium.functions.ship import ship
+from tabularium.operators.trees import Leaf
+
 TOP = 10
 
 
@@ -41,6 +46,103 @@ def exact(rows: DataFrame, background: DataFrame, features: Sequence[str], predi
     return phi.groupBy("feature").agg(F.avg(F.abs("phi")).alias("importance"))
 
 
+def _matrices(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[np.ndarray]:
+    for batch in batches:
+        if batch.num_rows:
+            yield np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(n)])
+
+
+def _values(df: DataFrame, features: Sequence[str], fill: dict[str, float], *more: Column) -> DataFrame:
+    return df.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(fill.get(c, math.nan))).alias(f"f{k}") for k, c in enumerate(features)], *more)
+
+
+def _leaf_weights(leaf: Leaf, counts: dict[int, int], total: int) -> np.ndarray:
+    """By the set of the leaf's features whose conditions a row meets, as bits: the share of each of these features in the row's prediction.
+
+    Against a background row, the leaf is reached by those mixtures that take the features that only the row meets from it, and
+    those that only the background row meets from there. ``counts`` has the background's rows by their sets.
+    """
+    m = len(leaf.conditions)
+    out = np.zeros((1 << m, m))
+    full = (1 << m) - 1
+    for own in range(1 << m):
+        for other, n in counts.items():
+            if own | other != full:
+                continue
+            for_row, against = own & ~other, other & ~own
+            a, b = for_row.bit_count(), against.bit_count()
+            for k in range(m):
+                if for_row >> k & 1:
+                    out[own, k] += n * math.factorial(a - 1) * math.factorial(b) / math.factorial(a + b)
+                elif against >> k & 1:
+                    out[own, k] -= n * math.factorial(a) * math.factorial(b - 1) / math.factorial(a + b)
+    return out * leaf.value / max(1, total)
+
+
+def _met(x: np.ndarray, leaf: Leaf) -> np.ndarray:
+    """The set of the leaf's features whose conditions each row meets, as bits."""
+    out = np.zeros(len(x), np.int64)
+    for k, condition in enumerate(leaf.conditions):
+        out |= condition.holds(x[:, condition.feature]).astype(np.int64) << k
+    return out
+
+
+def _tree_weights(background: DataFrame, leaves: Sequence[Leaf], features: Sequence[str], fill: dict[str, float]) -> list[np.ndarray]:
+    """``_leaf_weights`` of every leaf. Background rows are counted by (leaf, set), so their number is not limited; the counts are of the model's size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[int, int], int] = {}
+        for x in _matrices(batches, len(features)):
+            for j, leaf in enumerate(leaves):
+                for bits, n in zip(*np.unique(_met(x, leaf), return_counts=True)):
+                    found[j, int(bits)] = found.get((j, int(bits)), 0) + int(n)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int32()), pa.array([x[1] for x in found], pa.int64()), pa.array(list(found.values()), pa.int64())], names=["leaf", "bits", "n"])
+
+    counts: list[dict[int, int]] = [{} for _ in leaves]
+    counted = _values(background, features, fill).mapInArrow(count, "leaf int, bits long, n long").groupBy("leaf", "bits").agg(F.sum("n"))
+    for j, bits, n in counted.collect():  # leaves x sets
+        counts[j][bits] = n
+    return [_leaf_weights(leaf, c, sum(c.values())) for leaf, c in zip(leaves, counts)]
+
+
+def tree_shap(rows: DataFrame, background: DataFrame, leaves: Sequence[Leaf], features: Sequence[str], row_id: str, fill: dict[str, float] | None = None) -> DataFrame:
+    """(row, output, feature, phi): exact Shapley values of a sum of trees, given by their leaves, for all rows against all background rows.
+
+    One pass counts the background rows by the conditions that they meet at each leaf, the other looks the rows' sets up, so the cost is rows x leaves
+    however many features and background rows there are. ``fill`` has the values of nulls. Only features that a tree asks for have rows, and
+    contributions of 0 are left out.
+    """
+    ship(rows.sparkSession)
+    fill = fill or {}
+    weights = _tree_weights(background, leaves, features, fill)
+    used = sorted({t.feature for leaf in leaves for t in leaf.conditions})
+    outputs = sorted({leaf.output for leaf in leaves})
+    place = {(o, f): k for k, (o, f) in enumerate((o, f) for o in outputs for f in used)}
+
+    def explain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in _matrices([batch], len(features)):
+                phi = np.zeros((len(x), len(place)))
+                for leaf, weight in zip(leaves, weights):
+                    if leaf.conditions:
+                        phi[:, [place[leaf.output, t.feature] for t in leaf.conditions]] += weight[_met(x, leaf)]
+                at, k = np.nonzero(phi)
+                keys = list(place)
+                ids = batch.column(len(features)).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([keys[i][0] for i in k], pa.int32()), pa.array([features[keys[i][1]] for i in k], pa.string()), pa.array(phi[at, k])], names=["row", "output", "feature", "phi"])
+
+    kind = rows.schema[row_id].dataType.simpleString()
+    return _values(rows, features, fill, F.col(f"`{row_id}`").alias("row")).mapInArrow(explain, f"row {kind}, output int, feature string, phi double")
+
+
+def tree_importances(rows: DataFrame, background: DataFrame, leaves: Sequence[Leaf], features: Sequence[str], row_id: str, fill: dict[str, float] | None = None) -> DataFrame:
+    """(feature, importance) of a sum of trees: mean absolute Shapley values over the rows and outputs. Every feature has a row."""
+    n = rows.count() * max(1, len({leaf.output for leaf in leaves}))
+    summed = tree_shap(rows, background, leaves, features, row_id, fill).groupBy("feature").agg(F.sum(F.abs("phi")).alias("total"))
+    names = rows.sparkSession.createDataFrame([(c,) for c in features], "feature string")
+    return names.join(summed, "feature", "left").select("feature", (F.coalesce("total", F.lit(0.0)) / F.lit(float(max(1, n)))).alias("importance"))
+
+
 def sampled(rows: DataFrame, background: DataFrame, features: Sequence[str], predict: Callable[[DataFrame], DataFrame], row_id: str, permutations: int = 4, seed: int = 0) -> DataFrame:
     """(feature, importance) of any model, by sampled permutations.
 

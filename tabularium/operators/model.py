@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabularium.functions.expressions import logistic
+from tabularium.operators import trees
+from tabularium.operators.trees import Leaf
 
 LEARNER = "Spark ML gradient-boosted trees"
 
@@ -38,6 +40,12 @@ class Booster:
             p = decided(score)
         return found.select(*[F.col(n).alias(c) for c, n in plain.items()], p.alias("p"), score.alias("score"))
 
+    def leaves(self) -> list[Leaf]:
+        """The leaves of all trees; a class's values sum up to its log-odds. With two classes there is one output."""
+        slots = trees.Slots(self.features, self.wide)
+        models = self.model.models if self.n_classes > 2 else [self.model]
+        return [leaf for output, m in enumerate(models) for tree, weight in zip(m.trees, m.treeWeights) for leaf in trees.leaves(trees.of_spark(tree, slots), 2 * weight, output)]
+
 
 def _assembled(df: DataFrame, features: Sequence[str], wide: dict[str, int] | None = None) -> DataFrame:
     """Adds the vector of ``features``. Those in ``wide`` hold numbers of levels and become sparse vectors of that size; null has no level."""

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tabularium.functions.expressions import label, kind_of, logistic, text_to_number
 from tabularium.functions.masking import mask
 from tabularium.functions.storage import put, shared_dir
-from tabularium.operators import anonymize, explain, match, metrics, model, prepare, profile, split, target
+from tabularium.operators import anonymize, explain, match, metrics, model, prepare, profile, split, target, trees
 from tabularium.plans import oracles, report
 from tabularium.sources import delimited, identify, load, xlsx
 from tabularium.sources.registry import Registry, image_matches
@@ -357,6 +357,22 @@ def shap_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.top(found, list(WEIGHTS))
 
 
+def _split(node: tuple | float) -> trees.Split | float:
+    if not isinstance(node, tuple):
+        return node
+    feature, threshold, left, right = node
+    return trees.Split(list(WEIGHTS).index(feature), _split(left), _split(right), threshold)
+
+
+def tree_shap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapley values of every order's numbers in two trees, against the background sample."""
+    rows = _numbers(spark, sf_dir)
+    ends = [leaf for t in oracles.TREES for leaf in trees.leaves(_split(t))]
+    found = explain.tree_shap(rows, split.background(rows, "o_orderkey"), ends, list(WEIGHTS), "o_orderkey")
+    pivoted = rows.select(F.col("o_orderkey").alias("row")).join(found.groupBy("row").pivot("feature", list(WEIGHTS)).agg(F.sum("phi")), "row", "left")
+    return pivoted.select(F.col("row").alias("o_orderkey"), *[F.round(F.coalesce(c, F.lit(0.0)), 6).alias(c) for c in WEIGHTS])
+
+
 def predictions_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _numbers(spark, sf_dir)
     raw = sum((w * F.col(c) for c, w in WEIGHTS.items()), F.lit(0.0))
@@ -477,7 +493,7 @@ def queries() -> dict:
         csv_types, one_hot_wide, level_names, load_parquet, load_xlsx, predictions_csv, archive_kinds, run_demo, shap_exact, target_binary, target_binary_text, target_factorize, target_multiclass, target_auto, target_classes, stratified_split,
         split_counts, union_of_split, kfold_assign, background_sample, explain_rows, standard_scale, prepared_matrix, header_normalize, header_ngrams,
         header_tfidf, header_similarity, header_assignment, header_assignment_orders, model_selection, registry_scan, modality_catalogue,
-        image_model_match, vector_cosine_topk, confusion_matrix, classification_metrics, macro_metrics, roc_auc, cv_accuracy, linear_shap_top10,
+        image_model_match, vector_cosine_topk, confusion_matrix, classification_metrics, macro_metrics, roc_auc, cv_accuracy, linear_shap_top10, tree_shap,
         predictions_output, file_kind, synth_generate, gbt_predictions, shap_sampled,
     )
     return found | {f.__name__: f for f in plain}

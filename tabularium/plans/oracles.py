@@ -10,6 +10,12 @@ from tabularium.sources.synthetic import COLUMNS
 
 ORDER_HEADERS = ("order_key", "customer_key", "order_status", "total_price", "order_date", "order_priority")
 
+#: Trees over the numbers of an order: feature, threshold, what is at most the threshold, what is above.
+TREES = (
+    ("month", 6, ("totalprice", 1.5, 0.25, -0.5), ("custkey", 0.5, 0.375, ("totalprice", 1.0, -0.125, 0.625))),
+    ("custkey", 0.75, ("month", 3, 0.5, -0.25), ("month", 9, ("month", 7, 0.125, 1.0), -0.5)),
+)
+
 _TABLES = {
     "lineitem": ("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax", "l_returnflag l_linestatus", "l_shipdate"),
     "orders": ("o_orderkey o_custkey o_totalprice", "o_orderstatus o_orderpriority", "o_orderdate"),
@@ -48,6 +54,24 @@ def _columns(table: str) -> list[tuple[str, str]]:
     return [(c, kind) for names, kind in zip(_TABLES[table], ("number", "text", "other")) for c in names.split()]
 
 
+def _tree(node: tuple | float, column: dict[str, str]) -> str:
+    if not isinstance(node, tuple):
+        return str(node)
+    feature, threshold, left, right = node
+    return f"CASE WHEN {column[feature]} <= {threshold} THEN {_tree(left, column)} ELSE {_tree(right, column)} END"
+
+
+def _tree_shap() -> str:
+    """All coalitions of the three numbers of an order, each the mean over the background rows."""
+    names = ("totalprice", "custkey", "month")
+    values = [" + ".join(_tree(t, {n: f"{'r' if s >> k & 1 else 'b'}.{n}" for k, n in enumerate(names)}) for t in TREES) for s in range(8)]
+    weight = (1 / 3, 1 / 6, 1 / 3)
+    phi = [" + ".join(f"{weight[s.bit_count()]!r} * (v{s | 1 << k} - v{s})" for s in range(8) if not s >> k & 1) for k in range(3)]
+    columns = ", ".join(f"round({e}, 6) AS {n}" for e, n in zip(phi, names))
+    means = ", ".join(f"avg({v}) AS v{s}" for s, v in enumerate(values))
+    return f"WITH r AS ({_NUMBERS}), b AS (SELECT * FROM r ORDER BY md5('0|' || o_orderkey), o_orderkey LIMIT 100), v AS (SELECT r.o_orderkey, {means} FROM r, b GROUP BY 1) SELECT o_orderkey, {columns} FROM v"
+
+
 def _profile(table: str) -> str:
     parts = []
     for c, kind in _columns(table):
@@ -275,6 +299,7 @@ SELECT round((SELECT avg(CASE WHEN y = p THEN 1.0::DOUBLE ELSE 0 END) FROM s), 6
 e AS (SELECT * FROM x ORDER BY o_orderkey LIMIT 100),
 i AS (SELECT 'totalprice' AS feature, avg(abs(0.5 * (totalprice - t))) AS v, 1 AS o FROM e, b UNION ALL SELECT 'custkey', avg(abs(-0.25 * (custkey - c))), 2 FROM e, b UNION ALL SELECT 'month', avg(abs(0.125 * (month - m))), 3 FROM e, b)
 SELECT CAST(row_number() OVER (ORDER BY v DESC, o) AS INTEGER) AS rank, feature, round(v, 5) AS importance FROM i""",
+        "tree_shap": _tree_shap(),
         "predictions_output": f"WITH x AS ({_NUMBERS}), s AS (SELECT o_orderkey, 1 / (1 + exp(-(0.5 * totalprice + -0.25 * custkey + 0.125 * month))) AS score FROM x) SELECT o_orderkey, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS y_pred, round(score, 4) AS y_score FROM s",
     }
     for table in _TABLES:

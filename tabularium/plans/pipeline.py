@@ -204,8 +204,8 @@ class Pipeline:
         try:
             train, test = run.matrix.where(~F.col("is_test")), run.matrix.where("is_test")
             rows, pool = split.first_rows(test, "split_pos"), split.background(train, ROW_ID)
-            score = booster.score if run.n_classes == 2 else lambda df: booster.score(df).withColumn("score", F.col("p").cast("double"))
-            found = storage.materialise(explain.sampled(rows, pool, run.plan.columns, score, ROW_ID), "importances")
+            fill = {c: float(n) for c, n in run.plan.wide.items()}
+            found = storage.materialise(explain.tree_importances(rows, pool, booster.leaves(), run.plan.columns, ROW_ID, fill), "importances")
             best = explain.top(found, run.plan.columns).orderBy("rank").collect()
             names = list(dict.fromkeys(run.plan.source.get(f, f) for f in run.plan.columns))
             summed = explain.top(explain.by_source(found, run.plan.source), names).orderBy("rank").collect()
