@@ -19,7 +19,7 @@ class Condition:
     but: frozenset[float] = frozenset()
 
     def holds(self, x: np.ndarray) -> np.ndarray:
-        met = ~(x <= self.low)
+        met = ~(x <= self.low) if self.low > -math.inf else np.ones(len(x), bool)
         if self.high < math.inf:
             met &= x <= self.high
         for v in self.but:
