@@ -53,6 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. What a stage has written but for its result, and the result before it, are deleted when the stage is done."""
     docs, scope = table(spark, sf_dir, "documents"), Scope()
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        with scope:
+            docs = materialise(stage(spark, docs, sf_dir), name)
         scope.clear(keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)

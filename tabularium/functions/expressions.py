@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,14 @@ MISSING = (
 )
 
 
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name`` with as many underscores in front as make it differ from all columns, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def is_text(kind: T.DataType) -> bool:
     return isinstance(kind, (T.StringType, T.CharType, T.VarcharType))
 

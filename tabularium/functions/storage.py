@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextvars import ContextVar, Token
 
 from pyspark.sql import DataFrame, SparkSession
 
 _MADE: list[str] = []
 _OWN: list[str] = []
+_LOCK = threading.Lock()
+_WRITES: dict[int, tuple[int, str]] = {}
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -31,14 +37,17 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         base = _OWN[0]
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _MADE.append(path)
+    for scope in _OPEN.get():
+        scope.paths.add(path)
     return path
 
 
 def delete(spark: SparkSession, path: str) -> bool:
     """Deletes what is under ``path``, in whatever store it is."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if path in _MADE:
-        _MADE.remove(path)
+    with _LOCK:
+        if path in _MADE:
+            _MADE.remove(path)
     return bool(target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True))
 
 
@@ -47,15 +56,31 @@ def clean_up(spark: SparkSession) -> int:
     return sum(delete(spark, path) for path in list(_MADE))
 
 
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession) -> Iterator[None]:
+    """While any write of the session is on its way, shuffle files go with their query; the setting returns to what it was when the last one ends."""
+    key = id(spark._jsparkSession)
+    with _LOCK:
+        n, before = _WRITES.get(key, (0, ""))
+        if not n:
+            before = spark.conf.get(_CLEAN)
+            spark.conf.set(_CLEAN, "true")
+        _WRITES[key] = n + 1, before
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _WRITES.pop(key)
+            if n > 1:
+                _WRITES[key] = n - 1, before
+            else:
+                spark.conf.set(_CLEAN, before)
+
+
 def write(df: DataFrame, path: str, *by: str) -> None:
     """Writes ``df`` as Parquet; shuffle files go as soon as it is written, as nothing reads them again."""
-    conf = df.sparkSession.conf
-    before = conf.get(_CLEAN)
-    conf.set(_CLEAN, "true")
-    try:
+    with _cleaning(df.sparkSession):
         (df.write.partitionBy(*by) if by else df.write).parquet(path)
-    finally:
-        conf.set(_CLEAN, before)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
@@ -79,15 +104,28 @@ def drop(*tables: DataFrame) -> None:
 
 
 class Scope:
-    """What is written to the shared folder from here on."""
+    """Owns what its ``with`` blocks write to the shared folder. What other threads write, or this one outside the blocks, is not its own."""
 
     def __init__(self) -> None:
-        self.before = set(_MADE)
+        self.paths: set[str] = set()
+        self._tokens: list[Token] = []
+
+    def __enter__(self) -> Scope:
+        self._tokens.append(_OPEN.set((*_OPEN.get(), self)))
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        _OPEN.reset(self._tokens.pop())
 
     def clear(self, keep: DataFrame) -> None:
         """Deletes it, but for what ``keep`` reads."""
-        for path in set(_MADE) - self.before - _read_by(keep):
-            delete(keep.sparkSession, path)
+        for path in self.paths - _read_by(keep):
+            self.paths.discard(path)
+            if path in _MADE:
+                delete(keep.sparkSession, path)
+
+
+_OPEN: ContextVar[tuple[Scope, ...]] = ContextVar("open scopes", default=())
 
 
 def store(df: DataFrame, path: str) -> None:

@@ -22,18 +22,18 @@ class Report:
         return {"masked_columns": self.masked_columns, "detected_types": self.detected_types}
 
 
-def _split(df: DataFrame) -> tuple[list[str], list[str]]:
-    hinted = [c for c in df.columns if is_hinted(c)]
+def _split(df: DataFrame, but: str | None = None) -> tuple[list[str], list[str]]:
+    hinted = [c for c in df.columns if is_hinted(c) and c != but]
     texts = [f.name for f in df.schema if is_text(f.dataType) and f.name not in hinted]
     return hinted, texts
 
 
-def masked(df: DataFrame) -> DataFrame:
+def masked(df: DataFrame, but: str | None = None) -> DataFrame:
     """Columns whose name is a hint become the mask, also where null; patterns are masked in all other text columns.
 
     Only expressions, so it serves streams as well as tables.
     """
-    hinted, texts = _split(df)
+    hinted, texts = _split(df, but)
     changed = {c: F.lit(MASK) for c in hinted} | {c: mask(F.col(f"`{c}`")) for c in texts}
     return df.withColumns(changed) if changed else df
 
@@ -45,8 +45,8 @@ def label_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return cells.select("x.column", F.explode("x.labels").alias("label")).groupBy("column", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def report(df: DataFrame) -> Report:
-    hinted, texts = _split(df)
+def report(df: DataFrame, but: str | None = None) -> Report:
+    hinted, texts = _split(df, but)
     by_column: dict[str, list[str]] = {}
     if texts:
         for column, name, _ in label_counts(df, texts).collect():  # columns x 7 rows at most
@@ -67,8 +67,9 @@ def report_frame(df: DataFrame) -> DataFrame:
     return named.unionByName(found.select("column", F.lit("patterns").alias("reason"), "labels"))
 
 
-def anonymize(df: DataFrame) -> tuple[DataFrame, Report]:
-    return masked(df), report(df)
+def anonymize(df: DataFrame, but: str | None = None) -> tuple[DataFrame, Report]:
+    """The masked table and what was masked; the column ``but`` stays as it is."""
+    return masked(df, but), report(df, but)
 
 
 def image_report(image_paths: list[str]) -> dict:

@@ -1,7 +1,8 @@
 """The run from a file or a table to metrics, predictions and importances.
 
 A run is a fixed list of stages. A stage takes the run's state and returns what it adds; the state holds lazy tables and
-small results, and each table is a new plan. Tables that are read again are written to the shared folder, so that a lost executor costs no stage. The stages' times, outcomes and failures make the trace.
+small results, and each table is a new plan. From the preparation on, the table's columns are called c0, c1, ... inside, as names of columns may be
+those of the run's own (row, y, is_test, split_pos, fold, p, score). Tables that are read again are written to the shared folder, so that a lost executor costs no stage. The stages' times, outcomes and failures make the trace.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 from tabularium.functions import storage
 from tabularium.operators import anonymize, explain, match, metrics, model, prepare, profile, split, target
 from tabularium.sources import identify, load
-from tabularium.sources.load import ROW_ID
 from tabularium.sources.registry import Registry
 
 Vision = Callable[[str, str], str]
@@ -29,6 +29,7 @@ class Run:
     file_types: dict[str, str] = field(default_factory=dict)
     data_kind: str | None = None
     table: DataFrame | None = None
+    row_id: str | None = None
     anonymization: dict = field(default_factory=dict)
     image_paths: list[str] = field(default_factory=list)
     headers: list[str] = field(default_factory=list)
@@ -40,6 +41,7 @@ class Run:
     valid_headers: list[str] = field(default_factory=list)
     column_types: dict[str, str] = field(default_factory=dict)
     preprocessing_plan: dict = field(default_factory=dict)
+    inner: dict[str, str] = field(default_factory=dict)
     matrix: DataFrame | None = None
     plan: prepare.Plan | None = None
     target: str | None = None
@@ -50,6 +52,12 @@ class Run:
     explanations: dict = field(default_factory=dict)
     trace: list[dict] = field(default_factory=list)
 
+    def shown(self) -> dict[str, str]:
+        """The features' names outside the run: the column's, with the level of one that is encoded."""
+        outer = {n: c for c, n in self.inner.items()}
+        source = self.plan.source
+        return {f: outer[source.get(f, f)] + f[len(source.get(f, f)) :] for f in [*self.plan.features, *self.plan.columns]}
+
     def report(self) -> dict:
         """What is saved of a run."""
         return {
@@ -90,12 +98,12 @@ class Pipeline:
             ("infer", self._infer),
         ]
 
-    def run(self, input_path: str | None = None, table: DataFrame | None = None, force_target: str | None = None, target_mode: str = "auto", image_paths: list[str] | None = None) -> Run:
-        """Runs all stages. A table without a model it matches ends the run early, which is not an error.
+    def run(self, input_path: str | None = None, table: DataFrame | None = None, force_target: str | None = None, target_mode: str = "auto", image_paths: list[str] | None = None, row_id: str | None = None) -> Run:
+        """Runs all stages. A table without a model it matches ends the run early, which is not an error. ``row_id`` names a column of a given table that tells its order.
 
         A failure is traced and the report saved before it is raised.
         """
-        out = Run(input_path=input_path, table=table, target=force_target, target_mode=target_mode, image_paths=image_paths or [])
+        out = Run(input_path=input_path, table=table, row_id=row_id, target=force_target, target_mode=target_mode, image_paths=image_paths or [])
         for name, stage in self.stages:
             began = time.perf_counter()
             entry = {"agent": name, "status": "ok", "seconds": 0.0, "detail": ""}
@@ -129,8 +137,8 @@ class Pipeline:
             run.anonymization = anonymize.image_report(run.image_paths)
             return f"{len(run.image_paths)} images"
         if run.table is None:
-            run.table, _ = load.load_any(self.spark, run.input_path)
-        run.table, found = anonymize.anonymize(run.table)
+            run.table, _, run.row_id = load.load_ordered(self.spark, run.input_path)
+        run.table, found = anonymize.anonymize(run.table, run.row_id)
         run.anonymization = found.as_dict()
         return f"{len(found.masked_columns)} columns masked; {', '.join(found.detected_types) or 'nothing found'}"
 
@@ -138,7 +146,7 @@ class Pipeline:
         if run.data_kind == "image":
             run.image_modality, run.image_disease = describe_image(self.registry, run.image_paths, self.vision)
             return f"{run.image_modality}; {run.image_disease}"
-        run.headers = [c for c in run.table.columns if c != ROW_ID]
+        run.headers = [c for c in run.table.columns if c != run.row_id]
         return f"{len(run.headers)} headers"
 
     def _match(self, run: Run) -> str:
@@ -156,9 +164,10 @@ class Pipeline:
         if run.data_kind == "image":
             run.preprocessing_plan = {"mode": "model_coupled", "note": "the image model brings its own transforms"}
             return "left to the image model"
-        run.table = load.with_row_id(run.table)
-        run.table = profile.project(run.table, [*run.valid_headers, *([] if run.valid_headers else run.headers), ROW_ID], run.target)
-        names = [c for c in run.table.columns if c not in (run.target, ROW_ID)]
+        if run.row_id is None:
+            run.table, run.row_id = load.with_row_id(run.table)
+        run.table = profile.project(run.table, [*run.valid_headers, *([] if run.valid_headers else run.headers), run.row_id], run.target)
+        names = [c for c in run.table.columns if c not in (run.target, run.row_id)]
         found = profile.planned(profile.typed(profile.profile(run.table, names))).orderBy("pos").collect()  # a row for each column
         run.column_types = {r.column: r.type for r in found}
         run.preprocessing_plan = {"mode": "tabular", "steps": {r.column: r.steps for r in found}, "metadata": {r.column: {"dtype": r.dtype, "n_null": r.n_null, "n_unique": r.n_unique} for r in found}}
@@ -167,18 +176,22 @@ class Pipeline:
     def _prepare(self, run: Run) -> str:
         if run.data_kind == "image":
             return "left to the image model"
+        target.checked(run.table, run.target)
+        run.inner = {c: f"c{k}" for k, c in enumerate(run.table.columns) if c != run.row_id}
+        table = run.table.select(F.col(f"`{run.row_id}`").alias("row"), *[F.col(f"`{c}`").alias(n, metadata=run.table.schema[c].metadata) for c, n in run.inner.items()])
         meta = run.preprocessing_plan["metadata"]
-        table = prepare.marked(run.table, {c: m["n_null"] for c, m in meta.items()})
-        table = storage.materialise(target.framed(table, run.target, ROW_ID, run.target_mode), "framed")
+        table = prepare.marked(table, {run.inner[c]: m["n_null"] for c, m in meta.items()})
+        table = storage.materialise(target.framed(table, run.inner[run.target], "row", run.target_mode), "framed")
         run.n_classes = target.n_classes(table)
-        rows = split.stratified(table, "y", ROW_ID, self.test_size, self.seed)
+        rows = split.stratified(table, "y", "row", self.test_size, self.seed)
         scope = ~F.col("is_test") if self.impute_scope == "train" else None
-        run.plan = prepare.fitted(rows, run.column_types, scope)
-        rows = prepare.applied(rows, run.plan, keep=(ROW_ID, "y", "is_test", "split_pos"))
+        run.plan = prepare.fitted(rows, {run.inner[c]: t for c, t in run.column_types.items()}, scope)
+        own = ("row", "y", "is_test", "split_pos")
+        rows = prepare.applied(rows, run.plan, keep=own)
         if not run.plan.features:
-            run.plan.features = [c for c in rows.columns if c not in (ROW_ID, "y", "is_test", "split_pos")]
+            run.plan.features = [c for c in rows.columns if c not in own]
         run.plan = prepare.scale_fitted(rows, run.plan, ~F.col("is_test"))
-        run.matrix = storage.materialise(split.folds(prepare.scaled(rows, run.plan), "y", ROW_ID), "matrix")
+        run.matrix = storage.materialise(split.folds(prepare.scaled(rows, run.plan), "y", "row"), "matrix")
         run.metrics = {r[0]: r[1] for r in run.matrix.groupBy(F.when(F.col("is_test"), "n_test").otherwise("n_train")).count().collect()}
         storage.drop(table)
         return f"{run.metrics.get('n_train', 0)} rows to train, {run.metrics.get('n_test', 0)} to test, {len(run.plan.features)} features, {run.n_classes} classes"
@@ -195,7 +208,7 @@ class Pipeline:
         run.metrics = {"n_train": run.metrics.get("n_train", 0), "n_test": run.metrics.get("n_test", 0), "n_features": len(run.plan.features), "learner": model.LEARNER}
         run.metrics |= metrics.evaluate(scored, run.n_classes)
         run.metrics |= model.cross_validate(run.matrix, features, "fold", "y", run.n_classes, trees=self.trees, wide=run.plan.wide)
-        run.predictions_path = save_predictions(scored, features, self.output_dir)
+        run.predictions_path = save_predictions(scored, features, self.output_dir, run.shown())
         run.explanations = self._explained(run, booster) if self.explain else {"method": "Shapley", "note": "skipped"}
         storage.drop(scored)
         return f"accuracy {run.metrics['accuracy']}, f1 {run.metrics['f1']}, auc {run.metrics['roc_auc']}"
@@ -203,13 +216,14 @@ class Pipeline:
     def _explained(self, run: Run, booster: model.Booster) -> dict:
         try:
             train, test = run.matrix.where(~F.col("is_test")), run.matrix.where("is_test")
-            rows, pool = split.first_rows(test, "split_pos"), split.background(train, ROW_ID)
+            rows, pool = split.first_rows(test, "split_pos"), split.background(train, "row")
             fill = {c: float(n) for c, n in run.plan.wide.items()}
-            found = storage.materialise(explain.tree_importances(rows, pool, booster.leaves(), run.plan.columns, ROW_ID, fill), "importances")
+            found = storage.materialise(explain.tree_importances(rows, pool, booster.leaves(), run.plan.columns, "row", fill), "importances")
             best = explain.top(found, run.plan.columns).orderBy("rank").collect()
             names = list(dict.fromkeys(run.plan.source.get(f, f) for f in run.plan.columns))
             summed = explain.top(explain.by_source(found, run.plan.source), names).orderBy("rank").collect()
-            return {"method": "Shapley", "top10": [(r.feature, r.importance) for r in best], "top10_columns": [(r.feature, r.importance) for r in summed]}
+            shown, outer = run.shown(), {n: c for c, n in run.inner.items()}
+            return {"method": "Shapley", "top10": [(shown[r.feature], r.importance) for r in best], "top10_columns": [(outer[r.feature], r.importance) for r in summed]}
         except Exception as error:
             return {"method": "Shapley", "error": str(error)}
 

@@ -13,15 +13,19 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tabularium.functions.expressions import unused
 from tabularium.functions.storage import is_local
 
 if TYPE_CHECKING:
     from tabularium.plans.pipeline import Run
 
 
-def predictions(scored: DataFrame, features: Sequence[str]) -> DataFrame:
-    """The scaled features, y_true, y_pred and y_score at 4 digits, in the split's order."""
-    columns = [F.col(f"`{c}`") for c in features]
+def predictions(scored: DataFrame, features: Sequence[str], names: dict[str, str] | None = None) -> DataFrame:
+    """The scaled features, under ``names`` if given, y_true, y_pred and y_score at 4 digits, in the split's order. A name that is taken gets an underscore in front."""
+    taken, columns = ["y_true", "y_pred", "y_score"], []
+    for c in features:
+        taken.append(unused((names or {}).get(c, c), taken))
+        columns.append(F.col(f"`{c}`").alias(taken[-1]))
     return scored.orderBy("split_pos", "y").select(*columns, F.col("y").alias("y_true"), F.col("p").alias("y_pred"), F.round("score", 4).alias("y_score"))
 
 
@@ -54,8 +58,8 @@ def write_csv(df: DataFrame, path: str, single: bool | None = None) -> str:
     return path
 
 
-def save_predictions(scored: DataFrame, features: Sequence[str], folder: str) -> str:
-    return write_csv(predictions(scored, features), os.path.join(folder, "predictions.csv"))
+def save_predictions(scored: DataFrame, features: Sequence[str], folder: str, names: dict[str, str] | None = None) -> str:
+    return write_csv(predictions(scored, features, names), os.path.join(folder, "predictions.csv"))
 
 
 def save(run: Run, folder: str) -> str:

@@ -1,5 +1,7 @@
+import csv
 import io
 import json
+import random
 import struct
 import zipfile
 import zlib
@@ -21,11 +23,56 @@ def test_delimited(spark, tmp_path):
     assert delimited.inferred(whole).dtypes == [("a", "double")]
 
 
+def cells(n, seed):
+    """Rows of cells with line feeds, quotes and separators, and quotes that open nothing."""
+    rng = random.Random(seed)
+    kinds = ["plain", "", '5" pipe', 'a "quoted" word', "line\nfeed", "two\r\nlines\n\n", "com,ma\ttab", '"', '""', "x" * 70, "\n", 'ü\n"y",z']
+    return [[str(k), *rng.choices(kinds, k=3)] for k in range(n)]
+
+
+@pytest.mark.parametrize("end, separator", [("\n", ","), ("\r\n", "\t")])
+@pytest.mark.parametrize("split", ["67", "128m"])
+def test_line_feeds_in_cells_of_split_files(spark, tmp_path, split, end, separator):
+    rows = {f: cells(14, f) for f in range(2)}
+    for f, own in rows.items():
+        with open(tmp_path / f"{f}.csv", "w", newline="") as out:
+            writer = csv.writer(out, lineterminator=end, delimiter=separator)
+            writer.writerow(["id", 'two\nlines "x"', "a.b", "c`d"])
+            writer.writerows(own)
+            out.write(separator.join(["99", '5" pipe', '"open' + end + 'closed"', '7"']))
+    expected = [[None if x == "" else x for x in row] for own in rows.values() for row in [*own, ["99", '5" pipe', f"open{end}closed", '7"']]]
+    settings = {"spark.sql.files.maxPartitionBytes": split, "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1" if split == "128m" else "40"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        assert delimited.has_line_feeds(spark, str(tmp_path), separator)
+        df, place = delimited._parsed(spark, str(tmp_path), separator)
+        assert df.columns[:3] == ["id", 'two\nlines "x"', "a.b"]
+        rows = df.orderBy(place).collect()
+        assert [list(r)[:-1] for r in rows] == expected
+        assert split == "128m" or len({(r[place].file, r[place].block) for r in rows}) > 5
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_line_feeds_are_only_seen_inside_quotes(spark, tmp_path):
+    for name, text, there in (("a", 'x,y\n5" pipe,1\n', False), ("b", 'x,y\n"a ""b""",1\n', False), ("c", 'x,y\n1,"a\nb"\n', True), ("d", 'x,y\n5" pipe,"open\n"\n', True), ("e", "x,y\n", False), ("f", "", False)):
+        (tmp_path / f"{name}.csv").write_text(text)
+        assert delimited.has_line_feeds(spark, str(tmp_path / f"{name}.csv")) == there
+    assert [tuple(r) for r in delimited.read(spark, str(tmp_path / "d.csv")).collect()] == [('5" pipe', "open\n")]
+    assert delimited._parsed(spark, str(tmp_path / "f.csv"), ",")[0].count() == 0
+    line = "a," * 200_000 + '"' + "b" * 300_000
+    (tmp_path / "g.csv").write_text(line + "\n" + 'c"\n')
+    assert delimited.has_line_feeds(spark, str(tmp_path / "g.csv"))
+
+
 def test_parquet_and_nan(spark, tmp_path):
     spark.createDataFrame([(float("nan"),), (1.0,)], "x double").write.parquet(str(tmp_path / "t.parquet"))
     df, _ = load.load_any(spark, str(tmp_path / "t.parquet"))
     assert sorted(df.collect(), key=str) == sorted([(None,), (1.0,)], key=str)
-    assert load.with_row_id(df).columns == ["x", "_row_id"] and load.with_row_id(load.with_row_id(df)).columns == ["x", "_row_id"]
+    assert load.with_row_id(df)[0].columns == ["x", "_row_id"] and load.with_row_id(load.with_row_id(df)[0])[1] == "__row_id"
 
 
 def test_unknown_extensions(spark):
