@@ -25,7 +25,8 @@ def test_a_stored_result_leaves_no_tables(spark, tmp_path):
     common.clean_up(spark)
     own = common.materialise(spark.range(5), "own")
     scope = common.Scope()
-    first, second = common.materialise(spark.range(6), "first"), common.materialise(spark.range(7), "second")
+    with scope:
+        first, second = common.materialise(spark.range(6), "first"), common.materialise(spark.range(7), "second")
     scope.clear(keep=first)
     assert own.count() == 5 and first.count() == 6 and len(storage._MADE) == 2
     common.drop(own)
@@ -42,11 +43,13 @@ def test_scopes_know_paths_however_they_are_written(spark, tmp_path, monkeypatch
         made = plain(session, name)
         storage._MADE.remove(made)
         storage._MADE.append(prefix + str(tmp_path / made.rsplit("/", 1)[1]))
+        scope.paths = scope.paths - {made} | {storage._MADE[-1]}
         return storage._MADE[-1]
 
     monkeypatch.setattr(storage, "shared_dir", path)
     scope = storage.Scope()
-    first, second = storage.materialise(spark.range(6), "first"), storage.materialise(spark.range(7), "second")
+    with scope:
+        first, second = storage.materialise(spark.range(6), "first"), storage.materialise(spark.range(7), "second")
     scope.clear(keep=second)
     assert second.count() == 7 and len(storage._MADE) == 1
     storage.drop(second)
