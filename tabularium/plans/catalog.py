@@ -422,6 +422,23 @@ def load_delimited(extension: str, spark: SparkSession, sf_dir: str) -> DataFram
     return df.select("o_orderkey", "o_custkey", "o_orderstatus", F.round("o_totalprice", 6).alias("o_totalprice"), "o_orderpriority", "o_note")
 
 
+def load_csv_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages``, whose cells hold line feeds, as delimited text, loaded from all its splits."""
+    path = f"{shared_dir(spark, 'pages')}.csv"
+    _t(spark, sf_dir, "pages").write.option("header", True).option("escape", '"').csv(path)
+    df, _ = load.load_any(spark, path)
+    return df.select("page_id", "url", F.md5("html").alias("html_md5"), F.length("html").alias("html_length"))
+
+
+def target_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes by first appearance over two files, the second of which is the larger one."""
+    base, df = shared_dir(spark, "orders"), _t(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    for name, part in (("a", F.col("o_orderkey") % 10 == 3), ("b", F.col("o_orderkey") % 10 != 3)):
+        df.where(part).coalesce(1).sortWithinPartitions(F.desc("o_orderkey")).write.option("header", True).csv(f"{base}/{name}.csv")
+    rows, _, row = load.load_ordered(spark, f"{base}/*.csv")
+    return target.framed(rows, "o_orderpriority", row, "multiclass").select("o_orderkey", "y")
+
+
 def load_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     df, _ = load.load_any(spark, f"{sf_dir}/events.parquet")
     return df.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
@@ -490,7 +507,7 @@ def queries() -> dict:
     found |= {f"column_types_{t}": partial(column_types, t) for t in PROFILED}
     plain = (
         pii_hits_by_label, pii_report, plan_steps, project_headers, impute_median, impute_mode, impute_mode_numeric, binary_strings, coerce_numeric,
-        csv_types, one_hot_wide, level_names, load_parquet, load_xlsx, predictions_csv, archive_kinds, run_demo, shap_exact, target_binary, target_binary_text, target_factorize, target_multiclass, target_auto, target_classes, stratified_split,
+        csv_types, one_hot_wide, level_names, load_csv_lines, target_of_files, load_parquet, load_xlsx, predictions_csv, archive_kinds, run_demo, shap_exact, target_binary, target_binary_text, target_factorize, target_multiclass, target_auto, target_classes, stratified_split,
         split_counts, union_of_split, kfold_assign, background_sample, explain_rows, standard_scale, prepared_matrix, header_normalize, header_ngrams,
         header_tfidf, header_similarity, header_assignment, header_assignment_orders, model_selection, registry_scan, modality_catalogue,
         image_model_match, vector_cosine_topk, confusion_matrix, classification_metrics, macro_metrics, roc_auc, cv_accuracy, linear_shap_top10, tree_shap,

@@ -300,6 +300,8 @@ e AS (SELECT * FROM x ORDER BY o_orderkey LIMIT 100),
 i AS (SELECT 'totalprice' AS feature, avg(abs(0.5 * (totalprice - t))) AS v, 1 AS o FROM e, b UNION ALL SELECT 'custkey', avg(abs(-0.25 * (custkey - c))), 2 FROM e, b UNION ALL SELECT 'month', avg(abs(0.125 * (month - m))), 3 FROM e, b)
 SELECT CAST(row_number() OVER (ORDER BY v DESC, o) AS INTEGER) AS rank, feature, round(v, 5) AS importance FROM i""",
         "tree_shap": _tree_shap(),
+        "load_csv_lines": "SELECT page_id, url, md5(html) AS html_md5, CAST(length(html) AS INTEGER) AS html_length FROM pages",
+        "target_of_files": "WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey % 10 <> 3, o_orderkey DESC) AS place FROM orders), f AS (SELECT o_orderpriority, min(place) AS first FROM o GROUP BY 1), c AS (SELECT o_orderpriority, row_number() OVER (ORDER BY first) - 1 AS code FROM f) SELECT o_orderkey, CAST(code AS INTEGER) AS y FROM o JOIN c USING (o_orderpriority)",
         "predictions_output": f"WITH x AS ({_NUMBERS}), s AS (SELECT o_orderkey, 1 / (1 + exp(-(0.5 * totalprice + -0.25 * custkey + 0.125 * month))) AS score FROM x) SELECT o_orderkey, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS y_pred, round(score, 4) AS y_score FROM s",
     }
     for table in _TABLES:
