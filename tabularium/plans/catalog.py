@@ -5,9 +5,7 @@ Missing values are put in by key, as the tables have none: a value is null where
 
 from __future__ import annotations
 
-import io
 import tempfile
-import zipfile
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,10 +13,10 @@ from pyspark.sql import functions as F
 
 from tabularium.functions.expressions import label, kind_of, logistic, text_to_number
 from tabularium.functions.masking import mask
-from tabularium.functions.storage import put, shared_dir
+from tabularium.functions.storage import materialise, shared_dir
 from tabularium.operators import anonymize, explain, match, metrics, model, prepare, profile, split, target, trees
 from tabularium.plans import oracles, report
-from tabularium.sources import delimited, identify, load, xlsx
+from tabularium.sources import archives, delimited, identify, load, xlsx
 from tabularium.sources.registry import Registry, image_matches
 from tabularium.sources.synthetic import COLUMNS, generate
 
@@ -390,18 +388,17 @@ def file_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def archive_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What two archives hold, and where a run takes them."""
-    csv, png = b"a,b\n1,2\n3,4\n", b"\x89PNG\r\n\x1a\n" + bytes(32)
-    base = shared_dir(spark, "archives")
-    paths = []
-    for name, members in (("tables.zip", {"x.csv": csv, "y.csv": csv}), ("mixed.zip", {"x.csv": csv, "z.png": png})):
-        data = io.BytesIO()
-        with zipfile.ZipFile(data, "w") as archive:
-            for member, content in members.items():
-                archive.writestr(member, content)
-        paths.append(put(spark, f"{base}/{name}", data.getvalue()))
-    found = identify.routed(identify.file_kinds(spark, paths))
-    return found.select(F.regexp_extract("path", "[^/]*$", 0).alias("name"), F.array_join("labels", ",").alias("labels"), "data_kind")
+    """``pages`` and their addresses packed into archives of a hundred pages, and what is found in them."""
+    pages = _t(spark, sf_dir, "pages")
+    name = lambda end: F.concat(F.lit("p"), F.col("page_id"), F.lit(end)).alias("member")
+    bundle = F.concat(F.lit("pages-"), F.floor(F.col("page_id") / 100), F.lit(".zip")).alias("archive")
+    table = F.concat(F.lit("page,address\n"), F.col("page_id"), F.lit(","), "url", F.lit("\n"))
+    rows = pages.select(bundle, name(".html"), F.col("html").alias("content")).unionByName(pages.select(bundle, name(".csv"), table.alias("content")))
+    folder = shared_dir(spark, "archives")
+    written = materialise(archives.write(rows, folder), "archives-written")
+    found = identify.file_kinds(spark, folder).withColumn("archive", F.regexp_extract("path", "[^/]*$", 0))
+    whole = written.select(F.regexp_extract("path", "[^/]*$", 0).alias("archive"), "members")
+    return found.join(whole, "archive").select("archive", "name", "label", "members")
 
 
 def run_demo(spark: SparkSession, sf_dir: str) -> DataFrame:

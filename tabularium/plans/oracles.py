@@ -244,7 +244,10 @@ SELECT p_partkey, place, level, CAST(width AS INTEGER) AS width FROM f JOIN l US
         "load_xlsx": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey, n_nationkey / 4e0 AS n_quarter, n_nationkey % 2 = 0 AS n_even FROM nation",
         "predictions_csv": f"WITH x AS ({_NUMBERS}), s AS (SELECT *, 1 / (1 + exp(-(0.5 * totalprice + -0.25 * custkey + 0.125 * month))) AS score FROM x) SELECT round(totalprice, 8) AS totalprice, round(custkey, 8) AS custkey, month, o_orderkey % 2 AS y_true, CAST(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS y_pred, round(score, 4) AS y_score FROM s",
         "file_kind": "SELECT * FROM (VALUES ('region.parquet', 'parquet', 'tabular'), ('nation.parquet', 'parquet', 'tabular'), ('supplier.parquet', 'parquet', 'tabular')) AS t(name, labels, data_kind)",
-        "archive_kinds": "SELECT * FROM (VALUES ('tables.zip', 'csv', 'tabular'), ('mixed.zip', 'csv,png', 'image')) AS t(name, labels, data_kind)",
+        "archive_kinds": """WITH p AS (SELECT page_id, lower(substr(html, 1, 1000)) AS head, html, 'pages-' || (page_id // 100) || '.zip' AS archive FROM pages),
+m AS (SELECT archive, 'p' || page_id || '.html' AS name, CASE WHEN coalesce(html, '') = '' THEN 'empty' WHEN substr(ltrim(html), 1, 1) <> '<' THEN 'txt' WHEN contains(head, '<html') OR contains(head, '<!doctype html') THEN 'html' ELSE 'xml' END AS label FROM p
+UNION ALL SELECT archive, 'p' || page_id || '.csv', 'csv' FROM p)
+SELECT *, count(*) OVER (PARTITION BY archive) AS members FROM m""",
         "run_demo": "SELECT 'tabular' AS data_kind, 'MODEL_01' AS model, 'anxiety' AS target, 2 AS n_classes, 21 AS n_headers, 480 AS n_train, 120 AS n_test, 67 AS n_features, 'ok,ok,ok,ok,ok,ok,ok' AS stages",
         "shap_exact": _SHAP,
         "level_names": "SELECT \"column\", level, count(*) AS n FROM (SELECT 'l_linenumber' AS \"column\", CAST(l_linenumber AS VARCHAR) AS level FROM lineitem UNION ALL SELECT 'l_quantity', CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || '.0' FROM lineitem UNION ALL SELECT 'l_discount', CAST(l_discount AS VARCHAR) FROM lineitem) GROUP BY ALL",

@@ -53,6 +53,17 @@ def test_no_model_halts(spark, tmp_path):
     assert json.load(open(report.save(run, str(tmp_path))))["selected_model"] is None
 
 
+def test_a_run_reads_parts_of_its_file_only(spark, tmp_path):
+    path = report.write_csv(generate(spark, 400, 1, 1), str(tmp_path / "cohort.csv"))
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        run = Pipeline(spark, str(tmp_path), trees=2, explain=False).run(path)
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+    assert run.file_types == {"cohort.csv": "csv"} and run.selected_model == "MODEL_01"
+
+
 def test_failure_is_reported(spark, tmp_path):
     table = spark.createDataFrame([(k, k % 3) for k in range(30)], "a int, b int")
     registry = Registry([Model("M", "table", "m", "t", ("a", "b"), "missing")])

@@ -211,7 +211,48 @@ def test_kinds_of_files(spark, tmp_path):
     deep = CSV
     for _ in range(6):
         deep = zipped(x__zip=deep)
-    assert dict(identify.expand("deep", deep)) == {"x.zip": "zip"}
+    assert dict(identify.expand("deep", io.BytesIO(deep), len(deep))) == {"x.zip": "zip"}
+
+
+def test_only_parts_of_files_are_read(spark, tmp_path):
+    """Files above the limit of Spark's binary reader, archives of large members, archives in archives, and names that come twice."""
+    before = spark.conf.get("spark.sql.sources.binaryFile.maxLength")
+    rows = b"a,b\n" + b"1,2\n" * 200_000
+    (tmp_path / "large file.csv").write_bytes(rows)
+    (tmp_path / "lines.json").write_bytes(b'{"a": "' + b"x" * 5000 + b'"}\n' * 1 + (b'{"a": "' + b"x" * 5000 + b'"}\n') * 40)
+    (tmp_path / "large.zip").write_bytes(zipped(x__csv=rows, y__tsv=b"a\tb\n1\t2\n" * 50_000, z__zip=zipped(inner__png=PNG + bytes(300_000), deep__zip=zipped(w__csv=rows))))
+    (tmp_path / "many.zip").write_bytes(zipped(**{f"m{k}__csv": CSV for k in range(300)}, last__png=PNG))
+    with zipfile.ZipFile(tmp_path / "twice.zip", "w") as z:
+        z.writestr("a.dat", CSV)
+        z.writestr("folder/", b"")
+        with pytest.warns(UserWarning):
+            z.writestr("a.dat", PNG)
+    with zipfile.ZipFile(tmp_path / "zip64.zip", "w") as z, z.open(zipfile.ZipInfo("a.csv"), "w", force_zip64=True) as member:
+        member.write(CSV)
+    whole = zipped(a__csv=CSV, b__png=PNG)
+    (tmp_path / "cut.zip").write_bytes(whole[:-30])
+    (tmp_path / "harmed.zip").write_bytes(zipped(a__csv=CSV).replace(b"1,2", b"1,3"))
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        kinds = identify.file_kinds(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.sources.binaryFile.maxLength", before)
+    found = {}
+    for r in kinds:
+        found.setdefault(r.path.rsplit("/", 1)[1], {})[r.name] = r.label
+    assert found["large file.csv"] == {"large file.csv": "csv"} and found["lines.json"] == {"lines.json": "jsonl"}
+    assert found["large.zip"] == {"x.csv": "csv", "y.tsv": "tsv", "inner.png": "png", "w.csv": "csv"}
+    assert found["many.zip"] == {f"m{k}.csv": "csv" for k in range(300)} | {"last.png": "png"}
+    assert found["twice.zip"] == {"a.dat": "png"} and found["zip64.zip"] == {"a.csv": "csv"}
+    assert found["cut.zip"] == {"cut.zip": "unknown"} and found["harmed.zip"] == {"a.csv": "unknown"}
+
+
+def test_other_stores_come_through_spark(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(identify, "_OPENED", ())
+    (tmp_path / "a.zip").write_bytes(zipped(x__csv=CSV, y__png=PNG))
+    (tmp_path / "b.csv").write_bytes(CSV)
+    found = {(r.path.rsplit("/", 1)[1], r.name): r.label for r in identify.file_kinds(spark, str(tmp_path)).collect()}
+    assert found == {("a.zip", "x.csv"): "csv", ("a.zip", "y.png"): "png", ("b.csv", "b.csv"): "csv"}
 
 
 def test_synthetic(spark):
