@@ -8,13 +8,14 @@ from __future__ import annotations
 import tempfile
 from functools import partial
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.functions.expressions import label, kind_of, logistic, text_to_number
 from tabularium.functions.masking import mask
 from tabularium.functions.storage import materialise, shared_dir
-from tabularium.operators import anonymize, explain, match, metrics, model, prepare, profile, split, target, trees
+from tabularium.operators import anonymize, boosting, explain, match, metrics, model, prepare, profile, split, target, trees
 from tabularium.plans import oracles, report
 from tabularium.sources import archives, delimited, identify, load, xlsx
 from tabularium.sources.registry import Registry, image_matches
@@ -465,26 +466,76 @@ def synth_generate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generate(spark)
 
 
-def _cohort(spark: SparkSession) -> tuple[DataFrame, list[str]]:
-    df = generate(spark, partitions=2).withColumn("_row_id", F.monotonically_increasing_id())
-    rows = split.stratified(df.withColumn("y", target.binarized(F.col("anxiety"))), "y", "_row_id")
-    return rows, list(COLUMNS)
+LINE_NUMBERS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """Lines of orders with their numbers; what is to be learned is whether they are dear, and how dear (0, 1, 2)."""
+    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    df = _t(spark, sf_dir, "lineitem")
+    df = df.select(
+        F.xxhash64(*df.columns).alias("row"), *[F.col(c).cast("double").alias(c) for c in LINE_NUMBERS],
+        (price > 40_000).cast("int").alias("y"), F.when(price < 20_000, 0).when(price < 60_000, 1).otherwise(2).alias("z"),
+    )
+    return split.stratified(df, "y", "row"), list(LINE_NUMBERS)
 
 
 def gbt_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, features = _cohort(spark)
+    rows, features = _lines(spark, sf_dir)
     booster = model.fit(rows.where(~F.col("is_test")), features)
-    return booster.score(rows.where("is_test")).select("_row_id", "y", "p", "score")
+    return booster.score(rows.where("is_test")).select("row", "y", "p", "score")
 
 
 def shap_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, features = _cohort(spark)
+    rows, features = _lines(spark, sf_dir)
     train = rows.where(~F.col("is_test"))
     booster = model.fit(train, features)
-    found = explain.sampled(split.first_rows(rows.where("is_test"), "split_pos"), split.background(train, "_row_id"), features, booster.score, "_row_id")
+    found = explain.sampled(split.first_rows(rows.where("is_test"), "split_pos"), split.background(train, "row"), features, booster.score, "row")
     return explain.top(found, features)
 
 
+def boost_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out lines with the probabilities of three classes, from one ensemble that stops by itself."""
+    rows, features = _lines(spark, sf_dir)
+    rows = materialise(rows, "lines")
+    fitted = boosting.fit(rows.where(~F.col("is_test")), features, "z", 3)
+    found = fitted.probabilities(rows.where("is_test"))
+    return found.select("row", "z", *[F.col("probabilities")[k].alias(f"p{k}") for k in range(3)])
+
+
+def boost_importances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact Shapley values of a fitted ensemble, over all held-out lines and against all others."""
+    rows, features = _lines(spark, sf_dir)
+    rows = materialise(rows, "lines")
+    train = rows.where(~F.col("is_test"))
+    fitted = boosting.fit(train, features)
+    return explain.top(explain.tree_importances(rows.where("is_test"), train, fitted.leaves(), features, "row"), features)
+
+
+def _boosted_tree(node: tuple | float, edges: list[np.ndarray], tree: boosting.Tree, k: int = 0) -> boosting.Tree:
+    if not isinstance(node, tuple):
+        tree.value[k] = node
+        return tree
+    feature, threshold, left, right = node
+    tree.feature[k] = list(oracles.EDGES).index(feature)
+    tree.bin[k] = int(np.searchsorted(edges[tree.feature[k]], threshold))
+    _boosted_tree(left, edges, tree, 2 * k + 1)
+    return _boosted_tree(right, edges, tree, 2 * k + 2)
+
+
+def boost_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gains of all splits of an order's numbers for its status, after trees that have been added to two of the three classes."""
+    status = F.when(F.col("o_orderstatus") == "F", 0).when(F.col("o_orderstatus") == "O", 1).otherwise(2)
+    rows = _numbers(spark, sf_dir).join(_t(spark, sf_dir, "orders").select("o_orderkey", status.alias("y")), "o_orderkey")
+    edges = [np.array(e, float) for e in oracles.EDGES.values()]
+    start = boosting.start_of(rows, "y", 3)
+    binned = boosting.binned(rows, list(oracles.EDGES), edges, "y", F.lit(1), "o_orderkey", start, held=0)
+    before = [_boosted_tree(t, edges, boosting.Tree.empty(3)) for t in oracles.TREES] + [boosting.Tree.empty(3)]
+    growing = boosting.Growing(1, 3, edges, since=[[before]], now=[[boosting.Tree.empty(1)] * 3], active=[True])
+    found = boosting.gains(boosting.cells(binned, growing, 0)).where("node = 0")
+    return found.select("output", "feature", "bin", F.col("nl").alias("n_left"), F.round(F.col("gain") / F.col("nt"), 8).alias("gain"))
+
+
 PROFILED = ("lineitem", "orders", "customer", "part", "supplier", "events", "documents", "labels")
 
 
@@ -508,7 +559,7 @@ def queries() -> dict:
         split_counts, union_of_split, kfold_assign, background_sample, explain_rows, standard_scale, prepared_matrix, header_normalize, header_ngrams,
         header_tfidf, header_similarity, header_assignment, header_assignment_orders, model_selection, registry_scan, modality_catalogue,
         image_model_match, vector_cosine_topk, confusion_matrix, classification_metrics, macro_metrics, roc_auc, cv_accuracy, linear_shap_top10, tree_shap,
-        predictions_output, file_kind, synth_generate, gbt_predictions, shap_sampled,
+        predictions_output, file_kind, synth_generate, gbt_predictions, shap_sampled, boost_predictions, boost_importances, boost_gains,
     )
     return found | {f.__name__: f for f in plain}
 

@@ -16,6 +16,9 @@ TREES = (
     ("custkey", 0.75, ("month", 3, 0.5, -0.25), ("month", 9, ("month", 7, 0.125, 1.0), -0.5)),
 )
 
+#: Ends of bins of these numbers.
+EDGES = {"totalprice": (0.5, 1.0, 1.5, 2.0, 2.5, 3.0, 3.5, 4.0), "custkey": (0.25, 0.5, 0.75, 1.0, 1.25), "month": tuple(range(1, 12))}
+
 _TABLES = {
     "lineitem": ("l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax", "l_returnflag l_linestatus", "l_shipdate"),
     "orders": ("o_orderkey o_custkey o_totalprice", "o_orderstatus o_orderpriority", "o_orderdate"),
@@ -72,6 +75,20 @@ def _tree_shap() -> str:
     return f"WITH r AS ({_NUMBERS}), b AS (SELECT * FROM r ORDER BY md5('0|' || o_orderkey), o_orderkey LIMIT 100), v AS (SELECT r.o_orderkey, {means} FROM r, b GROUP BY 1) SELECT o_orderkey, {columns} FROM v"
 
 
+def _boost_gains() -> str:
+    """Derivatives of the softmax loss of an order's status, where the trees have been added to the first two classes, and the gains of all splits."""
+    start = "WITH c AS (SELECT s, 1.0 + (SELECT count(*) FROM orders WHERE o_orderstatus = s) AS n FROM (VALUES ('F'), ('O'), ('P')) t(s)), b AS (SELECT s, ln(n / (SELECT sum(n) FROM c)) AS b FROM c)"
+    plain = {n: n for n in EDGES}
+    margins = [f"{_tree(TREES[0], plain)} + (SELECT b FROM b WHERE s = 'F')", f"{_tree(TREES[1], plain)} + (SELECT b FROM b WHERE s = 'O')", "(SELECT b FROM b WHERE s = 'P')"]
+    rows = f"x AS (SELECT x.*, o_orderstatus AS s FROM ({_NUMBERS}) x JOIN orders USING (o_orderkey)), e AS (SELECT *, exp({margins[0]}) AS e0, exp({margins[1]}) AS e1, exp({margins[2]}) AS e2 FROM x)"
+    by_class = " UNION ALL ".join(f"SELECT {k} AS output, e{k} / (e0 + e1 + e2) AS p, s = '{s}' AS hot, totalprice, custkey, month FROM e" for k, s in enumerate("FOP"))
+    count = lambda n: " + ".join(f"CAST({n} > {v} AS INTEGER)" for v in EDGES[n])
+    by_feature = " UNION ALL ".join(f"SELECT output, {k} AS feature, {count(n)} AS bin, p - CAST(hot AS INTEGER) AS g, p * (1 - p) AS h FROM q" for k, n in enumerate(EDGES))
+    return f"""{start}, {rows}, q AS ({by_class}), f AS ({by_feature}), s AS (SELECT output, feature, bin, sum(g) AS g, sum(h) AS h, count(*) AS n FROM f GROUP BY ALL),
+u AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(n) OVER w AS nl, sum(g) OVER a AS gt, sum(h) OVER a AS ht, sum(n) OVER a AS nt FROM s WINDOW w AS (PARTITION BY output, feature ORDER BY bin), a AS (PARTITION BY output, feature))
+SELECT output, feature, bin, CAST(nl AS BIGINT) AS n_left, CASE WHEN nl >= 5 AND nt - nl >= 5 THEN round((gl * gl / (hl + 1) + (gt - gl) * (gt - gl) / (ht - hl + 1) - gt * gt / (ht + 1)) / nt, 8) END AS gain FROM u"""
+
+
 def _profile(table: str) -> str:
     parts = []
     for c, kind in _columns(table):
@@ -303,6 +320,7 @@ e AS (SELECT * FROM x ORDER BY o_orderkey LIMIT 100),
 i AS (SELECT 'totalprice' AS feature, avg(abs(0.5 * (totalprice - t))) AS v, 1 AS o FROM e, b UNION ALL SELECT 'custkey', avg(abs(-0.25 * (custkey - c))), 2 FROM e, b UNION ALL SELECT 'month', avg(abs(0.125 * (month - m))), 3 FROM e, b)
 SELECT CAST(row_number() OVER (ORDER BY v DESC, o) AS INTEGER) AS rank, feature, round(v, 5) AS importance FROM i""",
         "tree_shap": _tree_shap(),
+        "boost_gains": _boost_gains(),
         "load_csv_lines": "SELECT page_id, url, md5(html) AS html_md5, CAST(length(html) AS INTEGER) AS html_length FROM pages",
         "target_of_files": "WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey % 10 <> 3, o_orderkey DESC) AS place FROM orders), f AS (SELECT o_orderpriority, min(place) AS first FROM o GROUP BY 1), c AS (SELECT o_orderpriority, row_number() OVER (ORDER BY first) - 1 AS code FROM f) SELECT o_orderkey, CAST(code AS INTEGER) AS y FROM o JOIN c USING (o_orderpriority)",
         "predictions_output": f"WITH x AS ({_NUMBERS}), s AS (SELECT o_orderkey, 1 / (1 + exp(-(0.5 * totalprice + -0.25 * custkey + 0.125 * month))) AS score FROM x) SELECT o_orderkey, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS y_pred, round(score, 4) AS y_score FROM s",

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.functions import storage
-from tabularium.operators import anonymize, explain, match, metrics, model, prepare, profile, split, target
+from tabularium.operators import anonymize, boosting, explain, match, metrics, model, prepare, profile, split, target
 from tabularium.sources import identify, load
 from tabularium.sources.registry import Registry
 
@@ -79,15 +79,18 @@ class Run:
 class Pipeline:
     """``impute_scope``: ``all`` takes fills and levels from all rows, ``train`` from the training rows.
 
-    ``embedder`` takes the place of the matcher's n-gram weights; ``vision`` answers a prompt on an image.
+    ``learner``: ``spark``, Spark ML's boosted trees, ``trees`` of them, or ``boosting``, the engine's own, which stops by itself and fits the model and those of
+    the cross-validation together. ``embedder`` takes the place of the matcher's n-gram weights; ``vision`` answers a prompt on an image.
     """
 
-    def __init__(self, spark: SparkSession, output_dir: str = ".", threshold: float = match.THRESHOLD, explain: bool = True, test_size: float = 0.2, random_state: int = 42, registry: Registry | None = None, embedder: match.Embedder | None = None, vision: Vision | None = None, impute_scope: str = "all", trees: int = 20) -> None:
+    def __init__(self, spark: SparkSession, output_dir: str = ".", threshold: float = match.THRESHOLD, explain: bool = True, test_size: float = 0.2, random_state: int = 42, registry: Registry | None = None, embedder: match.Embedder | None = None, vision: Vision | None = None, impute_scope: str = "all", trees: int = 20, learner: str = "spark") -> None:
         if impute_scope not in ("all", "train"):
             raise ValueError("impute_scope is all or train")
+        if learner not in ("spark", "boosting"):
+            raise ValueError("learner is spark or boosting")
         self.spark, self.output_dir, self.threshold, self.explain = spark, output_dir, threshold, explain
         self.test_size, self.seed, self.registry = test_size, random_state, registry or Registry()
-        self.embedder, self.vision, self.impute_scope, self.trees = embedder, vision, impute_scope, trees
+        self.embedder, self.vision, self.impute_scope, self.trees, self.learner = embedder, vision, impute_scope, trees, learner
         self.stages: list[tuple[str, Callable[[Run], str]]] = [
             ("identify", self._identify),
             ("anonymize", self._anonymize),
@@ -203,11 +206,17 @@ class Pipeline:
         from tabularium.plans.report import save_predictions
 
         train, test, features = run.matrix.where(~F.col("is_test")), run.matrix.where("is_test"), run.plan.columns
-        booster = model.fit(train, features, "y", run.n_classes, self.trees, wide=run.plan.wide)
+        if self.learner == "boosting":
+            booster = boosting.fit(run.matrix, features, "y", run.n_classes, uses=boosting.with_folds(~F.col("is_test"), F.col("fold"), split.FOLDS), models=1 + split.FOLDS)
+        else:
+            booster = model.fit(train, features, "y", run.n_classes, self.trees, wide=run.plan.wide)
         scored = storage.materialise(booster.score(test), "scored")
-        run.metrics = {"n_train": run.metrics.get("n_train", 0), "n_test": run.metrics.get("n_test", 0), "n_features": len(run.plan.features), "learner": model.LEARNER}
+        run.metrics = {"n_train": run.metrics.get("n_train", 0), "n_test": run.metrics.get("n_test", 0), "n_features": len(run.plan.features), "learner": boosting.LEARNER if self.learner == "boosting" else model.LEARNER}
         run.metrics |= metrics.evaluate(scored, run.n_classes)
-        run.metrics |= model.cross_validate(run.matrix, features, "fold", "y", run.n_classes, trees=self.trees, wide=run.plan.wide)
+        if self.learner == "boosting":
+            run.metrics |= boosting.fold_accuracy(booster, run.matrix, F.col("fold"))
+        else:
+            run.metrics |= model.cross_validate(run.matrix, features, "fold", "y", run.n_classes, trees=self.trees, wide=run.plan.wide)
         run.predictions_path = save_predictions(scored, features, self.output_dir, run.shown())
         run.explanations = self._explained(run, booster) if self.explain else {"method": "Shapley", "note": "skipped"}
         storage.drop(scored)
