@@ -5,6 +5,7 @@ Missing values are put in by key, as the tables have none: a value is null where
 
 from __future__ import annotations
 
+import re
 import tempfile
 from functools import partial
 
@@ -15,10 +16,10 @@ from pyspark.sql import functions as F
 from tabularium.functions.expressions import label, kind_of, logistic, text_to_number
 from tabularium.functions.masking import mask
 from tabularium.functions.storage import materialise, shared_dir
-from tabularium.operators import anonymize, boosting, explain, match, metrics, model, prepare, profile, split, target, trees
+from tabularium.operators import anonymize, boosting, explain, match, metrics, model, prepare, profile, scan, split, target, trees
 from tabularium.plans import oracles, report
 from tabularium.sources import archives, delimited, identify, load, xlsx
-from tabularium.sources.registry import Registry, image_matches
+from tabularium.sources.registry import Model, Registry, image_matches
 from tabularium.sources.synthetic import COLUMNS, generate
 
 #: Headers of the synthetic cohort.
@@ -279,8 +280,6 @@ def header_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def header_assignment_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tabularium.sources.registry import Model
-
     wanted = Model("ORDERS", "table", "orders", "classification", oracles.ORDER_HEADERS, "flag")
     headers = _t(spark, sf_dir, "orders").columns
     return match.pair_frame(spark, match.match(spark, headers, Registry([wanted]))).select("required", "header", "score")
@@ -290,6 +289,76 @@ def model_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return match.summary_frame(spark, match.match(spark, HEADERS))
 
 
+def _table_registry(spark: SparkSession, sf_dir: str) -> Registry:
+    """A model for each of some given tables: its columns, without the table's letter, the last one as output."""
+    names = {t: [re.sub(oracles.SHORT, "", c) for c in _t(spark, sf_dir, t).columns] for t in oracles.REGISTERED}
+    return Registry([Model(t, "table", t, "classification", tuple(c), c[-1]) for t, c in names.items()])
+
+
+def _table_columns(spark: SparkSession, sf_dir: str) -> list[str]:
+    return [c for t in oracles.MATCHED for c in _t(spark, sf_dir, t).columns]
+
+
+def _table_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return match.corpus(spark, _table_columns(spark, sf_dir), _table_registry(spark, sf_dir).tables())
+
+
+def table_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every model's corpus of headers, of given tables, without its output."""
+    return _table_corpus(spark, sf_dir).select("model", "side", "idx", match.normalised(F.col("header")).alias("header"))
+
+
+def table_header_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(match.weights(_table_corpus(spark, sf_dir)).select("model", "side", "idx", "gram", "w"), "w")
+
+
+def _table_scan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    headers = spark.createDataFrame(list(enumerate(_table_columns(spark, sf_dir))), "u int, header string")
+    return scan.scanned(headers, _table_registry(spark, sf_dir).frame(spark))
+
+
+def table_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of given tables assigned to those of every model of the registry, in rounds and without all pairs."""
+    return _table_scan(spark, sf_dir)[0]
+
+
+def table_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table_scan(spark, sf_dir)[1]
+
+
+def table_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table_registry(spark, sf_dir).frame(spark).select("model", "kind", F.array_join("headers", ",").alias("headers"), "output")
+
+
+def _image_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image model for each source and language of the documents, the source as its modality."""
+    own = _t(spark, sf_dir, "documents").where("source is not null and lang is not null").select("source", "lang").distinct()
+    return own.select(F.concat_ws("-", "source", "lang").alias("model"), F.lit("image").alias("kind"), F.concat("source", F.lit(" image")).alias("modality"))
+
+
+def table_modalities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _image_models(spark, sf_dir).where("kind = 'image'").select("modality").distinct()
+
+
+def table_image_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = _t(spark, sf_dir, "documents").select(F.concat(F.coalesce("source", F.lit("no")), F.lit(" image")).alias("modality"))
+    asked = asked.unionByName(_t(spark, sf_dir, "events").select(F.concat("event_type", F.lit(" image")).alias("modality")))
+    return image_matches(_image_models(spark, sf_dir), asked)
+
+
+def run_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A whole run on ``orders``, with importances: what was decided and counted, and the rows that its confusion matrix and training rows add up to."""
+    from tabularium.plans.pipeline import Pipeline
+
+    wanted = Model("ORDERS", "table", "orders", "classification", ("o_custkey", "o_totalprice", "o_orderpriority"), "o_orderstatus")
+    with tempfile.TemporaryDirectory(prefix="run-") as folder:
+        done = Pipeline(spark, folder, registry=Registry([wanted])).run(f"{sf_dir}/orders.parquet")
+    stages = ",".join(f"{s['agent']}:{s['status']}" for s in done.trace)
+    scored = sum(map(sum, done.metrics["confusion_matrix"])) + done.metrics["n_train"]
+    row = (done.data_kind, done.selected_model, done.target, done.n_classes, len(done.valid_headers), done.metrics["n_train"], done.metrics["n_test"], done.metrics["n_features"], stages, scored)
+    return spark.createDataFrame([row], "data_kind string, model string, target string, n_classes int, n_headers int, n_train int, n_test int, n_features int, stages string, n_scored long")
+
+
 def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Registry().frame(spark).withColumn("headers", F.array_join("headers", ","))
 
@@ -406,7 +475,8 @@ def run_demo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A whole run on the synthetic cohort: what was decided and counted."""
     from tabularium.plans.pipeline import Pipeline
 
-    done = Pipeline(spark, tempfile.mkdtemp(prefix="run-"), explain=False, trees=2).run(table=generate(spark))
+    with tempfile.TemporaryDirectory(prefix="run-") as folder:
+        done = Pipeline(spark, folder, explain=False, trees=2).run(table=generate(spark))
     row = (done.data_kind, done.selected_model, done.target, done.n_classes, len(done.valid_headers), done.metrics["n_train"], done.metrics["n_test"], done.metrics["n_features"], ",".join(s["status"] for s in done.trace))
     return spark.createDataFrame([row], "data_kind string, model string, target string, n_classes int, n_headers int, n_train int, n_test int, n_features int, stages string")
 
@@ -557,7 +627,8 @@ def queries() -> dict:
         pii_hits_by_label, pii_report, plan_steps, project_headers, impute_median, impute_mode, impute_mode_numeric, binary_strings, coerce_numeric,
         csv_types, one_hot_wide, level_names, load_csv_lines, target_of_files, load_parquet, load_xlsx, predictions_csv, archive_kinds, run_demo, shap_exact, target_binary, target_binary_text, target_factorize, target_multiclass, target_auto, target_classes, stratified_split,
         split_counts, union_of_split, kfold_assign, background_sample, explain_rows, standard_scale, prepared_matrix, header_normalize, header_ngrams,
-        header_tfidf, header_similarity, header_assignment, header_assignment_orders, model_selection, registry_scan, modality_catalogue,
+        header_tfidf, header_similarity, header_assignment, header_assignment_orders, model_selection, table_headers, table_header_weights, table_assignment, table_selection, table_registry, table_modalities,
+        table_image_match, run_orders, registry_scan, modality_catalogue,
         image_model_match, vector_cosine_topk, confusion_matrix, classification_metrics, macro_metrics, roc_auc, cv_accuracy, linear_shap_top10, tree_shap,
         predictions_output, file_kind, synth_generate, gbt_predictions, shap_sampled, boost_predictions, boost_importances, boost_gains,
     )

@@ -159,12 +159,31 @@ def _order_rows() -> list[str]:
     return [f"('ORDERS', 'user', {k}, '{h}')" for k, h in enumerate(columns)] + [f"('ORDERS', 'required', {k}, '{h}')" for k, h in enumerate(ORDER_HEADERS)]
 
 
-def _headers(rows: list[str] | None = None) -> str:
+#: Given tables whose columns are models of a registry, and those whose columns are to be matched.
+REGISTERED = ("customer", "documents", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier")
+MATCHED = ("orders", "lineitem", "customer", "part", "nation")
+SHORT = "^[a-z]_"
+_ORDER = " ".join(f"WHEN '{t}' THEN {k}" for k, t in enumerate(MATCHED))
+
+
+def _described(tables: tuple[str, ...]) -> str:
+    """(table_name, column_name, o) of given tables."""
+    return " UNION ALL ".join(f"SELECT '{t}' AS table_name, column_name, row_number() OVER () AS o FROM (DESCRIBE {t})" for t in tables)
+
+
+#: Models of the registry: a table's columns without the table's letter, the last one as output.
+_MODELS = f"SELECT table_name AS model, regexp_replace(column_name, '{SHORT}', '') AS header, o, count(*) OVER (PARTITION BY table_name) AS n FROM ({_described(REGISTERED)})"
+_TABLE_HEADERS = f"""(WITH m AS ({_MODELS}), q AS (SELECT m.model, m.header, m.o FROM m JOIN m AS l ON l.model = m.model AND l.o = l.n WHERE m.header <> l.header),
+u AS (SELECT column_name AS header, row_number() OVER (ORDER BY CASE table_name {_ORDER} END, o) - 1 AS idx FROM ({_described(MATCHED)}))
+SELECT model, 'required', CAST(row_number() OVER (PARTITION BY model ORDER BY o) - 1 AS INTEGER), header FROM q UNION ALL SELECT model, 'user', CAST(idx AS INTEGER), u.header FROM u, (SELECT DISTINCT model FROM m))"""
+
+
+def _headers(rows: list[str] | None = None, query: str = "") -> str:
     """Headers as (model, side, idx, header), normalised in ``nh``, in common table expressions."""
     rows = rows or _cohort_rows()
     synonyms = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in SYNONYMS.items())
     return f"""
-WITH RECURSIVE hd(model, side, idx, header) AS (VALUES {", ".join(rows)}),
+WITH RECURSIVE hd(model, side, idx, header) AS ({query or "VALUES " + ", ".join(rows)}),
 w AS (SELECT model, side, idx, unnest(string_split(translate(lower(header), '_-', '  '), ' ')) AS w, unnest(range(1, 99)) AS o FROM hd),
 k AS (SELECT model, side, idx, o, CASE w {synonyms} ELSE w END AS w FROM w WHERE w IS NOT NULL AND w <> ''),
 nh AS (SELECT model, side, idx, string_agg(w, ' ' ORDER BY o) AS header FROM k GROUP BY ALL)"""
@@ -294,6 +313,18 @@ SELECT o_orderkey, y, is_test, round((x - (SELECT avg(x) FROM f WHERE NOT is_tes
         "header_similarity": f"{_headers()}{_GRAMS}{_WEIGHTS}{_SIMILAR} SELECT model, req_idx, user_idx, round(sim, 6) AS sim FROM sm",
         "header_assignment": f"{_headers()}{_GRAMS}{_WEIGHTS}{_SIMILAR}{_ASSIGN} SELECT model, required, header, score FROM mt",
         "header_assignment_orders": f"{_headers(_order_rows())}{_GRAMS}{_WEIGHTS}{_SIMILAR}{_ASSIGN} SELECT required, header, score FROM mt",
+        "table_headers": f"{_headers(query=_TABLE_HEADERS)} SELECT * FROM nh",
+        "table_header_weights": f"{_headers(query=_TABLE_HEADERS)}{_GRAMS}{_WEIGHTS} SELECT model, side, idx, gram, round(w, 6) AS w FROM wt",
+        "table_assignment": f"{_headers(query=_TABLE_HEADERS)}{_GRAMS}{_WEIGHTS}{_SIMILAR}{_ASSIGN}, tn AS (SELECT ag.model, ag.turn, r.header AS required, u.header, round(ag.sim, 3) AS score FROM ag JOIN hd r ON r.model = ag.model AND r.side = 'required' AND r.idx = ag.req_idx JOIN hd u ON u.model = ag.model AND u.side = 'user' AND u.idx = ag.user_idx WHERE ag.sim > 0.6) SELECT model, CAST(row_number() OVER (PARTITION BY model ORDER BY turn) - 1 AS INTEGER) AS place, required, header, score FROM tn",
+        "table_selection": f"""{_headers(query=_TABLE_HEADERS)}{_GRAMS}{_WEIGHTS}{_SIMILAR}{_ASSIGN},
+q AS (SELECT model, count(*) AS n_required FROM hd WHERE side = 'required' GROUP BY 1),
+e AS (SELECT q.model, q.n_required, count(mt.model) AS n_matched FROM q LEFT JOIN mt USING (model) GROUP BY ALL)
+SELECT model, CAST(n_required AS INTEGER) AS n_required, CAST(n_matched AS INTEGER) AS n_matched, n_matched = n_required AS eligible,
+coalesce(model = (SELECT model FROM e WHERE n_matched = n_required ORDER BY n_matched DESC, model LIMIT 1), false) AS chosen FROM e""",
+        "table_registry": f"WITH m AS ({_MODELS}) SELECT model, 'table' AS kind, string_agg(header, ',' ORDER BY o) AS headers, max(CASE WHEN o = n THEN header END) AS output FROM m GROUP BY model",
+        "table_modalities": "SELECT DISTINCT source || ' image' AS modality FROM documents WHERE source IS NOT NULL",
+        "table_image_match": "SELECT q.modality, min(d.source || '-' || d.lang) AS model FROM (SELECT DISTINCT coalesce(source, 'no') || ' image' AS modality FROM documents UNION SELECT DISTINCT event_type || ' image' FROM events) q LEFT JOIN documents d ON d.source || ' image' = q.modality GROUP BY 1",
+        "run_orders": "SELECT 'tabular' AS data_kind, 'ORDERS' AS model, 'o_orderstatus' AS target, CAST((SELECT count(DISTINCT o_orderstatus) FROM orders) AS INTEGER) AS n_classes, 3 AS n_headers, CAST(count(*) - ceil(count(*) * 0.2) AS INTEGER) AS n_train, CAST(ceil(count(*) * 0.2) AS INTEGER) AS n_test, CAST(2 + count(DISTINCT o_orderpriority) AS INTEGER) AS n_features, 'identify:ok,anonymize:ok,features:ok,match:ok,recommend:ok,prepare:ok,infer:ok' AS stages, count(*) - CAST(ceil(count(*) * 0.2) AS BIGINT) + CAST(ceil(count(*) * 0.2) AS BIGINT) AS n_scored FROM orders",
         "model_selection": f"""{_headers()}{_GRAMS}{_WEIGHTS}{_SIMILAR}{_ASSIGN},
 q AS (SELECT model, count(*) AS n_required FROM hd WHERE side = 'required' GROUP BY 1),
 e AS (SELECT q.model, q.n_required, count(mt.model) AS n_matched FROM q LEFT JOIN mt USING (model) GROUP BY ALL)

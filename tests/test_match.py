@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from tabularium.operators import match
+from tabularium.operators import match, scan
 from tabularium.sources.registry import Model, Registry, image_matches
 from tabularium.sources.synthetic import COLUMNS
 
@@ -56,3 +58,45 @@ def test_registry(spark):
     assert registry.modalities() == ["breast histopathology scan", "chest x-ray", "colon colonoscopy scan"]
     got = image_matches(frame, spark.createDataFrame([("colon colonoscopy scan",), ("none",), ("chest x-ray",)], "modality string"))
     assert dict(map(tuple, got.collect())) == {"colon colonoscopy scan": "MODEL_06", "none": None, "chest x-ray": "MODEL_99"}
+
+
+def same_as_one_by_one(spark, headers, models):
+    """The distributed scan gives the matches of ``match.match`` and its choice."""
+    registry = Registry(models)
+    want = match.match(spark, headers, registry)
+    rows = spark.createDataFrame(list(enumerate(headers)), "u int, header string")
+    found, counts = scan.scanned(rows, registry.frame(spark).where("kind = 'table'"))
+    got = {}
+    for r in found.orderBy("model", "place").collect():
+        got.setdefault(r.model, {})[r.required] = (r.header, r.score)
+    assert got == {m: x.matched for m, x in want.per_model.items() if x.matched}
+    assert all(list(got[m]) == list(want.per_model[m].matched) for m in got)
+    summary = {r.model: r for r in counts.collect()}
+    assert {m: (r.n_required, r.n_matched, r.eligible) for m, r in summary.items()} == {m: (x.n_required, x.n_matched, x.eligible) for m, x in want.per_model.items()}
+    assert [m for m, r in summary.items() if r.chosen] == ([want.chosen] if want.chosen else [])
+    return got
+
+
+def test_scan_of_the_cohort_and_of_all_given_tables(spark):
+    assert same_as_one_by_one(spark, HEADERS, Registry().models)["MODEL_03"] == {"age": ("age", 1.0), "sex": ("gender", 1.0)}
+    tables = {t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").columns for t in ("orders", "lineitem", "customer", "part", "supplier", "nation", "events", "documents", "conversations")}
+    models = [Model(t, "table", t, "t", tuple(x.split("_", 1)[-1] for x in c), c[0]) for t, c in tables.items()]
+    assert len(same_as_one_by_one(spark, [c for own in tables.values() for c in own], models)) > 4
+
+
+def test_scan_of_many_similar_headers(spark):
+    """Headers that want the same ones, equal headers, and none that match."""
+    rng = random.Random(4)
+    words = ["blood", "pressure", "rate", "heart", "mean", "max", "level", "score"]
+    headers = ["_".join(rng.choices(words, k=rng.choice([1, 2, 3]))) for _ in range(40)] + ["score", "score"]
+    models = [Model(f"M{m}", "table", "m", "t", tuple(dict.fromkeys("_".join(rng.choices(words, k=rng.choice([1, 2, 3]))) for _ in range(12))), "none") for m in range(6)]
+    same_as_one_by_one(spark, headers, [*models, Model("NONE", "table", "m", "t", ("zzzz", "qqqq"), "y"), Model("ONE", "table", "m", "t", ("score", "y"), "y")])
+
+
+def test_rounds_give_the_assignment_of_turns(spark):
+    rng = random.Random(9)
+    for size in (1, 6, 12):
+        matrix = [[rng.choice([0.0, 0.61, 0.7, 0.7, 0.9, 1.0]) for _ in range(size)] for _ in range(size)]
+        pairs = [("m", r, u, s) for r, row in enumerate(matrix) for u, s in enumerate(row) if s > 0.6]
+        found = scan.assigned(spark.createDataFrame(pairs, "model string, r int, u int, sim double")).orderBy("place").collect()
+        assert [(x.r, x.u, x.sim) for x in found] == match.assign(matrix, 0.6)
