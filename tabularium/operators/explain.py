@@ -191,18 +191,57 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.when(size == 0, F.lit(1e-9)).otherwise(size)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, n: int = TOP, id_col: str = "vec_id", vector: str = "embedding", block: int = 256) -> DataFrame:
+#: Vectors and queries that a task compares at most, about; and similarities that it holds at once.
+VECTORS, QUERIES, HELD = 1 << 15, 1 << 12, 1 << 22
+
+
+def _top_of_block(vectors: pa.Table, queries: pa.Table, n: int) -> pa.Table:
+    """(query, id, sim): the ``n`` most similar vectors of a block to each of its queries, of equals the least ids."""
+
+    def matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        x = table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
+        return x, np.einsum("ij,ij->i", x, x)
+
+    if not (vectors.num_rows and queries.num_rows):
+        return pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "sim": pa.array([], pa.float64())})
+    vectors = vectors.sort_by("id")
+    (v, v2), (q, q2) = matrix(vectors), matrix(queries)
+    rows, places, found = [], [], []
+    step = max(1, HELD // max(1, len(v)))
+    for a in range(0, len(q), step):
+        size = np.sqrt(v2[:, None] * q2[None, a : a + step])
+        sim = np.round((v @ q[a : a + step].T) / np.where(size == 0, 1e-9, size), 12)
+        least = np.partition(sim, len(v) - n, axis=0)[len(v) - n] if len(v) > n else np.full(sim.shape[1], -np.inf)
+        for k in range(sim.shape[1]):
+            near = np.flatnonzero(sim[:, k] >= least[k])
+            near = near[np.argsort(-sim[near, k], kind="stable")[:n]]
+            rows += [a + k] * len(near)
+            places.append(near)
+            found.append(sim[near, k])
+    ids = vectors.column("id").take(pa.array(np.concatenate(places) if places else np.zeros(0, np.int64)))
+    return pa.table({"query": queries.column("id").take(pa.array(rows, pa.int64())), "id": ids, "sim": pa.array(np.concatenate(found) if found else np.zeros(0))})
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, n: int = TOP, id_col: str = "vec_id", vector: str = "embedding", most: tuple[int, int] = (VECTORS, QUERIES)) -> DataFrame:
     """(query, id, sim, rank): of every row of ``queries`` the ``n`` rows of ``vectors`` that are most similar to it, itself included, of equals the least id.
 
-    Queries are taken in blocks: the rows are read once for each, and keep ``n`` per query and task before they are dealt. Vectors of a block
-    are a literal of at most ``block`` rows.
+    Vectors and queries are dealt to blocks of about ``most`` rows, and every block of queries meets every block of vectors: as matrix products in
+    tasks, each of which holds two blocks and sends ``n`` rows a query. Similarities are compared at 12 digits. A row without a vector, or with a
+    missing number in it, is left out; vectors meet those of their own length only. Ids are whole numbers.
     """
-    rows = [(r[0], [float(x) for x in r[1]]) for r in queries.select(id_col, vector).orderBy(id_col).toLocalIterator()]
-    found = None
-    for at in range(0, max(1, len(rows)), block):
-        asked = F.array(*[F.struct(F.lit(k).cast("long").alias("query"), F.array(*map(F.lit, v)).alias("q")) for k, v in rows[at : at + block]] or [F.struct(F.lit(None).cast("long").alias("query"), F.array().cast("array<double>").alias("q"))])
-        pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v")).withColumn("x", F.explode(asked)).where("x.query is not null")
-        scored = pairs.select(F.col("x.query").alias("query"), "id", cosine(F.col("v"), F.col("x.q")).alias("sim"))
-        best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))).where(F.col("rank") <= n)
-        found = best if found is None else found.unionByName(best)
-    return found
+    ship(vectors.sparkSession)
+
+    def kept(df: DataFrame) -> DataFrame:
+        own = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+        return own.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull())).withColumn("dims", F.size("v"))
+
+    vectors, queries = kept(vectors), kept(queries)
+    blocks = [max(1, math.ceil(df.count() / k)) for df, k in zip((vectors, queries), most)]
+    number = lambda k: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks[k])).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(blocks[k] - 1)))
+    left = vectors.withColumn("a", number(0)).withColumn("b", every(1))
+    right = queries.withColumn("b", number(1)).withColumn("a", every(0))
+    keys = ("dims", "a", "b")
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda v, q: _top_of_block(v, q, n), "query long, id long, sim double")
+    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("sim"), "id"))
+    return met.withColumn("rank", rank).where(F.col("rank") <= n)

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabularium.functions.storage import drop, materialise
+
 
 def confusion(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     """(y, p, n) for every pair of labels in y or p, 0 where there are no rows."""
@@ -50,32 +52,21 @@ def macro_metrics(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     return parts.agg(_ratio(F.max("same"), F.max("n_all")).alias("accuracy"), *[F.avg(m).alias(m) for m in ("precision", "recall", "f1")])
 
 
-#: Distinct scores that a range holds on average, at most, and the least number of ranges.
+#: Distinct scores that a range holds on average, at most.
 RANGE_SCORES = 1 << 18
-RANGES = 256
-
-
-def _range_of(x: Column, splits: list[float]) -> Column:
-    """How many of the sorted splits are below ``x``: first among every ``step``-th one, then inside the step."""
-    if not splits:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(splits)))
-    below = lambda values: F.size(F.filter(values, lambda s: s < x))
-    coarse, fine = F.array(*map(F.lit, splits[step - 1 :: step])), F.array(*map(F.lit, splits))
-    passed = below(coarse) * step
-    return passed + below(F.slice(fine, passed + 1, step))
 
 
 def roc_auc(df: DataFrame, y: str = "y", score: str = "score", range_scores: int = RANGE_SCORES) -> DataFrame:
     """One row: the area under the curve by rank sums, ties counted half, null unless both classes are there.
 
-    Rows are counted by score first. Ranks are running sums inside ranges of scores, between approximate quantiles, plus the
-    counts of the ranges below: exact, and no task holds all scores. The number of ranges follows that of distinct scores.
+    Rows are counted by score first, and the counts are written once. Spark deals them to ranges of scores; ranks are running sums inside a range plus the counts of
+    the ranges below, which are joined, a row for each range: exact, and no task holds all scores.
     """
-    by_score = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"))
-    ranges = max(RANGES, math.ceil(by_score.count() / range_scores))
-    splits = sorted(set(by_score.approxQuantile("s", [k / ranges for k in range(1, ranges)], 0.25 / ranges)))
-    ranged = by_score.withColumn("range", _range_of(F.col("s"), splits))
+    counted = df.groupBy(F.col(score).cast("double").alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"))
+    by_score = materialise(counted, "scores")
+    ranges = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(by_score.count() / range_scores))
+    ranged = materialise(by_score.repartitionByRange(ranges, "s").withColumn("range", F.spark_partition_id()), "score-ranges")
+    drop(by_score)
     sizes = ranged.groupBy("range").agg(F.sum("n").alias("size"))
     below = sizes.select("range", F.coalesce(F.sum("size").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("below"))
     inside = Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)

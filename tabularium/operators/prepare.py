@@ -1,6 +1,6 @@
 """Imputes, encodes and scales a typed table.
 
-Statistics are taken for all columns at once and become literals of one projection: no joins, and Spark prunes what is
+Statistics are taken for all columns at once and become literals of one projection: no joins but for columns of very many levels, and Spark prunes what is
 not used.
 """
 
@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabularium.functions.expressions import is_numeric, is_text, kind_of, label, to_number
+from tabularium.functions.expressions import is_numeric, is_text, kind_of, label, to_number, unused
+from tabularium.functions.storage import drop, materialise
 from tabularium.operators.profile import BINARY, CATEGORICAL, NUMERICAL, TEXTUAL
 
 #: Levels of a column up to which each becomes a column; beyond, the column holds the level's number, and the model takes it as a sparse vector.
@@ -34,11 +35,22 @@ class Plan:
     deviations: dict[str, float] = field(default_factory=dict)
     indexed: dict[str, list[str]] = field(default_factory=dict)
     wide: dict[str, int] = field(default_factory=dict)
+    places: dict[str, int] = field(default_factory=dict)
+    numbers: DataFrame | None = None
 
     @property
     def columns(self) -> list[str]:
-        """The columns of the matrix: the features, but one column of level numbers for each in ``wide``."""
-        return list(dict.fromkeys(self.source[f] if self.source.get(f) in self.wide else f for f in self.features))
+        """The columns of the matrix: a column of level numbers stands for all levels of each column in ``wide``."""
+        return list(self.features)
+
+    @property
+    def n_features(self) -> int:
+        """Every level of a wide column counts."""
+        return len(self.features) + sum(self.wide.values()) - len(self.wide)
+
+    def names(self, column: str) -> DataFrame:
+        """(level, number) of a wide column."""
+        return self.numbers.where(F.col("pos") == self.places[column]).select("level", "number")
 
 
 _PARTS = ("whole", "real", "text")
@@ -168,26 +180,41 @@ def fitted(df: DataFrame, types: dict[str, str], scope: Column | None = None, mo
     found = modes(rows, wanted) | medians(rows, {c: _number(df, c) for c in of(NUMERICAL)})
     plan.fill = {c: found[c] if found[c] is not None or types[c] == CATEGORICAL else 0.0 for c in found}
     if of(CATEGORICAL):
-        plan.levels = _levels(rows, {c: _level(df, c, plan) for c in of(CATEGORICAL)})
-        plan.wide = {c: len(v) for c, v in plan.levels.items() if len(v) > most_levels}
+        _take_levels(rows, plan, {c: _level(df, c, plan) for c in of(CATEGORICAL)}, most_levels)
     for c, t in types.items():
         if t == TEXTUAL:
             continue
-        names = [f"{c}_{v}" for v in plan.levels[c]] if t == CATEGORICAL else [c]
+        names = [f"{c}_{v}" for v in plan.levels[c]] if c in plan.levels else [c]
         plan.features += names
         plan.source.update({n: c for n in names})
         plan.scaled += [] if t == CATEGORICAL else [c]
     return plan
 
 
-def _levels(rows: DataFrame, columns: dict[str, Column]) -> dict[str, list[str]]:
-    """The distinct texts of each expression, in text order. They are rows until the driver names the features by them, so no task holds a column's."""
+def _take_levels(rows: DataFrame, plan: Plan, columns: dict[str, Column], most: int) -> None:
+    """The distinct texts of each expression, in text order: with at most ``most`` of them on the driver, else numbered in a table.
+
+    The driver holds counts, and ``most`` texts a column. Numbers are places in ranges of texts plus the sizes of the ranges before, so no task holds a column's.
+    """
     names = list(columns)
     cells = F.explode(F.array(*[F.struct(F.lit(k).alias("pos"), c.alias("level")) for k, c in enumerate(columns.values())])).alias("x")
-    out: dict[str, list[str]] = {c: [] for c in names}
-    for pos, level in rows.select(cells).select("x.*").distinct().toLocalIterator():
-        out[names[pos]].append(level)
-    return {c: sorted(v) for c, v in out.items()}
+    found = materialise(rows.select(cells).select("x.*").distinct(), "levels")
+    sizes = dict(found.groupBy("pos").count().collect())  # a row for each column
+    few = [k for k in range(len(names)) if sizes.get(k, 0) <= most]
+    plan.levels = {names[k]: [] for k in few}
+    for pos, level in found.where(F.col("pos").isin(few)).orderBy("pos", "level").collect() if few else []:  # ``most`` rows a column
+        plan.levels[names[pos]].append(level)
+    plan.wide = {names[k]: sizes[k] for k in range(len(names)) if k not in few}
+    plan.places = {c: names.index(c) for c in plan.wide}
+    if plan.wide:
+        many = found.where(~F.col("pos").isin(few)) if few else found
+        ranged = materialise(many.repartitionByRange("pos", "level").withColumn("range", F.spark_partition_id()), "level-ranges")
+        before = Window.partitionBy("pos").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+        counts = ranged.groupBy("pos", "range").agg(F.count(F.lit(1)).alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+        inside = F.row_number().over(Window.partitionBy("pos", "range").orderBy("level")) - 1
+        plan.numbers = materialise(ranged.withColumn("inside", inside).join(counts, ["pos", "range"]).select("pos", "level", (F.col("before") + F.col("inside")).alias("number")), "level-numbers")
+        drop(ranged)
+    drop(found)
 
 
 def _level(df: DataFrame, name: str, plan: Plan) -> Column:
@@ -207,18 +234,20 @@ def marked(df: DataFrame, nulls: dict[str, int]) -> DataFrame:
 def applied(df: DataFrame, plan: Plan, keep: Sequence[str] = ()) -> DataFrame:
     """The columns in ``keep`` and the features, in the table's order, unscaled.
 
-    A wide column becomes the number of its level in text order, from 0; a level that the fitted rows lack is null.
+    A wide column becomes the number of its level in text order, from 0, by a join to the table of levels; a level that the fitted rows lack is null.
     """
     out: list[Column] = [F.col(f"`{c}`") for c in keep]
     rows = df
+    level, number = (unused(n, df.columns) for n in ("__level", "__number"))
     for k, c in enumerate(plan.wide):
-        rows = rows.withColumn(f"__level{k}", _level(df, c, plan))
+        rows = rows.withColumn(f"{level}{k}", _level(df, c, plan))
     for k, c in enumerate(plan.wide):
-        rows = _numbered(rows, f"__level{k}", f"__number{k}", plan.levels[c])
+        known = plan.names(c).select(F.col("level").alias(f"{level}{k}"), F.col("number").cast("double").alias(f"{number}{k}"))
+        rows = rows.join(known, f"{level}{k}", "left")
     place = {c: k for k, c in enumerate(plan.wide)}
     for c, t in plan.types.items():
         if c in plan.wide:
-            out.append(F.col(f"__number{place[c]}").alias(c))
+            out.append(F.col(f"{number}{place[c]}").alias(c))
         elif t == CATEGORICAL:
             level = _level(df, c, plan)
             out += [F.when(level == v, 1.0).otherwise(0.0).alias(f"{c}_{v}") for v in plan.levels[c]]
@@ -229,15 +258,6 @@ def applied(df: DataFrame, plan: Plan, keep: Sequence[str] = ()) -> DataFrame:
     return rows.select(*out)
 
 
-def _numbered(rows: DataFrame, level: str, out: str, levels: Sequence[str]) -> DataFrame:
-    """Adds a double, the place of the text among ``levels``; no shuffle."""
-    from pyspark.ml.feature import StringIndexerModel
-
-    indexer = StringIndexerModel.from_labels(list(levels), inputCol=level, outputCol=out, handleInvalid="keep")
-    found = indexer.transform(rows)
-    return found.withColumn(out, F.when(F.col(out) < len(levels), F.col(out)))
-
-
 def scale_fitted(df: DataFrame, plan: Plan, train: Column) -> Plan:
     """Means and population deviations of the scaled features over the rows that ``train`` marks."""
     if plan.scaled:

@@ -153,7 +153,7 @@ def one_hot_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _t(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_partkey") % 7 != 0, F.concat(F.lit("k"), F.col("p_partkey") % 1500)).alias("level"))
     plan = prepare.fitted(df, {"level": profile.CATEGORICAL}, most_levels=WIDE)
     out = prepare.applied(df, plan, keep=["p_partkey"]).select("p_partkey", F.col("level").cast("long").alias("place"))
-    named = spark.createDataFrame(list(enumerate(plan.levels["level"])), "place long, level string")
+    named = plan.names("level").select(F.col("number").alias("place"), "level")
     return out.join(named, "place").select("p_partkey", "place", "level", F.lit(plan.wide["level"]).alias("width"))
 
 

@@ -197,7 +197,7 @@ class Pipeline:
         run.matrix = storage.materialise(split.folds(prepare.scaled(rows, run.plan), "y", "row"), "matrix")
         run.metrics = {r[0]: r[1] for r in run.matrix.groupBy(F.when(F.col("is_test"), "n_test").otherwise("n_train")).count().collect()}
         storage.drop(table)
-        return f"{run.metrics.get('n_train', 0)} rows to train, {run.metrics.get('n_test', 0)} to test, {len(run.plan.features)} features, {run.n_classes} classes"
+        return f"{run.metrics.get('n_train', 0)} rows to train, {run.metrics.get('n_test', 0)} to test, {run.plan.n_features} features, {run.n_classes} classes"
 
     def _infer(self, run: Run) -> str:
         if run.data_kind == "image":
@@ -211,7 +211,7 @@ class Pipeline:
         else:
             booster = model.fit(train, features, "y", run.n_classes, self.trees, wide=run.plan.wide)
         scored = storage.materialise(booster.score(test), "scored")
-        run.metrics = {"n_train": run.metrics.get("n_train", 0), "n_test": run.metrics.get("n_test", 0), "n_features": len(run.plan.features), "learner": boosting.LEARNER if self.learner == "boosting" else model.LEARNER}
+        run.metrics = {"n_train": run.metrics.get("n_train", 0), "n_test": run.metrics.get("n_test", 0), "n_features": run.plan.n_features, "learner": boosting.LEARNER if self.learner == "boosting" else model.LEARNER}
         run.metrics |= metrics.evaluate(scored, run.n_classes)
         if self.learner == "boosting":
             run.metrics |= boosting.fold_accuracy(booster, run.matrix, F.col("fold"))

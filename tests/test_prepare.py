@@ -1,11 +1,12 @@
 import math
+import random
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabularium.functions.expressions import text_to_number
-from tabularium.operators import metrics, model, prepare, profile, split, target
+from tabularium.operators import explain, metrics, model, prepare, profile, split, target
 
 
 def types(df, **kinds):
@@ -41,19 +42,21 @@ def test_imputation_and_encoding(spark):
     gaps = prepare.marked(df.withColumn("c", F.when(F.col("id") != 1, F.col("c"))), {"c": 1})
     assert prepare.fitted(gaps, {"c": "Categorical"}).features == ["c_10.0", "c_2.0"]
     wide = prepare.fitted(df, {"c": "Categorical", "s": "Categorical"}, most_levels=1)
-    assert wide.wide == {"c": 2, "s": 2} and wide.columns == ["c", "s"] and wide.features == ["c_10", "c_2", "s_F", "s_M"]
+    assert wide.wide == {"c": 2, "s": 2} and wide.columns == ["c", "s"] and wide.features == ["c", "s"] and wide.n_features == 4
     assert [tuple(r) for r in prepare.applied(df, wide, keep=["id"]).orderBy("id").collect()] == [(1, 0, 1), (2, 1, 0), (3, 0, 1), (4, 0, 0), (5, 1, 0)]
 
 
 def test_wide_columns_are_fitted_as_sparse_vectors(spark):
     df = spark.range(4000).select("id", F.concat(F.lit("k"), F.col("id") % 1300).alias("c"), (F.col("id") % 1300 < 650).cast("int").alias("y"))
     plan = prepare.fitted(df, {"c": "Categorical"})
-    assert plan.wide == {"c": 1300} and len(plan.features) == 1300 and plan.columns == ["c"]
+    assert plan.wide == {"c": 1300} and plan.n_features == 1300 and plan.columns == ["c"] and plan.levels == {}
     rows = prepare.applied(df, plan, keep=["id", "y"])
     unseen = prepare.applied(df.withColumn("c", F.lit("new")), plan, keep=["id", "y"])
     assert unseen.where("c is not null").count() == 0
     vector = model._assembled(rows, plan.columns, plan.wide).orderBy("id").select("__x").first()[0]
-    assert vector.size == 1300 and vector[plan.levels["c"].index("k0")] == 1.0
+    names = {r.level: r.number for r in plan.names("c").collect()}
+    assert sorted(names.values()) == list(range(1300)) and sorted(names) == sorted(names, key=names.get)
+    assert vector.size == 1300 and vector[names["k0"]] == 1.0
     booster = model.fit(rows, plan.columns, trees=2, wide=plan.wide)
     assert booster.score(unseen).count() == 4000
 
@@ -76,10 +79,23 @@ def test_places_do_not_depend_on_ranges(spark):
 
 def test_area_does_not_depend_on_ranges(spark):
     df = spark.range(4000).select((F.col("id") % 2).alias("y"), ((F.col("id") * 7919) % 3001).cast("double").alias("score"))
-    assert metrics.roc_auc(df).first()[0] == pytest.approx(metrics.roc_auc(df, range_scores=3).first()[0], abs=1e-12)
-    splits = [float(k) for k in range(0, 300, 3)]
-    found = spark.range(310).select("id", metrics._range_of(F.col("id").cast("double"), splits).alias("r")).collect()
-    assert all(r.r == sum(s < r.id for s in splits) for r in found)
+    assert metrics.roc_auc(df).first()[0] == pytest.approx(metrics.roc_auc(df, range_scores=100).first()[0], abs=1e-12)
+
+
+@pytest.mark.parametrize("most", [(1 << 15, 1 << 12), (7, 3)])
+def test_nearest_as_by_brute_force(spark, most):
+    rng = random.Random(2)
+    rows = [(k, [rng.choice([-1.0, 0.0, 0.5, 2.0]) for _ in range(3)]) for k in range(60)] + [(100, [0.0] * 3), (101, None), (102, [1.0, None, 2.0]), (103, [1.0, 2.0]), (104, [2.0, 4.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("dims", F.lit("x")).repartition(4)
+    found = {}
+    for r in explain.nearest(df, df.where("vec_id % 4 = 0"), 5, most=most).orderBy("query", "rank").collect():
+        found.setdefault(r.query, []).append((r.id, r.sim))
+    whole = {k: v for k, v in rows if v and None not in v}
+    want = {}
+    for q in (k for k in whole if k % 4 == 0):
+        own = [(k, round(sum(a * b for a, b in zip(v, whole[q])) / (math.sqrt(sum(a * a for a in v) * sum(b * b for b in whole[q])) or 1e-9), 12)) for k, v in whole.items() if len(v) == len(whole[q])]
+        want[q] = sorted(own, key=lambda x: (-x[1], x[0]))[:5]
+    assert found == want and len(found[104]) == 2
 
 
 def test_binary_texts_by_index(spark):
