@@ -6,7 +6,7 @@ Every line that has a word is judged by three rules. It fails
   over a tenth of its visible characters are of ``#*$%&|<>``;
 * *navigation* if it is a menu: three or more separators with at most four words to each, or nothing but a
   link label such as "next page";
-* *boilerplate* if it names a notice that sites repeat (cookies, rights, terms, scripts) or is code or filler.
+* *boilerplate* if it is short and names a notice that sites repeat (cookies, rights, terms, scripts), or is code or filler.
 
 Lines that fail are removed. A document is rejected if fewer than half of its words are left, or if it fails
 the base limits. Nothing is shuffled, no Python runs, and the size of a group of copies does not matter. Repeated
@@ -31,10 +31,11 @@ MIN_KEPT_PERCENT = 50
 LONG_LINE = 8
 SYMBOL = r"[#*$%&|<>]"
 
-TERMINALS = (".", "!", "?", "…", "。", "！", "？", ":", ";")
+#: Also those of Devanagari, Arabic, Urdu, Armenian, Ethiopic and half-width Japanese.
+TERMINALS = (".", "!", "?", "…", "。", "！", "？", ":", ";", "।", "॥", "؟", "۔", "։", "።", "｡")
 #: May follow a terminal.
 CLOSERS = "\"'”’»)] \t\x0b\x0c\r"
-HAS_SENTENCE = r"[.!?…。！？]"
+HAS_SENTENCE = r"[.!?…。！？।॥؟۔։።｡]"
 SEPARATORS = ("|", "»", "›", "·", "•", "→")
 #: In English, German, French and Spanish, in any case.
 LINK_LABEL = (
@@ -46,14 +47,18 @@ LINK_LABEL = (
 )
 #: Words of a line that can be a link label.
 LABEL_WORDS = 5
-#: Found in any case.
-BOILERPLATE = (
+#: Notices, found in any case in lines of at most ``NOTICE_WORDS`` words; a longer line that names one is prose.
+NOTICES = (
     "all rights reserved", "cookie policy", "cookie settings", "cookie notice", "uses cookies", "accept cookies", "accept all cookies",
     "privacy policy", "terms of use", "terms of service", "terms and conditions", "copyright ©", "enable javascript", "javascript is required",
-    "javascript is disabled", "lorem ipsum", "subscribe to our newsletter", "follow us on", "powered by wordpress", "{", "}", "</", "function(",
+    "javascript is disabled", "subscribe to our newsletter", "follow us on", "powered by wordpress",
     "alle rechte vorbehalten", "datenschutzerklärung", "verwendet cookies", "tous droits réservés", "politique de confidentialité",
     "utilise des cookies", "todos los derechos reservados", "política de privacidad", "utiliza cookies",
 )
+NOTICE_WORDS = 40
+#: Code and filler, in lines of any length.
+FILLER = ("lorem ipsum", "{", "}", "</", "function(")
+BOILERPLATE = NOTICES + FILLER
 
 
 def _any(text: Column, parts: tuple[str, ...]) -> Column:
@@ -71,13 +76,14 @@ def line_fails(line: Column, symbols: Column, separators: Column, boilerplate: C
     are not searched.
     """
     bare = F.rtrim(line, F.lit(CLOSERS))
-    ends = reduce(lambda a, b: a | b, [bare.endswith(t) for t in TERMINALS])
+    ends = F.right(bare, F.lit(1)).isin(*TERMINALS)
     open_end = ~ends & ((n_words_in(line) < LONG_LINE) | ~line.rlike(HAS_SENTENCE))
     littered = symbols & (10 * F.regexp_count(line, F.lit(SYMBOL)) > F.length(F.regexp_replace(line, SPACE, "")))
     n_separators = F.regexp_count(line, F.lit("[" + "".join(SEPARATORS) + "]"))
     menu = separators & (n_separators >= 3) & (n_words_in(line) - n_separators <= 4 * (n_separators + 1))
     label = (F.length(line) <= 40) & (n_words_in(line) <= LABEL_WORDS) & line.rlike(LINK_LABEL)
-    return open_end | littered | menu | label | (boilerplate & _any(F.lower(line), BOILERPLATE))
+    repeated = boilerplate & (_any(F.lower(line), FILLER) | (_any(F.lower(line), NOTICES) & (n_words_in(line) <= NOTICE_WORDS)))
+    return open_end | littered | menu | label | repeated
 
 
 def repeated_words(words: Column) -> Column:
@@ -165,7 +171,8 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sql() -> str:
     word, q = r"[^\x20\x09-\x0D]+", lambda s: s.replace("'", "''")
     terminals = ", ".join(f"'{t}'" for t in TERMINALS)
-    boilerplate = "(" + " OR ".join(f"contains(lower(x), '{b}')" for b in BOILERPLATE) + ")"
+    named = lambda parts: "(" + " OR ".join(f"contains(lower(x), '{b}')" for b in parts) + ")"
+    boilerplate = f"({named(FILLER)} OR {named(NOTICES)} AND n <= {NOTICE_WORDS})"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 b AS (

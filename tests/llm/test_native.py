@@ -59,6 +59,20 @@ def test_lines_are_cleaned(spark):
     assert out == [Row(doc_id=1, text=good, __w="x")]
 
 
+def test_prose_of_other_scripts_and_long_lines_with_a_notice_are_kept(spark):
+    line = lambda word, end, k: " ".join(f"{word}{k}x{i}" for i in range(6)) + end
+    texts = ["\n".join(line(w, end, k) for k in range(30)) for w, end in (("शब्द", "।"), ("शब्द", "॥"), ("كلمة", "؟"), ("لفظ", "۔"), ("բառ", "։"), ("ቃል", "።"))]
+    prose = " ".join(f"word{k}" for k in range(400)) + " is told in the privacy policy of the house."
+    texts += [prose, "\n".join(["See our privacy policy here."] * 3 + [line("word", ".", k) for k in range(30)]), "function( a ) " + prose]
+    rows = quality_rules.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.kept for r in rows] == [True] * 8 + [False]
+    assert [r.n_failed_lines for r in rows] == [0] * 7 + [3, 1]
+    con = duckdb.connect()
+    con.register("documents", spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").toPandas())
+    want = con.execute(quality_rules.SQL).fetchdf()
+    assert sorted(want[["doc_id", "kept", "n_failed_lines"]].values.tolist()) == [[r.doc_id, r.kept, r.n_failed_lines] for r in rows]
+
+
 def test_rejects_what_loses_too_much(spark):
     lines = [" ".join(f"w{k}x{i}" for i in range(6)) for k in range(20)]
     texts = ["\n".join(f"{x}." for x in lines), "\n".join(f"{x} # $ % & ##" for x in lines)]
