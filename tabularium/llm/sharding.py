@@ -3,7 +3,8 @@
 Documents are linked through hubs: here a text's digest, so that documents with equal texts are neighbours and no
 pair of them is ever a row. Shards start at random. In every round each hub counts its members by shard, and members
 ask for the shard that most of their neighbours are in. Requests are granted by gain under the shards' capacities, as
-far as there is room, from a rank that is a distributed prefix sum. Rounds end when nothing moves. Then shards above their quota hand
+far as there is room, from a rank that is a distributed prefix sum. Rounds end when nothing moves, or when a round leaves no more links inside shards than the one
+before, whose places then stay; the number of links inside grows until then, so rounds end. Then shards above their quota hand
 over documents to those below: unlinked ones first, then members of the smallest hubs, hub by hub, so that few
 links are cut.
 
@@ -24,7 +25,6 @@ from pyspark.sql import functions as F
 from tabularium.llm.common import drop, materialise, table
 
 SHARDS = 8
-ROUNDS = 10
 #: Room above the mean while documents move; what is too many is handed over at the end, unlinked documents first.
 SLACK = 0.25
 #: Ranges of a hash that a rank is summed over, for each group and level.
@@ -60,7 +60,13 @@ def _loads(nodes: DataFrame, shards: int) -> list[int]:
     return [found.get(s, 0) for s in range(shards)]
 
 
-def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
+def _inside(nodes: DataFrame) -> int:
+    """Ordered pairs of linked documents that are in one shard."""
+    counts = nodes.where("hub is not null").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
+    return counts.agg(F.coalesce(F.sum((F.col("n") * (F.col("n") - 1)).cast("decimal(38,0)")), F.lit(0))).first()[0]
+
+
+def propagate(nodes: DataFrame, shards: int = SHARDS, slack: float = SLACK) -> DataFrame:
     """``nodes`` has row and hub, the latter null for a document without neighbours; adds ``shard``.
 
     ``row`` is unique. Counts of the shards differ by one at most.
@@ -69,7 +75,8 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slac
     loads = _loads(now, shards)
     total = sum(loads)
     room = int(total / shards * (1 + slack)) + 1
-    for _ in range(rounds):
+    inside = _inside(now)
+    while True:
         counts = now.where("hub is not null").groupBy("hub", "shard").agg(F.count(F.lit(1)).alias("n"))
         wish = F.max(F.struct("n", F.pmod(F.xxhash64("hub", "shard"), F.lit(1 << 20)).alias("tie"), "shard"))
         wishes = materialise(counts.groupBy("hub").agg(wish.alias("best"), F.sum("n").alias("members")).where("members > best.n").select("hub", F.col("best.shard").alias("wish"), F.col("best.n").alias("there")), "wishes")
@@ -78,14 +85,16 @@ def propagate(nodes: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slac
         granted = ranked(asked, F.col("wish"), gain, [F.col("row")], _range(F.col("row")))
         free = [max(0, room - n) for n in loads]
         moves = granted.where(F.col("rank") < _lookup(F.col("wish"), free)).select("row", "wish")
-        moved = now.join(moves, "row", "left").withColumn("moved", F.col("wish").isNotNull()).withColumn("shard", F.coalesce("wish", "shard")).drop("wish")
+        moved = now.join(moves, "row", "left").withColumn("shard", F.coalesce("wish", "shard")).drop("wish")
         moved = materialise(moved, "shards")
-        count = moved.where("moved").count()
-        drop(now, wishes)
-        now = moved.drop("moved")
-        loads = _loads(now, shards)
-        if not count:
+        drop(wishes)
+        before, inside = inside, _inside(moved)
+        if inside <= before:
+            drop(moved)
             break
+        drop(now)
+        now = moved
+        loads = _loads(now, shards)
     return _level(now, loads, shards)
 
 
