@@ -18,7 +18,7 @@ from tabularium.functions.masking import mask
 from tabularium.functions.storage import materialise, shared_dir
 from tabularium.operators import anonymize, boosting, explain, match, metrics, model, prepare, profile, scan, split, target, trees
 from tabularium.plans import oracles, report
-from tabularium.sources import archives, delimited, identify, load, xlsx
+from tabularium.sources import archives, delimited, identify, load, spss, xlsx
 from tabularium.sources.registry import Model, Registry, image_matches
 from tabularium.sources.synthetic import COLUMNS, generate
 
@@ -512,6 +512,13 @@ def load_parquet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("event_id", "user_id", "event_type", F.round("value", 6).alias("value"))
 
 
+def load_sav(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``part`` as a system file, written and loaded by many tasks."""
+    rows = _t(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", F.when(F.col("p_partkey") % 7 != 0, F.col("p_size")).alias("p_size"), "p_retailprice")
+    df, _ = spss.read(spark, spss.write(rows, f"{shared_dir(spark, 'part')}/part.sav"), split=1 << 14)
+    return df.withColumn("p_retailprice", F.round("p_retailprice", 6))
+
+
 def load_xlsx(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``nation`` as a workbook, written and loaded."""
     rows = _t(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey", (F.col("n_nationkey") / 4).alias("n_quarter"), (F.col("n_nationkey") % 2 == 0).alias("n_even"))
@@ -625,7 +632,7 @@ def queries() -> dict:
     found |= {f"column_types_{t}": partial(column_types, t) for t in PROFILED}
     plain = (
         pii_hits_by_label, pii_report, plan_steps, project_headers, impute_median, impute_mode, impute_mode_numeric, binary_strings, coerce_numeric,
-        csv_types, one_hot_wide, level_names, load_csv_lines, target_of_files, load_parquet, load_xlsx, predictions_csv, archive_kinds, run_demo, shap_exact, target_binary, target_binary_text, target_factorize, target_multiclass, target_auto, target_classes, stratified_split,
+        csv_types, one_hot_wide, level_names, load_csv_lines, target_of_files, load_sav, load_parquet, load_xlsx, predictions_csv, archive_kinds, run_demo, shap_exact, target_binary, target_binary_text, target_factorize, target_multiclass, target_auto, target_classes, stratified_split,
         split_counts, union_of_split, kfold_assign, background_sample, explain_rows, standard_scale, prepared_matrix, header_normalize, header_ngrams,
         header_tfidf, header_similarity, header_assignment, header_assignment_orders, model_selection, table_headers, table_header_weights, table_assignment, table_selection, table_registry, table_modalities,
         table_image_match, run_orders, registry_scan, modality_catalogue,

@@ -276,6 +276,7 @@ l AS (SELECT level, row_number() OVER (ORDER BY level) - 1 AS place, count(*) OV
 SELECT p_partkey, place, level, CAST(width AS INTEGER) AS width FROM f JOIN l USING (level)""",
         "load_csv": _ORDERS,
         "load_tsv": _ORDERS,
+        "load_sav": "SELECT CAST(p_partkey AS DOUBLE) AS p_partkey, rtrim(p_name) AS p_name, rtrim(p_brand) AS p_brand, CASE WHEN p_partkey % 7 <> 0 THEN CAST(p_size AS DOUBLE) END AS p_size, round(CAST(p_retailprice AS DOUBLE), 6) AS p_retailprice FROM part",
         "load_parquet": "SELECT event_id, user_id, event_type, round(value, 6) AS value FROM events",
         "load_xlsx": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey, n_nationkey / 4e0 AS n_quarter, n_nationkey % 2 = 0 AS n_even FROM nation",
         "predictions_csv": f"WITH x AS ({_NUMBERS}), s AS (SELECT *, 1 / (1 + exp(-(0.5 * totalprice + -0.25 * custkey + 0.125 * month))) AS score FROM x) SELECT round(totalprice, 8) AS totalprice, round(custkey, 8) AS custkey, month, o_orderkey % 2 AS y_true, CAST(CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS BIGINT) AS y_pred, round(score, 4) AS y_score FROM s",

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from tabularium.functions.ship import ship
 
 
-def _store(path: str):
+def store(path: str):
+    """The store of a path and the path in it."""
     from pyarrow import fs
 
     if path.startswith("file:"):
@@ -24,7 +25,7 @@ def _store(path: str):
 
 def _written(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
     """Archives of rows (archive, member, content) that are sorted by archive; one is renamed when it is complete, so that a task may run again."""
-    system, root = _store(folder)
+    system, root = store(folder)
     system.create_dir(root, recursive=True)
     attempt = TaskContext.get().taskAttemptId()
     now, sink, packed, done, count = None, None, None, [], 0

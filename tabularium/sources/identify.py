@@ -38,7 +38,7 @@ HEAD = 1 << 16
 #: Bytes at a ZIP's end that hold the mark of its directory.
 _TAIL, _MARK = 65_557, b"PK\x05\x06"
 #: Stores whose files tasks open themselves.
-_OPENED = ("file", "s3a", "s3", "hdfs")
+OPENED = ("file", "s3a", "s3", "hdfs")
 
 _MAGIC = (
     (b"\x89PNG\r\n\x1a\n", "png"), (b"\xff\xd8\xff", "jpeg"), (b"GIF87a", "gif"), (b"GIF89a", "gif"), (b"BM", "bmp"),
@@ -249,7 +249,7 @@ def file_kinds(spark: SparkSession, path: str | list[str], label: Classifier = c
     """(path, name, label), one row for each name in a file; of equal names in an archive the last counts. ``label`` gets a file's first bytes."""
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "length")
-    ours = F.regexp_extract("path", "^([^:]*):", 1).isin(*_OPENED)
+    ours = F.regexp_extract("path", "^([^:]*):", 1).isin(*OPENED)
     parts = files.where(ours).mapInArrow(lambda it: _listed(it, label), _PARTS_SQL)
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     inside = parts.where("name is null").repartition(count, "path", F.floor(F.col("member") / 64)).sortWithinPartitions("path", "member")

@@ -177,6 +177,39 @@ def test_system_file(spark, tmp_path, compression):
         spss.header(b"no such file")
 
 
+@pytest.mark.parametrize("kind", ["plain", "bytecodes", "zlib"])
+def test_a_system_file_is_read_by_many_tasks(spark, tmp_path, kind, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.choice([None, 1.0, 2.5, 151.0, 152.0, -99.0, 1e9]), rng.choice(["", "ab", "Zoë x", "y" * 23]), float(k)) for k in range(700)]
+    df = spark.createDataFrame(rows, "number double, text string, row double").coalesce(1)
+    path = spss.write(df, f"file://{tmp_path}/t.sav")
+    data = (tmp_path / "t.sav").read_bytes()
+    head = spss.header(data)
+    body = data[head.data_at :]
+    if kind == "plain":
+        cells = b"".join(struct.pack("<d", -1.7976931348623157e308 if n is None else n) + t.encode().ljust(24) + struct.pack("<d", r) for n, t, r in rows)
+        (tmp_path / "t.sav").write_bytes(data[:72] + struct.pack("<i", 0) + data[76 : head.data_at] + cells)
+    elif kind == "zlib":
+        parts = [body[k : k + 1001] for k in range(0, len(body), 1001)]
+        packed, at = [zlib.compress(x) for x in parts], head.data_at + 24
+        entries, before = b"", 0
+        for plain, small in zip(parts, packed):
+            entries += struct.pack("<2q2i", head.data_at + before, at, len(plain), len(small))
+            at, before = at + len(small), before + len(plain)
+        trailer = struct.pack("<2q2i", -100, 0, 1001, len(parts)) + entries
+        made = b"$FL3" + data[4:72] + struct.pack("<i", 2) + data[76 : head.data_at] + struct.pack("<3q", head.data_at, at, len(trailer)) + b"".join(packed) + trailer
+        (tmp_path / "t.sav").write_bytes(made)
+    for split in (64, 999, 1 << 20):
+        found, _ = spss.read(spark, path, split)
+        assert [tuple(r) for r in found.collect()] == rows
+        assert found.rdd.getNumPartitions() > 10 or split > 64
+    monkeypatch.setattr(spss, "OPENED", ())
+    assert [tuple(r) for r in spss.read(spark, path, 2000)[0].collect()] == rows
+    (tmp_path / "t.sav").write_bytes(data[:300])
+    with pytest.raises(Exception, match="cut off"):
+        spss.read(spark, path)[0].collect()
+
+
 def zipped(**files):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -248,7 +281,7 @@ def test_only_parts_of_files_are_read(spark, tmp_path):
 
 
 def test_other_stores_come_through_spark(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(identify, "_OPENED", ())
+    monkeypatch.setattr(identify, "OPENED", ())
     (tmp_path / "a.zip").write_bytes(zipped(x__csv=CSV, y__png=PNG))
     (tmp_path / "b.csv").write_bytes(CSV)
     found = {(r.path.rsplit("/", 1)[1], r.name): r.label for r in identify.file_kinds(spark, str(tmp_path)).collect()}
