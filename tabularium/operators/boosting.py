@@ -7,7 +7,7 @@
 3. Models that differ by the rows they learn from, such as those of a cross-validation, grow together: ``uses`` has a bit for each model.
 4. Two classes have one output with a logistic loss; more have one each with the softmax loss.
 5. Some rows, by a hash, are held out of every model to tell when its loss stops falling: ``budget`` sets the step to 10 ** -budget, and a model ends where its
-   held-out loss was least once ``PATIENCE`` rounds have not improved it. Without held-out rows the loss of the learning rows decides.
+   held-out loss was least once ``PATIENCE`` rounds have lowered it by less than ``LEAST_FALL``. Without held-out rows the loss of the learning rows decides.
 6. Outputs of the trees so far are written every ``KEPT`` rounds; in between a task adds the few trees since.
 
 Missing numbers go right at every split, as do numbers above all bins. Driver and messages hold cells of the model's size, never rows.
@@ -32,6 +32,8 @@ from tabularium.operators.trees import Leaf, Split
 LEARNER = "gradient boosting over histograms"
 BINS, DEPTH, BUDGET = 64, 4, 0.5
 ROUNDS, PATIENCE, KEPT = 200, 5, 10
+#: By how much a model's loss, in nats a row, must have fallen in ``PATIENCE`` rounds for it to go on.
+LEAST_FALL = 1e-3
 #: Added to a node's second derivatives, and least rows on either side of a split.
 L2, LEAST_ROWS = 1.0, 5
 #: One in so many rows is held out.
@@ -313,8 +315,8 @@ def _judge(best: list, losses: list[list[float]], growing: Growing) -> None:
             continue
         own = {r.of: r.g / UNIT / max(1, r.n) for r in best if r.node < 0 and r.model == m}
         losses[m].append(own.get(1, own.get(0, 0.0)))
-        since = len(losses[m]) - 1 - int(np.argmin(losses[m]))
-        growing.active[m] = bool(own) and since < PATIENCE
+        before, lately = losses[m][:-PATIENCE], losses[m][-PATIENCE:]
+        growing.active[m] = bool(own) and (not before or min(before) - min(lately) >= LEAST_FALL)
 
 
 def _grow(best: list, growing: Growing, level: int, step: float) -> bool:

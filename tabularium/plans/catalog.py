@@ -5,6 +5,10 @@ Missing values are put in by key, as the tables have none: a value is null where
 
 from __future__ import annotations
 
+import contextlib
+import io
+import json
+import os
 import re
 import tempfile
 from functools import partial
@@ -359,6 +363,72 @@ def run_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([row], "data_kind string, model string, target string, n_classes int, n_headers int, n_train int, n_test int, n_features int, stages string, n_scored long")
 
 
+def _flat(rows: list[tuple]) -> list[tuple[str, str, str]]:
+    return [(str(a), str(b), str(c)) for a, b, c in rows]
+
+
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run on ``documents`` decides and saves, from its report file: which are English is predicted from source, size and text."""
+    from tabularium.plans.pipeline import Pipeline
+
+    table = _t(spark, sf_dir, "documents").select("source", "n_chars", "text", (F.col("lang") == "en").cast("int").alias("english"))
+    wanted = Model("ENGLISH", "table", "documents", "classification", ("source", "n_chars", "text"), "english")
+    with tempfile.TemporaryDirectory(prefix="run-") as folder:
+        report.save(Pipeline(spark, folder, registry=Registry([wanted]), explain=False, trees=2).run(table=table), folder)
+        with open(f"{folder}/pipeline_report.json", encoding="utf-8") as file:
+            saved = json.load(file)
+        with open(f"{folder}/predictions.csv", encoding="utf-8") as file:
+            columns = file.readline().strip().split(",")
+            n_lines = sum(1 for _ in file)
+    rows = [("key", k, name) for k, name in enumerate(saved)] + [("header", k, h) for k, h in enumerate(saved["valid_headers"])]
+    rows += [("type", c, t) for c, t in saved["column_types"].items()] + [("stage", k, f"{s['agent']} {s['status']}") for k, s in enumerate(saved["trace"])]
+    rows += [("metric", m, saved["metrics"][m]) for m in ("n_train", "n_test", "n_features")] + [("explanations", "note", saved["explanations"]["note"])]
+    rows += [("decision", c, saved[c]) for c in ("data_kind", "selected_model", "target", "n_classes")]
+    rows += [("predictions", "lines", n_lines), ("predictions", "columns", len(columns)), ("predictions", "last", ",".join(columns[-3:]))]
+    return spark.createDataFrame(_flat(rows), "part string, key string, value string")
+
+
+def run_without_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs that end early: no model matches ``region``, and a model's output that ``nation`` lacks is an error; both leave a report."""
+    from tabularium.plans.pipeline import Pipeline
+
+    rows: list[tuple] = []
+    with tempfile.TemporaryDirectory(prefix="run-") as folder:
+        done = Pipeline(spark, folder).run(f"{sf_dir}/region.parquet", force_target="r_name")
+        rows += [("region", "model", done.selected_model), ("region", "target", done.target), ("region", "headers", ",".join(done.headers)), ("region", "last", done.trace[-1]["status"])]
+        wanted = Model("NATION", "table", "nation", "classification", ("n_nationkey", "n_regionkey"), "ruler")
+        try:
+            Pipeline(spark, folder, registry=Registry([wanted])).run(f"{sf_dir}/nation.parquet")
+        except ValueError as error:
+            rows.append(("nation", "error", error))
+        with open(f"{folder}/pipeline_report.json", encoding="utf-8") as file:
+            rows += [("nation", f"stage {k}", f"{s['agent']} {s['status']}") for k, s in enumerate(json.load(file)["trace"])]
+    return spark.createDataFrame(_flat(rows), "run string, key string, value string")
+
+
+def command_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the command line says of ``customer``: its columns, a target that it lacks, and a run without a model."""
+    from tabularium import cli
+
+    rows: list[tuple] = []
+    path = f"{sf_dir}/customer.parquet"
+
+    def called(*args: str) -> tuple[int, list[str], str]:
+        out, err = io.StringIO(), io.StringIO()
+        with contextlib.redirect_stdout(out), contextlib.redirect_stderr(err):
+            code = cli.main(list(args))
+        return code, out.getvalue().replace(path, "FILE").splitlines(), err.getvalue().replace(path, "FILE").strip()
+
+    code, lines, _ = called("info", path)
+    rows += [("info", "exit", code), ("info", "size", lines[1])] + [("info", x[0], "|".join(x[1:])) for x in (re.split(r"\s{2,}", line) for line in lines[3:])]
+    code, _, said = called("run", path, "--target", "zzz")
+    rows += [("target", "exit", code), ("target", "said", said)]
+    with tempfile.TemporaryDirectory(prefix="run-") as folder:
+        code, lines, _ = called("run", path, "--no-explain", "--output-dir", folder)
+        rows += [("run", "exit", code), ("run", "files", ",".join(sorted(os.listdir(folder)))), ("run", "halted", any("halted" in x for x in lines))]
+    return spark.createDataFrame(_flat(rows), "command string, key string, value string")
+
+
 def registry_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Registry().frame(spark).withColumn("headers", F.array_join("headers", ","))
 
@@ -571,6 +641,38 @@ def shap_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain.top(found, features)
 
 
+def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with the half of the year, which trees can learn exactly from the month."""
+    rows = _numbers(spark, sf_dir)
+    return split.folds(split.stratified(rows.withColumn("y", (F.col("month") > 6).cast("int")), "y", "o_orderkey"), "y", "o_orderkey")
+
+
+def gbt_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted on the training orders, all are told right, each with a probability on the right side."""
+    rows = _halves(spark, sf_dir)
+    found = model.fit(rows.where(~F.col("is_test")), list(WEIGHTS)).score(rows)
+    return found.select("o_orderkey", "y", "p", (F.col("score") >= 0.5).alias("above"))
+
+
+def cv_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The folds' accuracies of Spark ML's learner and of the engine's own, on what both learn exactly."""
+    rows = materialise(_halves(spark, sf_dir), "halves")
+    own = boosting.fit(rows, list(WEIGHTS), row_id="o_orderkey", uses=boosting.with_folds(~F.col("is_test"), F.col("fold"), split.FOLDS), models=1 + split.FOLDS)
+    found = {"spark": model.cross_validate(rows, list(WEIGHTS)), "boosting": boosting.fold_accuracy(own, rows, F.col("fold"))}
+    n = rows.count()
+    return spark.createDataFrame([(k, n, x["cv5_accuracy_mean"], x["cv5_accuracy_std"]) for k, x in found.items()], "learner string, n_rows long, mean double, deviation double")
+
+
+def raw_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outputs of a model without probabilities: through the logistic function, or as they are if all are 0 or 1."""
+    raw = F.col("totalprice") - F.col("custkey")
+    return _round(_numbers(spark, sf_dir).select("o_orderkey", model.raw_to_score(raw, False).alias("score"), model.raw_to_score((raw > 0).cast("double"), True).alias("plain")), "score")
+
+
+def binarized_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "events").select("event_id", target.binarized(_gaps("event_id", "value")).alias("from_one"), target.binarized(F.col("value"), 50.0).alias("from_fifty"))
+
+
 def boost_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Held-out lines with the probabilities of three classes, from one ensemble that stops by itself."""
     rows, features = _lines(spark, sf_dir)
@@ -635,7 +737,7 @@ def queries() -> dict:
         csv_types, one_hot_wide, level_names, load_csv_lines, target_of_files, load_sav, load_parquet, load_xlsx, predictions_csv, archive_kinds, run_demo, shap_exact, target_binary, target_binary_text, target_factorize, target_multiclass, target_auto, target_classes, stratified_split,
         split_counts, union_of_split, kfold_assign, background_sample, explain_rows, standard_scale, prepared_matrix, header_normalize, header_ngrams,
         header_tfidf, header_similarity, header_assignment, header_assignment_orders, model_selection, table_headers, table_header_weights, table_assignment, table_selection, table_registry, table_modalities,
-        table_image_match, run_orders, registry_scan, modality_catalogue,
+        table_image_match, run_orders, run_report, run_without_model, command_line, gbt_halves, cv_halves, raw_scores, binarized_values, registry_scan, modality_catalogue,
         image_model_match, vector_cosine_topk, confusion_matrix, classification_metrics, macro_metrics, roc_auc, cv_accuracy, linear_shap_top10, tree_shap,
         predictions_output, file_kind, synth_generate, gbt_predictions, shap_sampled, boost_predictions, boost_importances, boost_gains,
     )

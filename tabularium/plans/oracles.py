@@ -178,6 +178,35 @@ u AS (SELECT column_name AS header, row_number() OVER (ORDER BY CASE table_name
 SELECT model, 'required', CAST(row_number() OVER (PARTITION BY model ORDER BY o) - 1 AS INTEGER), header FROM q UNION ALL SELECT model, 'user', CAST(idx AS INTEGER), u.header FROM u, (SELECT DISTINCT model FROM m))"""
 
 
+def _run_report() -> str:
+    keys = ("data_kind", "file_types", "selected_model", "target", "n_classes", "valid_headers", "column_types", "anonymization", "match_report", "metrics", "explanations", "trace")
+    stages = ("identify", "anonymize", "features", "match", "recommend", "prepare", "infer")
+    rows = [("key", k, x) for k, x in enumerate(keys)] + [("stage", k, f"{x} ok") for k, x in enumerate(stages)] + [("header", k, x) for k, x in enumerate(("source", "n_chars", "text"))]
+    rows += [("decision", "data_kind", "tabular"), ("decision", "selected_model", "ENGLISH"), ("decision", "target", "english"), ("explanations", "note", "skipped"), ("predictions", "last", "y_true,y_pred,y_score")]
+    n_features = "(SELECT 1 + count(DISTINCT source) FROM documents)"
+    n_test = "(SELECT CAST(ceil(count(*) * 0.2) AS BIGINT) FROM documents)"
+    computed = {("metric", "n_train"): f"(SELECT count(*) FROM documents) - {n_test}", ("metric", "n_test"): n_test, ("metric", "n_features"): n_features, ("predictions", "lines"): n_test, ("predictions", "columns"): f"{n_features} + 3", ("decision", "n_classes"): "(SELECT count(DISTINCT coalesce(lang = 'en', false)) FROM documents)"}
+    parts = [f"SELECT '{a}' AS part, '{b}' AS key, CAST({e} AS VARCHAR) AS value" for (a, b), e in computed.items()]
+    return f"""SELECT * FROM (VALUES {", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in rows)}) AS t(part, key, value) UNION ALL {" UNION ALL ".join(parts)}
+UNION ALL SELECT 'type', "column", type FROM ({_types('documents')}) WHERE "column" IN ('source', 'n_chars', 'text')"""
+
+
+def _command_line() -> str:
+    names = "(SELECT string_agg(column_name, ', ' ORDER BY o) FROM (SELECT column_name, row_number() OVER () AS o FROM (DESCRIBE customer)))"
+    kinds = "CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE lower(column_type) END"
+    return f"""SELECT 'info' AS command, 'size' AS key, (SELECT count(*) FROM customer) || ' rows, ' || (SELECT count(*) FROM (DESCRIBE customer)) || ' columns' AS value
+UNION ALL SELECT 'info', column_name, {kinds} || '|' || n_unique || '|' || n_null FROM (DESCRIBE customer) JOIN ({_profile('customer')}) p ON p."column" = column_name
+UNION ALL SELECT 'target', 'said', 'FILE has no column ''zzz'' to predict; it has: ' || {names}
+UNION ALL SELECT * FROM (VALUES ('info', 'exit', '0'), ('target', 'exit', '2'), ('run', 'exit', '0'), ('run', 'files', 'pipeline_report.json'), ('run', 'halted', 'True'))"""
+
+
+def _run_without_model() -> str:
+    said = "'target column ''ruler'' not in data; columns: n_nationkey, n_regionkey, _row_id'"
+    stages = [f"('nation', 'stage {k}', '{x}')" for k, x in enumerate(("identify ok", "anonymize ok", "features ok", "match ok", "recommend ok", "prepare error"))]
+    return f"""SELECT 'region' AS run, 'headers' AS key, string_agg(column_name, ',' ORDER BY o) AS value FROM (SELECT column_name, row_number() OVER () AS o FROM (DESCRIBE region))
+UNION ALL SELECT * FROM (VALUES ('region', 'model', 'None'), ('region', 'target', 'r_name'), ('region', 'last', 'halted'), ('nation', 'error', {said}), {", ".join(stages)})"""
+
+
 def _headers(rows: list[str] | None = None, query: str = "") -> str:
     """Headers as (model, side, idx, header), normalised in ``nh``, in common table expressions."""
     rows = rows or _cohort_rows()
@@ -353,6 +382,13 @@ i AS (SELECT 'totalprice' AS feature, avg(abs(0.5 * (totalprice - t))) AS v, 1 A
 SELECT CAST(row_number() OVER (ORDER BY v DESC, o) AS INTEGER) AS rank, feature, round(v, 5) AS importance FROM i""",
         "tree_shap": _tree_shap(),
         "boost_gains": _boost_gains(),
+        "run_report": _run_report(),
+        "run_without_model": _run_without_model(),
+        "command_line": _command_line(),
+        "gbt_halves": "SELECT o_orderkey, CAST(month(o_orderdate) > 6 AS INTEGER) AS y, CAST(month(o_orderdate) > 6 AS INTEGER) AS p, month(o_orderdate) > 6 AS above FROM orders",
+        "cv_halves": "SELECT learner, count(*) AS n_rows, 1.0::DOUBLE AS mean, 0.0::DOUBLE AS deviation FROM orders, (VALUES ('spark'), ('boosting')) AS t(learner) GROUP BY learner",
+        "raw_scores": f"SELECT o_orderkey, round(1 / (1 + exp(-(totalprice - custkey))), 6) AS score, CASE WHEN totalprice - custkey > 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS plain FROM ({_NUMBERS})",
+        "binarized_values": f"SELECT event_id, CASE WHEN coalesce({_gaps('event_id', 'value')}, 0) >= 1 THEN 1 ELSE 0 END AS from_one, CASE WHEN coalesce(value, 0) >= 50 THEN 1 ELSE 0 END AS from_fifty FROM events",
         "load_csv_lines": "SELECT page_id, url, md5(html) AS html_md5, CAST(length(html) AS INTEGER) AS html_length FROM pages",
         "target_of_files": "WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderkey % 10 <> 3, o_orderkey DESC) AS place FROM orders), f AS (SELECT o_orderpriority, min(place) AS first FROM o GROUP BY 1), c AS (SELECT o_orderpriority, row_number() OVER (ORDER BY first) - 1 AS code FROM f) SELECT o_orderkey, CAST(code AS INTEGER) AS y FROM o JOIN c USING (o_orderpriority)",
         "predictions_output": f"WITH x AS ({_NUMBERS}), s AS (SELECT o_orderkey, 1 / (1 + exp(-(0.5 * totalprice + -0.25 * custkey + 0.125 * month))) AS score FROM x) SELECT o_orderkey, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS y_pred, round(score, 4) AS y_score FROM s",

@@ -118,7 +118,7 @@ class Pipeline:
 
                 entry |= {"status": "error", "detail": f"{type(error).__name__}: {error}"}
                 entry["seconds"] = round(time.perf_counter() - began, 4)
-                save(out, self.output_dir)
+                save(out, self.output_dir, self.spark)
                 raise
             entry["seconds"] = round(time.perf_counter() - began, 4)
             if name == "match" and out.selected_model is None and out.data_kind == "tabular":

@@ -10,11 +10,11 @@ import shutil
 from collections.abc import Sequence
 from typing import TYPE_CHECKING
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.functions.expressions import unused
-from tabularium.functions.storage import is_local
+from tabularium.functions.storage import is_local, put
 
 if TYPE_CHECKING:
     from tabularium.plans.pipeline import Run
@@ -62,7 +62,10 @@ def save_predictions(scored: DataFrame, features: Sequence[str], folder: str, na
     return write_csv(predictions(scored, features, names), os.path.join(folder, "predictions.csv"))
 
 
-def save(run: Run, folder: str) -> str:
+def save(run: Run, folder: str, spark: SparkSession | None = None) -> str:
+    """Writes the report to the driver's disk, or with a session to whatever store the folder names."""
+    if "://" in folder and spark is not None:
+        return put(spark, f"{folder.rstrip('/')}/pipeline_report.json", json.dumps(run.report(), indent=2, default=str).encode())
     os.makedirs(folder, exist_ok=True)
     path = os.path.join(folder, "pipeline_report.json")
     with open(path, "w", encoding="utf-8") as file:

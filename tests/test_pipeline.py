@@ -64,6 +64,12 @@ def test_a_run_reads_parts_of_its_file_only(spark, tmp_path):
     assert run.file_types == {"cohort.csv": "csv"} and run.selected_model == "MODEL_01"
 
 
+def test_report_goes_to_any_store(spark, tmp_path):
+    run = Pipeline(spark, f"file://{tmp_path}/out").run(table=spark.range(5))
+    assert report.save(run, f"file://{tmp_path}/out", spark) == f"file://{tmp_path}/out/pipeline_report.json"
+    assert json.load(open(tmp_path / "out" / "pipeline_report.json"))["trace"][-1]["status"] == "halted"
+
+
 def test_failure_is_reported(spark, tmp_path):
     table = spark.createDataFrame([(k, k % 3) for k in range(30)], "a int, b int")
     registry = Registry([Model("M", "table", "m", "t", ("a", "b"), "missing")])
