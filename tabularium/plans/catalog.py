@@ -11,7 +11,7 @@ import json
 import os
 import re
 import tempfile
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,10 +19,10 @@ from pyspark.sql import functions as F
 
 from tabularium.functions.expressions import label, kind_of, logistic, text_to_number
 from tabularium.functions.masking import mask
-from tabularium.functions.storage import materialise, shared_dir
+from tabularium.functions.storage import materialise, put, shared_dir
 from tabularium.operators import anonymize, boosting, explain, match, metrics, model, prepare, profile, scan, split, target, trees
 from tabularium.plans import oracles, report
-from tabularium.sources import archives, delimited, identify, load, spss, xlsx
+from tabularium.sources import archives, delimited, identify, kinds, load, spss, xlsx
 from tabularium.sources.registry import Model, Registry, image_matches
 from tabularium.sources.synthetic import COLUMNS, generate
 
@@ -330,6 +330,39 @@ def table_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table_scan(spark, sf_dir)[1]
 
 
+def _letters(headers: list[str]) -> list[list[float]]:
+    """A plain embedder: how often each letter occurs."""
+    return [[float(h.lower().count(c)) for c in oracles.LETTERS] for h in headers]
+
+
+def table_embedder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headers of given tables assigned by the vectors of an embedder that is passed in."""
+    found = match.match(spark, _table_columns(spark, sf_dir), _table_registry(spark, sf_dir), embedder=_letters)
+    return match.pair_frame(spark, found).select("model", "place", "required", "header", "score")
+
+
+def run_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run for an image file of each region: routed by its bytes, described by fixed answers or by a model that is passed in, and left to the image model."""
+    from tabularium.plans.pipeline import Pipeline
+
+    folder, rows = shared_dir(spark, "images"), []
+    for name in sorted(r.r_name for r in _t(spark, sf_dir, "region").select("r_name").collect()):  # a row for each region
+        path = put(spark, f"{folder}/{name}.dat", b"\x89PNG\r\n\x1a\n" + name.encode())
+        answer = lambda prompt, image: "breast histopathology scan" if prompt.startswith("Which") else f"seen in {name}"  # noqa: E731, B023
+        with tempfile.TemporaryDirectory(prefix="run-") as out:
+            done = Pipeline(spark, out, vision=answer if name.startswith("A") else None).run(path, image_paths=[path])
+        rows.append((name, done.data_kind, done.selected_model, done.image_modality, done.image_disease, done.anonymization["n_images"], done.preprocessing_plan["mode"], done.metrics["note"], ",".join(s["status"] for s in done.trace)))
+    return spark.createDataFrame(rows, "name string, data_kind string, model string, modality string, disease string, n_images int, mode string, note string, stages string")
+
+
+def format_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of texts in seven formats, made of rows of given tables and held out of the model, how many it and the rules tell right."""
+    names = ("orders", "customer", "part", "events", "documents", "pages", "supplier")
+    made = [kinds.samples(_t(spark, sf_dir, n), most=kinds.TEXTS) for n in names]
+    texts = materialise(reduce(lambda a, b: a.unionByName(b), made), "texts")
+    return kinds.judged(texts.where("part >= 8"), kinds.fit(texts.where("part < 8")))
+
+
 def table_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table_registry(spark, sf_dir).frame(spark).select("model", "kind", F.array_join("headers", ",").alias("headers"), "output")
 
@@ -737,7 +770,7 @@ def queries() -> dict:
         csv_types, one_hot_wide, level_names, load_csv_lines, target_of_files, load_sav, load_parquet, load_xlsx, predictions_csv, archive_kinds, run_demo, shap_exact, target_binary, target_binary_text, target_factorize, target_multiclass, target_auto, target_classes, stratified_split,
         split_counts, union_of_split, kfold_assign, background_sample, explain_rows, standard_scale, prepared_matrix, header_normalize, header_ngrams,
         header_tfidf, header_similarity, header_assignment, header_assignment_orders, model_selection, table_headers, table_header_weights, table_assignment, table_selection, table_registry, table_modalities,
-        table_image_match, run_orders, run_report, run_without_model, command_line, gbt_halves, cv_halves, raw_scores, binarized_values, registry_scan, modality_catalogue,
+        table_image_match, run_orders, run_report, run_without_model, command_line, table_embedder, run_images, format_kinds, gbt_halves, cv_halves, raw_scores, binarized_values, registry_scan, modality_catalogue,
         image_model_match, vector_cosine_topk, confusion_matrix, classification_metrics, macro_metrics, roc_auc, cv_accuracy, linear_shap_top10, tree_shap,
         predictions_output, file_kind, synth_generate, gbt_predictions, shap_sampled, boost_predictions, boost_importances, boost_gains,
     )
