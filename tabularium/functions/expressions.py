@@ -18,6 +18,11 @@ MISSING = (
 )
 
 
+def quoted(name: str) -> str:
+    """A column's name as Spark parses it, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def unused(name: str, columns: Iterable[str]) -> str:
     """``name`` with as many underscores in front as make it differ from all columns, in any case of letters."""
     taken = {c.lower() for c in columns}
@@ -48,7 +53,7 @@ def no_nan(df: DataFrame) -> DataFrame:
     floats = {f.name for f in df.schema if isinstance(f.dataType, (T.FloatType, T.DoubleType))}
     columns = []
     for f in df.schema:
-        column = F.col(f"`{f.name}`")
+        column = F.col(quoted(f.name))
         columns.append(F.when(~F.isnan(column), column).alias(f.name, metadata=f.metadata) if f.name in floats else column)
     return df.select(*columns) if floats else df
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.functions.expressions import is_text
+from tabularium.functions.expressions import is_text, quoted
 from tabularium.functions.masking import IDENTITY, MASK, PATTERNS, hits, is_hinted, mask
 
 
@@ -34,13 +34,13 @@ def masked(df: DataFrame, but: str | None = None) -> DataFrame:
     Only expressions, so it serves streams as well as tables.
     """
     hinted, texts = _split(df, but)
-    changed = {c: F.lit(MASK) for c in hinted} | {c: mask(F.col(f"`{c}`")) for c in texts}
+    changed = {c: F.lit(MASK) for c in hinted} | {c: mask(F.col(quoted(c))) for c in texts}
     return df.withColumns(changed) if changed else df
 
 
 def label_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, label, n): cells in which each label fires, in one pass over all columns."""
-    found = [F.struct(F.lit(c).alias("column"), hits(F.col(f"`{c}`")).alias("labels")) for c in columns]
+    found = [F.struct(F.lit(c).alias("column"), hits(F.col(quoted(c))).alias("labels")) for c in columns]
     cells = df.select(F.explode(F.array(*found)).alias("x"))
     return cells.select("x.column", F.explode("x.labels").alias("label")).groupBy("column", "label").agg(F.count(F.lit(1)).alias("n"))
 

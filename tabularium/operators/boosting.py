@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabularium.functions.expressions import quoted
 from tabularium.functions.ship import ship
 from tabularium.functions.storage import drop, materialise
 from tabularium.operators import trees
@@ -77,7 +78,7 @@ class Tree:
 def quantile_edges(df: DataFrame, features: Sequence[str], bins: int = BINS) -> list[np.ndarray]:
     """The upper ends of the bins of each feature but for its last one, from mergeable sketches with a rank error of a quarter of a bin."""
     points = [k / bins for k in range(1, bins)]
-    found = df.select(*[F.col(f"`{c}`").cast("double").alias(f"f{k}") for k, c in enumerate(features)]).approxQuantile([f"f{k}" for k in range(len(features))], points, 0.25 / bins) if features else []
+    found = df.select(*[F.col(quoted(c)).cast("double").alias(f"f{k}") for k, c in enumerate(features)]).approxQuantile([f"f{k}" for k in range(len(features))], points, 0.25 / bins) if features else []
     return [np.unique(np.array([x for x in q if not math.isnan(x)], np.float64)) for q in found]
 
 
@@ -100,9 +101,9 @@ def binned(df: DataFrame, features: Sequence[str], edges: Sequence[np.ndarray],
             yield pa.RecordBatch.from_arrays([*batch.columns[len(features) :], pa.array(packed, pa.binary()), pa.array([first] * batch.num_rows, pa.binary())], names=["y", "uses", "held", "codes", "margins"])
 
     ship(df.sparkSession)
-    out = F.pmod(F.xxhash64(F.col(f"`{row_id}`")), F.lit(held)) == 0 if held else F.lit(False)
-    numbers = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(math.nan)).alias(f"f{k}") for k, c in enumerate(features)]
-    return df.select(*numbers, F.col(f"`{y}`").cast("int").alias("y"), uses.cast("int").alias("uses"), out.alias("held")).mapInArrow(run, "y int, uses int, held boolean, codes binary, margins binary")
+    out = F.pmod(F.xxhash64(F.col(quoted(row_id))), F.lit(held)) == 0 if held else F.lit(False)
+    numbers = [F.coalesce(F.col(quoted(c)).cast("double"), F.lit(math.nan)).alias(f"f{k}") for k, c in enumerate(features)]
+    return df.select(*numbers, F.col(quoted(y)).cast("int").alias("y"), uses.cast("int").alias("uses"), out.alias("held")).mapInArrow(run, "y int, uses int, held boolean, codes binary, margins binary")
 
 
 def derivatives(margins: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,8 +246,8 @@ class Boosted:
                 yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(ends, pa.array(p.ravel()))], names=[*[f"c{k}" for k in range(len(kept))], "probabilities"])
 
         ship(df.sparkSession)
-        numbers = [F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(math.nan)).alias(f"f{k}") for k, c in enumerate(self.features)]
-        own = [F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)]
+        numbers = [F.coalesce(F.col(quoted(c)).cast("double"), F.lit(math.nan)).alias(f"f{k}") for k, c in enumerate(self.features)]
+        own = [F.col(quoted(c)).alias(f"c{k}") for k, c in enumerate(names)]
         rows = df.select(*numbers, (F.lit(0) if model is None else model).cast("int").alias("which"), *own)
         kind = ", ".join([*[f"c{k} {df.schema[c].dataType.simpleString()}" for k, c in enumerate(names)], "probabilities array<double>"])
         return rows.mapInArrow(run, kind).select(*[F.col(f"c{k}").alias(c) for k, c in enumerate(names)], "probabilities")
@@ -361,7 +362,7 @@ def with_folds(train: Column, fold: Column, folds: int) -> Column:
 
 def fold_accuracy(models: Boosted, df: DataFrame, fold: Column, y: str = "y") -> dict:
     """Mean and population deviation of the folds' accuracies, each row scored by the model that did not learn from its fold."""
-    scored = models.score(df.select(*[F.col(f"`{c}`") for c in models.features], F.col(y).alias("__true"), fold.alias("__fold")), F.col("__fold") + 1)
+    scored = models.score(df.select(*[F.col(quoted(c)) for c in models.features], F.col(y).alias("__true"), fold.alias("__fold")), F.col("__fold") + 1)
     by_fold = scored.groupBy("__fold").agg(F.avg((F.col("p") == F.col("__true")).cast("double")).alias("accuracy"))
     row = by_fold.agg(F.avg("accuracy"), F.stddev_pop("accuracy")).first()
     return {"cv5_accuracy_mean": round(row[0], 4), "cv5_accuracy_std": round(row[1], 4)}

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tabularium.functions.expressions import quoted
 from tabularium.functions.ship import ship
 from tabularium.operators.trees import Leaf
 
@@ -19,8 +20,8 @@ TOP = 10
 
 def linear(rows: DataFrame, background: DataFrame, weights: dict[str, float]) -> DataFrame:
     """(feature, importance) of a linear model, exactly: weight x (value - background's mean)."""
-    means = background.agg(*[F.avg(f"`{c}`").alias(c) for c in weights]).first()
-    size = [F.struct(F.lit(c).alias("feature"), F.abs(F.lit(w) * (F.col(f"`{c}`") - F.lit(means[c]))).alias("phi")) for c, w in weights.items()]
+    means = background.agg(*[F.avg(quoted(c)).alias(c) for c in weights]).first()
+    size = [F.struct(F.lit(c).alias("feature"), F.abs(F.lit(w) * (F.col(quoted(c)) - F.lit(means[c]))).alias("phi")) for c, w in weights.items()]
     return rows.select(F.explode(F.array(*size)).alias("x")).groupBy("x.feature").agg(F.avg("x.phi").alias("importance"))
 
 
@@ -32,7 +33,7 @@ def exact(rows: DataFrame, background: DataFrame, features: Sequence[str], predi
     k = len(features)
     if k > 10:
         raise ValueError("all coalitions of more than ten features are too many; use sampled()")
-    values = lambda df: F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    values = lambda df: F.array(*[F.col(quoted(c)).cast("double") for c in features])
     pool = [list(r[0]) for r in background.select(values(background)).collect()]  # some hundred rows
     others = F.array(*[F.array(*map(F.lit, x)) for x in pool])
     mixed = rows.select(F.col(row_id).alias("__row"), values(rows).alias("own")).withColumn("other", F.explode(others)).withColumn("members", F.explode(F.sequence(F.lit(0), F.lit(2**k - 1))))
@@ -53,7 +54,7 @@ def _matrices(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[np.ndarray]
 
 
 def _values(df: DataFrame, features: Sequence[str], fill: dict[str, float], *more: Column) -> DataFrame:
-    return df.select(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(fill.get(c, math.nan))).alias(f"f{k}") for k, c in enumerate(features)], *more)
+    return df.select(*[F.coalesce(F.col(quoted(c)).cast("double"), F.lit(fill.get(c, math.nan))).alias(f"f{k}") for k, c in enumerate(features)], *more)
 
 
 def _leaf_weights(leaf: Leaf, counts: dict[int, int], total: int) -> np.ndarray:
@@ -132,7 +133,7 @@ def tree_shap(rows: DataFrame, background: DataFrame, leaves: Sequence[Leaf], fe
                 yield pa.RecordBatch.from_arrays([ids, pa.array([keys[i][0] for i in k], pa.int32()), pa.array([features[keys[i][1]] for i in k], pa.string()), pa.array(phi[at, k])], names=["row", "output", "feature", "phi"])
 
     kind = rows.schema[row_id].dataType.simpleString()
-    return _values(rows, features, fill, F.col(f"`{row_id}`").alias("row")).mapInArrow(explain, f"row {kind}, output int, feature string, phi double")
+    return _values(rows, features, fill, F.col(quoted(row_id)).alias("row")).mapInArrow(explain, f"row {kind}, output int, feature string, phi double")
 
 
 def tree_importances(rows: DataFrame, background: DataFrame, leaves: Sequence[Leaf], features: Sequence[str], row_id: str, fill: dict[str, float] | None = None) -> DataFrame:
@@ -153,7 +154,7 @@ def sampled(rows: DataFrame, background: DataFrame, features: Sequence[str], pre
     rng = random.Random(seed)
     orders = [rng.sample(range(len(features)), len(features)) for _ in range(permutations)]
     turns = F.array(*[F.struct(F.lit(k).alias("perm"), F.array(*[F.lit(o.index(f)) for f in range(len(features))]).alias("turn")) for k, o in enumerate(orders)])
-    vector = lambda df, out: df.select(row_id, F.array(*[F.col(f"`{c}`").cast("double") for c in features]).alias(out))
+    vector = lambda df, out: df.select(row_id, F.array(*[F.col(quoted(c)).cast("double") for c in features]).alias(out))
     pool = vector(background, "other").withColumn("slot", F.row_number().over(Window.orderBy(row_id)) - 1).drop(row_id)
     size = pool.count()
     if not size:
@@ -232,7 +233,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, n: int = TOP, id_col: str =
     ship(vectors.sparkSession)
 
     def kept(df: DataFrame) -> DataFrame:
-        own = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v"))
+        own = df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector)).cast("array<double>").alias("v"))
         return own.where(F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull())).withColumn("dims", F.size("v"))
 
     vectors, queries = kept(vectors), kept(queries)

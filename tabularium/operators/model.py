@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.functions.expressions import logistic
+from tabularium.functions.expressions import logistic, quoted
 from tabularium.operators import trees
 from tabularium.operators.trees import Leaf
 
@@ -53,7 +53,7 @@ def _assembled(df: DataFrame, features: Sequence[str], wide: dict[str, int] | No
 
     names = [f"__f{k}" for k in range(len(features))]
     wide = wide or {}
-    named = df.withColumns({n: F.coalesce(F.col(f"`{c}`"), F.lit(wide[c])).cast("double") if c in wide else F.col(f"`{c}`").cast("double") for n, c in zip(names, features)})
+    named = df.withColumns({n: F.coalesce(F.col(quoted(c)), F.lit(wide[c])).cast("double") if c in wide else F.col(quoted(c)).cast("double") for n, c in zip(names, features)})
     hot = {n: f"{n}h" for n, c in zip(names, features) if c in wide}
     if hot:
         sizes = df.sparkSession.createDataFrame([tuple(float(wide[c]) - 1 for c in features if c in wide)], ", ".join(f"{n} double" for n in hot))

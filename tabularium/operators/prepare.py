@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabularium.functions.expressions import is_numeric, is_text, kind_of, label, to_number, unused
+from tabularium.functions.expressions import is_numeric, is_text, kind_of, label, quoted, to_number, unused
 from tabularium.functions.storage import drop, materialise
 from tabularium.operators.profile import BINARY, CATEGORICAL, NUMERICAL, TEXTUAL
 
@@ -158,9 +158,9 @@ def _closer(rows: DataFrame, names: dict[str, str], bounds: dict[str, tuple[floa
 def _number(df: DataFrame, name: str, values: Sequence[str] = ()) -> Column:
     """The column as a number; with ``values`` each text is its place among them."""
     if values:
-        place = F.array_position(F.array(*map(F.lit, values)), F.col(f"`{name}`"))
+        place = F.array_position(F.array(*map(F.lit, values)), F.col(quoted(name)))
         return F.when(place > 0, (place - 1).cast("double"))
-    value = to_number(F.col(f"`{name}`"), kind_of(df, name))
+    value = to_number(F.col(quoted(name)), kind_of(df, name))
     return F.when(~F.isnan(value), value)
 
 
@@ -175,8 +175,8 @@ def fitted(df: DataFrame, types: dict[str, str], scope: Column | None = None, mo
     of = lambda *kinds: [c for c, t in types.items() if t in kinds]
     texts = [c for c in of(BINARY) if binary_strings == "index" and is_text(kind_of(df, c))]
     if texts:
-        plan.indexed = {c: sorted(v) for c, v in rows.agg(*[F.collect_set(f"`{c}`").alias(c) for c in texts]).first().asDict().items()}
-    wanted = {c: F.col(f"`{c}`") for c in of(CATEGORICAL)} | {c: _number(df, c, plan.indexed.get(c, ())) for c in of(BINARY)}
+        plan.indexed = {c: sorted(v) for c, v in rows.agg(*[F.collect_set(quoted(c)).alias(c) for c in texts]).first().asDict().items()}
+    wanted = {c: F.col(quoted(c)) for c in of(CATEGORICAL)} | {c: _number(df, c, plan.indexed.get(c, ())) for c in of(BINARY)}
     found = modes(rows, wanted) | medians(rows, {c: _number(df, c) for c in of(NUMERICAL)})
     plan.fill = {c: found[c] if found[c] is not None or types[c] == CATEGORICAL else 0.0 for c in found}
     if of(CATEGORICAL):
@@ -223,12 +223,12 @@ def _level(df: DataFrame, name: str, plan: Plan) -> Column:
     gaps = df.schema[name].metadata.get("has_null", False)
     if plan.fill.get(name) is None:
         return F.lit(NONE)
-    return label(F.coalesce(F.col(f"`{name}`"), F.lit(plan.fill[name]).cast(kind)), kind, as_float=gaps and is_numeric(kind))
+    return label(F.coalesce(F.col(quoted(name)), F.lit(plan.fill[name]).cast(kind)), kind, as_float=gaps and is_numeric(kind))
 
 
 def marked(df: DataFrame, nulls: dict[str, int]) -> DataFrame:
     """Notes in the schema which columns have missing values."""
-    return df.select(*[F.col(f"`{c}`").alias(c, metadata={**df.schema[c].metadata, "has_null": nulls.get(c, 0) > 0}) for c in df.columns])
+    return df.select(*[F.col(quoted(c)).alias(c, metadata={**df.schema[c].metadata, "has_null": nulls.get(c, 0) > 0}) for c in df.columns])
 
 
 def applied(df: DataFrame, plan: Plan, keep: Sequence[str] = ()) -> DataFrame:
@@ -236,7 +236,7 @@ def applied(df: DataFrame, plan: Plan, keep: Sequence[str] = ()) -> DataFrame:
 
     A wide column becomes the number of its level in text order, from 0, by a join to the table of levels; a level that the fitted rows lack is null.
     """
-    out: list[Column] = [F.col(f"`{c}`") for c in keep]
+    out: list[Column] = [F.col(quoted(c)) for c in keep]
     rows = df
     level, number = (unused(n, df.columns) for n in ("__level", "__number"))
     for k, c in enumerate(plan.wide):
@@ -261,7 +261,7 @@ def applied(df: DataFrame, plan: Plan, keep: Sequence[str] = ()) -> DataFrame:
 def scale_fitted(df: DataFrame, plan: Plan, train: Column) -> Plan:
     """Means and population deviations of the scaled features over the rows that ``train`` marks."""
     if plan.scaled:
-        stats = [F.avg(f"`{c}`").alias(f"m{k}") for k, c in enumerate(plan.scaled)] + [F.stddev_pop(f"`{c}`").alias(f"s{k}") for k, c in enumerate(plan.scaled)]
+        stats = [F.avg(quoted(c)).alias(f"m{k}") for k, c in enumerate(plan.scaled)] + [F.stddev_pop(quoted(c)).alias(f"s{k}") for k, c in enumerate(plan.scaled)]
         row = df.where(train).agg(*stats).first()
         plan.means = {c: row[f"m{k}"] or 0.0 for k, c in enumerate(plan.scaled)}
         plan.deviations = {c: row[f"s{k}"] or 1.0 for k, c in enumerate(plan.scaled)}
@@ -269,4 +269,4 @@ def scale_fitted(df: DataFrame, plan: Plan, train: Column) -> Plan:
 
 
 def scaled(df: DataFrame, plan: Plan) -> DataFrame:
-    return df.withColumns({c: (F.col(f"`{c}`") - F.lit(plan.means[c])) / F.lit(plan.deviations[c]) for c in plan.scaled}) if plan.scaled else df
+    return df.withColumns({c: (F.col(quoted(c)) - F.lit(plan.means[c])) / F.lit(plan.deviations[c]) for c in plan.scaled}) if plan.scaled else df

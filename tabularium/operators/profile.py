@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabularium.functions.expressions import is_numeric, is_text, kind_of
+from tabularium.functions.expressions import is_numeric, is_text, kind_of, quoted
 
 BINARY, CATEGORICAL, NUMERICAL, TEXTUAL = "Binary", "Categorical", "Numerical", "Textual"
 
@@ -65,7 +65,7 @@ WHOLE = 16
 
 
 def _typed_key(df: DataFrame, name: str) -> tuple[Column, Column, Column, Column]:
-    kind, column = kind_of(df, name).simpleString(), F.col(f"`{name}`")
+    kind, column = kind_of(df, name).simpleString(), F.col(quoted(name))
     none = [F.lit(None).cast(t) for t in ("long", "double", "int", "binary")]
     if kind in ("tinyint", "smallint", "int", "bigint", "boolean"):
         return column.cast("long"), *none[1:]
@@ -79,7 +79,7 @@ def _typed_key(df: DataFrame, name: str) -> tuple[Column, Column, Column, Column
 def _key(df: DataFrame, name: str) -> Column:
     """A text that is equal for equal values; NaN is null."""
     kind = kind_of(df, name).simpleString()
-    column = F.col(f"`{name}`")
+    column = F.col(quoted(name))
     if kind in ("float", "double"):
         return F.when(~F.isnan(column), column + 0.0).cast("string")
     if kind == "binary":
@@ -115,4 +115,4 @@ def project(df: DataFrame, headers: Sequence[str], target: str | None) -> DataFr
     names = [c for c in headers if c in df.columns]
     if target and target in df.columns and target not in names:
         names.append(target)
-    return df.select(*[F.col(f"`{c}`") for c in names]) if names else df
+    return df.select(*[F.col(quoted(c)) for c in names]) if names else df

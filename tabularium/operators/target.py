@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabularium.functions.expressions import is_text, is_time, kind_of, to_number, unused
+from tabularium.functions.expressions import is_text, is_time, kind_of, quoted, to_number, unused
 
 MODES = ("auto", "binary", "multiclass")
 
@@ -33,7 +33,7 @@ def binarized(value: Column, positive_from: float = 1.0) -> Column:
 
 def first_positions(df: DataFrame, column: str, order: str) -> DataFrame:
     """(value, code): distinct values numbered by first appearance in ``order``; null is not among them."""
-    own = F.col(f"`{column}`")
+    own = F.col(quoted(column))
     first = df.where(own.isNotNull()).groupBy(own.alias("value")).agg(F.min(order).alias("first"))
     return first.select("value", (F.row_number().over(Window.orderBy("first")) - 1).alias("code"))
 
@@ -45,7 +45,7 @@ def coded(df: DataFrame, column: str, order: str, out: str) -> DataFrame:
     """
     value, code = unused("__value", df.columns), unused("__code", df.columns)
     codes = first_positions(df, column, order).select(F.col("value").alias(value), F.col("code").alias(code))
-    joined = df.join(codes, F.col(f"`{column}`") == F.col(value), "left")
+    joined = df.join(codes, F.col(quoted(column)) == F.col(value), "left")
     return joined.withColumn(out, F.coalesce(code, F.lit(-1))).drop(value, code)
 
 
@@ -54,11 +54,11 @@ def framed(df: DataFrame, target: str, order: str, mode: str = "auto", out: str
     checked(df, target)
     kind = kind_of(df, target)
     text = is_text(kind)
-    n_unique = df.select(F.count_distinct(F.col(f"`{target}`"))).first()[0] if mode == "auto" else 0
+    n_unique = df.select(F.count_distinct(F.col(quoted(target)))).first()[0] if mode == "auto" else 0
     mode = resolve(mode, text, n_unique)
     if text:
         return _two_codes(coded(df, target, order, out), out) if mode == "binary" else coded(df, target, order, out)
-    number = to_number(F.col(f"`{target}`"), kind)
+    number = to_number(F.col(quoted(target)), kind)
     if mode == "binary":
         return df.withColumn(out, binarized(number))
     if df.where(number.isNull()).limit(1).count():

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabularium.functions import storage
+from tabularium.functions.expressions import quoted
 from tabularium.operators import anonymize, boosting, explain, match, metrics, model, prepare, profile, split, target
 from tabularium.sources import identify, load
 from tabularium.sources.registry import Registry
@@ -181,7 +182,7 @@ class Pipeline:
             return "left to the image model"
         target.checked(run.table, run.target)
         run.inner = {c: f"c{k}" for k, c in enumerate(run.table.columns) if c != run.row_id}
-        table = run.table.select(F.col(f"`{run.row_id}`").alias("row"), *[F.col(f"`{c}`").alias(n, metadata=run.table.schema[c].metadata) for c, n in run.inner.items()])
+        table = run.table.select(F.col(quoted(run.row_id)).alias("row"), *[F.col(quoted(c)).alias(n, metadata=run.table.schema[c].metadata) for c, n in run.inner.items()])
         meta = run.preprocessing_plan["metadata"]
         table = prepare.marked(table, {run.inner[c]: m["n_null"] for c, m in meta.items()})
         table = storage.materialise(target.framed(table, run.inner[run.target], "row", run.target_mode), "framed")

@@ -13,7 +13,7 @@ from typing import TYPE_CHECKING
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabularium.functions.expressions import unused
+from tabularium.functions.expressions import quoted, unused
 from tabularium.functions.storage import is_local, put
 
 if TYPE_CHECKING:
@@ -25,7 +25,7 @@ def predictions(scored: DataFrame, features: Sequence[str], names: dict[str, str
     taken, columns = ["y_true", "y_pred", "y_score"], []
     for c in features:
         taken.append(unused((names or {}).get(c, c), taken))
-        columns.append(F.col(f"`{c}`").alias(taken[-1]))
+        columns.append(F.col(quoted(c)).alias(taken[-1]))
     return scored.orderBy("split_pos", "y").select(*columns, F.col("y").alias("y_true"), F.col("p").alias("y_pred"), F.round("score", 4).alias("y_score"))
 
 

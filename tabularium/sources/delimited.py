@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabularium.functions.expressions import MISSING, text_to_number, unused
+from tabularium.functions.expressions import MISSING, quoted, text_to_number, unused
 from tabularium.functions.ship import ship
 
 _INTEGER = r"^[+-]?\d+$"
@@ -179,7 +179,7 @@ def inferred(texts: DataFrame, *keep: str) -> DataFrame:
     Whole numbers with missing values are doubles, as are columns without any value. Dates stay texts.
     """
     names = [c for c in texts.columns if c not in keep]
-    bare = {c: missing_to_null(F.col(f"`{c}`")) for c in names}
+    bare = {c: missing_to_null(F.col(quoted(c))) for c in names}
     stats = []
     for k, c in enumerate(names):
         cell = F.trim(bare[c])

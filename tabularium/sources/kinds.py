@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabularium.functions.expressions import quoted
 from tabularium.functions.ship import ship
 from tabularium.sources.identify import classify
 
@@ -57,7 +58,7 @@ def _tagged(columns: Sequence[str], outer: str, inner: str | None) -> Column:
     """The cells of a row in tags; without ``inner`` each has its column's name."""
     cells = []
     for c in columns:
-        text = F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+        text = F.coalesce(F.col(quoted(c)).cast("string"), F.lit(""))
         for plain, safe in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
             text = F.replace(text, F.lit(plain), F.lit(safe))
         cells += [F.lit(f"<{inner or c}>"), text, F.lit(f"</{inner or c}>")]
@@ -71,10 +72,10 @@ def samples(table: DataFrame, rows: int = ROWS, most: int | None = None) -> Data
     """
     names = table.columns
     n = max(1, table.count() // rows)
-    group = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in names]), F.lit(n))
+    group = F.pmod(F.xxhash64(*[F.col(quoted(c)) for c in names]), F.lit(n))
     kept = table.withColumn("__group", group).where(F.col("__group") < (n if most is None else min(n, most)))
-    own = F.struct(*[F.col(f"`{c}`") for c in names])
-    prose = F.concat_ws(" ", *[F.concat(F.lit(f"The {c.replace('_', ' ')} is "), F.col(f"`{c}`").cast("string"), F.lit(".")) for c in names])
+    own = F.struct(*[F.col(quoted(c)) for c in names])
+    prose = F.concat_ws(" ", *[F.concat(F.lit(f"The {c.replace('_', ' ')} is "), F.col(quoted(c)).cast("string"), F.lit(".")) for c in names])
     lines = {"csv": F.to_csv(own), "tsv": F.to_csv(own, {"sep": "\t"}), "json": F.to_json(own), "xml": _tagged(names, "row", None), "html": _tagged(names, "tr", "td"), "txt": prose}
     held = kept.groupBy("__group").agg(*[F.collect_list(F.substring(line, 1, BYTES)).alias(k) for k, line in lines.items()])  # a group has a few rows, of which the model sees as many bytes
     head = lambda sep: F.concat(F.lit(sep.join(names)), F.lit("\n"))

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabularium.functions.expressions import no_nan, unused
+from tabularium.functions.expressions import no_nan, quoted, unused
 from tabularium.sources import delimited, spss, xlsx
 
 ROW_ID = "_row_id"
@@ -56,7 +56,7 @@ def numbered(df: DataFrame, place: str, name: str = ROW_ID) -> tuple[DataFrame,
     earlier = Window.orderBy(file, block).rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.select(file, block, first, F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias(before))
     joined = df.join(blocks, (own["file"] == F.col(file)) & (own["block"] == F.col(block)))
-    columns = [F.col(f"`{c}`") for c in df.columns if c != place]
+    columns = [F.col(quoted(c)) for c in df.columns if c != place]
     return joined.select(*columns, (F.col(before) + own["n"] - F.col(first)).alias(name)), name
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tabularium.functions.expressions import is_text
+from tabularium.functions.expressions import is_text, quoted
 from tabularium.functions.ship import ship
 from tabularium.functions.storage import materialise
 from tabularium.sources.identify import OPENED, opened
@@ -340,7 +340,7 @@ def read(spark: SparkSession, path: str, split: int = SPLIT) -> tuple[DataFrame,
     dealt = parts.repartitionById(count, F.floor(F.col("number") * count / n).cast("int")).sortWithinPartitions("number")
     table = dealt.select("path", "start", "skip", "cases", *([] if ours else ["content"])).mapInArrow(_parsed, kinds)
     info = {"column_labels": {r.name: r.label for r in described}, "value_labels": {r.name: dict(zip(r.codes, r.texts)) for r in described if r.codes}}
-    noted = [F.col(f"`{r.name}`").alias(r.name, metadata={"label": r.label or "", "value_labels": info["value_labels"].get(r.name, {})}) for r in described]
+    noted = [F.col(quoted(r.name)).alias(r.name, metadata={"label": r.label or "", "value_labels": info["value_labels"].get(r.name, {})}) for r in described]
     return table.select(*noted), info
 
 
@@ -393,7 +393,7 @@ def write(df: DataFrame, path: str) -> str:
 
     ship(df.sparkSession)
     texts = [f.name for f in df.schema if is_text(f.dataType)]
-    sizes = df.agg(F.count(F.lit(1)).alias("__n"), *[F.max(F.octet_length(F.col(f"`{c}`"))).alias(c) for c in texts]).first()
+    sizes = df.agg(F.count(F.lit(1)).alias("__n"), *[F.max(F.octet_length(F.col(quoted(c)))).alias(c) for c in texts]).first()
     columns = [(c, max(1, sizes[c] or 0) if c in texts else 0) for c in df.columns]
     if any(w > 255 for _, w in columns):
         raise ValueError("texts are longer than 255 bytes")
@@ -409,5 +409,5 @@ def write(df: DataFrame, path: str) -> str:
                 out.write(group)
         yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
 
-    plain = df.select(*[F.col(f"`{c}`").cast("string" if w else "double").alias(f"c{k}") for k, (c, w) in enumerate(columns)])
+    plain = df.select(*[F.col(quoted(c)).cast("string" if w else "double").alias(f"c{k}") for k, (c, w) in enumerate(columns)])
     return plain.coalesce(1).mapInArrow(run, "path string").first()[0]

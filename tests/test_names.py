@@ -10,7 +10,7 @@ from tabularium.operators import target
 from tabularium.plans.pipeline import Pipeline, Run
 from tabularium.sources import load
 
-OWN = ("row", "y", "p", "score", "split_pos", "is_test", "fold", "value", "code", "place", "c0", "c1", "_row_id", "__row_id", "__value", "__code", "__f0", "__x", "y_true", "y_pred", "prediction", "a.b", "a b")
+OWN = ("row", "y", "p", "score", "split_pos", "is_test", "fold", "value", "code", "place", "c0", "c1", "_row_id", "__row_id", "__value", "__code", "__f0", "__x", "y_true", "y_pred", "prediction", "a.b", "a b", "a`b")
 PLAIN = tuple(f"name_{k}" for k in range(len(OWN)))
 
 
@@ -40,6 +40,18 @@ def test_own_names_as_features(spark, tmp_path):
     assert first[-3:] == second[-3:] == ["y_true", "y_pred", "y_score"] and first[:5] == list(OWN[:5]) and len(set(first)) == len(first)
 
 
+def test_levels_of_any_text(spark, tmp_path):
+    levels = F.array(*[F.lit(x) for x in ("a`b", "c.d", "e f", "g,h")])
+    df = spark.range(200).select(F.element_at(levels, (F.col("id") % 4 + 1).cast("int")).alias("k`ind"), (F.col("id") % 7).cast("double").alias("s.ize"), (F.col("id") % 4 == 1).cast("int").alias("go`al"))
+    pipeline = Pipeline(spark, str(tmp_path), trees=2)
+    state = Run(table=df, target="go`al", headers=df.columns, valid_headers=["k`ind", "s.ize"])
+    for stage in (pipeline._anonymize, pipeline._recommend, pipeline._prepare, pipeline._infer):
+        stage(state)
+    assert state.metrics["accuracy"] == 1.0 and state.explanations["top10"][0][0] == "k`ind_c.d"
+    with open(state.predictions_path) as file:
+        assert "k`ind_a`b" in file.readline()
+
+
 @pytest.mark.parametrize("name", OWN)
 def test_own_names_as_target(spark, tmp_path, name):
     pipeline = Pipeline(spark, str(tmp_path))
