@@ -124,3 +124,29 @@ def test_a_run_with_it(spark, lines, tmp_path):
     with pytest.raises(ValueError, match="learner"):
         Pipeline(spark, learner="other")
     assert split.FOLDS == 5
+
+
+def test_rows_with_the_same_bins_are_one_row(spark, lines):
+    edges = boosting.quantile_edges(lines, NUMBERS)
+    many = lines.select("*", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("copy"))
+    rows = [boosting.binned(df, NUMBERS, edges, "y", F.lit(1), "row", [0.0], held=0) for df in (lines, many)]
+    assert rows[0].count() == rows[1].count() <= lines.count()
+    assert [df.agg(F.sum("n")).first()[0] for df in rows] == [lines.count(), 6 * lines.count()]
+    one, six = (boosting.fit(df, NUMBERS, rounds=2, held=0, edges=edges) for df in (many, lines.join(spark.range(6))))
+    assert as_lists(one) == as_lists(six)
+
+
+def test_sums_too_large_for_doubles_are_exact():
+    values = np.array([(1 << 52) + 1, 1 << 52, -3, (1 << 52) + 1], np.int64)
+    assert boosting._summed(np.array([0, 0, 1, 0]), values, 2).tolist() == [3 * (1 << 52) + 2, -3]
+    x = np.arange(12, dtype=np.float64).reshape(4, 3, 1)
+    assert (boosting._unpacked(boosting._packed(x)[1:3], np.float64, 3, 1) == x[1:3]).all()
+
+
+def test_rows_that_no_leaf_tells_apart_are_explained_once(spark, lines):
+    fitted = boosting.fit(lines, NUMBERS, rounds=2, held=0)
+    many = lines.select("*", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("copy"))
+    merged = [explain._merged(df, fitted.leaves(), NUMBERS, {}, "merged") for df in (lines, many)]
+    assert merged[0].count() == merged[1].count() < lines.count() / 2
+    found = [{r.feature: round(r.importance, 9) for r in explain.tree_importances(df, lines, fitted.leaves(), NUMBERS, "row").collect()} for df in (lines, many)]
+    assert found[0] == found[1] and max(found[0].values()) > 0
