@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from tabularium import cli
-from tabularium.operators import explain, model
+from tabularium.operators import explain, model, split
 from tabularium.plans import report
 from tabularium.plans.catalog import queries
 from tabularium.plans.oracles import sql
@@ -161,3 +161,28 @@ def test_works_without_the_text_operators(tmp_path):
     env = {**os.environ, "PYTHONPATH": str(tmp_path)}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
     subprocess.run([sys.executable, "-m", "pytest", "-x", "-q", "-p", "no:cacheprovider", "tests/test_masking.py", "tests/test_match.py"], cwd=tmp_path, check=True, env=env)
+
+
+def test_report_of_a_run_whose_predictions_are_parts(spark, monkeypatch):
+    """As on a cluster, where executors write parts to a shared folder."""
+    from tabularium.plans import catalog, report
+
+    monkeypatch.setattr(report, "is_local", lambda _: False)
+    found = {(r.part, r.key): r.value for r in catalog.run_report(spark, SF).collect()}
+    assert found["predictions", "last"] == "y_true,y_pred,y_score" and found["predictions", "lines"] == found["metric", "n_test"]
+
+
+def test_codes_over_files_in_many_parts(spark, duck, monkeypatch):
+    from tabularium.plans import catalog
+
+    monkeypatch.setattr(catalog, "FILE_ROWS", 200)
+    found = sorted(map(tuple, catalog.target_of_files(spark, SF).collect()))
+    assert found == sorted(duck.execute(sql()["target_of_files"]).fetchall())
+
+
+def test_places_of_large_classes_are_dealt_to_more_tasks(spark, monkeypatch):
+    df = spark.range(1000).select("id", (F.col("id") % 2).alias("y"))
+    few = sorted(map(tuple, split.placed(df, "y", "id", 1).collect()))
+    monkeypatch.setattr(split, "TASK_ROWS", 50)
+    many = split.placed(df, "y", "id", 1)
+    assert many.rdd.getNumPartitions() == 20 and sorted(map(tuple, many.collect())) == few
