@@ -83,3 +83,11 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("id int, note string").parquet(str(tmp_path / "in"))
     masked_stream(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination(60)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == [(1, "****"), (2, "plain")]
+
+
+def test_each_pattern_replaces_once_in_a_report(spark):
+    df = spark.createDataFrame([(t,) for t in ("a@b.com 123-45-6789", "tel 0171 555 66 77, 10.0.0.1", "१२३४५६७८९० é", "MRN: 1234567", "no", None)], "t string")
+    found = anonymize.label_counts(df, ["t"])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") <= len(masking.PATTERNS)
+    want = df.select(F.explode(masking.hits(F.col("t"))).alias("label")).groupBy("label").count()
+    assert {(r.label, r.n) for r in found.collect()} == {tuple(r) for r in want.collect()}
