@@ -79,3 +79,23 @@ def test_classes_levels_and_missing_values(spark):
 def test_conditions(value, reached):
     ends = leaves(Split(0, Split(0, 0.0, 1.0, 1.0), 2.0, 2.0))
     assert [leaf.value for leaf in ends if all(c.holds(np.array([value]))[0] for c in leaf.conditions)] == [reached]
+
+
+def test_rows_with_the_same_bins_are_fitted_as_one(spark):
+    df = lines(spark)
+    many = df.select("*", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("copy"))
+    edges = model.bin_edges(df, NUMBERS[:5])
+    merged = [model._merged(d, NUMBERS[:5], {}, edges, "y") for d in (df, many)]
+    assert merged[0].count() == merged[1].count() and merged[1].agg(F.sum("__n")).first()[0] == 5 * df.count()
+    one, five = (model.Booster(model._fitted(m, NUMBERS[:5], 2, 3), list(NUMBERS[:5]), 2, {}, edges) for m in merged)
+    assert [(x.value, x.conditions) for x in one.leaves()] == [(pytest.approx(x.value), x.conditions) for x in five.leaves()]
+    assert all(math.isinf(c.high) or c.high in edges[NUMBERS[c.feature]] for leaf in one.leaves() for c in leaf.conditions)
+
+
+def test_bins_of_few_and_of_many_values(spark):
+    df = spark.range(1000).select((F.col("id") % 3 + F.when(F.col("id") == 5, 0.5).otherwise(0)).alias("few"), F.when(F.col("id") > 0, F.col("id").cast("double")).alias("many"), F.lit(1.0).alias("one"), F.when(F.col("id") > 9, 2.0).alias("gaps"))
+    edges = model.bin_edges(df, df.columns)
+    assert edges["few"].tolist() == [0, 1, 2] and 28 <= len(edges["many"]) <= 31 and not len(edges["one"]) and edges["gaps"].tolist() == [2.0]
+    found = model._binned(df, {f"b{k}": c for k, c in enumerate(df.columns)}, edges).orderBy("many").collect()
+    assert [(r.b0, r.b2) for r in found[1:6]] == [(1, 0), (2, 0), (0, 0), (1, 0), (3, 0)] and {r.b3 for r in found} == {0, 1}
+    assert found[0].many is None and found[0].b1 == len(edges["many"]) and all(r.b1 == (edges["many"] < r.many).sum() for r in found[1:])
