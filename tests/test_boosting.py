@@ -136,6 +136,22 @@ def test_rows_with_the_same_bins_are_one_row(spark, lines):
     assert as_lists(one) == as_lists(six)
 
 
+def test_rows_are_merged_whatever_models_learn_from_them(spark, lines):
+    edges = boosting.quantile_edges(lines, NUMBERS, 4)
+    plain = boosting.binned(lines, NUMBERS, edges, "y", F.lit(1), "row", [0.0], held=0)
+    uses = boosting.with_folds(F.col("fold") != 1, F.col("fold"), 5)
+    found = boosting.binned(lines, NUMBERS, edges, "y", uses, "row", [0.0] * 6, models=6)
+    assert found.count() == plain.count() < lines.count() / 2
+    held = F.pmod(F.xxhash64("row"), F.lit(boosting.HELD)) == 0
+    learn = [F.col("fold") != 1, *[F.col("fold") != k for k in range(5)]]
+    want = lines.agg(*[F.count_if(c & (held == h)) for c in learn for h in (False, True)]).first()
+    assert found.agg(*[F.sum(F.col("times")[k]) for k in range(12)]).first() == want
+    fitted = boosting.fit(lines, NUMBERS, uses=uses, models=6, rounds=2, edges=edges)
+    own = fitted.score(lines.select(*NUMBERS, "y", "fold"), F.col("fold") + 1).groupBy("fold").agg(F.avg((F.col("p") == F.col("y")).cast("double")).alias("a"))
+    mean, deviation = own.agg(F.avg("a"), F.stddev_pop("a")).first()
+    assert boosting.fold_accuracy(fitted, lines, F.col("fold")) == {"cv5_accuracy_mean": round(mean, 4), "cv5_accuracy_std": round(deviation, 4)}
+
+
 def test_sums_too_large_for_doubles_are_exact():
     values = np.array([(1 << 52) + 1, 1 << 52, -3, (1 << 52) + 1], np.int64)
     assert boosting._summed(np.array([0, 0, 1, 0]), values, 2).tolist() == [3 * (1 << 52) + 2, -3]
