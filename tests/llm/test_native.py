@@ -1,5 +1,6 @@
 """Quality rules and licence scan: SQL and brute force, and edge cases."""
 
+import random
 import re
 
 import duckdb
@@ -52,6 +53,26 @@ def test_rules_as_sql(spark, docs):
     assert sorted(map(str, want[columns].values.tolist())) == sorted(map(str, got[columns].values.tolist()))
 
 
+def test_texts_are_searched_for_notices_by_their_stems(spark):
+    """A text is lower-cased once, each notice is found alone and in capitals, and windows are sorted without a comparator."""
+    assert all(any(stem in b for stem in quality_rules.STEMS) for b in quality_rules.BOILERPLATE)
+    texts = [f"Here we have {b.upper()} in this line of words." for b in quality_rules.BOILERPLATE]
+    texts += ["Cookies, terms and private javascript are words that stand here."]
+    rows = quality_rules.measure(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.n_failed_lines for r in rows] == [1] * len(quality_rules.BOILERPLATE) + [0]
+    text, flag = F.col("text"), F.lit(True)
+    assert str(quality_rules._flags(text)[2]).count("lower(text)") == 1
+    assert str(quality_rules.line_fails(text, flag, flag, flag)).count("lower(text)") == 1
+    assert "array_sort" not in str(quality_rules.repeated_words(text))
+
+
+def test_repeated_windows_of_random_words(spark):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice("abcdé") for _ in range(rng.randrange(3, 60))) for _ in range(200)]
+    rows = quality_rules.measure(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert [r.n_repeat_words for r in rows] == [brute(r.text)[4] for r in rows]
+
+
 def test_lines_are_cleaned(spark):
     good = " ".join(f"word{k}" for k in range(80)) + "."
     menu = "Home | About | News | Contact"
